@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .packing import op5_packing
+from .quality_rules import op6_quality_rules
 from .sharding import op9_sharding
 from .url_rules import op10_url_filter
 
 QUERIES = {
+    "op5_packing": op5_packing,
+    "op6_quality_rules": op6_quality_rules,
     "op9_sharding": op9_sharding,
     "op10_url_filter": op10_url_filter,
 }
