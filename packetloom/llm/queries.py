@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from .lang_id import op2_language_id
 from .packing import op5_packing
+from .quality_mil import op3_quality_model
 from .quality_rules import op6_quality_rules
 from .sharding import op9_sharding
 from .url_rules import op10_url_filter
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
+    "op3_quality_model": op3_quality_model,
     "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
     "op9_sharding": op9_sharding,
