@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .html_tree import op4_html_text
 from .lang_id import op2_language_id
 from .packing import op5_packing
 from .quality_mil import op3_quality_model
@@ -12,6 +13,7 @@ from .url_rules import op10_url_filter
 QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_quality_model": op3_quality_model,
+    "op4_html_text": op4_html_text,
     "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
     "op9_sharding": op9_sharding,
