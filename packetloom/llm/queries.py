@@ -7,6 +7,7 @@ from .lang_id import op2_language_id
 from .packing import op5_packing
 from .quality_mil import op3_quality_model
 from .quality_rules import op6_quality_rules
+from .sentence_pieces import op7_sentencepiece
 from .sharding import op9_sharding
 from .url_rules import op10_url_filter
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_html_text": op4_html_text,
     "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
+    "op7_sentencepiece": op7_sentencepiece,
     "op9_sharding": op9_sharding,
     "op10_url_filter": op10_url_filter,
 }
