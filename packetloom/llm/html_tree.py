@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import table
 from .html_seed import labelled_pages
@@ -245,7 +246,7 @@ def extract_text(pages: DataFrame, html_col: str = "html", model: PageModel | No
     empty text. Whole pages are read; nothing is cut."""
     model = model or PageModel(labelled_pages())
     base = pages.drop("text", "n_chars")
-    schema = base.schema.add("text", "string").add("n_chars", "long")
+    schema = StructType([*base.schema.fields, StructField("text", StringType()), StructField("n_chars", LongType())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

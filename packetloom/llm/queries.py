@@ -9,15 +9,19 @@ from .quality_mil import op3_quality_model
 from .quality_rules import op6_quality_rules
 from .sentence_pieces import op7_sentencepiece
 from .sharding import op9_sharding
+from .shingle_join import op8_shingle_join
 from .url_rules import op10_url_filter
+from .vector_pairs import op1_embedding_dedup
 
 QUERIES = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op2_language_id": op2_language_id,
     "op3_quality_model": op3_quality_model,
     "op4_html_text": op4_html_text,
     "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_shingle_join": op8_shingle_join,
     "op9_sharding": op9_sharding,
     "op10_url_filter": op10_url_filter,
 }
