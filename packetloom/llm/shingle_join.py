@@ -6,11 +6,11 @@
    those sets exactly (a share can only undercount).
 3. Shingles that the same sets hold are one entry with a weight: its name is a hash of its inverted list. Sets shrink to
    weighted lists of entries, rarest first.
-4. Two similar sets share an entry among their rarest n // 5 + 1 shingles. Each set goes to the lists of those entries; long
-   lists are split into blocks and dealt as pairs of blocks. Within a list DivideSkip merges the short inverted lists and
-   binary-probes the long ones. Pairs that earlier links of the task already join are not looked at again; only joining links
-   leave the task.
-5. Components of the links, over class representatives.
+4. Two similar sets share an entry among their rarest n // 5 + 1 shingles. What such entries connect is a neighbourhood; one of
+   bounded size goes to one task, each set once. Larger ones go there list by list, long lists in pairs of blocks.
+5. In a task, DivideSkip answers each set as a query: it merges the short inverted lists and binary-probes the long ones. Pairs
+   that earlier links of the task already join are not looked at again; only joining links leave the task.
+6. Components of the links, over class representatives.
 
 Hashes have 64 bits: two different shingles or sets meet with a chance of 1 in 10^19 a pair.
 """
@@ -35,6 +35,8 @@ PERCENT = 80
 FIRST_SHARE = 0.3
 #: Sets in a block of a long list; sampled shingles that a task gathers before it deals them out; ids that are broadcast at most.
 BLOCK, GATHERED, BROADCAST_IDS = 4096, 1 << 21, 1_000_000
+#: A neighbourhood of so many sets, or bytes of entries, goes to one task at most.
+TOGETHER_SETS, TOGETHER_BYTES = 8192, 64 << 20
 #: Weighs the cost of probing against that of merging when lists are divided into long and short.
 MU = 0.05
 
@@ -181,31 +183,40 @@ def _weighted_sets(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: st
     return entries.groupBy("rep", "n").agg(F.sum("w").alias("shared"), F.collect_list(F.struct("df", "x", "w")).alias("entries")).where("shared >= n - n div 5")
 
 
-def _to_lists(weighted: DataFrame, buckets: int) -> DataFrame:
-    """A row for each list that a set goes to: (bucket, x, first, second, block, rep, n, entries, weights)."""
+def _prepared(weighted: DataFrame) -> DataFrame:
+    """(rep, n, entries, weights, rare, lengths): entries by name as bytes, and the rarest with the lengths of their lists."""
 
-    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sort(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for rep, n, shared, entries in zip(frame["rep"], frame["n"], frame["shared"], frame["entries"]):
                 entries = sorted((e["df"], e["x"], e["w"]) for e in entries)
-                names = np.array([e[1] for e in entries], np.int64)
-                weights = np.array([e[2] for e in entries], np.int32)
+                names, weights = np.array([e[1] for e in entries], np.int64), np.array([e[2] for e in entries], np.int64)
+                before = n - shared + np.cumsum(weights) - weights  # shingles that no other set has come first
+                rare = entries[: int(np.searchsorted(before, n // 5, "right"))]
                 order = np.argsort(names)
-                raw = (names[order].tobytes(), weights[order].tobytes())
-                place = n - shared  # shingles that no other set has come first
-                for df, x, w in entries:
-                    if place > n // 5:
-                        break
-                    place += w
-                    blocks = -(-df // BLOCK)
-                    block = hash((rep, x)) % blocks
-                    for other in range(blocks):
-                        first, second = min(block, other), max(block, other)
-                        out.append((hash((x, first, second)) % buckets, x, first, second, block, rep, n, *raw))
-            yield pd.DataFrame(out, columns=["bucket", "x", "first", "second", "block", "rep", "n", "entries", "weights"])
-
-    return weighted.mapInPandas(deal, "bucket int, x long, first int, second int, block int, rep long, n long, entries binary, weights binary")
+                out.append((rep, n, names[order].tobytes(), weights[order].astype(np.int32).tobytes(), [e[1] for e in rare], [e[0] for e in rare]))
+            yield pd.DataFrame(out, columns=["rep", "n", "entries", "weights", "rare", "lengths"])
+
+    return weighted.mapInPandas(sort, "rep long, n long, entries binary, weights binary, rare array<long>, lengths array<long>")
+
+
+def _tasks(prepared: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, x, first, second, block, rep, n, entries, weights): a row per set and place where it is compared; x is a
+    neighbourhood or, in large ones, a list."""
+    near = connected_components(prepared.select(F.col("rep").alias("a"), F.explode("rare").alias("b")))
+    placed = prepared.join(near.withColumnRenamed("node", "rep").withColumnRenamed("component", "x"), "rep")
+    sizes = placed.groupBy("x").agg(F.count("*").alias("sets"), F.sum(F.octet_length("entries") * 1.5).alias("bytes")).where("sets > 1")
+    fits = (F.col("sets") <= TOGETHER_SETS) & (F.col("bytes") <= TOGETHER_BYTES)
+    zero = F.lit(0)
+    carried = ("rep", "n", "entries", "weights")
+    small = placed.join(sizes.where(fits).select("x"), "x").select("x", zero.alias("first"), zero.alias("second"), zero.alias("block"), *carried)
+    large = placed.join(sizes.where(~fits).select("x"), "x", "left_semi").select(F.explode(F.arrays_zip("rare", "lengths")).alias("e"), *carried)
+    blocks = F.ceil(F.col("e.lengths") / BLOCK).cast("int")
+    split = large.select(F.col("e.rare").alias("x"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("block"), blocks.alias("blocks"), *carried)
+    pairs = split.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    listed = pairs.select("x", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", *carried)
+    return small.union(listed).select(F.pmod(F.xxhash64("x", "first", "second"), F.lit(buckets)).cast("int").alias("bucket"), "*")
 
 
 def divide_skip(sizes: np.ndarray, sets: list[tuple[np.ndarray, np.ndarray]], side: np.ndarray | None, joined: Forest, name: list[int]) -> Iterator[tuple[int, int]]:
@@ -222,62 +233,67 @@ def divide_skip(sizes: np.ndarray, sets: list[tuple[np.ndarray, np.ndarray]], si
     begin = np.flatnonzero(np.concatenate(([True], entry[1:] != entry[:-1])))
     names, end = entry[begin], np.concatenate((begin[1:], [len(entry)]))
     reach = np.searchsorted(sizes, sizes * 100 // PERCENT, "right")  # sets that are small enough to be similar
+    trees = len({joined.root(k) for k in name})
     for q in range(count):
+        if trees < 2:
+            return
         if reach[q] <= q + 1:
             continue
         need = -(-2 * PERCENT * int(sizes[q]) // (100 + PERCENT))
         at = np.searchsorted(names, sets[q][0])
-        weights = sets[q][1]
-        lists = [owner[b:e] for b, e in zip(begin[at], end[at])]
-        lists = [x[np.searchsorted(x, q, "right") : np.searchsorted(x, reach[q])] for x in lists]
-        lengths = np.array([len(x) for x in lists])
-        longest = np.argsort(-lengths, kind="stable")
-        most = lengths[longest[0]]
-        if not most:
+        weights = sets[q][1].astype(np.int64)
+        starts, ends = begin[at], end[at]
+        lengths = ends - starts
+        shared = lengths > 1
+        starts, ends, lengths, weights = starts[shared], ends[shared], lengths[shared], weights[shared]
+        if int(weights.sum()) < need:
             continue
-        room = need / (MU * np.log2(most + 1) + 1)
+        longest = np.argsort(-lengths, kind="stable")
+        room = need / (MU * np.log2(lengths[longest[0]]) + 1)
         n_long = int(np.searchsorted(np.cumsum(weights[longest]), min(room, need - 1), "right"))
         long, short = longest[:n_long], longest[n_long:]
-        merged = np.concatenate([lists[k] for k in short]) if len(short) else np.zeros(0, np.int64)
-        if not len(merged):
-            continue
         # Merge the short lists: equal candidates come together, their weights add up.
+        merged = np.concatenate([owner[a:b] for a, b in zip(starts[short].tolist(), ends[short].tolist())])
         weight = np.repeat(weights[short], lengths[short])
+        later = (merged > q) & (merged < reach[q])
+        merged, weight = merged[later], weight[later]
+        if not len(merged):
+            continue
         turn = np.argsort(merged, kind="stable")
         merged, weight = merged[turn], weight[turn]
         first = np.flatnonzero(np.concatenate(([True], merged[1:] != merged[:-1])))
-        candidate, overlap = merged[first], np.add.reduceat(weight, first).astype(np.int64)
-        left = need - int(weights[long].sum())
-        mine = joined.root(name[order[q]])
-        keep = overlap >= left
+        candidate, overlap = merged[first], np.add.reduceat(weight, first)
+        rest = int(weights[long].sum())
+        keep = overlap >= need - rest
         if side is not None:
             keep &= side[order[candidate]] != side[order[q]]
         candidate, overlap = candidate[keep], overlap[keep]
         if len(candidate):
+            mine = joined.root(name[order[q]])
             apart = np.array([joined.root(name[k]) != mine for k in order[candidate]], bool)
             candidate, overlap = candidate[apart], overlap[apart]
-        rest = int(weights[long].sum())
-        for k in long:  # probe the long lists for what is left
+        for k in long.tolist():  # probe the long lists for what is left
             if not len(candidate):
                 break
-            spot = np.searchsorted(lists[k], candidate)
-            hit = lists[k][np.minimum(spot, lengths[k] - 1)] == candidate if lengths[k] else np.zeros(len(candidate), bool)
-            overlap = overlap + hit * int(weights[k])
+            probed = owner[starts[k] : ends[k]]
+            spot = np.minimum(np.searchsorted(probed, candidate), len(probed) - 1)
+            overlap = overlap + (probed[spot] == candidate) * int(weights[k])
             rest -= int(weights[k])
             keep = overlap + rest >= need
             candidate, overlap = candidate[keep], overlap[keep]
         union = sizes[q] + sizes[candidate] - overlap
         for c in candidate[100 * overlap >= PERCENT * union].tolist():
             if joined.join(name[order[q]], name[order[c]]):
+                trees -= 1
                 yield int(order[q]), int(order[c])
 
 
 def _links(lists: DataFrame) -> DataFrame:
-    """(a, b): links that join what no earlier link of the same task joins."""
+    """(a, b): each set that links of a task join to a lesser one, with the least that they join it to."""
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
         reps, node = np.unique(rows["rep"].to_numpy(np.int64), return_inverse=True)
-        joined, out = Forest(len(reps)), []
+        joined = Forest(len(reps))
         known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for k, (a, b) in enumerate(zip(rows["entries"], rows["weights"])):
             known.setdefault(int(node[k]), (np.frombuffer(a, np.int64), np.frombuffer(b, np.int32)))
@@ -288,8 +304,10 @@ def _links(lists: DataFrame) -> DataFrame:
                 continue
             side = None if first[places[0]] == second[places[0]] else block[places] == first[places]
             names = [int(node[k]) for k in places]
-            for a, b in divide_skip(size[places], [known[m] for m in names], side, joined, names):
-                out.append((reps[names[a]], reps[names[b]]))
+            for _ in divide_skip(size[places], [known[m] for m in names], side, joined, names):
+                pass  # the pairs are in `joined` now
+        roots = [joined.root(k) for k in range(len(reps))]
+        out = [(reps[k], reps[root]) for k, root in enumerate(roots) if k != root]
         return pd.DataFrame(out, columns=["a", "b"])
 
     return lists.groupBy("bucket").applyInPandas(search, "a long, b long")
@@ -305,7 +323,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     first = materialise(_first_count(docs, buckets, id_col, text_col), "first-count")
     classes = first.groupBy("set_key").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.sum("alone").alias("alone"))
     chosen = materialise(classes.where("n > 0 and rep is not null and alone <= n div 5").select("rep", "set_key"), "chosen")
-    links = _links(_to_lists(_weighted_sets(docs, chosen, id_col, text_col), 4 * buckets))
+    prepared = materialise(_prepared(_weighted_sets(docs, chosen, id_col, text_col)), "entries")
+    links = _links(_tasks(prepared, 4 * buckets))
     component = connected_components(links).where("node <> component")
     moved = chosen.join(component, chosen.rep == component.node).select("set_key", "component")
     named = classes.where("n > 0").select("set_key", "rep").join(moved, "set_key", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
