@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list = []
+from . import basic, traffic
+
+BOOKS = [module.BOOK for module in (basic, traffic)]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _module in MODULES:
-    QUERIES |= _module.QUERIES
-    ORACLES |= _module.ORACLES
+for _book in BOOKS:
+    QUERIES |= _book.queries
+    ORACLES |= _book.oracles
