@@ -91,7 +91,8 @@ def set_key(tokens: np.ndarray) -> int:
 
 
 def _first_count(docs: DataFrame, buckets: int, id_col: str, text_col: str) -> DataFrame:
-    """(set_key, id, n, alone, is_doc): a row per document, and per set how many of its sampled shingles no other set has."""
+    """A row per document (set_key, id, n), and rows (part, owners, alone) that say how many of a set's sampled shingles no other
+    set has, as seen by one bucket of the shingle space."""
     limit = np.uint64(int(FIRST_SHARE * 2**64))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +147,7 @@ def _first_count(docs: DataFrame, buckets: int, id_col: str, text_col: str) -> D
         out = []
         for ids, keys, sizes in zip(rows["ids"], rows["keys"], rows["sizes"]):
             if keys is not None:
-                out.append(pd.DataFrame({"set_key": keys, "id": pd.array(list(ids), "Int64"), "n": sizes, "alone": 0, "is_doc": True}))
+                out.append(pd.DataFrame({"set_key": pd.array(list(keys), "Int64"), "id": pd.array(list(ids), "Int64"), "n": pd.array(list(sizes), "Int64"), "part": pd.array([pd.NA] * len(keys), "Int32"), "owners": None, "alone": None}))
         token = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in rows["tokens"] if x is not None)])
         if len(token):
             owner = np.concatenate([np.frombuffer(x, np.int64) for x in rows["owners"] if x is not None])
@@ -155,11 +156,29 @@ def _first_count(docs: DataFrame, buckets: int, id_col: str, text_col: str) -> D
             first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
             low, high = np.minimum.reduceat(owner, first), np.maximum.reduceat(owner, first)
             key, alone = np.unique(low[(low == high) & (low != 0)], return_counts=True)
-            out.append(pd.DataFrame({"set_key": key, "id": pd.array([pd.NA] * len(key), "Int64"), "n": 0, "alone": alone, "is_doc": False}))
-        return pd.concat(out) if out else pd.DataFrame({"set_key": [], "id": [], "n": [], "alone": [], "is_doc": []})
+            part = key % buckets
+            order = np.argsort(part, kind="stable")
+            cuts = np.searchsorted(part[order], np.arange(buckets + 1))
+            blobs = [(b, key[order[cuts[b] : cuts[b + 1]]].tobytes(), alone[order[cuts[b] : cuts[b + 1]]].astype(np.int32).tobytes()) for b in range(buckets) if cuts[b] < cuts[b + 1]]
+            none = pd.array([pd.NA] * len(blobs), "Int64")  # not a float anywhere: keys need all their bits
+            parts, owners, alone = zip(*blobs) if blobs else ((), (), ())
+            out.append(pd.DataFrame({"set_key": none, "id": none, "n": none, "part": pd.array(list(parts), "Int32"), "owners": list(owners), "alone": list(alone)}))
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("set_key", "id", "n", "part", "owners", "alone")})
 
     dealt = docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(deal, "bucket int, ids array<long>, keys array<long>, sizes array<long>, tokens binary, owners binary")
-    return dealt.groupBy("bucket").applyInPandas(count, "set_key long, id long, n long, alone long, is_doc boolean")
+    return dealt.groupBy("bucket").applyInPandas(count, "set_key long, id long, n long, part int, owners binary, alone binary")
+
+
+def _alone(first: DataFrame) -> DataFrame:
+    """(set_key, alone): the counts of all buckets added up."""
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        key = np.concatenate([np.frombuffer(x, np.int64) for x in rows["owners"]])
+        alone = np.concatenate([np.frombuffer(x, np.int32) for x in rows["alone"]])
+        key, place = np.unique(key, return_inverse=True)
+        return pd.DataFrame({"set_key": key, "alone": np.bincount(place, alone).astype(np.int64)})
+
+    return first.where("part is not null").select("part", "owners", "alone").groupBy("part").applyInPandas(add, "set_key long, alone long")
 
 
 def _weighted_sets(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -321,14 +340,16 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     buckets = shuffle_partitions(docs.sparkSession)
     first = materialise(_first_count(docs, buckets, id_col, text_col), "first-count")
-    classes = first.groupBy("set_key").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.sum("alone").alias("alone"))
-    chosen = materialise(classes.where("n > 0 and rep is not null and alone <= n div 5").select("rep", "set_key"), "chosen")
+    sets = first.where("part is null")
+    classes = sets.groupBy("set_key").agg(F.min("id").alias("rep"), F.max("n").alias("n"))
+    candidates = classes.where("n > 0 and rep is not null").join(_alone(first), "set_key", "left").where("coalesce(alone, 0) <= n div 5")
+    chosen = materialise(candidates.select("rep", "set_key"), "chosen")
     prepared = materialise(_prepared(_weighted_sets(docs, chosen, id_col, text_col)), "entries")
     links = _links(_tasks(prepared, 4 * buckets))
     component = connected_components(links).where("node <> component")
     moved = chosen.join(component, chosen.rep == component.node).select("set_key", "component")
     named = classes.where("n > 0").select("set_key", "rep").join(moved, "set_key", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
-    out = first.where("is_doc").select("set_key", F.col("id").alias(id_col), F.col("n").alias("n_shingles")).join(named, "set_key", "left")
+    out = sets.select("set_key", F.col("id").alias(id_col), F.col("n").alias("n_shingles")).join(named, "set_key", "left")
     return out.select(id_col, "n_shingles", F.coalesce("component_id", id_col).alias("component_id"))
 
 
