@@ -25,7 +25,7 @@ END_ID = 1
 #: Sequences that one group packs, about.
 GROUP_SEQUENCES = 4096
 #: Words of which a task keeps the ids at most.
-CACHED_WORDS = 800_000
+CACHED_WORDS = 400_000
 
 
 #: A run of plain punctuation between a letter and white space is a token group of its own: it can stand apart.
@@ -118,6 +118,7 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_i
                         part = encoded[first : first + 4 * capacity]
                         row.append(i), piece.append(k), start.append(first // 4), length.append(len(part) // 4), ids.append(part)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())], names=[id_col, "piece", "start", "length", "ids"])
+            pa.default_memory_pool().release_unused()
 
     return docs.select(id_col, text_col).mapInArrow(cut, f"`{id_col}` {kind}, piece int, start long, length long, ids binary")
 

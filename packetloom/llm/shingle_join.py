@@ -34,9 +34,9 @@ PERCENT = 80
 #: Share of the shingle space that the first count covers.
 FIRST_SHARE = 0.3
 #: Sets in a block of a long list; sampled shingles that a task gathers before it deals them out; ids that are broadcast at most.
-BLOCK, GATHERED, BROADCAST_IDS = 4096, 1 << 21, 1_000_000
+BLOCK, GATHERED, BROADCAST_IDS = 4096, 1 << 19, 1_000_000
 #: A neighbourhood of so many sets, or bytes of entries, goes to one task at most.
-TOGETHER_SETS, TOGETHER_BYTES = 8192, 64 << 20
+TOGETHER_SETS, TOGETHER_BYTES = 4096, 16 << 20
 #: Weighs the cost of probing against that of merging when lists are divided into long and short.
 MU = 0.05
 
@@ -141,6 +141,7 @@ def _first_count(docs: DataFrame, buckets: int, id_col: str, text_col: str) -> D
                 if gathered >= GATHERED or len(ids) >= 1 << 16:
                     yield flush()
                     gathered = 0
+            pa.default_memory_pool().release_unused()
         yield flush()
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
