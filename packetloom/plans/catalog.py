@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import basic, traffic
+from . import basic, relations, traffic
 
-BOOKS = [module.BOOK for module in (basic, traffic)]
+BOOKS = [module.BOOK for module in (basic, relations, traffic)]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
