@@ -41,7 +41,10 @@ SENSITIVE = (
 
 def sensitive_data(rows: DataFrame, text: str) -> DataFrame:
     """(row columns, kind, rank, value): distinct findings of each row; card numbers need a right checksum."""
-    found = F.flatten(F.array(*(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(p), F.lit(1))), lambda v, k=kind, r=rank: F.struct(F.lit(k).alias("kind"), F.lit(r).alias("rank"), v.alias("value"))) for kind, rank, p in SENSITIVE)))
+    def named(kind: str, rank: int):
+        return lambda value: F.struct(F.lit(kind).alias("kind"), F.lit(rank).alias("rank"), value.alias("value"))
+
+    found = F.flatten(F.array(*(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))), named(kind, rank)) for kind, rank, pattern in SENSITIVE)))
     out = rows.select("*", F.explode(found).alias("_f")).select(*rows.columns, "_f.*")
     return out.where((F.col("kind") != "card") | scalars.luhn_valid(F.col("value")))
 

@@ -84,7 +84,7 @@ def health_findings(connections: DataFrame) -> DataFrame:
     c = F.col
     rules = (
         ("rtt critical", c("rtt") > 300), ("rtt high", (c("rtt") > 150) & (c("rtt") <= 300)), ("loss critical", c("loss_pct") > 5), ("loss", (c("loss_pct") > 1) & (c("loss_pct") <= 5)), ("low tick", c("tick") < 30), ("desync", c("desync")),
-        ("jitter", (c("jitter") > 10) & (c("jitter") / c("rtt") > 0.25)), ("rpc flood", c("rpcs_per_s") > 100), ("integrity", ~c("integrity")), ("platform", ~c("platform_ok")), ("throttled", c("throttled")),
+        ("jitter", (c("jitter") > 10) & (F.try_divide(c("jitter"), c("rtt")) > 0.25)), ("rpc flood", c("rpcs_per_s") > 100), ("integrity", ~c("integrity")), ("platform", ~c("platform_ok")), ("throttled", c("throttled")),
     )
     return connections.select("*", F.explode(F.array_compact(F.array(*(F.when(F.coalesce(x, F.lit(False)), F.lit(n)) for n, x in rules)))).alias("finding"))
 
