@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import anomalies, basic, relations, sessions, traffic
+from . import anomalies, basic, edges, fleet, relations, sessions, traffic
 
-BOOKS = [module.BOOK for module in (anomalies, basic, relations, sessions, traffic)]
+BOOKS = [module.BOOK for module in (anomalies, basic, edges, fleet, relations, sessions, traffic)]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}

@@ -19,7 +19,8 @@ WATERMARK = "10 seconds"
 def packet_stream(spark: SparkSession, sf_dir: str, watermark: str = WATERMARK) -> DataFrame:
     """The packets of the events table as a stream, with event time `at`."""
     schema = table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet").selectExpr("*", f"{SPARK_K} as k")
+    # A pattern, since a stream's plain path would have to be a folder; it names a single file as well as a folder of them.
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").selectExpr("*", f"{SPARK_K} as k")
     rows = events.selectExpr(*(f"{e} as {n}" for n, e in PACKET_COLUMNS.items()), f"{micros('ts')} as us", "hour(ts) as hour", "weekday(ts) as weekday")
     return rows.withColumn("at", F.timestamp_micros("us")).withWatermark("at", watermark)
 
