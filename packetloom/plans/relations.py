@@ -147,7 +147,7 @@ def _enriched(s, d):
 add(
     "jn16_enriched_row",
     _enriched,
-    over_packets("select seq, case when kind = 'error' then 'Error' when kind = 'view' then 'Warning' when kind = 'purchase' then 'Note' else 'Chat' end as severity, case when kind = 'error' then 9 when kind = 'view' then 6 when kind = 'purchase' then 3 else 0 end as score, name as src_name, case when k < 40 then s_name else dst end as asset, case when k < 40 then 'Tier 1 (D)' else 'UNKNOWN' end as criticality from packets left join names on ip = src left join supplier on s_suppkey = k", NAMES),
+    over_packets("select seq, case when kind = 'error' then 'Error' when kind = 'view' then 'Warning' when kind = 'purchase' then 'Note' else 'Chat' end as severity, case when kind = 'error' then 9 when kind = 'view' then 6 when kind = 'purchase' then 3 else 0 end as score, name as src_name, coalesce(s_name, dst) as asset, case when s_name is not null then 'Tier 1 (D)' else 'UNKNOWN' end as criticality from packets left join names on ip = src left join (select * from supplier where s_suppkey < 40) on s_suppkey = k", NAMES),
 )
 add(
     "jn17_enriched_event",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import calls as c
+from ..operators import filters
 from ..operators import handshakes as hs
 from ..operators import stats
 from ..sources.adapters import CALLS, calls, over_packets, packets, table
@@ -102,6 +103,11 @@ def _ja4(s, d):
 
 _ja4_rows = f"with {HELLOS} select vec_id, label, {JA4} as ja4 from hellos where not list_contains(extensions[3:6], 0) and not list_contains(extensions[3:6], 16)"
 add("fp03_ja4", lambda s, d: _ja4(s, d).drop("label"), f"select vec_id, ja4 from ({_ja4_rows})")
+add(
+    "flt11_tls_fields",
+    lambda s, d: _hellos(s, d).withColumns({"ja3": F.md5(hs.ja3_text(F.lit(771), F.col("ciphers"), F.col("extensions"), F.col("groups"), F.col("formats")))}).where(filters.text_leaf("ja3", "contains", "A1") & filters.text_leaf("sni", "eq", "A.EXAMPLE")).select("vec_id"),
+    f"with {HELLOS} select vec_id from hellos where contains(md5(concat('771,', {_join('ciphers')}, ',', {_join('extensions')}, ',', {_join('groups')}, ',0')), 'a1') and label % 2 = 0",
+)
 add("fp04_census", lambda s, d: hs.fingerprint_census(_hellos(s, d).select("label", F.md5(F.array_join(F.slice("extensions", 4, 1), "-")).alias("fp")), "fp", "label"), f"with {HELLOS} select md5(cast(extensions[3] as string)) as fp, count(*) as uses, count(distinct label) as hosts, count(distinct label) = 1 as rare from hellos group by 1")
 
 KEM = "case k % 6 when 0 then 'ML-KEM-512' when 1 then 'ML-KEM-768' when 2 then 'X25519MLKEM768' when 3 then 'SIKEp434' end"
