@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import oracles
 from .html_tree import op4_html_text
 from .lang_id import op2_language_id
 from .packing import op5_packing
@@ -26,4 +27,8 @@ QUERIES = {
     "op10_url_filter": op10_url_filter,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_embedding_dedup": oracles.VECTORS,
+    "op6_quality_rules": oracles.RULES,
+    "op8_shingle_join": oracles.SHINGLES,
+}
