@@ -1,94 +1,88 @@
 """Ordered folds: recurrences whose next state depends on what fired before, so that no window frame can say them.
 
-The rows of a key are folded in order in a task; keys are spread by Spark. Rows should be filtered to candidates first."""
+Rows are dealt by key and sorted by key and order within each task; a task walks over its rows in Arrow batches and carries the state of one key
+at a time, so that it never holds a key's rows. Rows should be filtered to candidates first."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def fold(rows: DataFrame, keys: list[str], order: list[str], schema: str, step: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    """step gets the rows of a key in order and returns rows of the schema."""
-    return rows.groupBy(*keys).applyInPandas(lambda frame: step(frame.sort_values(order, kind="stable")), schema)
+def fold(rows: DataFrame, keys: list[str], order: list[str], columns: list[str], advance: Callable[..., tuple[Any, Any]], result: str | None = None) -> DataFrame:
+    """advance(state, *values of the columns) -> (state, value), from state None at the first row of each key. With a result ("name type") the
+    values are a new column; without, they say which rows stay."""
 
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last: Any = object()
+        state = None
+        for frame in frames:
+            out = []
+            for key, values in zip(zip(*(frame[k] for k in keys)), zip(*(frame[c] for c in columns))):
+                if key != last:
+                    last, state = key, None
+                state, value = advance(state, *values)
+                out.append(value)
+            yield frame.assign(**{result.split()[0]: out}) if result else frame[pd.Series(out, index=frame.index, dtype=bool)]
 
-def _schema(rows: DataFrame, more: str) -> str:
-    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), more])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), *([result] if result else [])])
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(walk, schema)
 
 
 def cooldown(rows: DataFrame, keys: list[str], seconds: float, time: str = "us", order: str = "seq") -> DataFrame:
     """Keeps a row if the last kept one of its key is at least so many seconds back: greedy, from the last that fired."""
     gap = int(seconds * 1_000_000)
 
-    def step(frame: pd.DataFrame) -> pd.DataFrame:
-        keep, last = [], None
-        for t in frame[time]:
-            fires = last is None or t - last >= gap
-            last = t if fires else last
-            keep.append(fires)
-        return frame[keep]
+    def advance(last, t):
+        return (t, True) if last is None or t - last >= gap else (last, False)
 
-    return fold(rows, keys, [time, order], _schema(rows, "").rstrip(", "), step)
+    return fold(rows, keys, [time, order], [time], advance)
 
 
 def threshold_alerts(rows: DataFrame, keys: list[str], count: int, seconds: float, time: str = "us", order: str = "seq") -> DataFrame:
-    """Rows at which a key has `count` matches within the window; the queue is emptied when it fires."""
+    """Rows at which a key has `count` matches within the window; the queue, never longer than count, is emptied when it fires."""
     span = int(seconds * 1_000_000)
 
-    def step(frame: pd.DataFrame) -> pd.DataFrame:
-        queue: list[int] = []
-        keep = []
-        for t in frame[time]:
-            queue = [x for x in queue if t - x <= span]
-            queue.append(t)
-            keep.append(len(queue) >= count)
-            if keep[-1]:
-                queue = []
-        return frame[keep]
+    def advance(queue, t):
+        queue = [x for x in queue or () if t - x <= span] + [t]
+        return ([], True) if len(queue) >= count else (queue, False)
 
-    return fold(rows, keys, [time, order], _schema(rows, "").rstrip(", "), step)
+    return fold(rows, keys, [time, order], [time], advance)
 
 
 def anchored_distinct(rows: DataFrame, key: str, value: str, least: int, seconds: float, time: str = "us", order: str = "seq") -> DataFrame:
     """Rows at which a key has seen `least` distinct values in a span that starts at its first row; a row beyond the span starts anew."""
     span = int(seconds * 1_000_000)
 
-    def step(frame: pd.DataFrame) -> pd.DataFrame:
-        start, seen, keep = None, set(), []
-        for t, v in zip(frame[time], frame[value]):
-            if start is None or t - start > span:
-                start, seen = t, set()
-            new = v not in seen
-            seen.add(v)
-            keep.append(new and len(seen) >= least)
-        return frame[keep]
+    def advance(state, t, v):
+        start, seen = state if state and t - state[0] <= span else (t, set())
+        new = v not in seen
+        seen.add(v)
+        return (start, seen), new and len(seen) >= least
 
-    return fold(rows, [key], [time, order], _schema(rows, "").rstrip(", "), step)
+    return fold(rows, [key], [time, order], [time, value], advance)
 
 
 def split_greedy(rows: DataFrame, keys: list[str], limit: float, by: str, time: str = "us", order: str = "seq", length: str = "length") -> DataFrame:
     """Adds chunk: by "time" a chunk holds rows up to limit seconds after its first; by "bytes" rows up to limit bytes (one row at least)."""
 
-    def step(frame: pd.DataFrame) -> pd.DataFrame:
-        chunk, start, used, out = 0, None, 0, []
-        for t, n in zip(frame[time], frame[length]):
-            if by == "time":
-                if start is None:
-                    start = t
-                elif t - start >= limit * 1_000_000:
-                    chunk, start = chunk + 1, t
-            else:
-                if used and used + n > limit:
-                    chunk, used = chunk + 1, 0
-                used += n
-            out.append(chunk)
-        return frame.assign(chunk=out)
+    def by_time(state, t):
+        chunk, start = state or (0, t)
+        if t - start >= limit * 1_000_000:
+            chunk, start = chunk + 1, t
+        return (chunk, start), chunk
 
-    return fold(rows, keys, [order], _schema(rows, "chunk long"), step)
+    def by_bytes(state, n):
+        chunk, used = state or (0, 0)
+        if used and used + n > limit:
+            chunk, used = chunk + 1, 0
+        return (chunk, used + n), chunk
+
+    return fold(rows, keys, [order], [time if by == "time" else length], by_time if by == "time" else by_bytes, "chunk long")
 
 
 def lockouts(attempts: DataFrame, key: str, failures: int, seconds: int, time: str = "us", order: str = "seq") -> DataFrame:
@@ -103,7 +97,8 @@ def ewma(rows: DataFrame, key: str, value: str, alpha: float, order: list[str])
     """Exponentially weighted mean, seeded by the first value; alpha is held within 0.01 and 0.99."""
     a = min(0.99, max(0.01, alpha))
 
-    def step(frame: pd.DataFrame) -> pd.DataFrame:
-        return frame.assign(ewma=frame[value].astype(float).ewm(alpha=a, adjust=False).mean())
+    def advance(mean, x):
+        mean = float(x) if mean is None else a * x + (1 - a) * mean
+        return mean, mean
 
-    return fold(rows, [key], order, _schema(rows, "ewma double"), step)
+    return fold(rows, [key], order, [value], advance, "ewma double")
