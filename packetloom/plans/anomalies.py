@@ -161,7 +161,7 @@ add("det11_lateral_windows", lambda s, d: detect.fan_out_windows(packets(s, d),
 add(
     "det13_dga",
     lambda s, d: packets(s, d).where("kind <> 'click'").withColumn("summary", F.when(F.col("k") % 9 == 0, F.concat(F.lit("Query "), F.md5("summary"), F.lit("ghjkmnpqrstuvwxyz"))).otherwise(F.col("summary"))).where(detect.PACKET_RULES["dga"]()).groupBy("protocol").agg(F.count("*").alias("n")),
-    over_packets("select protocol, count(*) as n from (select p.protocol, p.seq, -sum((c / t) * log2(c / t)) as h from (select protocol, seq, ch, count(*) as c, sum(count(*)) over (partition by seq) as t from (select protocol, seq, unnest(string_split(case when k % 9 = 0 then concat(md5(summary), 'ghjkmnpqrstuvwxyz') else list_extract(string_split(summary, ' '), -1) end, '')) as ch from packets where kind <> 'click') group by all) p group by p.protocol, p.seq) where h > 4.2 group by protocol"),
+    over_packets("select protocol, count(*) as n from (select p.protocol, p.seq, -sum((c / t) * log2(c / t)) as h from (select protocol, seq, ch, count(*) as c, sum(count(*)) over (partition by seq) as t from (select protocol, seq, unnest(string_split(case when k % 9 = 0 then concat(md5(summary), 'ghjkmnpqrstuvwxyz') else list_extract(string_split(summary, ' '), -1) end, '')) as ch from packets where kind <> 'click') group by protocol, seq, ch) p group by p.protocol, p.seq) where h > 4.2 group by protocol"),
 )
 add(
     "det16_threshold_with_reset",
