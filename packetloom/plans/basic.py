@@ -26,7 +26,7 @@ def _where(name: str, condition, sql: str) -> None:
 # Scalar functions
 add(
     "fn01_byte_entropy",
-    lambda s, d: table(s, d, "documents").select("doc_id", F.round(scalars.byte_entropy(F.substring(F.encode("text", "UTF-8"), 1, 512)), 6).alias("entropy")),
+    lambda s, d: table(s, d, "documents").select("doc_id", F.round(scalars.byte_entropy(F.encode("text", "UTF-8")), 6).alias("entropy")),
     "with b as (select doc_id, substring(hex(encode(text)), 1, 1024) as h from documents), c as (select doc_id, substring(h, 2 * i + 1, 2) as v from (select doc_id, h, unnest(range(length(h) // 2)) as i from b)), "
     "n as (select doc_id, v, count(*) as n, sum(count(*)) over (partition by doc_id) as t from c group by doc_id, v) select d.doc_id, round(coalesce(-sum((n / t) * log2(n / t)), 0.0), 6) as entropy from documents d left join n on n.doc_id = d.doc_id group by d.doc_id",
 )
