@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars
+from . import folds
 
 # How secrets begin.
 SECRET_PREFIXES = "^(sk-|pk_|ghp_|gho_|xox[abp]-|AKIA|AIza|eyJ)"
@@ -103,6 +106,20 @@ def entry_hash() -> Column:
     return F.sha2(F.concat_ws(":", *(F.col(c).cast("string") for c in AUDIT_FIELDS)), 256)
 
 
+def chain_entries(rows: DataFrame, by: str, genesis: str = "0" * 64) -> DataFrame:
+    """Adds prev_hash and entry_hash to rows with the other audit fields: each row holds the hash of the one before it in its chain, by id."""
+    rest = F.concat_ws(":", *(F.col(c).cast("string") for c in AUDIT_FIELDS[2:]))
+
+    def advance(last, head, tail):
+        prev = genesis if last is None else last
+        own = hashlib.sha256(":".join(filter(None, (head, prev, tail))).encode()).hexdigest()
+        return own, [prev, own]
+
+    texts = rows.withColumns({"_head": F.col("id").cast("string"), "_tail": rest})
+    hashed = folds.fold(texts, [by], ["id"], ["_head", "_tail"], advance, "_hashes array<string>")
+    return hashed.withColumns({"prev_hash": F.col("_hashes")[0], "entry_hash": F.col("_hashes")[1]}).drop("_head", "_tail", "_hashes")
+
+
 def verify_chain(entries: DataFrame, genesis: str = "0" * 64, by: str | None = None) -> DataFrame:
     """Entries whose previous hash or own hash is wrong; the first bad id is their minimum. by: chains of their own."""
     w = (Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))).orderBy("id")

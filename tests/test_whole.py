@@ -29,3 +29,26 @@ def test_entropy_of_any_bytes(spark):
     values = [bytes(rng.choices(range(256), k=n)) for n in (1, 7, 300, 9_000)] + [bytes(range(256)) * 3, b"\0" * 9]
     rows = spark.createDataFrame([(bytearray(v),) for v in values], "v binary").select("v", scalars.byte_entropy(F.col("v")).alias("h")).collect()
     assert [r.h for r in rows] == [pytest.approx(entropy(bytes(r.v)), abs=1e-9) for r in rows]
+
+
+def test_audit_chains_of_all_rows(spark, duck):
+    from packetloom.sources.adapters import over_packets
+
+    from .conftest import DATA
+
+    got = {tuple(r) for r in catalog.QUERIES["gov09_verify_chain"](spark, DATA).select("chain", "first_bad_id").collect()}
+    bad = "select seq, src, seq % 500 = 3 as own, coalesce(lag(seq % 500 = 250) over (partition by src order by seq), false) as link from packets"
+    assert got == set(duck.execute(over_packets(f"select src, min(seq) from ({bad}) where seq % 500 <> 250 and (own or link) group by src")).fetchall())
+
+
+def test_audit_chain_shows_both_kinds_of_damage(spark):
+    from packetloom.operators import governance
+
+    rows = [(i, f"host-{i % 2}", f"u{i}", "view", None if i == 4 else "r", "ip", i * 9) for i in range(10)]
+    frame = spark.createDataFrame(rows, "id long, chain string, user_id string, action string, resource string, ip_address string, timestamp_epoch long")
+    chained = governance.chain_entries(frame, "chain")
+    assert governance.verify_chain(chained, by="chain").count() == 0
+    changed = chained.withColumn("action", F.when(F.col("id") == 5, "other").otherwise(F.col("action")))
+    assert [r.id for r in governance.verify_chain(changed, by="chain").collect()] == [5]
+    assert [r.id for r in governance.verify_chain(chained.where("id <> 4"), by="chain").collect()] == [6]
+    assert [r.id for r in governance.verify_chain(chained.where("id <> 0"), by="chain").collect()] == [2]
