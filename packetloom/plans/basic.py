@@ -128,7 +128,9 @@ RULES = "rules as (select p_partkey as rule_id, p_partkey % 5 <> 4 as enabled, c
 
 
 def rules(s, d):
-    return table(s, d, "part").where("p_partkey < 20").selectExpr("p_partkey as rule_id", "p_partkey % 5 <> 4 as enabled", "case p_partkey % 3 when 0 then 'error' when 1 then 'click' end as kind", "case when p_partkey % 2 = 0 then 'DNS' end as protocol", "case when p_partkey % 7 = 0 then 80 end as dport")
+    """The different rules of the whole table, each under its first number."""
+    every = table(s, d, "part").selectExpr("p_partkey as rule_id", "p_partkey % 5 <> 4 as enabled", "case p_partkey % 3 when 0 then 'error' when 1 then 'click' end as kind", "case when p_partkey % 2 = 0 then 'DNS' end as protocol", "case when p_partkey % 7 = 0 then 80 end as dport")
+    return every.groupBy("enabled", "kind", "protocol", "dport").agg(F.min("rule_id").alias("rule_id"))
 
 
 add(

@@ -24,7 +24,9 @@ def ops(s, d):
 
 
 def allowed(s, d):
-    return ops(s, d).where("seq < 300 and protocol <> 'BACNET'").select("protocol", "src").distinct()
+    """Sources with a fifth of reads at least in a protocol, from all operations."""
+    pairs = ops(s, d).where("protocol <> 'BACNET'").groupBy("protocol", "src").agg(F.count("*").alias("n"), F.count_if(F.expr("op_type = 'read'")).alias("reads"))
+    return pairs.where("reads * 5 >= n").select("protocol", "src")
 
 
 add("ot01_whitelist", lambda s, d: tel.off_whitelist(ops(s, d), allowed(s, d)).select("seq", "unlisted"), over_packets("select seq, protocol <> 'BACNET' and (protocol, src) not in (select (protocol, src) from allowed) as unlisted from ops", OPS, ALLOWED))
@@ -209,5 +211,5 @@ def _audit(s, d):
 
 
 add("gov09_verify_chain", lambda s, d: gov.verify_chain(_audit(s, d), by="chain").groupBy("chain").agg(F.min("id").alias("first_bad_id")), over_packets("select seq % 7 as chain, min(seq) as first_bad_id from packets where seq < 3000 and seq % 500 = 3 group by 1"))
-add("gov10_audit_page", lambda s, d: _entries(s, d).where("id < 3000").orderBy("id").offset(100).limit(25).select("id", "action"), over_packets("select seq as id, kind as action from packets where seq < 3000 order by seq limit 25 offset 100"))
+add("gov10_audit_page", lambda s, d: _entries(s, d).orderBy("id").offset(100).limit(25).select("id", "action"), over_packets("select seq as id, kind as action from packets where seq < 3000 order by seq limit 25 offset 100"))
 add("gov11_mask_secret", lambda s, d: table(s, d, "customer").select("c_custkey", gov.mask_secret(F.expr("substr(c_name, 1, cast(c_custkey % 19 as int))")).alias("shown")), "select c_custkey, case when n <= 4 then repeat('*', n) when n <= 12 then concat(repeat('*', n - 4), right(v, 4)) else concat(left(v, 4), repeat('*', n - 8), right(v, 4)) end as shown from (select c_custkey, substr(c_name, 1, c_custkey % 19) as v, length(substr(c_name, 1, c_custkey % 19)) as n from customer)")

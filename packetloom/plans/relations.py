@@ -33,7 +33,9 @@ IDS = "ids as (select p_partkey as sid, case when p_partkey % 3 = 0 then 'HTTP'
 
 
 def ids(s, d):
-    return table(s, d, "part").where("p_partkey < 30").selectExpr("p_partkey as sid", "case when p_partkey % 3 = 0 then 'HTTP' end as protocol", "case when p_partkey % 4 = 1 then '10.1.0.5' end as src_ip", "cast(null as string) as dst_ip", "case p_partkey % 5 when 0 then 80 when 1 then 53 end as dst_port", "case when p_partkey % 2 = 0 then 'item' end as content")
+    """The different signatures of the whole table, each under its first number."""
+    every = table(s, d, "part").selectExpr("p_partkey as sid", "case when p_partkey % 3 = 0 then 'HTTP' end as protocol", "case when p_partkey % 4 = 1 then '10.1.0.5' end as src_ip", "cast(null as string) as dst_ip", "case p_partkey % 5 when 0 then 80 when 1 then 53 end as dst_port", "case when p_partkey % 2 = 0 then 'item' end as content")
+    return every.groupBy("protocol", "src_ip", "dst_ip", "dst_port", "content").agg(F.min("sid").alias("sid"))
 
 
 add(
@@ -90,7 +92,7 @@ add(
 
 
 def _impact(s, d):
-    assets = table(s, d, "supplier").selectExpr("case when s_suppkey % 2 = 0 then concat('192.168.1.', cast(s_suppkey % 60 as string)) end as ip", "concat('Host', cast(s_suppkey as string)) as hostname", "cast(1 + s_suppkey % 4 as int) as tier", "concat('D', cast(s_nationkey as string)) as department", "'SECRET' as classification").where("s_suppkey < 40")
+    assets = table(s, d, "supplier").selectExpr("case when s_suppkey % 2 = 0 then concat('192.168.1.', cast(s_suppkey % 60 as string)) end as ip", "concat('Host', cast(s_suppkey as string)) as hostname", "cast(1 + s_suppkey % 4 as int) as tier", "concat('D', cast(s_nationkey as string)) as department", "'SECRET' as classification")
     rows = packets(s, d).withColumn("host", F.concat(F.lit("HOST"), F.col("k").cast("string")))
     return joins.asset_impact(rows, assets, "dst", "host").groupBy("asset", "criticality", "classification", "financial_impact").agg(F.count("*").alias("n"))
 
@@ -138,7 +140,7 @@ add("jn15_geo", _geo, over_packets("select case when k < 60 then concat('NATION_
 
 
 def _enriched(s, d):
-    rows = joins.asset_impact(packets(s, d).withColumn("host", F.col("dst")), table(s, d, "supplier").where("s_suppkey < 40").selectExpr("concat('192.168.1.', cast(s_suppkey as string)) as ip", "s_name as hostname", "1 as tier", "'D' as department", "'SECRET' as classification"), "dst", "host")
+    rows = joins.asset_impact(packets(s, d).withColumn("host", F.col("dst")), table(s, d, "supplier").selectExpr("concat('192.168.1.', cast(s_suppkey as string)) as ip", "s_name as hostname", "1 as tier", "'D' as department", "'SECRET' as classification"), "dst", "host")
     named = joins.with_name(rows, _names(s, d), "src", "ip", "name", "src_name")
     sev = prj.expert_severity()
     return named.select("seq", sev.alias("severity"), prj.severity_score(sev).alias("score"), "src_name", "asset", "criticality")
