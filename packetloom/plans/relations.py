@@ -163,13 +163,16 @@ add(
 )
 
 
+SPLIT = 1705363200000000  # 2024-01-16, the middle of the tables' month
+
+
 def _half(s, d, cond):
     return packets(s, d).where(cond).groupBy("src", "protocol").agg(F.sum("length").alias("bytes"))
 
 
 add(
     "jn19_snapshot_diff",
-    lambda s, d: joins.snapshot_diff(_half(s, d, "seq % 7 < 2"), _half(s, d, "seq % 7 >= 5"), ["src", "protocol"], "bytes"),
+    lambda s, d: joins.snapshot_diff(_half(s, d, f"us < {SPLIT}"), _half(s, d, f"us >= {SPLIT}"), ["src", "protocol"], "bytes"),
     over_packets("select coalesce(b.src, a.src) as src, coalesce(b.protocol, a.protocol) as protocol, b.bytes as before_value, a.bytes as after_value, case when b.bytes is null then 'NEW' when a.bytes is null then 'GONE' else 'BOTH' end as state, coalesce(a.bytes, 0) - coalesce(b.bytes, 0) as delta from (select src, protocol, cast(sum(length) as bigint) as bytes from packets where seq % 7 < 2 group by all) b full join (select src, protocol, cast(sum(length) as bigint) as bytes from packets where seq % 7 >= 5 group by all) a on a.src = b.src and a.protocol = b.protocol"),
 )
 

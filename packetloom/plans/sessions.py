@@ -98,7 +98,7 @@ JA4 = f"concat('t13', case when label % 2 = 0 then 'd' else 'i' end, '0606h2_',
 
 
 def _ja4(s, d):
-    return _hellos(s, d).where(~F.exists(F.slice("extensions", 4, 4), lambda x: x.isin(0, 16))).select("vec_id", "label", hs.ja4(F.lit(771), *(F.col(x) for x in ("ciphers", "extensions", "sig_algs", "versions", "alpn", "sni"))).alias("ja4"))
+    return _hellos(s, d).select("vec_id", "label", hs.ja4(F.lit(771), *(F.col(x) for x in ("ciphers", "extensions", "sig_algs", "versions", "alpn", "sni"))).alias("ja4"))
 
 
 _ja4_rows = f"with {HELLOS} select vec_id, label, {JA4} as ja4 from hellos where not list_contains(extensions[3:6], 0) and not list_contains(extensions[3:6], 16)"

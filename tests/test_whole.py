@@ -88,6 +88,12 @@ UNCUT = {
     "ot01_whitelist": ALLOWED,
     "ot05_first_anomaly": ALLOWED,
     "ot05_breakdown": ALLOWED,
+    "prj13_http_meaning": ((" where k < 20", ""), ("case when k * 4 < 100 then 'succeeded' end", "case when k < 25 then 'succeeded' when k < 50 then 'was redirected' when k < 75 then 'was refused' else 'failed at the server' end")),
+    "fp03_ja4": ((" where not list_contains(extensions[3:6], 0) and not list_contains(extensions[3:6], 16)", ""), ("list_transform(extensions[3:6], ", "list_transform(list_filter(extensions[3:6], lambda x: x not in (0, 16)), ")),
+    "srv25_case_story": ((" where k < 10", ""),),
+    "srv22_upsert": ((" where s_suppkey < 60 and s_suppkey not between 40 and 80", " where s_suppkey not in (select c_custkey from customer)"), (" and s_suppkey < 60 where c_custkey between 40 and 80", "")),
+    "srv21_status_changes": ((" where l_orderkey % 5 = 0", ""),),
+    "jn19_snapshot_diff": (("seq % 7 < 2", "us < 1705363200000000"), ("seq % 7 >= 5", "us >= 1705363200000000")),
 }
 
 
@@ -96,6 +102,7 @@ def test_query_equals_sql_without_its_cut(spark, moved, name):
     top, con = moved
     sql = catalog.ORACLES[name]
     for cut, whole in UNCUT[name]:
+        assert cut in sql or whole in sql
         sql = sql.replace(cut, whole)
     frame = catalog.QUERIES[name](spark, top)
     cursor = con.execute(sql)
