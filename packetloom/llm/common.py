@@ -40,6 +40,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df does not have yet, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def count_up_to(df: DataFrame, limit: int) -> int:
+    """How many rows df has, or limit + 1 if they are more. Rows are counted where they are; none comes to the driver."""
+    return df.limit(limit + 1).count()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

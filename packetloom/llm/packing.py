@@ -7,92 +7,162 @@ the waste is a fixed number of bins per group whatever the size of the input.
 
 from __future__ import annotations
 
+import json
 import os
-import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import materialise, table
+from .common import materialise, table, unused
 
 CAPACITY = 4096
 END_ID = 1
-#: Sequences that one group packs, about.
-GROUP_SEQUENCES = 4096
-#: Words of which a task keeps the ids at most.
-CACHED_WORDS = 400_000
+#: Sequences and pieces that one group packs, about.
+GROUP_SEQUENCES, GROUP_PIECES = 4096, 1 << 20
+#: Words of which a Python worker keeps the ids at most, bytes of text that it splits into words at once, and
+#: bytes of ids that it hands on at once.
+CACHED_WORDS, SPLIT_BYTES, YIELDED_BYTES = 1_000_000, 8 << 20, 4 << 20
 
+#: Lower case of A-Z, and one kind of white space.
+FOLD = bytes.maketrans(bytes(range(65, 91)) + b"\t\n\x0b\x0c\r", bytes(range(97, 123)) + b" " * 5)
+_kinds = np.zeros(256, np.uint8)  # 0: all other bytes
+_kinds[33:127] = 2  # punctuation
+_kinds[48:58] = 3  # digits
+_kinds[[*range(65, 91), *range(97, 123)]] = 1  # letters
+_kinds[32] = 4
+KINDS = _kinds
+#: Where a part of a text may begin, by the kinds of the byte before and of its first: at white space, between letters and
+#: digits, and at a punctuation mark after one of these. Not at a letter after punctuation, which may be one token with it ('s).
+BEGINS = np.zeros((5, 5), bool)
+BEGINS[:4, 4] = BEGINS[1, 2:4] = BEGINS[3, 1:3] = BEGINS[2, 3] = True
 
-#: A run of plain punctuation between a letter and white space is a token group of its own: it can stand apart.
-TAIL = re.compile(rb"(?<=[a-z])[!-&(-/:;=>?@\[-`{}~]+(?=[\x20\x09-\x0d])")
+#: Bytes as the characters of a byte-level vocabulary: printable Latin-1 ones are themselves, the others follow from 256 on. A
+#: space stays as it is between words.
+_rest = [b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or b > 173)]
+BYTE_CHARS = {b: 256 + k for k, b in enumerate(_rest) if b != 32}
+#: Letters before this one are composed and have one lower case each, whatever stands beside them.
+LATIN_END = "\u0250"
 
 
 class WordTokenizer:
-    """Ids of whole texts by a tokenizer that lower-cases and whose tokens never reach over white space or from a letter into
-    punctuation: parts of a text are encoded once and kept. A text's ids are those of its parts one after the other,
-    exactly as the tokenizer gives them for the whole text."""
+    """Ids of whole texts by a tokenizer that lower-cases and whose tokens never reach over white space, between letters and
+    digits or from these into punctuation: parts of a text are encoded once and remembered. A text's ids are those of its
+    parts one after the other, exactly as the tokenizer gives them for the whole text."""
 
     def __init__(self, path: str, cached: int = CACHED_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cached = Tokenizer.from_file(path), cached
-        self.known: dict[bytes, bytes] = {}
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            bare = json.load(f) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+        self.merges = Tokenizer.from_str(json.dumps(bare))  # the same model, for words that need no other step
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        # Known parts, their ids, and when each was used last.
+        self.cached, self.clock = cached, 0
+        self.words = self.ids = pa.array([], pa.large_binary())
+        self.used = np.zeros(0, np.int64)
 
-    def parts(self, text: str | None) -> list[bytes]:
-        raw = (text or "").encode("utf-8", "replace")
-        if b"<|" in raw:  # a special token is only one in the case that it is written in
-            return raw.split()
-        return TAIL.sub(rb" \g<0>", raw.lower()).split()
-
-    def _learn(self, words: list[bytes]) -> None:
-        plain, other = [], []
-        for w in words:
-            text = w.decode("utf-8", "replace")
-            (plain if text.isalpha() and text.islower() else other).append(w)
-        if plain:  # one group of letters each: it ends where a token ends a word
-            texts = [b" ".join(plain[i : i + 200]).decode() for i in range(0, len(plain), 200)]
-            ids = np.concatenate([np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
-            ends = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(ends) == len(plain):
-                self._keep(plain, ids, ends)
-            else:
-                other += plain
+    def _learn(self, words: pa.Array) -> pa.Array:
+        texts = [w.decode("utf-8", "replace").lstrip(" ") for w in _slices(words)]
+        found: list[bytes] = [b""] * len(texts)
+        plain = [k for k, t in enumerate(texts) if t.isalpha() and t.islower() and (t.isascii() or (max(t) < LATIN_END and t.lower() == t))]
+        if plain:  # a word each: it ends where a token ends a word
+            chars = [texts[k] if texts[k].isascii() else texts[k].encode().decode("latin-1").translate(BYTE_CHARS) for k in plain]
+            lines = [" ".join(chars[i : i + 50]) for i in range(0, len(chars), 50)]
+            ids = np.concatenate([np.array(e.ids, "<u4") for e in self.merges.encode_batch_fast(lines, add_special_tokens=False)])
+            _keep(found, plain, ids, np.flatnonzero(self.ends_word[ids]) + 1)
+        known = set(plain)
+        other = [k for k, t in enumerate(texts) if t and k not in known]
         for at in range(0, len(other), 1000):
             part = other[at : at + 1000]
-            encoded = self.tokenizer.encode(b" ".join(part).decode("utf-8", "replace"), add_special_tokens=False)
+            encoded = self.tokenizer.encode(" ".join([texts[k] for k in part]), add_special_tokens=False)
             begins = np.array([o[0] for o in encoded.offsets], np.int64)
-            lengths = np.array([len(w.decode("utf-8", "replace")) + 1 for w in part], np.int64)
-            self._keep(part, np.array(encoded.ids, "<u4"), np.searchsorted(begins, np.cumsum(lengths)))
-
-    def _keep(self, words: list[bytes], ids: np.ndarray, ends: np.ndarray) -> None:
-        raw, start = ids.tobytes(), 0
-        for word, end in zip(words, (4 * ends).tolist()):
-            self.known[word] = raw[start:end]
-            start = end
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit numbers."""
-        for at in range(0, len(texts), 256):
-            split = [self.parts(t) for t in texts[at : at + 256]]
-            vocabulary = set().union(*split)
-            missing = vocabulary - self.known.keys()
-            if len(self.known) + len(missing) > self.cached:
-                self.known.clear()
-                missing = vocabulary
-            if missing:
-                self._learn(list(missing))
-            get = self.known.__getitem__
-            for words in split:
-                yield b"".join(map(get, words))
+            lengths = np.array([len(texts[k]) + 1 for k in part], np.int64)
+            _keep(found, part, np.array(encoded.ids, "<u4"), np.searchsorted(begins, np.cumsum(lengths)))
+        return pa.array(found, pa.large_binary())
+
+    def _known(self, words: pa.Array) -> pa.Array:
+        """Ids of distinct parts."""
+        place = pc.index_in(words, self.words)
+        if place.null_count and len(self.words) + place.null_count > self.cached:  # what was used longest ago goes
+            kept = np.sort(np.argsort(self.used, kind="stable")[-max(1, self.cached // 2) :])
+            self.words, self.ids, self.used = self.words.take(pa.array(kept)), self.ids.take(pa.array(kept)), self.used[kept]
+            place = pc.index_in(words, self.words)
+        new = pc.is_null(place).to_numpy(zero_copy_only=False)
+        at = pc.fill_null(place, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if place.null_count:
+            at[new] = len(self.words) + np.arange(place.null_count)
+            missing = words.filter(pa.array(new))
+            self.words, self.ids = pa.concat_arrays([self.words, missing]), pa.concat_arrays([self.ids, self._learn(missing)])
+            self.used = np.concatenate((self.used, np.zeros(len(missing), np.int64)))
+        self.clock += 1
+        self.used[at] = self.clock
+        return self.ids.take(pa.array(at))
+
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """For each text its ids as little-endian unsigned 32-bit numbers; nothing for a null."""
+        texts = texts.cast(pa.large_binary())
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(texts):
+            before = int(ends[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + SPLIT_BYTES, "right")))
+            yield from self._encode(texts.slice(at, to - at))
+            at = to
+
+    def _encode(self, texts: pa.Array) -> Iterator[bytes]:
+        values = pa.concat_arrays([pc.fill_null(texts, b"")])  # from offset 0
+        offsets = np.frombuffer(values.buffers()[1], np.int64)[: len(values) + 1]
+        raw = values.buffers()[2].to_pybytes()[offsets[0] : offsets[-1]] if offsets[-1] else b""
+        offsets = offsets - offsets[0]
+        # A special token is one only as it is written: such texts go to the tokenizer as they are.
+        whole = {k for s in self.special if s in raw for k in np.flatnonzero(pc.match_substring(values, s).to_numpy(zero_copy_only=False)).tolist()}
+        folded = np.frombuffer(bytearray(raw.translate(FOLD)), np.uint8)
+        given = np.frombuffer(raw, np.uint8)
+        kinds = KINDS[folded]
+        # Before a combining mark, a capital is composed as a capital.
+        marked = np.flatnonzero((given[1:] >= 128) & (folded[:-1] != given[:-1]) & (kinds[:-1] == 1))
+        folded[marked] = given[marked]
+        begins = np.zeros(len(folded) + 1, bool)
+        if len(folded):
+            begins[1:-1] = BEGINS.ravel()[kinds[:-1] * np.uint8(5) + kinds[1:]]
+        begins[offsets] = True
+        begin = np.flatnonzero(begins)
+        parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin) - 1, [None, pa.py_buffer(begin), pa.py_buffer(folded)]).dictionary_encode()
+        ids = self._known(parts.dictionary).take(parts.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[np.searchsorted(begin, offsets)].tolist() if len(ids) else [0] * len(offsets)
+        flat = memoryview(ids.buffers()[2] or b"") if len(ids) else memoryview(b"")
+        for k, (a, b) in enumerate(pairwise(ends)):
+            if k in whole:
+                yield np.array(self.tokenizer.encode(values[k].as_py().decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+            else:
+                yield bytes(flat[a:b])
+
+
+def _keep(found: list[bytes], places: list[int], ids: np.ndarray, ends: np.ndarray) -> None:
+    raw, start = ids.tobytes(), 0
+    for k, end in zip(places, (4 * ends).tolist(), strict=True):
+        found[k] = raw[start:end]
+        start = end
+
+
+def _slices(values: pa.Array) -> list[bytes]:
+    """The values of a large binary array that begins at its buffer's begin, without nulls."""
+    if not len(values):
+        return []
+    data, offsets = values.buffers()[2].to_pybytes(), np.frombuffer(values.buffers()[1], np.int64)[: len(values) + 1].tolist()
+    return [data[a:b] for a, b in pairwise(offsets)]
 
 
 @lru_cache(maxsize=1)
@@ -105,19 +175,31 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_i
     """(id, piece, start, length, ids): ids is binary, little-endian unsigned 32-bit. Each text's ids end with end_id; longer
     ones than capacity are cut into pieces of capacity. A null or empty text is the end id alone."""
     kind = docs.schema[id_col].dataType.simpleString()
+    names = [id_col, "piece", "start", "length", "ids"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, end = tokenizer_of(path), np.array([end_id], "<u4").tobytes()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                row, piece, start, length, ids = [], [], [], [], []
-                for i, encoded in enumerate(tokenizer.encode(batch.column(1).to_pylist())):
-                    encoded += end
-                    for k, first in enumerate(range(0, len(encoded), 4 * capacity)):
-                        part = encoded[first : first + 4 * capacity]
-                        row.append(i), piece.append(k), start.append(first // 4), length.append(len(part) // 4), ids.append(part)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())], names=[id_col, "piece", "start", "length", "ids"])
+        for batch in batches:
+            rows: list[tuple[int, int, int, int, bytes]] = []
+            held = 0
+
+            def flush() -> pa.RecordBatch:
+                row, piece, start, length, ids = zip(*rows)
+                rows.clear()
+                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), *map(pa.array, (piece, start, length, ids), kinds)], names=names)
+
+            for i, encoded in enumerate(tokenizer.encode(batch.column(1))):
+                encoded += end
+                for k, first in enumerate(range(0, len(encoded), 4 * capacity)):
+                    part = encoded[first : first + 4 * capacity]
+                    rows.append((i, k, first // 4, len(part) // 4, part))
+                held += len(encoded)
+                if held >= YIELDED_BYTES:
+                    yield flush()
+                    held = 0
+            if rows:
+                yield flush()
             pa.default_memory_pool().release_unused()
 
     return docs.select(id_col, text_col).mapInArrow(cut, f"`{id_col}` {kind}, piece int, start long, length long, ids binary")
@@ -153,20 +235,23 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return bins, offsets, n_bins
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", group_sequences: int = GROUP_SEQUENCES) -> DataFrame:
-    """Adds sequence_id and offset to pieces (id, piece, length, ...); other columns are carried. An empty input gives no rows.
-    A null id is packed like any other; equal rows are packed once each."""
-    total = pieces.agg(F.sum("length")).first()[0] or 0
-    groups = max(1, round(total / (capacity * group_sequences)))
+def pack(pieces: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", group_sequences: int = GROUP_SEQUENCES, group_pieces: int = GROUP_PIECES) -> DataFrame:
+    """Adds sequence_id and offset to pieces (id, piece, length, ...), replacing columns of these names; other columns are carried
+    as they are. An empty input gives no rows. Null ids are packed like any other; equal rows are packed once each, in any order."""
+    base = pieces.drop("sequence_id", "offset")
+    total, rows = base.agg(F.sum("length"), F.count("*")).first()
+    groups = max(1, round((total or 0) / (capacity * group_sequences)), -(-rows // group_pieces))
+    group = unused(base, "group")
 
-    def place(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([id_col, "piece"], kind="stable")
-        bins, offsets, _ = sum_of_squares(rows["length"].to_numpy(np.int64), capacity)
-        return rows.assign(sequence_id=(int(key[0]) << 32) + bins, offset=offsets).drop(columns="_group")
+    def place(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.drop_columns([group]).sort_by([(id_col, "ascending"), ("piece", "ascending")])
+        bins, offsets, _ = sum_of_squares(rows["length"].to_numpy().astype(np.int64), capacity)
+        return rows.append_column("sequence_id", pa.array((key[0].as_py() << 32) + bins)).append_column("offset", pa.array(offsets))
 
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(id_col, "piece"), F.lit(groups)))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return dealt.groupBy("_group").applyInPandas(place, f"{fields}, sequence_id long, offset long")
+    place_of = F.xxhash64(id_col, "piece", F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()))  # null ids may be many
+    dealt = base.withColumn(group, F.pmod(place_of, F.lit(groups)))
+    schema = StructType([*base.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    return dealt.groupBy(group).applyInArrow(place, schema)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
