@@ -10,7 +10,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,7 +21,8 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from .common import table
 from .html_seed import labelled_pages
 
-MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)(?:>|\Z)""", re.S)
+# A comment, a declaration, or a tag; quotes count only behind an equals sign. No part is tried twice, so a page is read in linear time.
+MARKUP = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)(?:>|\Z)""", re.S)
 NAMES = re.compile(r"""(?:^|\s)(class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 SPLIT = re.compile(r"[^a-z]+")
 # Elements without text of the page, inline elements, elements without an end, and what an open element ends at.
@@ -31,6 +32,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
+IN_HEAD = frozenset("base basefont bgsound link meta title script style noscript template noframes head".split())
 SCOPES = frozenset(("ul", "ol", "dl", "table", "select", "body", "menu"))
 
 
@@ -47,6 +49,8 @@ class Tree:
 
     def _read(self, page: str) -> None:
         stack: list[tuple[str, int]] = [("root", 0)]
+        opened: dict[str, list[int]] = defaultdict(list)  # places in the stack by tag
+        scopes: list[int] = []
         pieces: list[str] = []
         linked = link_depth = hidden = at = 0
 
@@ -61,6 +65,8 @@ class Tree:
 
         def add(raw: str) -> None:
             nonlocal linked
+            if stack[-1][0] == "head" and raw.strip():  # text ends a head that has no end tag
+                close(len(stack) - 1)
             if raw and not hidden:
                 pieces.append(html.unescape(raw))
                 if link_depth:
@@ -69,19 +75,22 @@ class Tree:
         def close(to: int) -> None:
             nonlocal hidden
             flush()
-            for tag, _ in stack[to:]:
+            while len(stack) > to:
+                tag, _ = stack.pop()
+                opened[tag].pop()
                 hidden -= tag in NO_TEXT
-            del stack[to:]
+                if tag in SCOPES:
+                    scopes.pop()
 
-        for m in MARKUP.finditer(page):
-            if m.start() < at:  # inside a script or the like
-                continue
+        while m := MARKUP.search(page, at):
             add(page[at : m.start()])
             at = m.end()
-            end, tag, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+            end, tag, attrs = m[1], m[2], m[3]
             if not tag:
                 continue
             tag = tag.lower()
+            if stack[-1][0] == "head" and not end and tag not in IN_HEAD and tag != "br":
+                close(len(stack) - 1)
             if tag in INLINE:
                 if tag == "a":
                     link_depth = 0 if end else 1
@@ -90,9 +99,8 @@ class Tree:
                 add(" ")
                 continue
             if end:
-                i = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-                if i:
-                    close(i)
+                if opened[tag]:
+                    close(opened[tag][-1])
                     link_depth = 0
                 else:
                     flush()
@@ -103,27 +111,40 @@ class Tree:
             if tag in ENDS_P and stack[-1][0] == "p":
                 close(len(stack) - 1)
             elif tag in SIBLINGS:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in SCOPES:
-                        break
-                    if stack[i][0] in SIBLINGS[tag]:
-                        close(i)
-                        break
-            elif tag == "body":
-                close(next((i for i, s in enumerate(stack) if s[0] == "head"), len(stack)))
-            if attrs.rstrip().endswith("/") and tag in ("svg", "script", "iframe"):
+                before = max((opened[t][-1] for t in SIBLINGS[tag] if opened[t]), default=0)
+                if before > (scopes[-1] if scopes else 0):
+                    close(before)
+            elif tag == "body" and opened["head"]:
+                close(opened["head"][0])
+            if tag == "svg" and attrs.endswith("/") or tag in ("script", "iframe") and ends_itself(tag, attrs, page, at):
                 continue
+            opened[tag].append(len(stack))
+            if tag in SCOPES:
+                scopes.append(len(stack))
             stack.append((tag, self._node(stack[-1][1], [*element_features(tag, attrs), f"under:{stack[-1][0]}>{tag}"], None)))
             link_depth = 0
             if tag in NO_TEXT:
                 hidden += 1
-            if tag in RAW_TEXT:
-                m2 = re.compile(rf"</{tag}\b", re.I).search(page, at)
-                at = m2.start() if m2 else len(page)
+            if tag in RAW_TEXT:  # markup in it is text, up to its own end tag
+                last = RAW_ENDS[tag].search(page, at)
+                at = last.start() if last else len(page)
         add(page[at:])
         flush()
 
 
+#: End tags of elements whose content is not markup.
+RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW_TEXT}
+NEXT_RAW = {tag: re.compile(rf"<(/?){tag}(?=[\s/>])", re.I) for tag in ("script", "iframe")}
+
+
+def ends_itself(tag: str, attrs: str, page: str, at: int) -> bool:
+    """Whether a tag with a slash at its end has no end tag: another one of its kind, or nothing, comes first."""
+    if not attrs.endswith("/") or len(attrs) > 1 and attrs[-2] not in " \t\n\r\f\"'":
+        return False
+    following = NEXT_RAW[tag].search(page, at)
+    return following is None or not following[1]
+
+
 def element_features(tag: str, attrs: str) -> list[str]:
     out = ["tag:" + tag]
     if attrs:

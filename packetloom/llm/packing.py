@@ -28,7 +28,7 @@ END_ID = 1
 GROUP_SEQUENCES, GROUP_PIECES = 4096, 1 << 20
 #: Words of which a Python worker keeps the ids at most, bytes of text that it splits into words at once, and
 #: bytes of ids that it hands on at once.
-CACHED_WORDS, SPLIT_BYTES, YIELDED_BYTES = 1_000_000, 8 << 20, 4 << 20
+CACHED_WORDS, SPLIT_BYTES, YIELDED_BYTES = 600_000, 4 << 20, 4 << 20
 
 #: Lower case of A-Z, and one kind of white space.
 FOLD = bytes.maketrans(bytes(range(65, 91)) + b"\t\n\x0b\x0c\r", bytes(range(97, 123)) + b" " * 5)
