@@ -56,15 +56,42 @@ def test_vectors_against_brute_force(spark):
     assert vector_pairs.vector_links(empty(frame)).count() == 0
 
 
+def test_links_of_repeated_ids(spark):
+    """Two rows of one id that link with each other have one link each; equal vectors link too."""
+    rows = [(1, [1.0, 0.0], 0), (1, [0.99, 0.05], 0), (2, [0.0, 1.0], 0), (2, [0.0, 1.0], 0), (7, [-1.0, 0.0], 0), (None, [1.0, 0.0], 0), (8, [], 0), (9, [1.0], 0), (10, [1e200, 1e-200], 1), (11, [1e-200, 0.0], 1), (12, [None, 1.0], 0), (13, [1.0, float("nan")], 0), (14, [float("-inf"), 1.0], 0)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("n", F.lit("clash")).withColumn("node", F.lit(1))
+    got = collections.Counter(tuple(r) for r in vector_pairs.vector_links(frame).collect())
+    assert got == collections.Counter([(1, 1, 1, True)] * 2 + [(2, 1, 2, True)] * 2 + [(7, 0, 7, True), (None, 0, None, True), (8, 0, 8, True), (9, 0, 9, True), (10, 1, 10, True), (11, 1, 10, False), (12, 0, 12, True), (13, 0, 13, True), (14, 0, 14, True)])
+
+
+def test_a_hot_vector(spark):
+    rows = [(i, [1.0, 2.0, 3.0], 0) for i in range(3000)] + [(9000 + i, [float(i), -1.0, 2.0], 0) for i in range(5)] + [(8000, [1.0, 2.0, 3.01], 0)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_pairs.vector_links(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    assert all(got[i] == (3000, 0) for i in range(3000)) and got[8000] == (3000, 0) and len(got) == 3006
+
+
 def test_estimate_is_unbiased():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(2000, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    turned, codes, factor = vector_pairs.encode(x)
-    error = (turned[:1000] * codes[1000:]).sum(1) / factor[1000:] - (x[:1000] * x[1000:]).sum(1)
+    code, factor, rounded, step = vector_pairs.encode(x)
+    assert code.shape == (2000, 8) and rounded.dtype == np.int8
+    signs = np.where(np.unpackbits(code, axis=1) > 0, 1, -1) / 8
+    error = (rounded[:1000] * step[:1000, None] * signs[1000:]).sum(1) / factor[1000:] - (x[:1000] * x[1000:]).sum(1)
     assert abs(error.mean()) < 0.01
 
 
+def test_the_bound_drops_pairs_but_no_link():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 48))
+    x[150:] = x[:150] + rng.normal(size=(150, 48)) * rng.uniform(0, 0.6, size=(150, 1))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    code, factor, rounded, step = vector_pairs.encode(x)
+    left = {(int(a), int(b)) for i, j in vector_pairs.likely((rounded, step), (code, factor), 48, 0.93, True) for a, b in zip(i, j)}
+    links = {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(x @ x.T >= 0.93, 1)))}
+    assert links <= left and len(links) > 30 and len(left) < 300 * 299 / 2 / 20
+
+
 # 2. Languages
 
 
