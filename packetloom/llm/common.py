@@ -17,12 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors reach. Where it is unset (tests, local runs), a temporary one is set."""
+    """The folder in spark.checkpoint.dir, which all executors reach. Where it is unset, a local run
+    (tests) sets a temporary one and a cluster is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jvm_dir.isDefined():
             path = jvm_dir.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
         else:
             path = tempfile.mkdtemp(prefix="spark-shared-")
             spark.sparkContext.setCheckpointDir(path)
@@ -48,11 +51,6 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def count_up_to(df: DataFrame, limit: int) -> int:
-    """How many rows df has, or limit + 1 if they are more. Rows are counted where they are; none comes to the driver."""
-    return df.limit(limit + 1).count()
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

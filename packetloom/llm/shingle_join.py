@@ -12,7 +12,9 @@
    that earlier links of the task already join are not looked at again; only joining links leave the task.
 6. Components of the links, over class representatives.
 
-Hashes have 64 bits: two different shingles or sets meet with a chance of 1 in 10^19 a pair.
+Exact up to hashes: words have 64-bit hashes of XXH3, shingles a mixed sum of five of these, sets a mixed sum of their shingles'. Two
+different shingles or sets meet with a chance of 1 in 10^19 a pair. What the join returns are components, not links: pairs that
+earlier links already join are not verified.
 """
 
 from __future__ import annotations
@@ -22,10 +24,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise, shuffle_partitions, table
+from .common import connected_components, materialise, shuffle_partitions, table, unused
 from .vector_pairs import Forest
 
 SHINGLE_WORDS = 5
@@ -40,21 +44,19 @@ TOGETHER_SETS, TOGETHER_BYTES = 4096, 16 << 20
 #: Weighs the cost of probing against that of merging when lists are divided into long and short.
 MU = 0.05
 
-_rng = np.random.default_rng(20)
-BYTE_KEY = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bytes of text that are split into words at once.
+SPLIT_BYTES = 4 << 20
+#: Bytes of text whose sampled shingles, about four million, one bucket of the first count takes.
+BUCKET_BYTES = 80 << 20
+#: A key that more than one in HOT_SHARE rows hold is joined apart, by broadcast: there are fewer than HOT_SHARE of them.
+HOT_SHARE = 1000
+#: One in so many sets tells which shingles are hot. This routes rows, it changes no result.
+ROUTING_SAMPLE = 64
 
-
-def _power_tables(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        size = 1 << max(16, n.bit_length())
-        for k, base in enumerate((BASE, INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps, dtype=np.uint64)
-    return _powers
+#: Lower case of A-Z, and one kind of white space.
+FOLD = bytes.maketrans(bytes(range(65, 91)) + b"\t\n\x0b\x0c\r", bytes(range(97, 123)) + b" " * 5)
+#: Odd weights of the words of a shingle.
+WEIGHTS = np.random.default_rng(20).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -63,22 +65,49 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def shingle_sets(texts: pa.Array, k: int = SHINGLE_WORDS) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct hashes of its k-word shingles, A-Z in lower case; of all words as one where there are fewer."""
+    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        before = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + SPLIT_BYTES, "right")))
+        yield from _shingles_of(texts.slice(at, to - at), k)
+        at = to
+
+
+def _shingles_of(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
+    values = pa.concat_arrays([texts])  # from offset 0
+    offsets = np.frombuffer(values.buffers()[1], np.int64)[: len(values) + 1]
+    raw = values.buffers()[2].to_pybytes()[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else b""
+    offsets = offsets - offsets[0]
+    data = np.frombuffer(raw.translate(FOLD), np.uint8)
+    solid = data != 32
+    begins = solid.copy()
+    begins[1:] &= ~solid[:-1]
+    firsts = offsets[:-1][offsets[:-1] < len(data)]
+    begins[firsts] = solid[firsts]
+    word_of = np.searchsorted(np.flatnonzero(begins), offsets)
+    begin = np.append(np.flatnonzero(begins[solid]), int(solid.sum()))
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin) - 1, [None, pa.py_buffer(begin), pa.py_buffer(data[solid])]).dictionary_encode()
+    hashed = np.array([xxhash.xxh3_64_intdigest(w, 7) for w in words.dictionary.to_pylist()], np.uint64)[words.indices.to_numpy()]
+    rows = max(0, len(hashed) - k + 1)
+    sums = np.zeros(rows, np.uint64)
+    for n in range(k):
+        sums += hashed[n : n + rows] * WEIGHTS[n]
+    sums = _mixed(sums)
+    for a, b in zip(word_of[:-1].tolist(), word_of[1:].tolist()):
+        if b - a >= k:
+            yield np.unique(sums[a : b - k + 1])
+        elif b > a:
+            yield _mixed((hashed[a:b] * WEIGHTS[: b - a]).sum(dtype=np.uint64, keepdims=True) + np.uint64(b - a))
+        else:
+            yield np.zeros(0, np.uint64)
+
+
 def shingles(text: str | None, k: int = SHINGLE_WORDS) -> np.ndarray:
-    """Sorted distinct hashes of the k-word shingles of the whole text, A-Z in lower case; of all words as one where there are fewer."""
-    raw = b" ".join((text or "").encode("utf-8", "replace").lower().split())
-    if not raw:
-        return np.zeros(0, np.uint64)
-    data = np.frombuffer(raw, np.uint8)
-    power, inverse = _power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_KEY[data] * power[: len(data)], out=sums[1:])
-    gaps = np.flatnonzero(data == 32)
-    begins, ends = np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(data)]))
-    if len(begins) >= k:
-        begins, ends = begins[: len(begins) - k + 1], ends[k - 1 :]
-    else:
-        begins, ends = begins[:1], ends[-1:]
-    return np.unique(_mixed((sums[ends] - sums[begins]) * inverse[begins]))
+    return next(shingle_sets(pa.array([text], pa.string()), k))
 
 
 def set_key(tokens: np.ndarray) -> int:
@@ -130,10 +159,9 @@ def _first_count(docs: DataFrame, buckets: int, id_col: str, text_col: str) -> D
 
         gathered = 0
         for batch in batches:
-            for i, text in zip(batch.column(0), batch.column(1)):
-                tokens = shingles(text.as_py())
+            for i, tokens in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1))):
                 key = set_key(tokens)
-                ids.append(i.as_py()), keys.append(key), sizes.append(len(tokens))
+                ids.append(i), keys.append(key), sizes.append(len(tokens))
                 sample = tokens[: np.searchsorted(tokens, limit)]
                 if len(sample):
                     parts.append(sample), owners.append(np.full(len(sample), key, np.int64))
@@ -183,57 +211,71 @@ def _alone(first: DataFrame) -> DataFrame:
 
 
 def _weighted_sets(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(rep, n, entries array<(df, x, w)>): the sets that may have a partner, as weighted entries; x names an inverted list of df sets."""
-    small = len(chosen.select("rep").take(BROADCAST_IDS + 1)) <= BROADCAST_IDS
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), text_col).join(F.broadcast(chosen) if small else chosen, "rep")
+    """(node, n, shared, entries array<(df, x, w)>): the sets that may have a partner, as weighted entries; a node is a set's key, x
+    names an inverted list of df sets."""
+    small = chosen.count() <= BROADCAST_IDS
+    named = chosen.where("rep is not null")
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(F.broadcast(named) if small else named, "rep")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rep, sets = [], []
-            for i, text, key in zip(batch.column(0), batch.column(1), batch.column(2)):
-                tokens = shingles(text.as_py())
-                if set_key(tokens) == key.as_py():  # another row may have the same id and another text
-                    rep.append(i.as_py()), sets.append(tokens.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "n", "tokens"])
-
-    sets = materialise(texts.select("rep", text_col, "set_key").mapInArrow(read, "rep long, n long, tokens array<long>").dropDuplicates(["rep"]), "sets")
-    postings = sets.select("rep", "n", F.explode("tokens").alias("token"))
-    lists = postings.groupBy("token").agg(F.count("*").alias("df"), F.bit_xor(F.xxhash64("rep")).alias("x")).where("df > 1")
-    entries = postings.join(lists, "token").repartition("rep").groupBy("rep", "n", "df", "x").agg(F.count("*").alias("w"))
-    return entries.groupBy("rep", "n").agg(F.sum("w").alias("shared"), F.collect_list(F.struct("df", "x", "w")).alias("entries")).where("shared >= n - n div 5")
+            keys, sets = [], []
+            for key, tokens in zip(batch.column(1).to_pylist(), shingle_sets(batch.column(0))):
+                found = set_key(tokens)
+                if key is None or key == found:  # another row may have the same id and another text
+                    keys.append(found), sets.append(tokens.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "n", "tokens"])
+
+    kinds = "node long, n long, tokens array<long>"
+    # Sets that only rows without an id have cannot be asked for by id: all such rows are read.
+    nameless = docs.where(F.col(id_col).isNull()).select(F.col(text_col).alias("text"), F.lit(None).cast("long").alias("set_key")).mapInArrow(read, kinds)
+    nameless = nameless.join(chosen.where("rep is null").select(F.col("set_key").alias("node")), "node", "left_semi")
+    sets = materialise(texts.select("text", "set_key").mapInArrow(read, kinds).union(nameless).dropDuplicates(["node"]), "sets")
+    postings = sets.select("node", "n", F.explode("tokens").alias("token"))
+    sample = sets.where(F.pmod(F.xxhash64("node"), F.lit(ROUTING_SAMPLE)) == 0).select(F.explode("tokens").alias("token"))
+    expected = max(50, sets.count() // (ROUTING_SAMPLE * HOT_SHARE))
+    hot = sample.groupBy("token").count().where(F.col("count") > expected).orderBy(F.desc("count"), "token").limit(HOT_SHARE * HOT_SHARE).select("token")
+    common, others = postings.join(F.broadcast(hot), "token"), postings.join(F.broadcast(hot), "token", "left_anti")
+
+    def lists(of: DataFrame) -> DataFrame:
+        return of.groupBy("token").agg(F.count("*").alias("df"), F.bit_xor(F.xxhash64("node")).alias("x")).where("df > 1")
+
+    both = common.join(F.broadcast(lists(common)), "token").union(others.join(lists(others), "token"))
+    entries = both.repartition("node").groupBy("node", "n", "df", "x").agg(F.count("*").alias("w"))
+    return entries.groupBy("node", "n").agg(F.sum("w").alias("shared"), F.collect_list(F.struct("df", "x", "w")).alias("entries")).where("shared >= n - n div 5")
 
 
 def _prepared(weighted: DataFrame) -> DataFrame:
-    """(rep, n, entries, weights, rare, lengths): entries by name as bytes, and the rarest with the lengths of their lists."""
+    """(node, n, entries, weights, rare, lengths): entries by name as bytes, and the rarest with the lengths of their lists."""
 
     def sort(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for rep, n, shared, entries in zip(frame["rep"], frame["n"], frame["shared"], frame["entries"]):
+            for node, n, shared, entries in zip(frame["node"], frame["n"], frame["shared"], frame["entries"]):
                 entries = sorted((e["df"], e["x"], e["w"]) for e in entries)
                 names, weights = np.array([e[1] for e in entries], np.int64), np.array([e[2] for e in entries], np.int64)
                 before = n - shared + np.cumsum(weights) - weights  # shingles that no other set has come first
                 rare = entries[: int(np.searchsorted(before, n // 5, "right"))]
                 order = np.argsort(names)
-                out.append((rep, n, names[order].tobytes(), weights[order].astype(np.int32).tobytes(), [e[1] for e in rare], [e[0] for e in rare]))
-            yield pd.DataFrame(out, columns=["rep", "n", "entries", "weights", "rare", "lengths"])
+                out.append((node, n, names[order].tobytes(), weights[order].astype(np.int32).tobytes(), [e[1] for e in rare], [e[0] for e in rare]))
+            yield pd.DataFrame(out, columns=["node", "n", "entries", "weights", "rare", "lengths"])
 
-    return weighted.mapInPandas(sort, "rep long, n long, entries binary, weights binary, rare array<long>, lengths array<long>")
+    return weighted.mapInPandas(sort, "node long, n long, entries binary, weights binary, rare array<long>, lengths array<long>")
 
 
 def _tasks(prepared: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, x, first, second, block, rep, n, entries, weights): a row per set and place where it is compared; x is a
+    """(bucket, x, first, second, block, node, n, entries, weights): a row per set and place where it is compared; x is a
     neighbourhood or, in large ones, a list."""
-    near = connected_components(prepared.select(F.col("rep").alias("a"), F.explode("rare").alias("b")))
-    placed = prepared.join(near.withColumnRenamed("node", "rep").withColumnRenamed("component", "x"), "rep")
+    near = connected_components(prepared.select(F.col("node").alias("a"), F.explode("rare").alias("b")))
+    placed = prepared.join(near.withColumnRenamed("component", "x"), "node")
     sizes = placed.groupBy("x").agg(F.count("*").alias("sets"), F.sum(F.octet_length("entries") * 1.5).alias("bytes")).where("sets > 1")
     fits = (F.col("sets") <= TOGETHER_SETS) & (F.col("bytes") <= TOGETHER_BYTES)
     zero = F.lit(0)
-    carried = ("rep", "n", "entries", "weights")
+    carried = ("node", "n", "entries", "weights")
     small = placed.join(sizes.where(fits).select("x"), "x").select("x", zero.alias("first"), zero.alias("second"), zero.alias("block"), *carried)
     large = placed.join(sizes.where(~fits).select("x"), "x", "left_semi").select(F.explode(F.arrays_zip("rare", "lengths")).alias("e"), *carried)
     blocks = F.ceil(F.col("e.lengths") / BLOCK).cast("int")
-    split = large.select(F.col("e.rare").alias("x"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("block"), blocks.alias("blocks"), *carried)
+    split = large.select(F.col("e.rare").alias("x"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), blocks.alias("blocks"), *carried)
     pairs = split.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     listed = pairs.select("x", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", *carried)
     return small.union(listed).select(F.pmod(F.xxhash64("x", "first", "second"), F.lit(buckets)).cast("int").alias("bucket"), "*")
@@ -312,7 +354,7 @@ def _links(lists: DataFrame) -> DataFrame:
     """(a, b): each set that links of a task join to a lesser one, with the least that they join it to."""
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
-        reps, node = np.unique(rows["rep"].to_numpy(np.int64), return_inverse=True)
+        reps, node = np.unique(rows["node"].to_numpy(np.int64), return_inverse=True)
         joined = Forest(len(reps))
         known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for k, (a, b) in enumerate(zip(rows["entries"], rows["weights"])):
@@ -336,30 +378,41 @@ def _links(lists: DataFrame) -> DataFrame:
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id), one row per row of docs: the set's size and the smallest id that links reach.
 
-    Null and empty texts have no shingles and link with nothing, not even with each other. Rows with a null id have a null
-    component unless their text links them. Other columns are not read. Two runs give the same rows.
+    Null and empty texts have no shingles and link with nothing, not even with each other. Rows with a null id link like others, but
+    never name a component: theirs is null if no row with an id is reached. Rows with the same id and other texts are documents of
+    their own. Ids are whole numbers. Other columns are not read. Two runs give the same rows; an empty input gives none.
     """
-    buckets = shuffle_partitions(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    buckets = max(shuffle_partitions(docs.sparkSession), -(-size // BUCKET_BYTES))
     first = materialise(_first_count(docs, buckets, id_col, text_col), "first-count")
-    sets = first.where("part is null")
-    classes = sets.groupBy("set_key").agg(F.min("id").alias("rep"), F.max("n").alias("n"))
-    candidates = classes.where("n > 0 and rep is not null").join(_alone(first), "set_key", "left").where("coalesce(alone, 0) <= n div 5")
-    chosen = materialise(candidates.select("rep", "set_key"), "chosen")
+    sets = first.where("part is null").select("set_key", "id", "n")
+    full = sets.where("n > 0")
+    classes = full.groupBy("set_key").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies"))
+    classes = materialise(classes.join(_alone(first), "set_key", "left").select("set_key", "rep", "n", "copies", (F.coalesce("alone", F.lit(0)) <= F.expr("n div 5")).alias("chosen")), "classes")
+    chosen = classes.where("chosen").select("rep", "set_key")
     prepared = materialise(_prepared(_weighted_sets(docs, chosen, id_col, text_col)), "entries")
     links = _links(_tasks(prepared, 4 * buckets))
-    component = connected_components(links).where("node <> component")
-    moved = chosen.join(component, chosen.rep == component.node).select("set_key", "component")
-    named = classes.where("n > 0").select("set_key", "rep").join(moved, "set_key", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
-    out = sets.select("set_key", F.col("id").alias(id_col), F.col("n").alias("n_shingles")).join(named, "set_key", "left")
-    return out.select(id_col, "n_shingles", F.coalesce("component_id", id_col).alias("component_id"))
+    component = connected_components(links)
+    least = component.join(classes.select(F.col("set_key").alias("node"), "rep"), "node").groupBy("component").agg(F.min("rep").alias("least"))
+    moved = component.join(least, "component").select(F.col("node").alias("set_key"), "least")
+    named = materialise(classes.join(moved, "set_key", "left").select("set_key", "copies", F.coalesce("least", "rep").alias("component_id")), "names")
+    # A text may be a large share of all rows: few can, and their rows are named without a shuffle.
+    total = classes.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    hot = F.col("copies") > max(1, total // HOT_SHARE)
+    often = F.broadcast(named.where(hot).select("set_key", "component_id"))
+    known = full.join(often, "set_key")
+    rest = full.join(often, "set_key", "left_anti").join(named.where(~hot).select("set_key", "component_id"), "set_key", "left")
+    columns = (F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    return known.select(*columns).union(rest.select(*columns)).union(sets.where("n = 0").select(*columns[:2], F.col("id").alias("component_id")))
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns as they are, without those that a document with a smaller id reaches by links. Rows with the
-    same id count as the same document."""
-    gone = materialise(similar_documents(docs, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")), "gone")
-    small = len(gone.take(BROADCAST_IDS + 1)) <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if small else gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    same id count as the same document; rows with a null id stay."""
+    name = unused(docs, "gone")
+    gone = materialise(similar_documents(docs, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(name)).distinct(), "gone")
+    small = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if small else gone, F.col(id_col) == F.col(name), "left_anti")
 
 
 def op8_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, count_up_to, materialise, table
+from .common import connected_components, materialise, table
 
 THRESHOLD = 0.93
 #: Vectors in a block, about.
@@ -122,7 +122,7 @@ def _classes(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -
 def _stored(classes: DataFrame, block: int) -> DataFrame:
     """(node, label, dim, blocks, block, code, factor, rounded, step), written."""
     sizes = classes.groupBy("label", F.size("v").alias("dim")).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    small = count_up_to(sizes, BROADCAST_LABELS) <= BROADCAST_LABELS
+    small = sizes.count() <= BROADCAST_LABELS
     placed = classes.withColumn("dim", F.size("v")).join(F.broadcast(sizes) if small else sizes, ["label", "dim"])
     placed = placed.select("node", "label", "dim", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "v")
     label = classes.schema["label"].dataType.simpleString()

@@ -346,6 +346,35 @@ def test_drop_similar(spark, odd):
     assert shingle_join.similar_documents(empty(odd)).count() == 0
 
 
+def test_odd_ids(spark):
+    """Rows without an id that link two others, one id with two texts, and a text that most rows have."""
+    words = [f"w{i}" for i in range(60)]
+    bridge, left = " ".join(words), " ".join(words[:57])
+    far = " ".join(f"z{i}" for i in range(60))
+    rows = [(1, " ".join(words[:54])), (None, bridge), (2, " ".join(words[6:])), (5, far), (5, left), (9, far), (10, None)]
+    rows += [(100 + i, "hot " * 9) for i in range(2000)] + [(4000, None)] * 3 + [(None, "")] * 3
+    out = collections.Counter(tuple(r) for r in shingle_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = [(1, 50, 1), (None, 56, 1), (2, 50, 1), (5, 56, 5), (5, 53, 1), (9, 56, 5), (10, 0, 10)] + [(100 + i, 1, 100) for i in range(2000)] + [(4000, 0, 4000)] * 3 + [(None, 0, None)] * 3
+    assert out == collections.Counter(want)
+
+
+def test_words_that_defeat_polynomials_stay_apart(spark):
+    """Thue-Morse words of 2048 signs are equal under any polynomial hash modulo 2^64."""
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, word.translate(str.maketrans("ab", "ba")))]
+    assert [r.component_id for r in shingle_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()] == [1, 2]
+
+
+def test_hot_shingles(spark, monkeypatch):
+    monkeypatch.setattr(shingle_join, "ROUTING_SAMPLE", 1)
+    monkeypatch.setattr(shingle_join, "HOT_SHARE", 2)
+    rows = near_copies(240)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in shingle_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+
+
 def test_connected_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 90), (90, 95), (7, 7), (None, 3)]
     got = dict(connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
