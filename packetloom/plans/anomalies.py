@@ -193,7 +193,7 @@ add("det21_distributed_scan", lambda s, d: detect.distinct_over(packets(s, d), [
 add(
     "det22_rule_batch",
     lambda s, d: folds.cooldown(filters.match_rules(packets(s, d), rules(s, d)).select("seq", "us", "rule_id", "sensor"), ["rule_id", "sensor"], 3600).groupBy("rule_id").agg(F.count("*").alias("alerts")),
-    _cooldown_sql("select e.seq, e.us, e.sensor, rule_id from (select * from packets where seq >= 9000) e join rules on enabled and (rules.kind is null or rules.kind = e.kind) and (rules.protocol is null or rules.protocol = e.protocol) and (rules.dport is null or rules.dport = e.dport)", "rule_id, sensor", 3_600_000_000, f", {RULES}") + " select rule_id, count(*) as alerts from r where fires group by rule_id",
+    _cooldown_sql("select e.seq, e.us, e.sensor, rule_id from packets e join rules on enabled and (rules.kind is null or rules.kind = e.kind) and (rules.protocol is null or rules.protocol = e.protocol) and (rules.dport is null or rules.dport = e.dport)", "rule_id, sensor", 3_600_000_000, f", {RULES}") + " select rule_id, count(*) as alerts from r where fires group by rule_id",
 )
 add("det23_port_scan", lambda s, d: detect.distinct_over(packets(s, d), ["src", "kind"], "dport", 8), over_packets("select src, kind, count(distinct dport) as values from packets group by all having count(distinct dport) >= 8"))
 add("det24_host_sweep", lambda s, d: detect.distinct_over(packets(s, d), ["src"], "dst", 40), over_packets("select src, count(distinct dst) as values from packets group by src having count(distinct dst) >= 40"))

@@ -27,7 +27,7 @@ def _where(name: str, condition, sql: str) -> None:
 add(
     "fn01_byte_entropy",
     lambda s, d: table(s, d, "documents").select("doc_id", F.round(scalars.byte_entropy(F.encode("text", "UTF-8")), 6).alias("entropy")),
-    "with b as (select doc_id, substring(hex(encode(text)), 1, 1024) as h from documents), c as (select doc_id, substring(h, 2 * i + 1, 2) as v from (select doc_id, h, unnest(range(length(h) // 2)) as i from b)), "
+    "with b as (select doc_id, hex(encode(text)) as h from documents), c as (select doc_id, substring(h, 2 * i + 1, 2) as v from (select doc_id, h, unnest(range(length(h) // 2)) as i from b)), "
     "n as (select doc_id, v, count(*) as n, sum(count(*)) over (partition by doc_id) as t from c group by doc_id, v) select d.doc_id, round(coalesce(-sum((n / t) * log2(n / t)), 0.0), 6) as entropy from documents d left join n on n.doc_id = d.doc_id group by d.doc_id",
 )
 add(
@@ -124,7 +124,7 @@ add(
     lambda s, d: filters.event_list(packets(s, d), sensor="sensor-1", kind="click", since=1704500000000000, until=1705500000000000).select("seq", "src", "us"),
     over_packets("select seq, src, us from packets where sensor = 'sensor-1' and kind = 'click' and us between 1704500000000000 and 1705500000000000"),
 )
-RULES = "rules as (select p_partkey as rule_id, p_partkey % 5 <> 4 as enabled, case p_partkey % 3 when 0 then 'error' when 1 then 'click' end as kind, case when p_partkey % 2 = 0 then 'DNS' end as protocol, case when p_partkey % 7 = 0 then 80 end as dport from part where p_partkey < 20)"
+RULES = "rules as (select min(p_partkey) as rule_id, p_partkey % 5 <> 4 as enabled, case p_partkey % 3 when 0 then 'error' when 1 then 'click' end as kind, case when p_partkey % 2 = 0 then 'DNS' end as protocol, case when p_partkey % 7 = 0 then 80 end as dport from part group by all)"
 
 
 def rules(s, d):

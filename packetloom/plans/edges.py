@@ -133,6 +133,6 @@ def word_rows(summary: str):
             yield (word,)
 
 
-add("udf03_table_function", lambda s, d: hooks.table_function(packets(s, d).select("seq", "summary"), ["summary"], "word string", word_rows).groupBy("word").agg(F.count("*").alias("n")), over_packets("select word, count(*) as n from (select unnest(string_split(summary, ' ')) as word from packets where seq < 2000) where regexp_matches(word, '^[A-Z]+$') group by word"))
+add("udf03_table_function", lambda s, d: hooks.table_function(packets(s, d).select("seq", "summary"), ["summary"], "word string", word_rows).groupBy("word").agg(F.count("*").alias("n")), over_packets("select word, count(*) as n from (select unnest(string_split(summary, ' ')) as word from packets) where regexp_matches(word, '^[A-Z]+$') group by word"))
 RULES = [{"name": "big", "severity": "high", "when": {"op": "AND", "items": [{"field": "length", "cmp": "gt", "value": 1500}, {"field": "protocol", "cmp": "eq", "value": "HTTP"}]}}, {"name": "error", "severity": "low", "when": {"op": "OR", "items": [{"field": "kind", "cmp": "eq", "value": "error"}]}}]
 add("udf04_rule_table", lambda s, d: hooks.apply_rule_table(packets(s, d), RULES, {c: c for c in ("length", "protocol", "kind")}).groupBy("rule", "rule_severity").agg(F.count("*").alias("n")), over_packets("select 'error' as rule, 'low' as rule_severity, count(*) as n from packets where kind = 'error' union all select 'big', 'high', count(*) from packets where length > 1500 and protocol = 'HTTP' having count(*) > 0"))

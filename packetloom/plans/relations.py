@@ -29,7 +29,7 @@ add(
     lambda s, d: joins.domain_indicators(packets(s, d).where("kind = 'view'"), listed(s, d).select(F.col("domain").alias("value")), prj.summary_domain()).groupBy("sid", "domain").agg(F.count("*").alias("n")),
     over_packets("select 300001 as sid, domain, count(*) as n from (select concat('a', k, '.example', k % 5, '.com') as domain from packets where kind = 'view') where domain in (select lower(domain) from listed) group by domain", LIST),
 )
-IDS = "ids as (select p_partkey as sid, case when p_partkey % 3 = 0 then 'HTTP' end as protocol, case when p_partkey % 4 = 1 then '10.1.0.5' end as src_ip, cast(null as string) as dst_ip, case p_partkey % 5 when 0 then 80 when 1 then 53 end as dst_port, case when p_partkey % 2 = 0 then 'item' end as content from part where p_partkey < 30)"
+IDS = "ids as (select min(p_partkey) as sid, case when p_partkey % 3 = 0 then 'HTTP' end as protocol, case when p_partkey % 4 = 1 then '10.1.0.5' end as src_ip, cast(null as string) as dst_ip, case p_partkey % 5 when 0 then 80 when 1 then 53 end as dst_port, case when p_partkey % 2 = 0 then 'item' end as content from part group by all)"
 
 
 def ids(s, d):
@@ -100,7 +100,7 @@ def _impact(s, d):
 add(
     "jn12_asset_impact",
     _impact,
-    over_packets("select coalesce(a.hostname, b.hostname, 'HOST' || k) as asset, case when coalesce(a.tier, b.tier) is null then 'UNKNOWN' else concat('Tier ', coalesce(a.tier, b.tier), ' (', coalesce(a.department, b.department), ')') end as criticality, case when coalesce(a.tier, b.tier) is null then 'INTERNAL' else 'SECRET' end as classification, case when coalesce(a.tier, b.tier) <= 2 then 'High' when coalesce(a.tier, b.tier) = 4 then 'Low' else 'Medium' end as financial_impact, count(*) as n from packets left join (select * from assets where ip is not null) a on a.ip = dst left join assets b on b.hostname = 'Host' || k group by all", "assets as (select case when s_suppkey % 2 = 0 then concat('192.168.1.', s_suppkey % 60) end as ip, concat('Host', s_suppkey) as hostname, 1 + s_suppkey % 4 as tier, concat('D', s_nationkey) as department from supplier where s_suppkey < 40)"),
+    over_packets("select coalesce(a.hostname, b.hostname, 'HOST' || k) as asset, case when coalesce(a.tier, b.tier) is null then 'UNKNOWN' else concat('Tier ', coalesce(a.tier, b.tier), ' (', coalesce(a.department, b.department), ')') end as criticality, case when coalesce(a.tier, b.tier) is null then 'INTERNAL' else 'SECRET' end as classification, case when coalesce(a.tier, b.tier) <= 2 then 'High' when coalesce(a.tier, b.tier) = 4 then 'Low' else 'Medium' end as financial_impact, count(*) as n from packets left join (select ip, unnest(min(struct_pack(hostname := hostname, tier := tier, department := department))) from assets where ip is not null group by ip) a on a.ip = dst left join assets b on b.hostname = 'Host' || k group by all", "assets as (select case when s_suppkey % 2 = 0 then concat('192.168.1.', s_suppkey % 60) end as ip, concat('Host', s_suppkey) as hostname, 1 + s_suppkey % 4 as tier, concat('D', s_nationkey) as department from supplier)"),
 )
 
 
@@ -149,7 +149,7 @@ def _enriched(s, d):
 add(
     "jn16_enriched_row",
     _enriched,
-    over_packets("select seq, case when kind = 'error' then 'Error' when kind = 'view' then 'Warning' when kind = 'purchase' then 'Note' else 'Chat' end as severity, case when kind = 'error' then 9 when kind = 'view' then 6 when kind = 'purchase' then 3 else 0 end as score, name as src_name, coalesce(s_name, dst) as asset, case when s_name is not null then 'Tier 1 (D)' else 'UNKNOWN' end as criticality from packets left join names on ip = src left join (select * from supplier where s_suppkey < 40) on s_suppkey = k", NAMES),
+    over_packets("select seq, case when kind = 'error' then 'Error' when kind = 'view' then 'Warning' when kind = 'purchase' then 'Note' else 'Chat' end as severity, case when kind = 'error' then 9 when kind = 'view' then 6 when kind = 'purchase' then 3 else 0 end as score, name as src_name, coalesce(s_name, dst) as asset, case when s_name is not null then 'Tier 1 (D)' else 'UNKNOWN' end as criticality from packets left join names on ip = src left join supplier on s_suppkey = k and k < 60", NAMES),
 )
 add(
     "jn17_enriched_event",
@@ -173,7 +173,7 @@ def _half(s, d, cond):
 add(
     "jn19_snapshot_diff",
     lambda s, d: joins.snapshot_diff(_half(s, d, f"us < {SPLIT}"), _half(s, d, f"us >= {SPLIT}"), ["src", "protocol"], "bytes"),
-    over_packets("select coalesce(b.src, a.src) as src, coalesce(b.protocol, a.protocol) as protocol, b.bytes as before_value, a.bytes as after_value, case when b.bytes is null then 'NEW' when a.bytes is null then 'GONE' else 'BOTH' end as state, coalesce(a.bytes, 0) - coalesce(b.bytes, 0) as delta from (select src, protocol, cast(sum(length) as bigint) as bytes from packets where seq % 7 < 2 group by all) b full join (select src, protocol, cast(sum(length) as bigint) as bytes from packets where seq % 7 >= 5 group by all) a on a.src = b.src and a.protocol = b.protocol"),
+    over_packets("select coalesce(b.src, a.src) as src, coalesce(b.protocol, a.protocol) as protocol, b.bytes as before_value, a.bytes as after_value, case when b.bytes is null then 'NEW' when a.bytes is null then 'GONE' else 'BOTH' end as state, coalesce(a.bytes, 0) - coalesce(b.bytes, 0) as delta from (select src, protocol, cast(sum(length) as bigint) as bytes from packets where us < 1705363200000000 group by all) b full join (select src, protocol, cast(sum(length) as bigint) as bytes from packets where us >= 1705363200000000 group by all) a on a.src = b.src and a.protocol = b.protocol"),
 )
 
 # Flows: an end's order key is its address as a number; here 10.x < 93.x < 192.x < IPv6.

@@ -94,14 +94,14 @@ _join = lambda col: f"array_to_string({col}, '-')"
 _hex4 = lambda col: f"list_transform({col}, lambda x: lpad(lower(to_hex(x)), 4, '0'))"
 add("fp01_ja3", lambda s, d: _hellos(s, d).select("vec_id", F.md5(hs.ja3_text(F.lit(771), F.col("ciphers"), F.col("extensions"), F.col("groups"), F.col("formats"))).alias("ja3")), f"with {HELLOS} select vec_id, md5(concat('771,', {_join('ciphers')}, ',', {_join('extensions')}, ',', {_join('groups')}, ',0')) as ja3 from hellos")
 add("fp02_ja3s", lambda s, d: _hellos(s, d).select("vec_id", F.md5(hs.ja3s_text(F.lit(771), F.col("ciphers")[1], F.col("extensions"))).alias("ja3s")), f"with {HELLOS} select vec_id, md5(concat('771,', ciphers[1], ',', {_join('extensions')})) as ja3s from hellos")
-JA4 = f"concat('t13', case when label % 2 = 0 then 'd' else 'i' end, '0606h2_', substr(sha256(array_to_string(list_sort({_hex4('ciphers')}), ',')), 1, 12), '_', substr(sha256(concat(array_to_string(list_sort({_hex4('extensions[3:6]')}), ','), '_', array_to_string({_hex4('sig_algs')}, ','))), 1, 12))"
+JA4 = f"concat('t13', case when label % 2 = 0 then 'd' else 'i' end, '0606h2_', substr(sha256(array_to_string(list_sort({_hex4('ciphers')}), ',')), 1, 12), '_', substr(sha256(concat(array_to_string(list_sort({_hex4('list_filter(extensions[3:6], lambda x: x not in (0, 16))')}), ','), '_', array_to_string({_hex4('sig_algs')}, ','))), 1, 12))"
 
 
 def _ja4(s, d):
     return _hellos(s, d).select("vec_id", "label", hs.ja4(F.lit(771), *(F.col(x) for x in ("ciphers", "extensions", "sig_algs", "versions", "alpn", "sni"))).alias("ja4"))
 
 
-_ja4_rows = f"with {HELLOS} select vec_id, label, {JA4} as ja4 from hellos where not list_contains(extensions[3:6], 0) and not list_contains(extensions[3:6], 16)"
+_ja4_rows = f"with {HELLOS} select vec_id, label, {JA4} as ja4 from hellos"
 add("fp03_ja4", lambda s, d: _ja4(s, d).drop("label"), f"select vec_id, ja4 from ({_ja4_rows})")
 add(
     "flt11_tls_fields",

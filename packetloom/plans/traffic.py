@@ -94,7 +94,7 @@ add(
 add(
     "prj13_http_meaning",
     lambda s, d: packets(s, d).groupBy(prj.http_meaning(F.col("summary")).alias("meaning")).agg(F.count("*").alias("n")),
-    over_packets("select case kind when 'click' then concat('Client reads /item/', k) when 'signup' then 'Client sends data to /signup' when 'purchase' then concat('Request ', case when k * 4 < 100 then 'succeeded' end, ' (', 200 + k * 4, ')') end as meaning, count(*) as n from packets where k < 20 group by 1"),
+    over_packets("select case kind when 'click' then concat('Client reads /item/', k) when 'signup' then 'Client sends data to /signup' when 'purchase' then concat('Request ', case when k < 25 then 'succeeded' when k < 50 then 'was redirected' when k < 75 then 'was refused' else 'failed at the server' end, ' (', 200 + k * 4, ')') end as meaning, count(*) as n from packets group by 1"),
 )
 add(
     "prj14_row_diff",
