@@ -8,29 +8,46 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 
 def fold(rows: DataFrame, keys: list[str], order: list[str], columns: list[str], advance: Callable[..., tuple[Any, Any]], result: str | None = None) -> DataFrame:
     """advance(state, *values of the columns) -> (state, value), from state None at the first row of each key. With a result ("name type") the
-    values are a new column; without, they say which rows stay."""
+    values are a new column, in place of one of that name; without, they say which rows stay.
 
-    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    A null key is a key like any other. A row with a null in one of the columns leaves the state as it is: its value is null, or it goes.
+    Other columns pass through as they are, whatever their type."""
+    added = StructType.fromDDL(result).fields if result else []
+    rows = rows.drop(*(f.name for f in added))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: Any = object()
         state = None
-        for frame in frames:
+        for batch in batches:
             out = []
-            for key, values in zip(zip(*(frame[k] for k in keys)), zip(*(frame[c] for c in columns))):
+            named = dict(zip(batch.schema.names, batch.columns))
+            for key, values in zip(zip(*(map(_same, named[k].to_pylist()) for k in keys)), zip(*(named[c].to_pylist() for c in columns))):
                 if key != last:
                     last, state = key, None
-                state, value = advance(state, *values)
+                value = None
+                if None not in values:
+                    state, value = advance(state, *values)
                 out.append(value)
-            yield frame.assign(**{result.split()[0]: out}) if result else frame[pd.Series(out, index=frame.index, dtype=bool)]
+            if added:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, to_arrow_type(added[0].dataType))], names=[*batch.schema.names, added[0].name])
+            else:
+                yield batch.filter(pa.array(out, pa.bool_()))
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(walk, StructType([*rows.schema.fields, *added]))
+
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), *([result] if result else [])])
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(walk, schema)
+def _same(value: Any) -> Any:
+    """The value, or a name for not-a-number, which does not equal itself."""
+    return value if value == value else "NaN"
 
 
 def cooldown(rows: DataFrame, keys: list[str], seconds: float, time: str = "us", order: str = "seq") -> DataFrame:
