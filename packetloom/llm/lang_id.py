@@ -18,8 +18,10 @@ from .common import crc_fold, table
 
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
-#: Labelled rows per language that the dictionaries are made of, the bytes of a dictionary, and the languages at most.
-SAMPLE_ROWS, DICTIONARY_BYTES, LANGUAGES = 300, 64 << 10, 512
+#: Labelled rows per language that the dictionaries are made of at most, and the bytes of a dictionary.
+SAMPLE_ROWS, DICTIONARY_BYTES = 300, 64 << 10
+#: A raw-content dictionary has so many bytes at least; shorter ones are filled up with spaces.
+LEAST_BYTES = 8
 #: A text is compressed in blocks of so many bytes, so that the dictionary counts as much at the end of a long text as at its start.
 BLOCK = 2048
 #: The runner-up has to be larger by so many bytes, and by this share of the smallest.
@@ -34,29 +36,27 @@ class Model(NamedTuple):
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS, dictionary_bytes: int = DICTIONARY_BYTES) -> Model:
-    """A dictionary for each language: whole texts of about sample_rows rows, chosen by a hash of the key, joined up to
-    dictionary_bytes. Rows without language or text are left out. The driver gets sample_rows texts per language at most,
-    each cut to what a dictionary can hold."""
-    known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES).collect()}
+    """A dictionary for each language that a row has: texts of up to sample_rows rows, chosen by a hash of the key, joined up to
+    dictionary_bytes. Rows without language or text are left out. The driver gets no more texts than fill the dictionaries: less
+    than twice dictionary_bytes per language."""
+    known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(key).alias("key"), F.col(text_col).alias("text"))
+    counts = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
     if not counts:
         return Model({}, {})
-    place = F.pmod(F.xxhash64(F.lit("language sample"), key), F.lit(1 << 30))
-    share = F.lit(0)
-    for lang, n in counts.items():
-        share = F.when(F.col(lang_col) == lang, min(1 << 30, (2 * sample_rows << 30) // n)).otherwise(share)
-    found = known.where(place < share).select(lang_col, place.alias("place"), key, F.substring(text_col, 1, dictionary_bytes).alias("text"))
-    rows = found.selectExpr("*", f"row_number() over (partition by {lang_col} order by place, {key}) as n").where(F.col("n") <= sample_rows).collect()
-    out: dict[str, bytes] = {}
-    for lang in sorted(counts):
-        texts, left = [], dictionary_bytes
-        for r in sorted((r for r in rows if r[lang_col] == lang), key=lambda r: r["n"]):
-            raw = r["text"].lower().encode("utf-8", "replace")[: max(left, 0)]
-            texts.append(raw)
-            left -= len(raw)
-        out[lang] = b"\n".join(reversed(texts))  # zstandard reaches the end of a dictionary at the lowest cost
-    out = {k: v for k, v in out.items() if len(v) >= 8}
-    return Model(out, {k: -math.log2(counts[k] / sum(counts.values())) / 8 for k in out})
+    place = F.pmod(F.xxhash64(F.lit("language sample"), "key", F.when(F.col("key").isNull(), F.col("text"))), F.lit(1 << 30))
+    shares = labelled.sparkSession.createDataFrame([(lang, min(1 << 30, (2 * sample_rows << 30) // n)) for lang, n in counts.items()], "lang string, share long")  # a row a language
+    found = known.withColumn("place", place).join(F.broadcast(shares), "lang").where("place < share")
+    found = found.select("lang", "place", "key", F.substring("text", 1, dictionary_bytes).alias("text"))
+    order = "partition by lang order by place, key, text"
+    before = f"coalesce(sum(octet_length(text)) over ({order} rows between unbounded preceding and 1 preceding), 0) as before"
+    rows = found.selectExpr("*", f"row_number() over ({order}) as n", before).where((F.col("n") <= sample_rows) & (F.col("before") < dictionary_bytes)).collect()
+    texts: dict[str, list[bytes]] = {lang: [] for lang in counts}
+    for r in sorted(rows, key=lambda r: r["n"]):
+        left = dictionary_bytes - sum(map(len, texts[r["lang"]]))
+        texts[r["lang"]].append(r["text"].lower().encode("utf-8", "replace")[: max(left, 0)])
+    # zstandard reaches the end of a dictionary at the lowest cost.
+    out = {lang: b"\n".join(reversed(texts[lang])).ljust(LEAST_BYTES) for lang in sorted(texts)}
+    return Model(out, {lang: -math.log2(counts[lang] / sum(counts.values())) / 8 for lang in out})
 
 
 class Compressors:
@@ -78,7 +78,8 @@ class Compressors:
         return [prior + sum(len(c(b)) for b in blocks) for c, prior in zip(self.compress, self.priors)]
 
     def judge(self, text: str | None) -> tuple[str, float, bool]:
-        """(language, score, accepted). The score falls with the bytes by which each other language is worse; without a letter: und, 0."""
+        """(language, score, accepted). The score falls with the bytes by which each other language is worse; without a letter: und, 0.
+        Of equally small ones the first by name is taken, and not accepted."""
         if text is None or not self.langs or not LETTER.search(text):
             return UNKNOWN, 0.0, False
         sizes = np.array(self.sizes(text.lower().encode("utf-8", "replace")), float)

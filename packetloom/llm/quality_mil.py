@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .common import crc_fold, table
 
 PASSAGE_WORDS = 64
-#: Labelled documents that training takes at most.
-TRAIN_DOCS = 3000
+#: Labelled documents that training takes at most, and passages of each, spread evenly over the text: about 100 MB in all.
+TRAIN_DOCS, TRAIN_PASSAGES = 3000, 32
 HIDDEN, GATE, STEPS, BATCH, RATE = 24, 12, 240, 128, 0.01
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.7
 #: Texts are encoded together up to so many bytes.
@@ -40,7 +40,8 @@ def encode_passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(passages x FEATURES, document of each passage): a passage is 64 words. Features: root shares of pairs of character
     classes, words that repeat the one before, distinct words, mean word length, words, lines. A text without words is one zero
     passage."""
-    raws = [(t or "").encode("utf-8", "replace") for t in texts]
+    # White space in front of the first word counts for nothing, so that no byte belongs to the text before.
+    raws = [(t or "").encode("utf-8", "replace").lstrip() for t in texts]
     data = np.frombuffer(b"\n".join(raws) + b"\n", np.uint8)
     ends = np.cumsum([len(r) + 1 for r in raws])
     white = WHITE[data]
@@ -58,7 +59,10 @@ def encode_passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         at = passage[word_of_byte]
         classes = CLASS_OF[data]
         total = len(owner)
-        pairs = np.bincount(at[:-1] * 256 + classes[:-1] * 16 + classes[1:], minlength=total * 256)[: total * 256].reshape(total, 256)
+        inside = np.ones(len(data), bool)
+        inside[ends - 1] = False  # no pair reaches into the next text
+        inside = np.flatnonzero(inside)
+        pairs = np.bincount(at[inside] * 256 + classes[inside] * 16 + classes[inside + 1], minlength=total * 256)[: total * 256].reshape(total, 256)
         size = np.maximum(pairs.sum(1, keepdims=True), 1)
         out[:, :256] = np.sqrt(pairs / size)
         place = (np.arange(len(data)) - begins[word_of_byte]) & 63
@@ -127,11 +131,40 @@ def fit(x: np.ndarray, owner: np.ndarray, y: np.ndarray, seed: int = 5) -> Model
     return m
 
 
+def segments(text: str | None, size: int = CHUNK_BYTES) -> list[str]:
+    """The text in parts of whole passages and about `size` bytes: what a long text is read in, so that memory stays bounded."""
+    raw = (text or "").encode("utf-8", "replace")
+    if len(raw) <= size:
+        return [text or ""]
+    white = WHITE[np.frombuffer(raw, np.uint8)]
+    begins = np.flatnonzero(~white & np.concatenate(([True], white[:-1])))[::PASSAGE_WORDS]
+    cuts = [0]
+    for at in begins[np.unique(np.searchsorted(begins, np.arange(size, len(raw), size)).clip(max=len(begins) - 1))].tolist() if len(begins) else []:
+        if at > cuts[-1]:
+            cuts.append(at)
+    return [raw[a:b].decode("utf-8", "replace") for a, b in zip(cuts, [*cuts[1:], len(raw)])]
+
+
+def score_long(m: Model, text: str) -> float:
+    """As attend() has it, with the passages of one text in several parts."""
+    parts = []
+    for part in segments(text):
+        h = np.maximum(encode_passages([part])[0] @ m.w1 + m.b1, 0)
+        parts.append((h, (np.tanh(h @ m.v) / (1 + np.exp(-(h @ m.u)))) @ m.w))
+    h, e = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    a = np.exp(e - e.max())
+    return float(1 / (1 + np.exp(-np.float64((a / a.sum()) @ h @ m.c + m.b[0]))))
+
+
 def score_texts(m: Model, texts: list[str | None]) -> np.ndarray:
     out, at = np.zeros(len(texts)), 0
     while at < len(texts):
+        if len(texts[at] or "") > CHUNK_BYTES:
+            out[at] = score_long(m, texts[at])
+            at += 1
+            continue
         end, size = at, 0
-        while end < len(texts) and (end == at or size < CHUNK_BYTES):
+        while end < len(texts) and len(texts[end] or "") <= CHUNK_BYTES and (end == at or size < CHUNK_BYTES):
             size += len(texts[end] or "")
             end += 1
         x, owner = encode_passages(texts[at:end])
@@ -140,6 +173,12 @@ def score_texts(m: Model, texts: list[str | None]) -> np.ndarray:
     return out
 
 
+def _spread(text: str | None) -> bytes:
+    """Features of at most TRAIN_PASSAGES passages, from the first to the last of the text at even steps."""
+    rows = np.concatenate([encode_passages([part])[0] for part in segments(text)])
+    return rows[np.unique(np.linspace(0, len(rows) - 1, TRAIN_PASSAGES).astype(int))].tobytes()
+
+
 def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
     """docs: (id, text); labels: (id, label 0 or 1). A sample of at most train_docs labelled rows, chosen by a hash of the id.
     None without labels. Conflicting labels of one id count as 0."""
@@ -153,7 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, id_c
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [encode_passages([t])[0].tobytes() for t in batch.column(1).to_pylist()]
+            rows = [_spread(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary()), batch.column(2)], names=["id", "x", "label"])
 
     sample = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)  # train_docs rows at most

@@ -114,9 +114,83 @@ def test_language_odd_rows(spark, odd, docs):
     assert lang_id.identify(odd, lang_id.Model({}, {})).where("lang_pred <> 'und'").count() == 0
 
 
+def brute_language(model, text):
+    """One compression a block and language, by the public interface alone."""
+    import math
+
+    import zstandard
+
+    if not text or not any(c.isalpha() for c in text):
+        return "und", False
+    raw, sizes = text.lower().encode(), {}
+    for lang, content in model.dictionaries.items():
+        options = zstandard.ZstdCompressionParameters.from_level(3, dict_size=lang_id.DICTIONARY_BYTES, source_size=lang_id.BLOCK, strategy=zstandard.STRATEGY_GREEDY, min_match=4, search_log=3, write_checksum=False, write_content_size=False, write_dict_id=False)
+        with_dictionary = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=options)
+        sizes[lang] = model.priors[lang] + sum(len(with_dictionary.compress(raw[k : k + lang_id.BLOCK])) for k in range(0, len(raw), lang_id.BLOCK))
+    best, *rest = sorted(sizes.items(), key=lambda x: (x[1], x[0]))
+    return best[0], (rest[0][1] if rest else math.inf) - best[1] >= max(1, 0.002 * best[1])
+
+
+def test_language_query(spark, docs):
+    """Every row of the registered query against plain compression with the dictionaries of the rows that are not held out."""
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = lang_id.train(docs.where(~held))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = lang_id.op2_language_id(spark, DATA).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        assert (r.lang_pred, r.accepted) == brute_language(model, texts[r.doc_id])
+
+
+def test_many_and_tiny_languages(spark):
+    rows = [(i, "ab" if i == 599 else f"wort{i} " * 9, f"l{i}") for i in range(600)] + [(None, "null key text", "l1")] * 3
+    model = lang_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.dictionaries) == 600 and all(8 <= len(d) <= lang_id.DICTIONARY_BYTES for d in model.dictionaries.values())
+    judge = lang_id.Compressors(lang_id.Model({"b": b"same words", "a": b"same words"}, {"a": 0.0, "b": 0.0}))
+    assert judge.judge("tie") == ("a", 0.5, False)
+
+
 # 3. Quality model
 
 
+def test_quality_query(spark, docs):
+    labels = spark.read.parquet(f"{DATA}/labels.parquet").select("doc_id", "quality")
+    model = quality_mil.train(docs, labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = quality_mil.op3_quality_model(spark, DATA).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == (r.score >= 0.7)
+        assert r.score == pytest.approx(brute_attention(model, texts[r.doc_id]), abs=1e-4)
+
+
+def brute_attention(m, text):
+    """One passage after the other, in double precision."""
+    import math
+
+    hidden = [np.maximum(x.astype(float) @ m.w1 + m.b1, 0) for x in quality_mil.encode_passages([text])[0]]
+    weights = [math.exp(float((np.tanh(h @ m.v) / (1 + np.exp(-(h @ m.u)))) @ m.w)) for h in hidden]
+    z = sum(w * h for w, h in zip(weights, hidden)) / sum(weights)
+    return 1 / (1 + math.exp(-float(z @ m.c + m.b[0])))
+
+
+def test_long_texts_in_parts(docs, spark):
+    labels = spark.read.parquet(f"{DATA}/labels.parquet").select("doc_id", "quality")
+    model = quality_mil.train(docs, labels)
+    long = " ".join(r.text or "" for r in docs.select("text").collect())
+    parts = quality_mil.segments(long, 20_000)
+    assert "".join(parts) == long and len(parts) > 5 and all(len(p.split()) % 64 == 0 for p in parts[:-1])
+    whole = quality_mil.score_texts(model, [long])[0]
+    big = quality_mil.CHUNK_BYTES
+    quality_mil.CHUNK_BYTES = 20_000
+    try:
+        assert quality_mil.score_texts(model, [None, long, "x"])[1] == pytest.approx(whole, abs=1e-3)
+        assert quality_mil.segments(" " * 50_000, 1000) and quality_mil.segments("x" * 50_000, 1000) == ["x" * 50_000]
+    finally:
+        quality_mil.CHUNK_BYTES = big
+
+
 def test_quality_model(spark, docs, odd):
     labels = spark.read.parquet(f"{DATA}/labels.parquet").select("doc_id", "quality")
     model = quality_mil.train(docs, labels)
