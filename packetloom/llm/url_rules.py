@@ -1,5 +1,10 @@
 """URL filter by association rules: FP-growth mines combinations of URL tokens that go with bad pages; rules that pass the
-support and confidence bounds are matched through an inverted index on each rule's rarest token."""
+support and confidence bounds are matched through an inverted index on each rule's rarest token.
+
+A rule has to be more often right than wrong, and to be better than chance: the lower end of its confidence's Wilson interval has
+to lie above the share of bad pages among all labelled ones. With CHANCE deviations a rule without meaning passes about once in
+30,000 candidates, so that labels that say nothing about URLs give no rules.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +12,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialise, table, unused
 
 BAD = "label:bad"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -21,8 +26,8 @@ RULES = (
 )
 #: Share of labelled pages that a rule's tokens and the label need together; share of bad pages among those it fits.
 MIN_SUPPORT, MIN_CONFIDENCE = 0.001, 0.5
-#: A rule rests on at least so many labelled pages.
-MIN_ROWS = 20
+#: A rule rests on at least so many bad pages, and its confidence stands out by so many deviations.
+MIN_ROWS, CHANCE = 20, 4.0
 #: A rule index of up to so many rows is broadcast; beyond that the join is shuffled.
 BROADCAST_RULES = 20_000
 
@@ -55,44 +60,56 @@ def url_tokens(url: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(labels, parts, keys), lambda x: x.isNotNull()))
 
 
+def wilson_low(share: Column, rows: Column, z: float = CHANCE) -> Column:
+    """The lower end of the Wilson interval of a share that was seen in so many rows."""
+    middle = share + z * z / (2 * rows)
+    return (middle - z * F.sqrt((share * (1 - share) + z * z / (4 * rows)) / rows)) / (1 + z * z / rows)
+
+
 def mine_rules(urls: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """urls: (tokens, bad). Returns (antecedent, confidence, support, anchor): the rules whose result is the bad label.
+    """urls: (tokens, bad). Returns (antecedent, confidence, support, anchor): the rules whose result is the bad label; anchor is
+    the rarest token of a rule.
 
     With fewer than MIN_ROWS labelled rows there are no rules. FP-growth runs distributed; what it sends to the driver is the list of
     frequent single tokens, at most (tokens a URL) / min_support.
     """
     spark = urls.sparkSession
-    baskets = urls.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items")).where(F.size("items") > 0)
-    labelled = baskets.count()
+    baskets = urls.where("bad is not null").select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items"), "bad").where(F.size("items") > 0)
+    labelled, bad = baskets.agg(F.count("*"), F.count_if("bad")).first()
     if labelled < MIN_ROWS:
         return spark.createDataFrame([], "antecedent array<string>, confidence double, support double, anchor string")
     model = FPGrowth(itemsCol="items", minSupport=max(min_support, MIN_ROWS / labelled), minConfidence=min_confidence).fit(baskets)
     single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
-    rules = model.associationRules.where((F.col("consequent")[0] == BAD) & (F.col("lift") > 1)).select("antecedent", "confidence", "support")
-    ranked = rules.select("*", F.explode("antecedent").alias("token")).join(single, "token")
+    found = model.associationRules.where(F.col("consequent")[0] == BAD)
+    sure = wilson_low(F.col("confidence"), F.col("support") * labelled / F.col("confidence")) > bad / labelled
+    ranked = found.where(sure).select("antecedent", "confidence", "support", F.explode("antecedent").alias("token")).join(single, "token")
     return ranked.groupBy("antecedent", "confidence", "support").agg(F.min_by("token", F.struct("freq", "token")).alias("anchor"))
 
 
 def matched_urls(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """urls: (url, tokens), each url once. Returns the urls that hold all tokens of some rule, with the best confidence."""
-    index = rules.select("anchor", "antecedent", "confidence")
-    small = len(index.select("anchor").take(BROADCAST_RULES + 1)) <= BROADCAST_RULES
+    index = materialise(rules.select("anchor", "antecedent", "confidence"), "url-rules")
+    small = index.count() <= BROADCAST_RULES
     found = urls.select("url", "tokens", F.explode("tokens").alias("anchor")).join(F.broadcast(index) if small else index, "anchor")
     return found.where(F.size(F.array_except("antecedent", "tokens")) == 0).groupBy("url").agg(F.max("confidence").alias("confidence"))
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """pages: (page_id, url, ...); labels: (page_id, bad). Adds host, path, rule, verdict and learned (the confidence of the
-    best mined rule that fits, else null). A fixed rule decides first, then a mined rule blocks, else the page is allowed.
-    Null or odd urls have empty host and path and are allowed; repeated rows are judged alike."""
+    best mined rule that fits, else null), in place of columns of these names. A fixed rule decides first, then a mined rule blocks,
+    else the page is allowed. Of equally long fixed rules the last by name decides. Null or odd urls have empty host and path and are
+    allowed; repeated rows are judged alike; whole urls are read; an empty input gives no rows."""
+    base = pages.drop("host", "path", "rule", "verdict", "learned")
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     rule, action = fixed_rule(host, path, rules)
     known = labels.where("page_id is not null and bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
-    tokens = pages.select("page_id", "url", url_tokens(F.col("url")).alias("tokens"))
+    tokens = base.select("page_id", "url", url_tokens(F.col("url")).alias("tokens"))
     mined = mine_rules(tokens.join(known, "page_id").select("tokens", "bad"), min_support, min_confidence)
     hits = matched_urls(tokens.where("url is not null").select("url", "tokens").dropDuplicates(["url"]), mined)
-    judged = pages.withColumns({"host": host, "path": path, "rule": rule, "_action": action}).join(hits.withColumnRenamed("confidence", "learned"), "url", "left")
-    return judged.withColumn("verdict", F.coalesce("_action", F.when(F.col("learned").isNotNull(), "block"), F.lit("allow"))).drop("_action")
+    key = unused(base, "hit")
+    judged = base.join(hits.select(F.col("url").alias(key), F.col("confidence").alias("learned")), F.col("url") == F.col(key), "left").drop(key)
+    verdict = F.coalesce(action, F.when(F.col("learned").isNotNull(), "block"), F.lit("allow"))
+    return judged.withColumns({"host": host, "path": path, "rule": rule, "verdict": verdict})
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

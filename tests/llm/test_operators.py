@@ -525,6 +525,56 @@ def test_mined_rules_block(spark):
     assert all((r.verdict == "block") == (r.page_id % 3 == 0) for r in out)
 
 
+def brute_rules(baskets, min_rows, min_confidence):
+    """All token combinations by counting, with the Wilson bound as in a textbook."""
+    import itertools
+    import math
+
+    counts, bad = collections.Counter(), collections.Counter()
+    for tokens, is_bad in baskets:
+        for size in range(1, len(tokens) + 1):
+            for items in itertools.combinations(sorted(tokens), size):
+                counts[items] += 1
+                bad[items] += is_bad
+    base, z, out = sum(b for _, b in baskets) / len(baskets), url_rules.CHANCE, {}
+    for items, n in counts.items():
+        p = bad[items] / n
+        low = (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+        if bad[items] >= min_rows and p >= min_confidence and low > base:
+            out[items] = p
+    return out
+
+
+def test_mining_against_counts(spark):
+    r = random.Random(6)
+    baskets = []
+    for _ in range(1500):
+        tokens = [t for t in "abcdef" if r.random() < 0.4] or ["a"]
+        baskets.append((tokens, r.random() < (0.9 if "b" in tokens and "c" in tokens else 0.7 if "e" in tokens else 0.2)))
+    frame = spark.createDataFrame(baskets, "tokens array<string>, bad boolean")
+    got = {tuple(sorted(x.antecedent)): x.confidence for x in url_rules.mine_rules(frame).collect()}
+    want = brute_rules(baskets, 20, 0.5)
+    assert got == pytest.approx(want) and len(want) > 10
+    r.shuffle(labels := [b for _, b in baskets])
+    noise = spark.createDataFrame([(t, b) for (t, _), b in zip(baskets, labels)], "tokens array<string>, bad boolean")
+    assert url_rules.mine_rules(noise).count() == 0
+
+
+def test_url_query(spark):
+    urls = {r.page_id: r.url for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
+    got = url_rules.op10_url_filter(spark, DATA).collect()
+    assert len(got) == len(urls)
+    for r in got:
+        host, path, rule, action = plain_judge(urls[r.page_id])
+        assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, action or ("block" if r.learned else "allow"))
+
+
+def test_url_clashes(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/en/x" + "y" * 100_000)], "page_id long, url string").withColumns({c: F.lit(1) for c in ("learned", "hit", "HOST", "confidence", "_action", "tokens")})
+    row = url_rules.judge_urls(pages, spark.createDataFrame([], "page_id long, bad boolean")).first()
+    assert row.host == "a.com" and row.learned is None and row.hit == 1 and row.verdict == "block" and len(row.path) > 100_000
+
+
 # The pipeline
 
 
