@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +59,70 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+class Known:
+    """What a Python worker knows of short byte strings: for each a value, and a number. Holds `limit` of them at most; when it is
+    full, those that were used longest ago go. learn gives (values, numbers) of strings that are new."""
+
+    def __init__(self, learn: Callable[[list[bytes]], tuple[list[bytes], np.ndarray]], limit: int):
+        self.learn, self.limit, self.clock = learn, limit, 0
+        self.keys = self.values = pa.array([], pa.large_binary())
+        self.numbers, self.used = np.zeros(0), np.zeros(0, np.int64)
+
+    def places(self, keys: pa.Array) -> np.ndarray:
+        """Where in values and numbers the distinct keys are, until the next call."""
+        place = pc.index_in(keys, self.keys)
+        if place.null_count and len(self.keys) + place.null_count > self.limit:
+            kept = np.sort(np.argsort(self.used, kind="stable")[-max(1, self.limit // 2) :])
+            self.keys, self.values = self.keys.take(pa.array(kept)), self.values.take(pa.array(kept))
+            self.numbers, self.used = self.numbers[kept], self.used[kept]
+            place = pc.index_in(keys, self.keys)
+        new = pc.is_null(place).to_numpy(zero_copy_only=False)
+        at = pc.fill_null(place, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if place.null_count:
+            at[new] = len(self.keys) + np.arange(place.null_count)
+            missing = keys.filter(pa.array(new))
+            values, numbers = self.learn(slices(missing))
+            self.keys = pa.concat_arrays([self.keys, missing])
+            self.values = pa.concat_arrays([self.values, pa.array(values, pa.large_binary())])
+            self.numbers, self.used = np.concatenate((self.numbers, numbers)), np.concatenate((self.used, np.zeros(len(values), np.int64)))
+        self.clock += 1
+        self.used[at] = self.clock
+        return at
+
+
+def slices(values: pa.Array) -> list[bytes]:
+    """The values of a large binary array that begins where its buffers do, without nulls."""
+    if not len(values):
+        return []
+    data, offsets = values.buffers()[2].to_pybytes(), np.frombuffer(values.buffers()[1], np.int64)[: len(values) + 1].tolist()
+    return [data[a:b] for a, b in zip(offsets, offsets[1:])]
+
+
+def flat(texts: pa.Array) -> tuple[bytes, np.ndarray]:
+    """All bytes of a large binary array without nulls, and where each value begins, with the end."""
+    values = pa.concat_arrays([texts])  # from offset 0
+    offsets = np.frombuffer(values.buffers()[1], np.int64)[: len(values) + 1]
+    raw = values.buffers()[2].to_pybytes()[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else b""
+    return raw, offsets - offsets[0]
+
+
+def cut(data: np.ndarray, begins: np.ndarray) -> pa.Array:
+    """Bytes as large binary values, cut where begins says (an end follows by itself)."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(np.append(begins, len(data)).astype(np.int64)), pa.py_buffer(data)])
+
+
+def by_bytes(texts: pa.Array, size: int) -> Iterator[pa.Array]:
+    """Stretches of a text column, nulls as empty, of about so many bytes (one text at least)."""
+    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        before = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield texts.slice(at, to - at)
+        at = to
+
+
 def crc_fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo folds: what decides which rows are held out."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))

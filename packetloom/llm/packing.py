@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import materialise, table, unused
+from .common import Known, by_bytes, cut, flat, materialise, table, unused
 
 CAPACITY = 4096
 END_ID = 1
@@ -68,13 +68,10 @@ class WordTokenizer:
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        # Known parts, their ids, and when each was used last.
-        self.cached, self.clock = cached, 0
-        self.words = self.ids = pa.array([], pa.large_binary())
-        self.used = np.zeros(0, np.int64)
+        self.known = Known(self._learn, cached)
 
-    def _learn(self, words: pa.Array) -> pa.Array:
-        texts = [w.decode("utf-8", "replace").lstrip(" ") for w in _slices(words)]
+    def _learn(self, words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+        texts = [w.decode("utf-8", "replace").lstrip(" ") for w in words]
         found: list[bytes] = [b""] * len(texts)
         plain = [k for k, t in enumerate(texts) if t.isalpha() and t.islower() and (t.isascii() or (max(t) < LATIN_END and t.lower() == t))]
         if plain:  # a word each: it ends where a token ends a word
@@ -90,64 +87,37 @@ class WordTokenizer:
             begins = np.array([o[0] for o in encoded.offsets], np.int64)
             lengths = np.array([len(texts[k]) + 1 for k in part], np.int64)
             _keep(found, part, np.array(encoded.ids, "<u4"), np.searchsorted(begins, np.cumsum(lengths)))
-        return pa.array(found, pa.large_binary())
-
-    def _known(self, words: pa.Array) -> pa.Array:
-        """Ids of distinct parts."""
-        place = pc.index_in(words, self.words)
-        if place.null_count and len(self.words) + place.null_count > self.cached:  # what was used longest ago goes
-            kept = np.sort(np.argsort(self.used, kind="stable")[-max(1, self.cached // 2) :])
-            self.words, self.ids, self.used = self.words.take(pa.array(kept)), self.ids.take(pa.array(kept)), self.used[kept]
-            place = pc.index_in(words, self.words)
-        new = pc.is_null(place).to_numpy(zero_copy_only=False)
-        at = pc.fill_null(place, 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        if place.null_count:
-            at[new] = len(self.words) + np.arange(place.null_count)
-            missing = words.filter(pa.array(new))
-            self.words, self.ids = pa.concat_arrays([self.words, missing]), pa.concat_arrays([self.ids, self._learn(missing)])
-            self.used = np.concatenate((self.used, np.zeros(len(missing), np.int64)))
-        self.clock += 1
-        self.used[at] = self.clock
-        return self.ids.take(pa.array(at))
+        return found, np.zeros(len(found))
 
     def encode(self, texts: pa.Array) -> Iterator[bytes]:
         """For each text its ids as little-endian unsigned 32-bit numbers; nothing for a null."""
-        texts = texts.cast(pa.large_binary())
-        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        at = 0
-        while at < len(texts):
-            before = int(ends[at - 1]) if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, before + SPLIT_BYTES, "right")))
-            yield from self._encode(texts.slice(at, to - at))
-            at = to
+        for part in by_bytes(texts, SPLIT_BYTES):
+            yield from self._encode(part)
 
     def _encode(self, texts: pa.Array) -> Iterator[bytes]:
-        values = pa.concat_arrays([pc.fill_null(texts, b"")])  # from offset 0
-        offsets = np.frombuffer(values.buffers()[1], np.int64)[: len(values) + 1]
-        raw = values.buffers()[2].to_pybytes()[offsets[0] : offsets[-1]] if offsets[-1] else b""
-        offsets = offsets - offsets[0]
+        raw, offsets = flat(texts)
         # A special token is one only as it is written: such texts go to the tokenizer as they are.
-        whole = {k for s in self.special if s in raw for k in np.flatnonzero(pc.match_substring(values, s).to_numpy(zero_copy_only=False)).tolist()}
+        whole = {k for s in self.special if s in raw for k in np.flatnonzero(pc.match_substring(texts, s).to_numpy(zero_copy_only=False)).tolist()}
         folded = np.frombuffer(bytearray(raw.translate(FOLD)), np.uint8)
         given = np.frombuffer(raw, np.uint8)
         kinds = KINDS[folded]
         # Before a combining mark, a capital is composed as a capital.
         marked = np.flatnonzero((given[1:] >= 128) & (folded[:-1] != given[:-1]) & (kinds[:-1] == 1))
         folded[marked] = given[marked]
-        begins = np.zeros(len(folded) + 1, bool)
-        if len(folded):
-            begins[1:-1] = BEGINS.ravel()[kinds[:-1] * np.uint8(5) + kinds[1:]]
-        begins[offsets] = True
+        begins = np.zeros(len(folded), bool)
+        begins[1:] = BEGINS.ravel()[kinds[:-1] * np.uint8(5) + kinds[1:]]
+        begins[offsets[offsets < len(folded)]] = True
         begin = np.flatnonzero(begins)
-        parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin) - 1, [None, pa.py_buffer(begin), pa.py_buffer(folded)]).dictionary_encode()
-        ids = self._known(parts.dictionary).take(parts.indices)
-        ends = np.frombuffer(ids.buffers()[1], np.int64)[np.searchsorted(begin, offsets)].tolist() if len(ids) else [0] * len(offsets)
-        flat = memoryview(ids.buffers()[2] or b"") if len(ids) else memoryview(b"")
+        parts = cut(folded, begin).dictionary_encode()
+        places = self.known.places(parts.dictionary)  # before values, which it may extend
+        ids = self.known.values.take(pa.array(places)).take(parts.indices)
+        data, ends = flat(ids)
+        ends = ends[np.searchsorted(begin, offsets)].tolist()
         for k, (a, b) in enumerate(pairwise(ends)):
             if k in whole:
-                yield np.array(self.tokenizer.encode(values[k].as_py().decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+                yield np.array(self.tokenizer.encode(texts[k].as_py().decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
             else:
-                yield bytes(flat[a:b])
+                yield data[a:b]
 
 
 def _keep(found: list[bytes], places: list[int], ids: np.ndarray, ends: np.ndarray) -> None:
@@ -157,14 +127,6 @@ def _keep(found: list[bytes], places: list[int], ids: np.ndarray, ends: np.ndarr
         start = end
 
 
-def _slices(values: pa.Array) -> list[bytes]:
-    """The values of a large binary array that begins at its buffer's begin, without nulls."""
-    if not len(values):
-        return []
-    data, offsets = values.buffers()[2].to_pybytes(), np.frombuffer(values.buffers()[1], np.int64)[: len(values) + 1].tolist()
-    return [data[a:b] for a, b in pairwise(offsets)]
-
-
 @lru_cache(maxsize=1)
 def tokenizer_of(path: str) -> WordTokenizer:
     """The tokenizer of this Python worker, with what it knows from earlier tasks."""
@@ -177,7 +139,7 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_i
     kind = docs.schema[id_col].dataType.simpleString()
     names = [id_col, "piece", "start", "length", "ids"]
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, end = tokenizer_of(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple[int, int, int, int, bytes]] = []
@@ -202,7 +164,7 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_i
                 yield flush()
             pa.default_memory_pool().release_unused()
 
-    return docs.select(id_col, text_col).mapInArrow(cut, f"`{id_col}` {kind}, piece int, start long, length long, ids binary")
+    return docs.select(id_col, text_col).mapInArrow(encode, f"`{id_col}` {kind}, piece int, start long, length long, ids binary")
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:

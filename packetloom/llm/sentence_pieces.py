@@ -1,32 +1,35 @@
 """SentencePiece encoding and decoding: an Aho-Corasick automaton over the pieces finds, in one pass over a text, all pieces that
-end at each position; a Viterbi table relaxes over them.
+end at each position, along output links; a Viterbi table relaxes the best score of each position over them.
 
-What makes a path best depends on the model file. In a unigram model it is the sum of scores. A BPE model's ids are not
-those of the best sum, but they are a path of the same lattice: of the pieces that end at a position exactly one can follow the
-last piece of the text before it (two neighbours must be what merging makes of them), so the same pass keeps that one.
-Both give the ids that the model's own library gives.
+The best sum of scores is a unigram model's segmentation. A BPE model's ids are a path of the same lattice, but not that of the
+best sum: of the pieces that end at a position exactly one can follow the last piece of the text before it (two neighbours must be
+what merging makes of them). The pass keeps both: best sums for every model, and for BPE models the path that merging makes,
+which has the ids that the model's own library gives.
+
+A text falls apart where no piece holds the two characters side by side; the pass runs once over each part that is new to a worker.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import string
 from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Known, by_bytes, cut, flat, table
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
-#: Chunks of text of which a task keeps the ids at most, and the longest chunk that it keeps.
-CACHED_CHUNKS, CACHED_LENGTH = 400_000, 64
+#: Parts of text of which a worker keeps the ids at most, and bytes of text that it cuts into parts at once.
+CACHED_PARTS, SPLIT_BYTES = 600_000, 4 << 20
 #: Pairs of pieces of which a task remembers whether they can stand side by side.
 KNOWN_PAIRS = 1_000_000
 #: What an unknown character costs below the worst piece of a unigram model.
@@ -87,78 +90,94 @@ class Pieces:
             if self.kind != BPE or len(piece) == 1 or self._merge(piece) == [piece]:  # others never come out of merging
                 self.automaton.add_word(piece, (len(piece), i))
         self.automaton.make_automaton()
-        self.chunks = self._chunk_pattern()
+        self.begins = self._begins()
         self.joins: dict[int, bool] = {}
         self.known_chars = "".join(re.escape(c) for c in self.id_of if len(c) == 1)
-        self.cache: dict[str, tuple[int, ...]] = {}
-
-    def _chunk_pattern(self) -> re.Pattern | None:
-        """Where no piece spans two neighbouring characters, a text falls apart: before a run of space signs, between a word and a
-        mark, around line ends. None if pieces of the model cross such places."""
-        pairs = {p[k : k + 2] for p in self.id_of for k in range(len(p) - 1)}
-        if any(SPACE == y != x for x, y in pairs):
-            return None
-        crossed = {y for x, y in pairs if x.isalnum() or x == "_"}
-        marks = "".join(re.escape(c) for c in string.punctuation if c not in crossed and c != "_")
-        apart = "".join(c for c in "\n\t\r" if not any(c in p for p in self.id_of))
-        if not (marks and apart):
-            return re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        return re.compile(rf"{SPACE}*+(?:\w++(?=[{marks}{SPACE}{apart}]|\Z)|[^{SPACE}{apart}]++)|[{apart}]+|{SPACE}+")
-
-    def normalise(self, text: str) -> str:
+        self.raw_pieces = pa.array(self.raw, pa.large_binary())
+        self.known = Known(self._learn, CACHED_PARTS)
+
+    def _begins(self) -> np.ndarray:
+        """Whether a part begins between two bytes: ASCII characters that no piece has side by side; a space sign counts as a space."""
+        begins = np.zeros((256, 256), bool)
+        begins[:128, :128] = True
+        for piece in self.id_of:
+            plain = piece.replace(SPACE, " ").encode("utf-8", "replace")
+            for x, y in zip(plain, plain[1:]):
+                begins[x, y] = False
+        return begins.ravel()
+
+    def _normal(self, texts: pa.Array) -> pa.Array:
+        """Normalised texts, with spaces for space signs."""
         if self.plain:
-            return SPACE + text.replace(" ", SPACE) if text else ""
-        return self.processor.normalize(text)
+            front = pc.if_else(pc.greater(pc.binary_length(texts), 0), pa.scalar(b" ", pa.large_binary()), pa.scalar(b"", pa.large_binary()))
+            return pc.binary_join_element_wise(front, texts, pa.scalar(b"", pa.large_binary()))
+        return pa.array([self.processor.normalize(t.as_py().decode("utf-8", "replace")).replace(SPACE, " ").encode() for t in texts], pa.large_binary())
+
+    def encode_column(self, texts: pa.Array) -> Iterator[tuple[bytes, float]]:
+        """For each text its ids, as little-endian unsigned 32-bit numbers, and the best sum of scores; a null is as an empty text."""
+        for part in by_bytes(texts, SPLIT_BYTES):
+            raw, offsets = flat(self._normal(part))
+            data = np.frombuffer(raw, np.uint8)
+            begins = np.zeros(len(data), bool)
+            begins[1:] = self.begins[data[:-1].astype(np.uint16) << 8 | data[1:]]
+            begins[offsets[offsets < len(data)]] = True
+            begin = np.flatnonzero(begins)
+            words = cut(data, begin).dictionary_encode()
+            places = self.known.places(words.dictionary)[words.indices.to_numpy()]
+            ids, ends = flat(self.known.values.take(pa.array(places)))
+            of = np.searchsorted(begin, offsets)
+            sums = np.concatenate(([0.0], np.cumsum(self.known.numbers[places])))[of]
+            ends = ends[of].tolist()
+            for k, (a, b) in enumerate(zip(ends, ends[1:])):
+                yield ids[a:b], float(sums[k + 1] - sums[k])
 
     def encode(self, text: str | None) -> list[int]:
-        normal, out = self.normalise(text or ""), []
-        if not self.chunks:
-            return list(self._path(normal)) if normal else []
-        cache = self.cache
-        for chunk in self.chunks.findall(normal):
-            ids = cache.get(chunk)
-            if ids is None:
-                ids = self._path(chunk)
-                if len(chunk) <= CACHED_LENGTH:
-                    if len(cache) >= CACHED_CHUNKS:
-                        cache.clear()
-                    cache[chunk] = ids
-            out += ids
-        return out
-
-    def _path(self, text: str) -> tuple[int, ...]:
-        return (self._viterbi if self.kind == UNIGRAM else self._merged)(text)
-
-    def _viterbi(self, text: str) -> tuple[int, ...]:
-        """Best sum of scores; pieces that end at a position relax its score, an unknown character is a piece at a penalty."""
-        n = len(text)
-        best, last = [0.0] + [-math.inf] * n, [(0, -1)] * (n + 1)
-        found: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
-        for end, match in self.automaton.iter(text):
-            found[end + 1].append(match)
-        for end in range(1, n + 1):
-            single = False
-            for length, i in found[end]:
-                single |= length == 1
-                total = best[end - length] + self.score[i]
-                if total > best[end]:
-                    best[end], last[end] = total, (length, i)
-            if not single and best[end - 1] + self.lowest > best[end]:
-                best[end], last[end] = best[end - 1] + self.lowest, (1, -1)
-        return self._trace(text, last)
-
-    def _merged(self, text: str) -> tuple[int, ...]:
-        """The one path on which every two neighbours are what merging makes of them."""
+        return np.frombuffer(next(self.encode_column(pa.array([text], pa.string())))[0], "<u4").tolist()
+
+    def _learn(self, parts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+        ids, best = [], np.zeros(len(parts))
+        for k, part in enumerate(parts):
+            path, best[k] = self.path(part.decode("utf-8", "replace").replace(" ", SPACE))
+            ids.append(np.array(path, "<u4").tobytes())
+        return ids, best
+
+    def path(self, text: str) -> tuple[list[int], float]:
+        """The model's ids of a normalised text, and the best sum of scores of any path; an unknown character is a piece at a penalty."""
+        unknown = {c for c in set(text) if c not in self.id_of}
+        if self.kind != UNIGRAM and unknown:  # no piece reaches over an unknown character
+            ids: list[int] = []
+            total = 0.0
+            for part in re.findall(f"[{self.known_chars}]+|.", text, re.S):
+                if part[0] in unknown:
+                    ids += self._unknown(part)
+                    total += self.lowest
+                else:
+                    more, best = self._relax(part)
+                    ids += more
+                    total += best
+            return ids, total
+        return self._relax(text)
+
+    def _relax(self, text: str) -> tuple[list[int], float]:
         n = len(text)
-        last: list[int | None] = [None] * (n + 1)  # the piece that ends here; -1: the start
+        score, joins, merging = self.score, self.joins, self.kind != UNIGRAM
+        best, found = [0.0] + [-math.inf] * n, [(0, -1)] * (n + 1)
+        last: list[int | None] = [None] * (n + 1)  # BPE: the piece that ends here; -1: the start
         begins = [0] * (n + 1)
         last[0] = -1
-        joins = self.joins
         if len(joins) > KNOWN_PAIRS:
             joins.clear()
+        lowest, reached = self.lowest, 0
         for end, (length, i) in self.automaton.iter(text):  # by rising end, longest first, along output links
             end += 1
-            if last[end] is None:
+            while reached < end - 1:  # positions without a piece: an unknown character
+                reached += 1
+                if best[reached - 1] + lowest > best[reached]:
+                    best[reached], found[reached] = best[reached - 1] + lowest, (1, -1)
+            total = best[end - length] + score[i]
+            if total > best[end]:
+                best[end], found[end] = total, (length, i)
+            if merging and last[end] is None:
                 before = last[end - length]
                 if before is not None:
                     key = before << 32 | i
@@ -167,28 +186,38 @@ class Pieces:
                         fits = joins[key] = before < 0 or self._merge(self.text[before] + self.text[i]) == [self.text[before], self.text[i]]
                     if fits:
                         last[end], begins[end] = i, end - length
+        while reached < n:
+            reached += 1
+            if best[reached - 1] + lowest > best[reached]:
+                best[reached], found[reached] = best[reached - 1] + lowest, (1, -1)
+        return (self._merged(last, begins) if merging else self._trace(text, found)), best[n]
+
+    @staticmethod
+    def _merged(last: list[int | None], begins: list[int]) -> list[int]:
+        """The one path on which every two neighbours are what merging makes of them."""
         out: list[int] = []
-        if any(c not in self.id_of for c in set(text)):  # unknown characters: no piece reaches over them
-            for part in re.findall(f"[{self.known_chars}]+|.", text, re.S):
-                out += self._merged(part) if part[0] in self.id_of else self._unknown(part)
-            return tuple(out)
-        while n:
-            out.append(last[n])
-            n = begins[n]
-        return tuple(reversed(out))
+        end = len(last) - 1
+        while end:
+            out.append(last[end])
+            end = begins[end]
+        return out[::-1]
 
     def _unknown(self, char: str) -> list[int]:
         """The bytes of a character that no piece has, if the model has byte pieces, else the unknown id."""
         return [self.byte_ids[b] for b in char.encode("utf-8", "replace")] if self.byte_ids[0] >= 0 else [self.unknown]
 
-    def _trace(self, text: str, last: list[tuple[int, int]]) -> tuple[int, ...]:
+    def _trace(self, text: str, last: list[tuple[int, int]]) -> list[int]:
+        """The best path. Where the model has no byte pieces, a run of unknown characters is one unknown id, as in the library."""
         out: list[int] = []
         end = len(text)
         while end:
             length, i = last[end]
-            out += [i] if i >= 0 else reversed(self._unknown(text[end - 1]))
+            if i >= 0:
+                out.append(i)
+            elif self.byte_ids[0] >= 0 or not out or out[-1] != self.unknown:
+                out += reversed(self._unknown(text[end - 1]))
             end -= length
-        return tuple(reversed(out))
+        return out[::-1]
 
     def _merge(self, text: str) -> list[str]:
         """Merges the pair of neighbours of the best score, the leftmost first, as long as there is one."""
@@ -203,10 +232,9 @@ class Pieces:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: list[int] | np.ndarray) -> str:
         """The text of ids: space signs become spaces, the one in front goes, runs of byte pieces are read as UTF-8."""
-        raw = b"".join(map(self.raw.__getitem__, ids))
-        text = raw.decode("utf-8", "replace")
+        text = flat(self.raw_pieces.take(pa.array(ids, pa.int64())))[0].decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -225,17 +253,36 @@ def _located(path: str) -> str:
 
 
 def encode_texts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>): one row per row of docs, for whole texts. Null and empty texts have no ids."""
+    """(id, ids array<int>, best double): one row per row of docs, for whole texts; best is the best sum of scores. Null and empty
+    texts have no ids and the sum 0. Of equal sums the longer last piece is taken."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(_located(model))
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pieces.encode(x.as_py()) for x in batch.column(1)], pa.list_(pa.int32()))], names=[id_col, "ids"])
-
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+            at = 0
+            for rows in _held(pieces.encode_column(whole.column(1))):
+                ids = np.frombuffer(b"".join(r[0] for r in rows), "<u4").astype(np.int32)
+                ends = np.concatenate(([0], np.cumsum([len(r[0]) // 4 for r in rows]))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([whole.column(0).slice(at, len(rows)), lists, pa.array([r[1] for r in rows], pa.float64())], names=[id_col, "ids", "best"])
+                at += len(rows)
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, best double")
+
+
+def _held(rows: Iterator[tuple[bytes, float]], size: int = 4 << 20) -> Iterator[list[tuple[bytes, float]]]:
+    """Rows in lists of about so many bytes."""
+    held: list[tuple[bytes, float]] = []
+    used = 0
+    for row in rows:
+        held.append(row)
+        used += len(row[0]) + 64
+        if used >= size:
+            yield held
+            held, used = [], 0
+    if held:
+        yield held
 
 
 def decode_ids(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -252,7 +299,8 @@ def decode_ids(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col:
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each text encoded and decoded again: ids, their number, a digest of the ids and of the text that they decode to."""
+    """Each text encoded and decoded again: the number of ids, a digest of the ids and of the text that they decode to, and the best
+    sum of scores."""
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
@@ -260,15 +308,14 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         pieces = pieces_of(_located(path))
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                ids = [pieces.encode(x.as_py()) for x in batch.column(1)]
-                raw = [np.array(i, "<u4").tobytes() for i in ids]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(i) for i in ids], pa.int64()), pa.array(raw, pa.binary()), pa.array([pieces.decode(i) for i in ids], pa.string())], names=["doc_id", "n_ids", "raw", "decoded"])
-
-    out = docs.mapInArrow(both, f"doc_id {kind}, n_ids long, raw binary, decoded string")
-    return out.select("doc_id", "n_ids", F.crc32("raw").alias("ids_crc32"), F.crc32(F.encode("decoded", "UTF-8")).alias("decoded_crc32"))
+            at = 0
+            for rows in _held(pieces.encode_column(whole.column(1))):
+                decoded = [pieces.decode(np.frombuffer(ids, "<u4")) for ids, _ in rows]
+                columns = (pa.array([len(ids) // 4 for ids, _ in rows], pa.int64()), pa.array([ids for ids, _ in rows], pa.binary()), pa.array(decoded, pa.string()), pa.array([best for _, best in rows], pa.float64()))
+                yield pa.RecordBatch.from_arrays([whole.column(0).slice(at, len(rows)), *columns], names=["doc_id", "n_ids", "raw", "decoded", "best"])
+                at += len(rows)
+
+    out = docs.mapInArrow(both, f"doc_id {kind}, n_ids long, raw binary, decoded string, best double")
+    return out.select("doc_id", "n_ids", F.crc32("raw").alias("ids_crc32"), F.crc32(F.encode("decoded", "UTF-8")).alias("decoded_crc32"), "best")

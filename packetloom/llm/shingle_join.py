@@ -24,12 +24,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise, shuffle_partitions, table, unused
+from .common import by_bytes, connected_components, cut, flat, materialise, shuffle_partitions, slices, table, unused
 from .vector_pairs import Forest
 
 SHINGLE_WORDS = 5
@@ -67,21 +66,12 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: pa.Array, k: int = SHINGLE_WORDS) -> Iterator[np.ndarray]:
     """For each text the sorted distinct hashes of its k-word shingles, A-Z in lower case; of all words as one where there are fewer."""
-    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
-    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < len(texts):
-        before = int(ends[at - 1]) if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, before + SPLIT_BYTES, "right")))
-        yield from _shingles_of(texts.slice(at, to - at), k)
-        at = to
+    for part in by_bytes(texts, SPLIT_BYTES):
+        yield from _shingles_of(part, k)
 
 
 def _shingles_of(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
-    values = pa.concat_arrays([texts])  # from offset 0
-    offsets = np.frombuffer(values.buffers()[1], np.int64)[: len(values) + 1]
-    raw = values.buffers()[2].to_pybytes()[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else b""
-    offsets = offsets - offsets[0]
+    raw, offsets = flat(texts)
     data = np.frombuffer(raw.translate(FOLD), np.uint8)
     solid = data != 32
     begins = solid.copy()
@@ -89,9 +79,8 @@ def _shingles_of(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
     firsts = offsets[:-1][offsets[:-1] < len(data)]
     begins[firsts] = solid[firsts]
     word_of = np.searchsorted(np.flatnonzero(begins), offsets)
-    begin = np.append(np.flatnonzero(begins[solid]), int(solid.sum()))
-    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin) - 1, [None, pa.py_buffer(begin), pa.py_buffer(data[solid])]).dictionary_encode()
-    hashed = np.array([xxhash.xxh3_64_intdigest(w, 7) for w in words.dictionary.to_pylist()], np.uint64)[words.indices.to_numpy()]
+    words = cut(data[solid], np.flatnonzero(begins[solid])).dictionary_encode()
+    hashed = np.array([xxhash.xxh3_64_intdigest(w, 7) for w in slices(words.dictionary)], np.uint64)[words.indices.to_numpy()]
     rows = max(0, len(hashed) - k + 1)
     sums = np.zeros(rows, np.uint64)
     for n in range(k):

@@ -334,24 +334,85 @@ def test_pieces_equal_the_library(spark, docs, odd):
     texts = dict(both.collect())
     encoded = sentence_pieces.encode_texts(both, path)
     decoded = dict(sentence_pieces.decode_ids(encoded, path).collect())
-    for i, ids in encoded.collect():
+    for i, ids, _ in encoded.collect():
         assert list(ids) == library.encode(texts[i] or "")
         assert decoded[i] == (texts[i] or "")
 
 
-def test_unigram_words_equal_the_library():
+def best_sum(pieces, text):
+    """All pieces tried at all positions of the whole text."""
+    n = len(text)
+    best = [0.0] + [-float("inf")] * n
+    longest = max(map(len, pieces.id_of))
+    for end in range(1, n + 1):
+        for begin in range(max(0, end - longest), end):
+            piece = text[begin:end]
+            if piece in pieces.usable:
+                best[end] = max(best[end], best[begin] + pieces.score[pieces.id_of[piece]])
+        best[end] = max(best[end], best[end - 1] + pieces.lowest)
+    return best[n]
+
+
+def test_best_sums_against_all_pieces(docs):
     import public_tokenizers
-    import sentencepiece
+    import pyarrow as pa
+
+    pieces = sentence_pieces.pieces_of(public_tokenizers.path("piece_bpe_32k.model"))
+    pieces.usable = {p for p in pieces.id_of if p in pieces.automaton}
+    r = random.Random(12)
+    texts = [(t or "")[:1500] for t in ODD] + [r.choice(x.text or " ")[:1] + (x.text or "")[:1200] for x in docs.select("text").limit(60).collect()]
+    texts += ["".join(r.choice("ab t h e\n\t▁.,1日é\x00👍") for _ in range(50)) for _ in range(100)]
+    for text, (_, best) in zip(texts, pieces.encode_column(pa.array(texts))):
+        assert best == pytest.approx(best_sum(pieces, pieces.processor.normalize(text)))
+
 
-    raw = open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read()
+def as_unigram(raw):
+    """The same pieces and scores as a unigram model."""
     trainer = dict(sentence_pieces._fields(raw))[2]
     at = raw.index(trainer) + trainer.index(bytes([0x18, 2]))
-    raw = raw[: at + 1] + bytes([1]) + raw[at + 2 :]  # the same pieces and scores as a unigram model
+    return raw[: at + 1] + bytes([1]) + raw[at + 2 :]
+
+
+def test_unigram_equals_the_library(docs):
+    import public_tokenizers
+    import pyarrow as pa
+    import sentencepiece
+
+    raw = as_unigram(open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read())
     ours, library = sentence_pieces.Pieces(raw), sentencepiece.SentencePieceProcessor(model_proto=raw)
     assert ours.kind == sentence_pieces.UNIGRAM
-    for word in ("thing", "reading", "über", "日本", "", "a"):
-        a, b = ours.encode(word), library.encode(word)
-        assert sum(ours.score[i] for i in a) >= sum(ours.score[i] for i in b) and ours.decode(a) == word
+    words = sorted({w for x in docs.select("text").limit(80).collect() for w in (x.text or "").split()})[:4000] + ["thing", "über", "日本", "", "a", "日本👍x"]
+    same = 0
+    for word, (ids, best) in zip(words, ours.encode_column(pa.array(words))):
+        a, b = np.frombuffer(ids, "<u4").tolist(), library.encode(word)
+        same += a == b
+        if ours.unknown not in b and not any(i in set(ours.byte_ids) for i in b):  # the library adds in single precision
+            assert best == pytest.approx(sum(ours.score[i] for i in a)) and best >= sum(ours.score[i] for i in b) - 1e-6
+        assert ours.decode(a) == word
+    assert same >= 0.99 * len(words)
+
+
+def test_runs_of_unknown_characters():
+    """Without byte pieces a run of unknown characters is one id."""
+    import public_tokenizers
+
+    pieces = sentence_pieces.Pieces(as_unigram(open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read()))
+    pieces.byte_ids = [-1] * 256
+    ids, best = pieces.path("▁a\ue000\ue001\ue002b")
+    assert ids.count(pieces.unknown) == 1 and best < 3 * pieces.lowest + 1
+
+
+def test_sentencepiece_query(spark):
+    import public_tokenizers
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    got = sentence_pieces.op7_sentencepiece(spark, DATA).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        ids = library.encode(texts[r.doc_id])
+        assert (r.n_ids, r.ids_crc32, r.decoded_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), zlib.crc32(texts[r.doc_id].encode()))
 
 
 # 8. Near duplicates
