@@ -47,6 +47,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def long_values(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of so many rows at most from here on in this session: texts are long, and a batch is held in the JVM and in the
+    Python worker at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if not 0 < now <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name like `name` that df does not have yet, in any case."""
     taken = {c.lower() for c in df.columns}

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import table
+from .common import long_values, table
 from .html_seed import labelled_pages
 
 # A comment, a declaration, or a tag; quotes count only behind an equals sign. No part is tried twice, so a page is read in linear time.
@@ -278,4 +278,5 @@ def extract_text(pages: DataFrame, html_col: str = "html", model: PageModel | No
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long_values(spark)
     return extract_text(table(spark, sf_dir, "pages").select("page_id", "url", F.col("html"))).select("page_id", "url", "text", "n_chars")

@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_fold, table
+from .common import crc_fold, long_values, table
 
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
@@ -124,6 +124,7 @@ FOLDS = 5
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long_values(spark)
     docs = table(spark, sf_dir, "documents")
     held_out = crc_fold(F.col("doc_id"), FOLDS) == 0
     return identify(docs, train(docs.where(~held_out))).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")

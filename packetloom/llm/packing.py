@@ -7,7 +7,6 @@ the waste is a fixed number of bins per group whatever the size of the input.
 
 from __future__ import annotations
 
-import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import Known, by_bytes, cut, flat, materialise, table, unused
+from .common import Known, by_bytes, cut, flat, long_values, materialise, table, unused
 
 CAPACITY = 4096
 END_ID = 1
@@ -28,7 +27,7 @@ END_ID = 1
 GROUP_SEQUENCES, GROUP_PIECES = 4096, 1 << 20
 #: Words of which a Python worker keeps the ids at most, bytes of text that it splits into words at once, and
 #: bytes of ids that it hands on at once.
-CACHED_WORDS, SPLIT_BYTES, YIELDED_BYTES = 600_000, 4 << 20, 4 << 20
+CACHED_WORDS, SPLIT_BYTES, YIELDED_BYTES = 400_000, 2 << 20, 2 << 20
 
 #: Lower case of A-Z, and one kind of white space.
 FOLD = bytes.maketrans(bytes(range(65, 91)) + b"\t\n\x0b\x0c\r", bytes(range(97, 123)) + b" " * 5)
@@ -43,13 +42,6 @@ KINDS = _kinds
 BEGINS = np.zeros((5, 5), bool)
 BEGINS[:4, 4] = BEGINS[1, 2:4] = BEGINS[3, 1:3] = BEGINS[2, 3] = True
 
-#: Bytes as the characters of a byte-level vocabulary: printable Latin-1 ones are themselves, the others follow from 256 on. A
-#: space stays as it is between words.
-_rest = [b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or b > 173)]
-BYTE_CHARS = {b: 256 + k for k, b in enumerate(_rest) if b != 32}
-#: Letters before this one are composed and have one lower case each, whatever stands beside them.
-LATIN_END = "\u0250"
-
 
 class WordTokenizer:
     """Ids of whole texts by a tokenizer that lower-cases and whose tokens never reach over white space, between letters and
@@ -61,9 +53,6 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            bare = json.load(f) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
-        self.merges = Tokenizer.from_str(json.dumps(bare))  # the same model, for words that need no other step
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -73,12 +62,15 @@ class WordTokenizer:
     def _learn(self, words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
         texts = [w.decode("utf-8", "replace").lstrip(" ") for w in words]
         found: list[bytes] = [b""] * len(texts)
-        plain = [k for k, t in enumerate(texts) if t.isalpha() and t.islower() and (t.isascii() or (max(t) < LATIN_END and t.lower() == t))]
-        if plain:  # a word each: it ends where a token ends a word
-            chars = [texts[k] if texts[k].isascii() else texts[k].encode().decode("latin-1").translate(BYTE_CHARS) for k in plain]
-            lines = [" ".join(chars[i : i + 50]) for i in range(0, len(chars), 50)]
-            ids = np.concatenate([np.array(e.ids, "<u4") for e in self.merges.encode_batch_fast(lines, add_special_tokens=False)])
-            _keep(found, plain, ids, np.flatnonzero(self.ends_word[ids]) + 1)
+        plain = [k for k, t in enumerate(texts) if t.isalpha() and t.islower()]
+        if plain:  # one run of letters each: it ends where a token ends a word
+            lines = [" ".join([texts[k] for k in plain[i : i + 50]]) for i in range(0, len(plain), 50)]
+            ids = np.concatenate([np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(plain):
+                _keep(found, plain, ids, ends)
+            else:  # the tokenizer knows fewer letters
+                plain = []
         known = set(plain)
         other = [k for k, t in enumerate(texts) if t and k not in known]
         for at in range(0, len(other), 1000):
@@ -217,6 +209,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", gr
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long_values(spark)
     import public_tokenizers
 
     pieces = tokenized_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_fold, table
+from .common import crc_fold, long_values, table
 
 PASSAGE_WORDS = 64
 #: Labelled documents that training takes at most, and passages of each, spread evenly over the text: about 100 MB in all.
@@ -218,6 +218,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
 
 
 def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long_values(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     held_out = crc_fold(F.col("doc_id"), FOLDS) == HELD_OUT

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import long_values, table
 
 SYMBOLS = "#*$%&|<>"
 CAPITALS = bytes(range(65, 91))
@@ -163,4 +163,5 @@ def quality_filter(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, .
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long_values(spark)
     return quality_stats(table(spark, sf_dir, "documents"))

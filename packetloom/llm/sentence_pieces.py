@@ -24,7 +24,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Known, by_bytes, cut, flat, table
+from .common import Known, by_bytes, cut, flat, long_values, table
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
@@ -301,6 +301,7 @@ def decode_ids(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col:
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each text encoded and decoded again: the number of ids, a digest of the ids and of the text that they decode to, and the best
     sum of scores."""
+    long_values(spark)
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")

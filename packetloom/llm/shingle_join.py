@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, connected_components, cut, flat, materialise, shuffle_partitions, slices, table, unused
+from .common import by_bytes, connected_components, cut, flat, long_values, materialise, shuffle_partitions, slices, table, unused
 from .vector_pairs import Forest
 
 SHINGLE_WORDS = 5
@@ -44,7 +44,7 @@ TOGETHER_SETS, TOGETHER_BYTES = 4096, 16 << 20
 MU = 0.05
 
 #: Bytes of text that are split into words at once.
-SPLIT_BYTES = 4 << 20
+SPLIT_BYTES = 2 << 20
 #: Bytes of text whose sampled shingles, about four million, one bucket of the first count takes.
 BUCKET_BYTES = 80 << 20
 #: A key that more than one in HOT_SHARE rows hold is joined apart, by broadcast: there are fewer than HOT_SHARE of them.
@@ -405,4 +405,5 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op8_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long_values(spark)
     return similar_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
