@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import materialise, table
+from packetloom.llm.common import long_values, materialise, table
 from packetloom.llm.lang_id import language_filter, train
 from packetloom.llm.packing import pack, tokenized_pieces
 from packetloom.llm.quality_rules import quality_filter
@@ -24,22 +24,31 @@ from packetloom.llm.shingle_join import drop_similar
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that no rule rejects. A null or empty text has too few words; equal rows stay or go together; an empty table stays empty."""
+    long_values(spark)
     return quality_filter(docs)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Dictionaries come from the labelled rows of the input; without any, nothing can be decided and all rows stay."""
+    """Rows whose language is decided by a clear margin. Dictionaries come from the labelled rows of the input; without any, nothing
+    can be decided and all rows stay. Null texts, texts without a letter and ties between languages go."""
+    long_values(spark)
     model = train(docs)
     return language_filter(docs, model) if model.dictionaries else docs
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked rows the one with the smallest id. Rows without an id or a word stay; rows with one id are one document."""
+    long_values(spark)
     return drop_similar(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of all pieces; a null or empty text is its end id alone, and a
+    row without an id is packed like any other. No other column is carried."""
     import public_tokenizers
 
+    long_values(spark)
     pieces = tokenized_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
     return pack(materialise(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces"))
 
