@@ -89,14 +89,19 @@ add("str01_tumbling", lambda s, d: st.drain(st.tumbling_rates(st.packet_stream(s
 add("str02_sliding", lambda s, d: st.drain(st.sliding_totals(st.packet_stream(s, d), "2 hours", "1 hour"), "complete"), over_packets("select (us // 3600000000 - o) * 3600000000 as start_us, count(*) as packets, cast(sum(length) as bigint) as bytes from packets, (values (0), (1)) v(o) group by 1"))
 add(
     "str03_call_sessions",
-    lambda s, d: st.drain(st.call_sessions(st.packet_stream(s, d).withColumn("closes", F.col("kind") == "purchase"), ["src", "protocol"])),
+    lambda s, d: st.drain(st.call_sessions(st.packet_stream(s, d).withColumn("closes", F.col("kind") == "purchase"), ["src", "protocol"], 60 * 86400)).where("finished").drop("finished"),
     over_packets("select src, protocol, min(us) as start_us, max(us) as end_us, count(*) as chunks, cast(sum(length) as bigint) as tokens from (select *, count(*) filter (kind = 'purchase') over (partition by src, protocol order by us, seq rows between unbounded preceding and 1 preceding) as i from packets) group by src, protocol, i having bool_or(kind = 'purchase')"),
 )
-add("str04_first_seen", lambda s, d: st.drain(st.first_seen(st.packet_stream(s, d).select("dst", "at"), "dst")).select("dst"), over_packets("select distinct dst from packets"))
+add("str04_first_seen", lambda s, d: st.drain(st.first_seen(st.packet_stream(s, d, "60 days").select("dst", "at"), "dst")).select("dst"), over_packets("select distinct dst from packets"))
 add("str05_cooldown", lambda s, d: st.drain(st.cooldown(st.packet_stream(s, d).where("kind = 'error'"), ["src"], 86400)), _cooldown_sql("select * from packets where kind = 'error'", "src", 86_400_000_000) + " select seq from r where fires")
 add(
     "str06_absence",
     lambda s, d: st.drain(st.silent(st.packet_stream(s, d).where("kind = 'view'"), "src", 4 * 86400)).groupBy("src").agg(F.count("*").alias("n")),
+    # Gaps before a later row, and the silence at the end where the watermark (the last row less 10 seconds) has passed it.
+    over_packets(
+        "select src, count(*) as n from (select src, us - lag(us) over (partition by src order by us, seq) > 345600000000 as silent from packets where kind = 'view' "
+        "union all select src, (max(us) + 345600000000) // 1000 < (select max(us) // 1000 - 10000 from packets where kind = 'view') from packets where kind = 'view' group by src) where silent group by src"
+    ),
 )
 add(
     "str07_rate_limit",
@@ -105,6 +110,11 @@ add(
 )
 add("str08_rolling_flows", lambda s, d: st.drain(st.rolling_flows(st.packet_stream(s, d), ["src", "dst"], "2 days"), "complete"), over_packets("select src, dst, min(us) as start_us, count(*) as packets, cast(sum(length) as bigint) as bytes from (select *, count(*) filter (gap is null or gap >= 172800000000) over (partition by src, dst order by us, seq) as i from (select *, us - lag(us) over (partition by src, dst order by us, seq) as gap from packets)) group by src, dst, i"))
 add("str10_stop_conditions", lambda s, d: st.stop_after(packets(s, d), 200, 30000, 20 * 86400, partition="sensor").select("sensor", "seq"), over_packets("select sensor, seq from (select sensor, seq, row_number() over w as n, sum(length) over w - length as b, us - min(us) over w as t from packets window w as (partition by sensor order by seq)) where n <= 200 and b < 30000 and t <= 1728000000000"))
+add(
+    "str10_stop_stream",
+    lambda s, d: st.drain(st.stop_stream(st.packet_stream(s, d), "sensor", 200, 30000, 20 * 86400)),
+    over_packets("select seq from (select seq, row_number() over w as n, sum(length) over w - length as b, us - min(us) over w as t from packets window w as (partition by sensor order by us, seq)) where n <= 200 and b < 30000 and t <= 1728000000000"),
+)
 add("str13_live_baseline", lambda s, d: st.drain(st.live_baseline(st.packet_stream(s, d), "src", 2.5)), over_packets("select seq from (select seq, length, avg(length) over w as m, stddev_samp(length) over w as sd from packets window w as (partition by src order by us, seq rows between unbounded preceding and 1 preceding)) where sd > 0 and (length - m) / sd > 2.5"))
 add(
     "str14_stream_pairs",

@@ -1,5 +1,6 @@
-"""Streaming forms: event time is the packet's, late rows are dropped by the watermark. State is keyed, bounded by time-outs and
-watermarks, and kept by Spark, so that a lost executor costs a replay of the batch at most."""
+"""Streaming forms: event time is the packet's, late rows are dropped by the watermark. State is keyed and kept by Spark, so that a lost
+executor costs a replay of the batch at most. It goes when the watermark has passed the time from which it decides nothing any more; only
+running means (live_baseline) and stopped captures (stop_stream) are kept for each key for good, a few numbers each."""
 
 from __future__ import annotations
 
@@ -14,13 +15,15 @@ from ..sources.adapters import PACKET_COLUMNS, SPARK_K, micros, table
 from ..sources.scratch import new_folder
 
 WATERMARK = "10 seconds"
+#: Input that one batch takes at most: what a task holds of a key is a part of it.
+BATCH_BYTES = "1g"
 
 
 def packet_stream(spark: SparkSession, sf_dir: str, watermark: str = WATERMARK) -> DataFrame:
     """The packets of the events table as a stream, with event time `at`."""
     schema = table(spark, sf_dir, "events").schema
     # A pattern, since a stream's plain path would have to be a folder; it names a single file as well as a folder of them.
-    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").selectExpr("*", f"{SPARK_K} as k")
+    events = spark.readStream.schema(schema).option("maxBytesPerTrigger", BATCH_BYTES).parquet(f"{sf_dir}/events.parque[t]").selectExpr("*", f"{SPARK_K} as k")
     rows = events.selectExpr(*(f"{e} as {n}" for n, e in PACKET_COLUMNS.items()), f"{micros('ts')} as us", "hour(ts) as hour", "weekday(ts) as weekday")
     return rows.withColumn("at", F.timestamp_micros("us")).withWatermark("at", watermark)
 
@@ -51,18 +54,19 @@ def sliding_totals(stream: DataFrame, length: str, step: str) -> DataFrame:
 
 
 def first_seen(stream: DataFrame, key: str) -> DataFrame:
-    """Each value once, as it first comes."""
-    return stream.dropDuplicates([key])
+    """Each value once, as it first comes; it counts as new again when it has not come for the stream's watermark delay."""
+    return stream.dropDuplicatesWithinWatermark([key])
 
 
-def stateful(stream: DataFrame, keys: list[str], output: str, state: str, step: Callable, columns: list[str], timeout: str = GroupStateTimeout.NoTimeout) -> DataFrame:
-    """step(rows in order, state tuple or None) -> (output rows, new state tuple or None to drop it)."""
+def stateful(stream: DataFrame, keys: list[str], output: str, state: str, step: Callable, columns: list[str], timeout: str = GroupStateTimeout.EventTimeTimeout) -> DataFrame:
+    """step(key, rows in order, state tuple or None) -> (output rows, new state tuple or None to drop it). With event-time timers a state's
+    first field is the time in microseconds from which it decides nothing: then step gets None for rows."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
         if group.hasTimedOut:
             out, new = step(key, None, group.get)
         else:
-            rows = pd.concat(list(frames)).sort_values(["us", "seq"], kind="stable")
+            rows = pd.concat(list(frames)).sort_values(["us", "seq"], kind="stable")  # a part of one batch
             out, new = step(key, rows, group.get if group.exists else None)
         if new is None:
             if group.exists:
@@ -76,55 +80,72 @@ def stateful(stream: DataFrame, keys: list[str], output: str, state: str, step:
     return stream.select(*dict.fromkeys([*keys, *columns, "us", "seq", "at"])).groupBy(*keys).applyInPandasWithState(run, output, state, "append", timeout)
 
 
+def _seqs(values: list[int]) -> pd.DataFrame:
+    return pd.DataFrame({"seq": pd.Series(values, dtype="int64")})
+
+
 def cooldown(stream: DataFrame, keys: list[str], seconds: float) -> DataFrame:
-    """Rows that fire: at least so long after the last of their key that fired."""
+    """Rows that fire: at least so long after the last of their key that fired. A key is forgotten when its time is over."""
     gap = int(seconds * 1_000_000)
 
     def step(key, rows, state):
-        last, out = (state[0] if state else None), []
+        if rows is None:
+            return _seqs([]), None
+        free, out = (state[0] if state else None), []
         for t, seq in zip(rows["us"], rows["seq"]):
-            if last is None or t - last >= gap:
-                last = t
+            if free is None or t >= free:
+                free = t + gap
                 out.append(seq)
-        return pd.DataFrame({"seq": pd.Series(out, dtype="int64")}), (last,)
+        return _seqs(out), (free,)
 
-    return stateful(stream, keys, "seq long", "last long", step, [])
+    return stateful(stream, keys, "seq long", "free long", step, [])
 
 
 def rate_limited(stream: DataFrame, key: str, limit: int, seconds: float) -> DataFrame:
-    """Requests beyond the limit within the time from a client's first request; then a new time begins."""
+    """Requests beyond the limit within the time from a client's first request; then a new time begins, and the client is forgotten."""
     span = int(seconds * 1_000_000)
 
     def step(_, rows, state):
-        start, used, out = (*state,) if state else (None, 0), None, []
-        start, used = state if state else (None, 0)
+        if rows is None:
+            return _seqs([]), None
+        end, used = state or (None, 0)
+        out = []
         for t, seq in zip(rows["us"], rows["seq"]):
-            if start is None or t - start >= span:
-                start, used = t, 0
+            if end is None or t >= end:
+                end, used = t + span, 0
             used += 1
             if used > limit:
                 out.append(seq)
-        return pd.DataFrame({"seq": pd.Series(out, dtype="int64")}), (start, used)
+        return _seqs(out), (end, used)
 
-    return stateful(stream, [key], "seq long", "start long, used long", step, [])
+    return stateful(stream, [key], "seq long", "end long, used long", step, [])
 
 
-def call_sessions(stream: DataFrame, keys: list[str]) -> DataFrame:
-    """Sessions as they close (a chunk with closes true): chunks, tokens, start and end."""
+def call_sessions(stream: DataFrame, keys: list[str], idle_seconds: float = 3600) -> DataFrame:
+    """Sessions as they end: finished by a chunk with closes true, or not, when nothing has come for the idle time. Chunks, tokens, start and
+    end. A key without an open session has no state."""
+    idle = int(idle_seconds * 1_000_000)
+    names = [*keys, "start_us", "end_us", "chunks", "tokens", "finished"]
 
     def step(key, rows, state):
-        start, chunks, tokens = state if state else (-1, 0, 0)
         out = []
+        if rows is None:
+            due, start, chunks, tokens = state
+            return pd.DataFrame([(*key, start, due - idle, chunks, tokens, False)], columns=names), None
+        due, start, chunks, tokens = state or (0, 0, 0, 0)
         for t, n, closes in zip(rows["us"], rows["length"], rows["closes"]):
+            if chunks and t > due:
+                out.append((*key, start, due - idle, chunks, tokens, False))
+                chunks = tokens = 0
             start = t if chunks == 0 else start
-            chunks, tokens = chunks + 1, tokens + int(n)
+            due, chunks, tokens = t + idle, chunks + 1, tokens + int(n)
             if closes:
-                out.append((*key, start, t, chunks, tokens))
+                out.append((*key, start, t, chunks, tokens, True))
                 chunks = tokens = 0
-        return pd.DataFrame(out, columns=[*keys, "start_us", "end_us", "chunks", "tokens"]), (start, chunks, tokens)
+        return pd.DataFrame(out, columns=names), (due, start, chunks, tokens) if chunks else None
 
     fields = ", ".join(f"{k} string" for k in keys)
-    return stateful(stream, keys, f"{fields}, start_us long, end_us long, chunks long, tokens long", "start long, chunks long, tokens long", step, ["length", "closes"])
+    return stateful(stream, keys, f"{fields}, start_us long, end_us long, chunks long, tokens long, finished boolean", "due long, start long, chunks long, tokens long", step, ["length", "closes"])
 
 
 def silent(stream: DataFrame, key: str, seconds: float) -> DataFrame:
@@ -141,7 +162,26 @@ def silent(stream: DataFrame, key: str, seconds: float) -> DataFrame:
             last = t
         return pd.DataFrame({key: pd.Series([k[0]] * len(out), dtype="object"), "since_us": pd.Series(out, dtype="int64")}), (last + span, last)
 
-    return stateful(stream, [key], f"{key} string, since_us long", "due long, last long", step, [], GroupStateTimeout.EventTimeTimeout)
+    return stateful(stream, [key], f"{key} string, since_us long", "due long, last long", step, [])
+
+
+def stop_stream(stream: DataFrame, key: str, packets: int | None = None, byte_limit: int | None = None, seconds: float | None = None) -> DataFrame:
+    """Rows of each capture, in time order, up to the first that reaches a number of packets, of bytes, or a duration; then it stays stopped."""
+    span = None if seconds is None else int(seconds * 1_000_000)
+
+    def step(_, rows, state):
+        start, count, used, stopped = state or (None, 0, 0, False)
+        out = []
+        for t, seq, n in zip(rows["us"], rows["seq"], rows["length"]):
+            start = t if start is None else start
+            stopped = stopped or count == packets or (byte_limit is not None and used >= byte_limit) or (span is not None and t - start > span)
+            if stopped:
+                break
+            count, used = count + 1, used + int(n)
+            out.append(seq)
+        return _seqs(out), (start, count, used, stopped)
+
+    return stateful(stream, [key], "seq long", "start long, count long, used long, stopped boolean", step, ["length"], GroupStateTimeout.NoTimeout)
 
 
 def rolling_flows(stream: DataFrame, keys: list[str], idle: str) -> DataFrame:
@@ -163,9 +203,9 @@ def live_baseline(stream: DataFrame, key: str, limit: float = 3.0) -> DataFrame:
             delta = x - mean
             mean += delta / n
             m2 += delta * (x - mean)
-        return pd.DataFrame({"seq": pd.Series(out, dtype="int64")}), (n, mean, m2)
+        return _seqs(out), (n, mean, m2)
 
-    return stateful(stream, [key], "seq long", "n long, mean double, m2 double", step, ["length"])
+    return stateful(stream, [key], "seq long", "n long, mean double, m2 double", step, ["length"], GroupStateTimeout.NoTimeout)
 
 
 def stream_pairs(requests: DataFrame, responses: DataFrame, keys: list[str], seconds: int) -> DataFrame:
