@@ -16,7 +16,7 @@ from ..sources.scratch import new_folder
 
 WATERMARK = "10 seconds"
 #: Input that one batch takes at most: what a task holds of a key is a part of it.
-BATCH_BYTES = "1g"
+BATCH_BYTES = 1 << 30
 
 
 def packet_stream(spark: SparkSession, sf_dir: str, watermark: str = WATERMARK) -> DataFrame:
