@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import Known, by_bytes, cut, flat, long_values, materialise, table, unused
+from .common import Known, by_bytes, cut, flat, materialise, table, unused
 
 CAPACITY = 4096
 END_ID = 1
@@ -27,7 +27,7 @@ END_ID = 1
 GROUP_SEQUENCES, GROUP_PIECES = 4096, 1 << 20
 #: Words of which a Python worker keeps the ids at most, bytes of text that it splits into words at once, and
 #: bytes of ids that it hands on at once.
-CACHED_WORDS, SPLIT_BYTES, YIELDED_BYTES = 400_000, 2 << 20, 2 << 20
+CACHED_WORDS, SPLIT_BYTES, YIELDED_BYTES = 600_000, 4 << 20, 4 << 20
 
 #: Lower case of A-Z, and one kind of white space.
 FOLD = bytes.maketrans(bytes(range(65, 91)) + b"\t\n\x0b\x0c\r", bytes(range(97, 123)) + b" " * 5)
@@ -48,7 +48,7 @@ class WordTokenizer:
     digits or from these into punctuation: parts of a text are encoded once and remembered. A text's ids are those of its
     parts one after the other, exactly as the tokenizer gives them for the whole text."""
 
-    def __init__(self, path: str, cached: int = CACHED_WORDS):
+    def __init__(self, path: str, cached: int = CACHED_WORDS, split_bytes: int = SPLIT_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -57,7 +57,7 @@ class WordTokenizer:
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.known = Known(self._learn, cached)
+        self.known, self.split_bytes = Known(self._learn, cached), split_bytes
 
     def _learn(self, words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
         texts = [w.decode("utf-8", "replace").lstrip(" ") for w in words]
@@ -83,7 +83,7 @@ class WordTokenizer:
 
     def encode(self, texts: pa.Array) -> Iterator[bytes]:
         """For each text its ids as little-endian unsigned 32-bit numbers; nothing for a null."""
-        for part in by_bytes(texts, SPLIT_BYTES):
+        for part in by_bytes(texts, self.split_bytes):
             yield from self._encode(part)
 
     def _encode(self, texts: pa.Array) -> Iterator[bytes]:
@@ -120,19 +120,20 @@ def _keep(found: list[bytes], places: list[int], ids: np.ndarray, ends: np.ndarr
 
 
 @lru_cache(maxsize=1)
-def tokenizer_of(path: str) -> WordTokenizer:
+def tokenizer_of(path: str, cached: int, split_bytes: int) -> WordTokenizer:
     """The tokenizer of this Python worker, with what it knows from earlier tasks."""
-    return WordTokenizer(path)
+    return WordTokenizer(path, cached, split_bytes)
 
 
-def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", cached: int = CACHED_WORDS, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """(id, piece, start, length, ids): ids is binary, little-endian unsigned 32-bit. Each text's ids end with end_id; longer
-    ones than capacity are cut into pieces of capacity. A null or empty text is the end id alone."""
+    ones than capacity are cut into pieces of capacity. A null or empty text is the end id alone. cached and split_bytes bound a
+    worker's memory and change no result."""
     kind = docs.schema[id_col].dataType.simpleString()
     names = [id_col, "piece", "start", "length", "ids"]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, end = tokenizer_of(path), np.array([end_id], "<u4").tobytes()
+        tokenizer, end = tokenizer_of(path, cached, split_bytes), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple[int, int, int, int, bytes]] = []
             held = 0
@@ -209,7 +210,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", gr
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long_values(spark)
     import public_tokenizers
 
     pieces = tokenized_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
