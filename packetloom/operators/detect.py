@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars
-from . import filters
+from . import filters, matching, stats
 
 
 def _bucket(seconds: float) -> Column:
@@ -17,8 +17,7 @@ def _bucket(seconds: float) -> Column:
 def traffic_spikes(rows: DataFrame, seconds: float = 1, samples: int = 60, least: int = 10, sigmas: float = 3) -> DataFrame:
     """Buckets whose count exceeds mean + 3 population deviations of the last 60 buckets with traffic, itself included."""
     counts = rows.groupBy(_bucket(seconds).alias("bucket")).agg(F.count("*").alias("n"))
-    w = Window.orderBy("bucket").rowsBetween(1 - samples, 0)  # over buckets, which are few
-    out = counts.withColumns({"samples": F.count("*").over(w), "mean": F.avg("n").over(w), "deviation": F.stddev_pop("n").over(w)})
+    out = stats.over_last(counts, "bucket", samples, {"samples": F.count("*"), "mean": F.avg("n"), "deviation": F.stddev_pop("n")})
     return out.where((F.col("samples") >= least) & (F.col("n") > F.col("mean") + sigmas * F.col("deviation")))
 
 
@@ -115,9 +114,9 @@ def distinct_over(rows: DataFrame, keys: list[str], value: str, least: int) -> D
     return rows.groupBy(*keys).agg(F.countDistinct(value).alias("values")).where(F.col("values") >= least)
 
 
-def signature_hits(rows: DataFrame, signatures: DataFrame, text: str) -> DataFrame:
-    """(row, name): rows whose text holds a signature's words, without regard to case. signatures: (name, words), few."""
-    return rows.join(F.broadcast(signatures), F.contains(F.lower(text), F.lower("words")))
+def signature_hits(rows: DataFrame, signatures: DataFrame, text: str, key: str) -> DataFrame:
+    """(row, name): rows whose text holds a signature's words, without regard to case. signatures: (name, words)."""
+    return matching.holding(rows, key, F.lower(text), signatures.select("name", F.lower("words").alias("words")), F.col("words"))
 
 
 def attack_chains(rows: DataFrame, stages: list[tuple[str, Column]], actor: str, target: str, within_s: float | None = None) -> DataFrame:

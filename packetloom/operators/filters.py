@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from . import matching
 
 COMPARISONS = {"eq": "==", "ne": "!=", "gt": ">", "lt": "<", "ge": ">=", "le": "<="}
 # Transport class, rank among the protocols of a flow and whether it is AI traffic.
@@ -158,14 +159,8 @@ def event_list(rows: DataFrame, severity: str | None = None, sensor: str | None
 def match_rules(events: DataFrame, rules: DataFrame, fields: tuple[str, ...] = ("kind", "protocol", "dport")) -> DataFrame:
     """Events with each enabled rule whose given fields all agree; a field that the rule leaves null matches anything.
 
-    rules: (rule_id, enabled, *fields). Rules are split by the first field: those that set it join on equality, the others
-    are few and are broadcast."""
-    head, *rest = fields
-    live = rules.where("enabled")
-    agree = [F.col(f"r.{f}").isNull() | (F.col(f"r.{f}") == F.col(f"e.{f}")) for f in rest]
-    keyed = events.alias("e").join(live.where(F.col(head).isNotNull()).alias("r"), all_of(F.col(f"r.{head}") == F.col(f"e.{head}"), *agree))
-    loose = events.alias("e").join(F.broadcast(live.where(F.col(head).isNull()).alias("r")), all_of(*agree))
-    return keyed.select("e.*", "r.rule_id").union(loose.select("e.*", "r.rule_id"))
+    rules: (rule_id, enabled, *fields), joined by the pattern of fields that they set."""
+    return matching.by_pattern(events, rules.where("enabled"), {f: f for f in fields}, ["rule_id"])
 
 
 def minute_of_day(text: str) -> int:

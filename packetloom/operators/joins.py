@@ -7,16 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars
-from . import filters
-
-#: Rule and dimension tables of up to so many rows are broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 100_000
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has no more than so many rows; beyond that Spark chooses."""
-    return F.broadcast(df) if len(df.take(rows + 1)) <= rows else df
-
+from . import filters, matching
+from .matching import small
 
 def ip_indicators(rows: DataFrame, indicators: DataFrame) -> DataFrame:
     """Rows whose source (sid 200001) or destination (sid 200002) is a listed address; one row per match. indicators: (value)."""
@@ -34,17 +26,12 @@ def domain_indicators(rows: DataFrame, indicators: DataFrame, domain: Column) ->
 def ids_matches(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """(row, sid): rules (sid, protocol, src_ip, dst_ip, dst_port, content), null meaning any, against packets.
 
-    Rules with an exact port join on it; the few without are broadcast. Content is looked for in the summary."""
-
-    def agrees(names: tuple[str, ...]) -> Column:
-        pairs = {"protocol": "protocol", "src_ip": "src", "dst_ip": "dst", "dst_port": "dport"}
-        same = [F.col(f"r.{n}").isNull() | (F.col(f"r.{n}") == F.col(f"p.{pairs[n]}")) for n in names]
-        return filters.all_of(*same, F.col("r.content").isNull() | F.contains("p.summary", "r.content"))
-
-    p, exact, loose = rows.alias("p"), rules.where("dst_port is not null").alias("r"), rules.where("dst_port is null").alias("r")
-    first = p.join(exact, (F.col("r.dst_port") == F.col("p.dport")) & agrees(("protocol", "src_ip", "dst_ip")))
-    second = p.join(small(loose), agrees(("protocol", "src_ip", "dst_ip")))
-    return first.select("p.*", "r.sid").union(second.select("p.*", "r.sid"))
+    Rules are joined by the pattern of fields that they set. Those that set none but content are looked up by their content."""
+    fields = {"protocol": "protocol", "src_ip": "src", "dst_ip": "dst", "dst_port": "dport"}
+    only_content = filters.all_of(*(F.col(f).isNull() for f in fields), F.col("content").isNotNull())
+    keyed = matching.by_pattern(rows, rules.where(~only_content), fields, ["sid", "content"]).where(F.col("content").isNull() | F.contains("summary", "content")).select(*rows.columns, "sid")
+    loose = matching.holding(rows, "seq", F.col("summary"), rules.where(only_content).select("sid", "content"), F.col("content"))
+    return keyed.unionByName(loose.select(*rows.columns, "sid"))
 
 
 def flagged(rows: DataFrame, indicators: DataFrame, columns: tuple[str, ...] = ("src", "dst")) -> DataFrame:

@@ -36,10 +36,26 @@ def top(rows: DataFrame, key: str, n: int = 10, length: str = "length") -> DataF
     return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("packets"), F.sum(length).alias("bytes")).orderBy(F.desc("bytes"), key).limit(n)
 
 
+def over_last(rows: DataFrame, order: str, samples: int, values: dict[str, Column], span: int = 100_000) -> DataFrame:
+    """Aggregates over each row and those before it, `samples` in all, in the order of a column of different whole numbers. No task orders
+    more than `span` rows: each range of numbers is counted, rows get their place by the sums of the ranges before (a row for each range,
+    the only thing that one task orders whole), and blocks of places are windows that begin with the last rows of the block before."""
+    span = max(span, samples)
+    part = F.floor(F.col(order) / span)
+    ranges = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))
+    before = ranges.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_before"))
+    placed = rows.withColumn("_part", part).withColumn("_place", F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1)
+    placed = placed.join(before, "_part").withColumn("_place", F.col("_place") + F.col("_before"))
+    block, ahead = F.floor(F.col("_place") / span), F.col("_place") % span >= span - samples + 1
+    dealt = placed.withColumn("_block", F.explode(F.when(ahead, F.array(block, block + 1)).otherwise(F.array(block))))
+    w = Window.partitionBy("_block").orderBy("_place").rowsBetween(1 - samples, 0)
+    return dealt.withColumns({name: value.over(w) for name, value in values.items()}).where(F.col("_block") == block).select(*rows.columns, *values)
+
+
 def rate_with_mean(rows: DataFrame, seconds: int = 1, samples: int = 60, time: str = "us", length: str = "length") -> DataFrame:
-    """Bytes per bucket and their mean over the last samples that had traffic. The buckets, not the rows, are put in one order."""
+    """Bytes per bucket and their mean over the last samples that had traffic. """
     buckets = rows.groupBy(F.floor(F.col(time) / (seconds * 1_000_000)).alias("bucket")).agg(F.sum(length).alias("bytes"))
-    return buckets.withColumn("mean_bytes", F.avg("bytes").over(Window.orderBy("bucket").rowsBetween(1 - samples, 0)))
+    return over_last(buckets, "bucket", samples, {"mean_bytes": F.avg("bytes")})
 
 
 def tiles(rows: DataFrame, seconds: int) -> DataFrame:

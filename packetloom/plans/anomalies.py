@@ -238,7 +238,7 @@ add("det29_insights", _insights, over_packets("select 8 as severity, 'host sweep
 SIGNATURES = [("traversal", "../.."), ("card-test", "4111"), ("common", " the "), ("spanish", " el ")]
 add(
     "det30_payload_signatures",
-    lambda s, d: detect.signature_hits(table(s, d, "documents").select("doc_id", "text"), s.createDataFrame(SIGNATURES, "name string, words string"), "text").select("doc_id", "name"),
+    lambda s, d: detect.signature_hits(table(s, d, "documents").select("doc_id", "text"), s.createDataFrame(SIGNATURES, "name string, words string"), "text", "doc_id").select("doc_id", "name"),
     "select doc_id, name from documents, (values ('traversal', '../..'), ('card-test', '4111'), ('common', ' the '), ('spanish', ' el ')) v(name, words) where contains(lower(text), words)",
 )
 add(

@@ -9,12 +9,17 @@ from pyspark.sql import SparkSession
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A new folder name in the shared folder; it is removed when the application ends. Unset (tests), a temporary one is set first."""
+    """A new folder name in the shared folder; it is removed when the application ends. Unset, a local run (tests) sets a
+    temporary one and a cluster is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="spark-shared-")
-        if not known.isDefined():
+        if known.isDefined():
+            base = known.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
+        else:
+            base = tempfile.mkdtemp(prefix="spark-shared-")
             spark.sparkContext.setCheckpointDir(base)
     path = f"{base}/packetloom/{name}-{uuid.uuid4().hex}"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
