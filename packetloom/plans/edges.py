@@ -18,32 +18,68 @@ BOOK = Book()
 add = BOOK.add
 
 
-def _capture_files(s, d) -> str:
-    """Classic pcap captures of the packets of each sensor, one binary value for each sensor and hour of day."""
-    rows = frames(s, d).join(packets(s, d).select("seq", "us", "hour", "sensor"), "seq")
-    le = lambda c, n: F.concat(*(F.lpad(F.hex(F.shiftright(c, 8 * i).bitwiseAND(255)), 2, "0") for i in range(n)))
-    size = F.length("data").cast("long")
-    record = F.concat(le(F.floor(F.col("us") / 1_000_000), 4), le(F.col("us") % 1_000_000, 4), le(size, 4), le(size, 4), F.hex("data"))
-    body = rows.groupBy("sensor", "hour").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("us", "seq", record.alias("r")))), lambda x: x["r"]), "").alias("r"))
-    path = new_folder(s, "captures")
-    body.select(F.unhex(F.concat(F.lit("D4C3B2A1020004000000000000000000FFFF000001000000"), "r")).alias("value")).write.format("parquet").save(path)
-    return path
-
-
-def _raw_frames(s, d):
-    """Captures that Spark wrote as binary values, read as frames by the capture reader's own record walk."""
-    files = s.read.parquet(_capture_files(s, d))
-
-    def run(batches):
-        for frame in batches:
-            rows = [(int(sec), int(nanos), int(n)) for raw in frame["value"] for sec, nanos, n, _, _ in captures.frames_of(bytes(raw))]
-            yield pd.DataFrame(rows, columns=["ts_sec", "ts_nanos", "orig_len"])
-
-    return files.mapInPandas(run, "ts_sec long, ts_nanos int, orig_len long")
-
-
-add("src01_capture_frames", lambda s, d: _raw_frames(s, d).groupBy("ts_sec", "ts_nanos").agg(F.count("*").alias("n")), over_packets("select us // 1000000 as ts_sec, cast(us % 1000000 * 1000 as int) as ts_nanos, count(*) as n from packets where dst not like '%:%' group by all"))
-add("src02_format_census", lambda s, d: s.read.parquet(_capture_files(s, d)).groupBy(captures.capture_format(F.col("value")).alias("format")).agg(F.count("*").alias("n")), over_packets("select 'pcap' as format, count(*) as n from (select distinct sensor, hour from packets where dst not like '%:%')"))
+#: Packets of a sensor by number, so many at most in one capture.
+PIECE = 500
+
+
+def _captures(s, d):
+    """The packets as capture files of a sensor and a range of numbers: pcap of both byte orders, with nanoseconds, and pcapng in turn."""
+    little = lambda c, n: F.concat(*(F.lpad(F.hex(F.shiftright(c, 8 * i).bitwiseAND(255)), 2, "0") for i in range(n)))
+    big = lambda c, n: F.lpad(F.hex(c), 2 * n, "0")
+    sec, micro, size, word = F.floor(F.col("us") / 1_000_000), F.col("us") % 1_000_000, F.length("data").cast("long"), F.lit(0).cast("long")
+    rest = F.pmod(-size, F.lit(4)).cast("int")
+    block = 32 + size + rest
+    record = (
+        F.when(F.col("form") == 0, F.concat(*(little(v, 4) for v in (sec, micro, size, size)), F.hex("data")))
+        .when(F.col("form") == 1, F.concat(*(big(v, 4) for v in (sec, micro, size, size)), F.hex("data")))
+        .when(F.col("form") == 2, F.concat(*(little(v, 4) for v in (sec, micro * 1000, size, size)), F.hex("data")))
+        .otherwise(F.concat(F.lit("06000000"), *(little(v, 4) for v in (block, word, F.shiftright("us", 32), F.col("us").bitwiseAND(0xFFFFFFFF), size, size)), F.hex("data"), F.expr("repeat('00', pmod(-length(data), 4))"), little(block, 4)))
+    )
+    header = (
+        F.when(F.col("form") == 0, "D4C3B2A1020004000000000000000000FFFF000001000000")
+        .when(F.col("form") == 1, "A1B2C3D40002000400000000000000000000FFFF00000001")
+        .when(F.col("form") == 2, "4D3CB2A1020004000000000000000000FFFF000001000000")
+        .otherwise("0A0D0D0A1C0000004D3C2B1A01000000FFFFFFFFFFFFFFFF1C000000" "010000001400000001000000FFFF000014000000")
+    )
+    rows = frames(s, d).join(packets(s, d).select("seq", "us", "sensor"), "seq").withColumn("piece", F.floor(F.col("seq") / PIECE))
+    rows = rows.withColumn("form", (F.col("piece") + F.substring("sensor", 8, 1).cast("int")) % 4)
+    body = rows.groupBy("sensor", "piece", "form").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("us", "seq", record.alias("r")))), lambda x: x["r"]), "").alias("r"))
+    return body.select(F.concat_ws("/", "sensor", "piece").alias("path"), F.unhex(F.concat(header, "r")).alias("content"))
+
+
+# Heads of files of all formats and of one that is none, by number; the rest of each file is a capture.
+HEADS = (
+    ("pcap", ""), ("modified pcap", "34CDB2A1"), ("pcapng", "0A0D0D0A1C000000"), ("snoop", "736E6F6F700000000000000200000004"), ("netmon", "474D42550002"), ("sniffer", "74726E7366696C6500"),
+    ("erf", "000000000000000002040040000000300000"), ("k12", "2B" + "2D" * 62 + "2B0D0A"), ("unknown", "504B0304" + "00" * 12),
+)
+
+
+def _census(s, d):
+    """The captures behind such heads; the first kind stays as it is, all of its forms but pcapng being pcap."""
+    number = (F.split("path", "/")[1].cast("long") + F.split(F.split("path", "/")[0], "-")[1].cast("long")) % len(HEADS)
+    head = F.element_at(F.array(*(F.lit(h) for _, h in HEADS)), (number + 1).cast("int"))
+    return _captures(s, d).select(captures.capture_format(F.concat(F.unhex(head), "content")).alias("format")).groupBy("format").agg(F.count("*").alias("n"))
+
+
+_KINDS = " ".join(f"when {i} then '{name}'" for i, (name, _) in enumerate(HEADS) if i)
+add(
+    "src01_capture_frames",
+    lambda s, d: captures.decode_captures(_captures(s, d)).groupBy("ts_sec", "ts_nanos").agg(F.count("*").alias("n"), F.sum("orig_len").alias("bytes"), F.sum(F.length("data")).alias("kept")),
+    over_packets(
+        "select us // 1000000 as ts_sec, cast(us % 1000000 * 1000 as int) as ts_nanos, count(*) as n, cast(sum(size) as bigint) as bytes, cast(sum(size) as bigint) as kept from frames group by all",
+        # Ethernet, tag, network and transport headers, then the question or the request.
+        "frames as (select us, 14 + case when seq % 3 = 0 then 4 else 0 end + 20 + case when protocol in ('DNS', 'NTP') then 8 + 12 + 1 + length('a' || k) + 8 + 4 + 5 "
+        "else 20 + length('GET /item/' || k || ' HTTP/1.1') + 2 + length('Host: h' || k % 7 || '.example.com') + 4 end as size from packets where dst not like '%:%')",
+    ),
+)
+add(
+    "src02_format_census",
+    _census,
+    over_packets(
+        f"select case (piece + sensor) % {len(HEADS)} {_KINDS} else case when (piece + sensor) % 4 = 3 then 'pcapng' else 'pcap' end end as format, count(*) as n "
+        f"from (select distinct seq // {PIECE} as piece, cast(substr(sensor, 8, 1) as int) as sensor from packets where dst not like '%:%') group by 1"
+    ),
+)
 
 
 def _event_lines(s, d):

@@ -1,4 +1,4 @@
-"""Capture files as tables: classic pcap (micro- and nanoseconds, both byte orders) and pcapng, one partition per file."""
+"""Capture files as tables: classic pcap (micro- and nanoseconds, both byte orders) and pcapng; format census."""
 
 from __future__ import annotations
 
@@ -11,7 +11,19 @@ from pyspark.sql import functions as F
 SCHEMA = "path string, idx long, ts_sec long, ts_nanos int, orig_len long, link_type int, data binary"
 
 # First bytes of capture formats, in hex.
-FORMATS = (("pcap", "A1B2C3D4"), ("pcap", "D4C3B2A1"), ("pcap-ns", "A1B23C4D"), ("pcap-ns", "4D3CB2A1"), ("pcap-modified", "A1B2CD34"), ("pcap-modified", "34CDB2A1"), ("pcapng", "0A0D0D0A"), ("snoop", "736E6F6F70000000"), ("netmon", "474D4255"), ("netmon", "52545353"), ("sniffer", "54524E494646"), ("k12", "00000200120 5001".replace(" ", "")))
+FORMATS = (
+    ("sniffer", "74726E7366696C6500"),
+    ("snoop", "736E6F6F70000000"),
+    ("pcap", "A1B2C3D4"), ("pcap", "D4C3B2A1"), ("pcap", "A1B23C4D"), ("pcap", "4D3CB2A1"),
+    ("modified pcap", "A1B2CD34"), ("modified pcap", "34CDB2A1"),
+    ("pcapng", "0A0D0D0A"),
+    ("netmon", "474D4255"),
+)
+# Record types of Ethernet frames that a file without header may begin with; how lines of text exports begin.
+ERF_TYPES = (2, 4, 5)
+K12_LINES = r"(?:^|\n)(?:\+---|\|0 {2,3}\|)"
+#: Frames and bytes of them that go out in one batch.
+BATCH_FRAMES, BATCH_BYTES = 4096, 8 << 20
 
 
 def frames_of(raw: bytes) -> Iterator[tuple[int, int, int, int, bytes]]:
@@ -65,27 +77,46 @@ def _pcapng(raw: bytes) -> Iterator[tuple[int, int, int, int, bytes]]:
 
 def read_captures(spark: SparkSession, path: str) -> DataFrame:
     """Raw frames of all capture files under a path. Spark's own reader lists and opens the files, so that any store that it knows works;
-    each file is read in one task, and files are spread over tasks."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    a file may have the 2 GB that Spark lets a value have (split longer captures first)."""
+    return decode_captures(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def decode_captures(files: DataFrame) -> DataFrame:
+    """(path, content) -> raw frames, each file by one task, files spread over tasks. Records are walked in place and go out in small batches,
+    so that a task holds one file and a few thousand frames. A null or empty content has no frames; one of another format is an error."""
 
     def run(batches):
         import pyarrow as pa
 
+        schema = pa.schema([("path", pa.string()), ("idx", pa.int64()), ("ts_sec", pa.int64()), ("ts_nanos", pa.int32()), ("orig_len", pa.int64()), ("link_type", pa.int32()), ("data", pa.binary())])
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1)):
-                rows = list(frames_of(content.as_py()))
-                sec, nanos, length, link, data = zip(*rows) if rows else ((),) * 5
-                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int64()), pa.array(sec, pa.int64()), pa.array(nanos, pa.int32()), pa.array(length, pa.int64()), pa.array(link, pa.int32()), pa.array(data, pa.binary())], names=["path", "idx", "ts_sec", "ts_nanos", "orig_len", "link_type", "data"])
+                name, raw = name.as_py(), content.as_py()
+                rows, held = [], 0
+                for idx, frame in enumerate(frames_of(raw) if raw else ()):
+                    rows.append((name, idx, *frame))
+                    held += len(frame[-1])
+                    if len(rows) == BATCH_FRAMES or held >= BATCH_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                        rows, held = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return files.mapInArrow(run, SCHEMA)
+    return files.select("path", "content").mapInArrow(run, SCHEMA)
 
 
 def capture_format(content: Column) -> Column:
-    """Name of the capture format by its first bytes, else unknown."""
-    head = F.hex(F.substring(content, 1, 16))
-    out = F.lit("unknown")
+    """Name of the capture format by the first 64 bytes, else unknown: magic numbers first, then text exports (printable, with a line of
+    dashes or of bytes), then a first record without a file header that has a known type, a length of at least its header and a frame."""
+    head = F.substring(content, 1, 64)
+    hexed = F.hex(head)
+    number = lambda at, n: F.conv(F.substring(hexed, 2 * at + 1, 2 * n), 16, 10).cast("int")
+    printable = hexed.rlike("^(?:0[9AD]|[2-6][0-9A-F]|7[0-9A-E])*$")
+    bare = (F.length(head) >= 16) & number(8, 1).bitwiseAND(127).isin(*ERF_TYPES) & (number(10, 2) >= 16) & (number(14, 2) > 0)
+    text = F.when(printable & F.decode(F.when(printable, head), "ISO-8859-1").rlike(K12_LINES), "k12")
+    out = text.when(bare, "erf").otherwise("unknown")
     for name, magic in reversed(FORMATS):
-        out = F.when(head.startswith(magic), name).otherwise(out)
+        out = F.when(hexed.startswith(magic), name).otherwise(out)
     return out
 
 
