@@ -208,6 +208,53 @@ def live_baseline(stream: DataFrame, key: str, limit: float = 3.0) -> DataFrame:
     return stateful(stream, [key], "seq long", "n long, mean double, m2 double", step, ["length"], GroupStateTimeout.NoTimeout)
 
 
+def live_scores(stream: DataFrame, key: str, forget_seconds: float = 90 * 86400) -> DataFrame:
+    """(seq, reasons, score): the live form of baseline.host_scores. A host's state is its count, sum and squares of lengths, its highest
+    length, sums for the 168 hours of a week and 64-bit hashes of the destinations it knows; a host that has been silent for the time is
+    forgotten. A null length counts as a packet but not as a length."""
+    keep = int(forget_seconds * 1_000_000)
+    empty = pd.DataFrame({"seq": pd.Series([], dtype="int64"), "reasons": pd.Series([], dtype="object"), "score": pd.Series([], dtype="float64")})
+
+    def step(_, rows, state):
+        if rows is None:
+            return empty, None
+        due, n, lengths, total, squares, top, slot_sums, slot_counts, known = state or (0, 0, 0, 0.0, 0.0, 0.0, [0.0] * 168, [0] * 168, [])
+        slot_sums, slot_counts, known, out = list(slot_sums), list(slot_counts), set(known), []
+        for t, seq, x, hour, slot, peer in zip(rows["us"], rows["seq"], rows["length"], rows["hour"], rows["slot"], rows["peer"]):
+            if n and t > due:  # silent for too long within one batch
+                n, lengths, total, squares, top, slot_sums, slot_counts, known = 0, 0, 0.0, 0.0, 0.0, [0.0] * 168, [0] * 168, set()
+            x = None if pd.isna(x) else float(x)
+            mean = total / lengths if lengths else None
+            found = []
+            if x is not None and lengths:
+                deviation = (squares / (lengths - 1)) ** 0.5 if lengths > 1 else 0.0
+                z = (x - mean) / deviation if deviation > 0 else 0.0
+                ratio = x / mean if mean else None
+                if z > 3 or (ratio is not None and ratio >= 2):
+                    found.append(("CONNECTIONS", z if ratio is None else max(ratio, z)))
+            if n and not 6 <= hour <= 21 and (not slot_counts[slot] or slot_sums[slot] / slot_counts[slot] < 50):
+                found.append(("OFF_HOURS", 3.5))
+            if n and peer not in known:
+                found.append(("FIRST_CONTACT", 3.0))
+            if x is not None and lengths and top > 0 and x >= 2 * top:
+                found.append(("VOLUME", 2 * x / top))
+            worst = max((v for _, v in found), default=0.0)
+            out.append((seq, ",".join(name for name, _ in found), min(100.0, max(10.0, 15 * max(worst, 0.0) + 10 * len(found))) if found else 0.0))
+            n, due = n + 1, t + keep
+            known.add(peer)
+            if x is not None:
+                top = max(top, x) if lengths else x
+                lengths, total = lengths + 1, total + x
+                squares += (x - (mean or 0.0)) * (x - total / lengths) if mean is not None else 0.0
+                slot_sums[slot] += x
+                slot_counts[slot] += 1
+        return pd.DataFrame(out, columns=["seq", "reasons", "score"]), (due, n, lengths, total, squares, top, slot_sums, slot_counts, sorted(known))
+
+    marked = stream.withColumns({"slot": (F.col("weekday") * 24 + F.col("hour")).cast("int"), "peer": F.xxhash64("dst")})
+    fields = "due long, n long, lengths long, total double, squares double, top double, slot_sums array<double>, slot_counts array<long>, known array<long>"
+    return stateful(marked, [key], "seq long, reasons string, score double", fields, step, ["length", "hour", "slot", "peer"])
+
+
 def stream_pairs(requests: DataFrame, responses: DataFrame, keys: list[str], seconds: int) -> DataFrame:
     """Requests with the responses of the same key within the time after them: a join of two streams, state bounded by both watermarks."""
     q = requests.select(*(F.col(k).alias(f"q_{k}") for k in keys), F.col("seq").alias("request_seq"), F.col("at").alias("q_at"))

@@ -93,3 +93,15 @@ def test_stop(feed):
     put(("a", 2, False), ("b", 500, False), ("b", 501, False))
     out, _ = watched(st.stop_stream(stream(), "src", packets=2, seconds=60))
     assert [x[0] for x in out] == [100, 101, 102]
+
+
+def test_live_scores_go_on_over_batches_and_forget(feed):
+    put, stream = feed
+    put(("a", 0, False), ("a", 1, True), ("b", 2, False))
+    put(("a", 3, True), ("a", 4, False))
+    put(("z", 10_000, False))
+    put(("a", 20_000, False))
+    rows = stream().withColumns({"hour": F.lit(12), "weekday": F.lit(1), "dst": F.col("closes").cast("string"), "length": F.when(F.col("closes"), 30).otherwise(F.col("length"))})
+    out, left = watched(st.live_scores(rows, "src", 60))
+    # The second packet of a: three times the mean and the highest before, first contact; its fourth is known and ordinary.
+    assert out == [(100, "", 0.0), (101, "CONNECTIONS,FIRST_CONTACT,VOLUME", 100.0), (102, "", 0.0), (200, "", 0.0), (201, "", 0.0), (300, "", 0.0), (400, "", 0.0)] and left <= 2
