@@ -49,7 +49,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     long_values(spark)
-    pieces = tokenized_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), cached=400_000, split_bytes=2 << 20)
+    pieces = tokenized_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), cached=200_000, split_bytes=1 << 20)
     return pack(materialise(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces"))
 
 
