@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: The white space that ends a word: space and the bytes 0x09 to 0x0D. bytes.split() splits at exactly these.
 WHITE = "\x20\x09-\x0d"
@@ -137,6 +138,32 @@ def crc_fold(doc_id: Column, folds: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))
 
 
+#: Rows of a range of an order, about.
+RANGE_ROWS = 1 << 20
+
+
+def preceding(rows: DataFrame, keys: list[str], order: list[Column], amount: Column, name: str, row: str | None = None) -> DataFrame:
+    """Adds `name`: the sum of amount over the rows with the same keys that come before in the order, nulls first unless order says
+    otherwise; equal rows come in any order. With row also a number of its own for each row, rising in the order of keys.
+
+    The order is dealt in ranges and each range is summed by itself, so that neither a key nor a run of equal rows meets in one task."""
+    spark = rows.sparkSession
+    parts = max(shuffle_partitions(spark), -(-rows.count() // RANGE_ROWS))
+    tie, number, part, start = (unused(rows, n) for n in ("tie", "number", "part", "start"))
+    by = [*map(F.col, keys), *order, F.col(tie)]
+    dealt = rows.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(parts, *by).sortWithinPartitions(*by).drop(tie)
+    placed = materialise(dealt.withColumn(number, F.monotonically_increasing_id()), "ordered").withColumn(part, F.shiftright(number, 33))
+    sums = placed.groupBy(part, *keys).agg(F.sum(amount).alias(start))
+    starts = sums.withColumn(start, F.sum(start).over(Window.partitionBy(*keys).orderBy(part)) - F.col(start))
+    inside = F.coalesce(F.sum(amount).over(Window.partitionBy(part, *keys).orderBy(number).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    same = F.col(f"a.{part}") == F.col(f"b.{part}")
+    for k in keys:
+        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    both = placed.withColumn(name, inside).alias("a").join(starts.alias("b"), same)
+    out = [*(F.col(f"a.`{c}`") for c in rows.columns if c != name), (F.col(f"a.{name}") + F.col(f"b.{start}")).alias(name)]
+    return both.select(*out, *([F.col(f"a.{number}").alias(row)] if row else []))
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(a, b) -> (node, component): component is the smallest node that is reachable.
 
