@@ -70,19 +70,34 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 class Known:
-    """What a Python worker knows of short byte strings: for each a value, and a number. Holds `limit` of them at most; when it is
-    full, those that were used longest ago go. learn gives (values, numbers) of strings that are new."""
+    """What a Python worker knows of short byte strings: for each a value, and a number. Holds `limit` of them and `size` bytes at most;
+    when it is full, those that were used longest ago go. Strings longer than `longest` are never held. learn gives (values, numbers) of
+    strings that are new."""
 
-    def __init__(self, learn: Callable[[list[bytes]], tuple[list[bytes], np.ndarray]], limit: int):
-        self.learn, self.limit, self.clock = learn, limit, 0
+    def __init__(self, learn: Callable[[list[bytes]], tuple[list[bytes], np.ndarray]], limit: int, size: int = 32 << 20, longest: int = 256):
+        self.learn, self.limit, self.size, self.longest, self.clock = learn, limit, size, longest, 0
         self.keys = self.values = pa.array([], pa.large_binary())
         self.numbers, self.used = np.zeros(0), np.zeros(0, np.int64)
 
-    def places(self, keys: pa.Array) -> np.ndarray:
+    def of(self, keys: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Values and numbers of distinct keys."""
+        short = pc.less_equal(pc.binary_length(keys), self.longest).to_numpy(zero_copy_only=False)
+        if short.all():
+            at = self._places(keys)
+            return self.values.take(pa.array(at)), self.numbers[at]
+        at = self._places(keys.filter(pa.array(short)))
+        values, numbers = self.learn(slices(keys.filter(pa.array(~short))))
+        order = np.empty(len(keys), np.int64)
+        order[np.concatenate((np.flatnonzero(short), np.flatnonzero(~short)))] = np.arange(len(keys))
+        both = pa.concat_arrays([self.values.take(pa.array(at)), pa.array(values, pa.large_binary())])
+        return both.take(pa.array(order)), np.concatenate((self.numbers[at], numbers))[order]
+
+    def _places(self, keys: pa.Array) -> np.ndarray:
         """Where in values and numbers the distinct keys are, until the next call."""
         place = pc.index_in(keys, self.keys)
-        if place.null_count and len(self.keys) + place.null_count > self.limit:
-            kept = np.sort(np.argsort(self.used, kind="stable")[-max(1, self.limit // 2) :])
+        if place.null_count and (len(self.keys) + place.null_count > self.limit or self.keys.nbytes + self.values.nbytes > self.size):
+            half = max(1, min(self.limit, len(self.keys)) // 2)
+            kept = np.sort(np.argsort(self.used, kind="stable")[-half:])
             self.keys, self.values = self.keys.take(pa.array(kept)), self.values.take(pa.array(kept))
             self.numbers, self.used = self.numbers[kept], self.used[kept]
             place = pc.index_in(keys, self.keys)

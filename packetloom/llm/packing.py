@@ -1,7 +1,7 @@
 """Sum-of-squares packing of tokenised documents into sequences of fixed capacity.
 
 A document goes where the sum of squares of the numbers of open bins per residual gap becomes smallest (Csirik et al.,
-2006). Documents are dealt by a hash of their id over groups of some thousand sequences; each group packs by itself, so
+2006). Pieces are dealt by a hash of their row number over groups of some thousand sequences; each group packs by itself, so
 the waste is a fixed number of bins per group whatever the size of the input.
 """
 
@@ -62,6 +62,10 @@ class WordTokenizer:
     def _learn(self, words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
         texts = [w.decode("utf-8", "replace").lstrip(" ") for w in words]
         found: list[bytes] = [b""] * len(texts)
+        if texts and len(words[0]) > self.known.longest:  # long words come together; each goes to the tokenizer by itself
+            for k, text in enumerate(texts):
+                found[k] = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+            return found, np.zeros(len(found))
         plain = [k for k, t in enumerate(texts) if t.isalpha() and t.islower()]
         if plain:  # one run of letters each: it ends where a token ends a word
             lines = [" ".join([texts[k] for k in plain[i : i + 50]]) for i in range(0, len(plain), 50)]
@@ -101,8 +105,7 @@ class WordTokenizer:
         begins[offsets[offsets < len(folded)]] = True
         begin = np.flatnonzero(begins)
         parts = cut(folded, begin).dictionary_encode()
-        places = self.known.places(parts.dictionary)  # before values, which it may extend
-        ids = self.known.values.take(pa.array(places)).take(parts.indices)
+        ids = self.known.of(parts.dictionary)[0].take(parts.indices)
         data, ends = flat(ids)
         ends = ends[np.searchsorted(begin, offsets)].tolist()
         for k, (a, b) in enumerate(pairwise(ends)):
@@ -203,8 +206,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", gr
         bins, offsets, _ = sum_of_squares(rows["length"].to_numpy().astype(np.int64), capacity)
         return rows.append_column("sequence_id", pa.array((key[0].as_py() << 32) + bins)).append_column("offset", pa.array(offsets))
 
-    place_of = F.xxhash64(id_col, "piece", F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()))  # null ids may be many
-    dealt = base.withColumn(group, F.pmod(place_of, F.lit(groups)))
+    dealt = base.withColumn(group, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))  # not by id: one may be on many rows
     schema = StructType([*base.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
     return dealt.groupBy(group).applyInArrow(place, schema)
 

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .common import crc_fold, long_values, table
 
 PASSAGE_WORDS = 64
-#: Labelled documents that training takes at most, and passages of each, spread evenly over the text: about 100 MB in all.
-TRAIN_DOCS, TRAIN_PASSAGES = 3000, 32
+#: Labelled documents that training takes at most, and bytes of their texts; of a document that is taken every passage is encoded.
+TRAIN_DOCS, TRAIN_BYTES = 3000, 24 << 20
 HIDDEN, GATE, STEPS, BATCH, RATE = 24, 12, 240, 128, 0.01
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.7
 #: Texts are encoded together up to so many bytes.
@@ -59,8 +59,8 @@ def encode_passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         at = passage[word_of_byte]
         classes = CLASS_OF[data]
         total = len(owner)
-        inside = np.ones(len(data), bool)
-        inside[ends - 1] = False  # no pair reaches into the next text
+        inside = np.append(at[1:] == at[:-1], False)  # no pair reaches out of its passage
+        inside[ends - 1] = inside[ends[ends > 1] - 2] = False  # nor to the line end that parts two texts
         inside = np.flatnonzero(inside)
         pairs = np.bincount(at[inside] * 256 + classes[inside] * 16 + classes[inside + 1], minlength=total * 256)[: total * 256].reshape(total, 256)
         size = np.maximum(pairs.sum(1, keepdims=True), 1)
@@ -74,7 +74,9 @@ def encode_passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         out[:, 257] = np.bincount(passage[once], minlength=total) / words
         out[:, 258] = np.bincount(at, ~white, total) / words / 10
         out[:, 259] = np.bincount(passage, minlength=total) / PASSAGE_WORDS
-        out[:, 260] = np.bincount(at, classes == 1, total) / words
+        lines = classes == 1
+        lines[ends - 1] = False
+        out[:, 260] = np.bincount(at, lines, total) / words
     return out, owner
 
 
@@ -145,43 +147,43 @@ def segments(text: str | None, size: int = CHUNK_BYTES) -> list[str]:
     return [raw[a:b].decode("utf-8", "replace") for a, b in zip(cuts, [*cuts[1:], len(raw)])]
 
 
-def score_long(m: Model, text: str) -> float:
-    """As attend() has it, with the passages of one text in several parts."""
-    parts = []
-    for part in segments(text):
-        h = np.maximum(encode_passages([part])[0] @ m.w1 + m.b1, 0)
-        parts.append((h, (np.tanh(h @ m.v) / (1 + np.exp(-(h @ m.u)))) @ m.w))
-    h, e = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    a = np.exp(e - e.max())
-    return float(1 / (1 + np.exp(-np.float64((a / a.sum()) @ h @ m.c + m.b[0]))))
-
-
 def score_texts(m: Model, texts: list[str | None]) -> np.ndarray:
-    out, at = np.zeros(len(texts)), 0
-    while at < len(texts):
-        if len(texts[at] or "") > CHUNK_BYTES:
-            out[at] = score_long(m, texts[at])
-            at += 1
-            continue
-        end, size = at, 0
-        while end < len(texts) and len(texts[end] or "") <= CHUNK_BYTES and (end == at or size < CHUNK_BYTES):
-            size += len(texts[end] or "")
-            end += 1
-        x, owner = encode_passages(texts[at:end])
-        out[at:end] = 1 / (1 + np.exp(-attend(m, x, owner, end - at)[-1].astype(np.float64)))
-        at = end
-    return out
-
-
-def _spread(text: str | None) -> bytes:
-    """Features of at most TRAIN_PASSAGES passages, from the first to the last of the text at even steps."""
-    rows = np.concatenate([encode_passages([part])[0] for part in segments(text)])
-    return rows[np.unique(np.linspace(0, len(rows) - 1, TRAIN_PASSAGES).astype(int))].tobytes()
-
-
-def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
-    """docs: (id, text); labels: (id, label 0 or 1). A sample of at most train_docs labelled rows, chosen by a hash of the id.
-    None without labels. Conflicting labels of one id count as 0."""
+    """As attend() has it, in double precision. All texts are read in parts of whole passages; a text's attention is summed from part to
+    part against the largest logit so far, so that its score does not depend on where it is cut."""
+    m = Model(*(p.astype(np.float64) for p in m))
+    top, weight, sums = np.full(len(texts), -np.inf), np.zeros(len(texts)), np.zeros((len(texts), len(m.c)))
+
+    def add(parts: list[str], owners: list[int]) -> None:
+        x, owner = encode_passages(parts)
+        h = np.maximum(x @ m.w1 + m.b1, 0)
+        e = (np.tanh(h @ m.v) / (1 + np.exp(-(h @ m.u)))) @ m.w
+        docs, doc = np.unique(np.array(owners)[owner], return_inverse=True)
+        first = np.searchsorted(doc, np.arange(len(docs)))
+        high = np.maximum(top[docs], np.maximum.reduceat(e, first))
+        a, before = np.exp(e - high[doc]), np.exp(top[docs] - high)
+        weight[docs] = weight[docs] * before + np.add.reduceat(a, first)
+        sums[docs] = sums[docs] * before[:, None] + np.add.reduceat(a[:, None] * h, first)
+        top[docs] = high
+
+    parts: list[str] = []
+    owners: list[int] = []
+    held = 0
+    for k, text in enumerate(texts):
+        for part in segments(text):
+            if parts and held + len(part) > CHUNK_BYTES:
+                add(parts, owners)
+                parts, owners, held = [], [], 0
+            parts.append(part)
+            owners.append(k)
+            held += len(part)
+    if parts:
+        add(parts, owners)
+    return np.round(1 / (1 + np.exp(-(sums / weight[:, None] @ m.c + m.b[0]))), 12)
+
+
+def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
+    """docs: (id, text); labels: (id, label 0 or 1). A sample of at most train_docs labelled rows and train_bytes of text, chosen by a hash
+    of the id; whole texts. None without labels. Conflicting labels of one id count as 0."""
     known = labels.toDF(id_col, "label").where(F.col(id_col).isNotNull() & F.col("label").isin(0, 1)).groupBy(id_col).agg(F.min("label").alias("label"))
     total = known.count()
     if not total:
@@ -192,10 +194,17 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, id_c
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [_spread(t) for t in batch.column(1).to_pylist()]
+            rows = [np.concatenate([encode_passages([part])[0] for part in segments(t)]).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary()), batch.column(2)], names=["id", "x", "label"])
 
     sample = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)  # train_docs rows at most
+    sizes = sample.groupBy(id_col).agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0))).alias("size")).orderBy(place, id_col).collect()
+    taken, used = [], 0
+    for row in sizes:  # documents that do not fit any more are left out whole
+        if used + row["size"] <= train_bytes:
+            taken.append((row[0],))
+            used += row["size"]
+    sample = sample.join(F.broadcast(docs.sparkSession.createDataFrame(taken, docs.select(id_col).schema)), id_col)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = sample.select(id_col, text_col, F.col("label").cast("int").alias("label")).mapInArrow(encode, f"id {kind}, x binary, label int").collect()
     rows.sort(key=lambda r: r["id"])
@@ -206,7 +215,8 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, id_c
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score): one row per row of docs, from the whole text only. Null counts as empty; without a model all scores are 0.5."""
+    """(id, score): one row per row of docs, from the whole text only; other columns are not carried. Null counts as empty; without a
+    model all scores are 0.5."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,6 +231,6 @@ def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     long_values(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    held_out = crc_fold(F.col("doc_id"), FOLDS) == HELD_OUT
+    held_out = F.coalesce(crc_fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False))
     model = train(docs, labels.where(~held_out))
     return score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,7 +32,7 @@ UNIGRAM, BPE = 1, 2
 #: Parts of text of which a worker keeps the ids at most, and bytes of text that it cuts into parts at once.
 CACHED_PARTS, SPLIT_BYTES = 600_000, 4 << 20
 #: Pairs of pieces of which a task remembers whether they can stand side by side.
-KNOWN_PAIRS = 1_000_000
+KNOWN_PAIRS = 300_000
 #: What an unknown character costs below the worst piece of a unigram model.
 UNKNOWN_PENALTY = 10.0
 
@@ -85,6 +86,8 @@ class Pieces:
                 self.id_of[piece] = i
         self.raw = [b"" if sp.is_control(i) or sp.is_unknown(i) else bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(self.text)]
         self.lowest = min((self.score[i] for i in self.id_of.values()), default=0.0) - UNKNOWN_PENALTY
+        self.lengths = [len(p) for p in self.text]
+        self.longest = max((len(p) for p in self.id_of), default=1)
         self.automaton = ahocorasick.Automaton()
         for piece, i in self.id_of.items():
             if self.kind != BPE or len(piece) == 1 or self._merge(piece) == [piece]:  # others never come out of merging
@@ -123,10 +126,10 @@ class Pieces:
             begins[offsets[offsets < len(data)]] = True
             begin = np.flatnonzero(begins)
             words = cut(data, begin).dictionary_encode()
-            places = self.known.places(words.dictionary)[words.indices.to_numpy()]
-            ids, ends = flat(self.known.values.take(pa.array(places)))
+            values, numbers = self.known.of(words.dictionary)
+            ids, ends = flat(values.take(words.indices))
             of = np.searchsorted(begin, offsets)
-            sums = np.concatenate(([0.0], np.cumsum(self.known.numbers[places])))[of]
+            sums = np.concatenate(([0.0], np.cumsum(numbers[words.indices.to_numpy()])))[of]
             ends = ends[of].tolist()
             for k, (a, b) in enumerate(zip(ends, ends[1:])):
                 yield ids[a:b], float(sums[k + 1] - sums[k])
@@ -141,83 +144,86 @@ class Pieces:
             ids.append(np.array(path, "<u4").tobytes())
         return ids, best
 
-    def path(self, text: str) -> tuple[list[int], float]:
+    def path(self, text: str) -> tuple[array, float]:
         """The model's ids of a normalised text, and the best sum of scores of any path; an unknown character is a piece at a penalty."""
         unknown = {c for c in set(text) if c not in self.id_of}
         if self.kind != UNIGRAM and unknown:  # no piece reaches over an unknown character
-            ids: list[int] = []
-            total = 0.0
-            for part in re.findall(f"[{self.known_chars}]+|.", text, re.S):
-                if part[0] in unknown:
-                    ids += self._unknown(part)
+            ids, total = array("i"), 0.0
+            for part in re.finditer(f"[{self.known_chars}]+|.", text, re.S):
+                if part[0][0] in unknown:
+                    ids.extend(self._unknown(part[0]))
                     total += self.lowest
                 else:
-                    more, best = self._relax(part)
-                    ids += more
+                    more, best = self._relax(part[0])
+                    ids.extend(more)
                     total += best
             return ids, total
         return self._relax(text)
 
-    def _relax(self, text: str) -> tuple[list[int], float]:
-        n = len(text)
-        score, joins, merging = self.score, self.joins, self.kind != UNIGRAM
-        best, found = [0.0] + [-math.inf] * n, [(0, -1)] * (n + 1)
-        last: list[int | None] = [None] * (n + 1)  # BPE: the piece that ends here; -1: the start
-        begins = [0] * (n + 1)
-        last[0] = -1
+    def _relax(self, text: str) -> tuple[array, float]:
+        """One pass. Best sums are held for the positions that a piece can reach back to; of each position only the piece that ends there
+        is kept (BPE: the one that merging puts there, -2 for none; unigram: the one of the best sum), four bytes a character."""
+        n, score, joins, merging, lowest = len(text), self.score, self.joins, self.kind != UNIGRAM, self.lowest
+        window = self.longest + 1
+        best = [0.0] * window
+        chosen = array("i", [-2 if merging else -1]) * (n + 1)
+        chosen[0] = -1
         if len(joins) > KNOWN_PAIRS:
             joins.clear()
-        lowest, reached = self.lowest, 0
+        at = 0
+
+        def on_to(at: int, end: int) -> int:
+            """Settles the positions before end: an unknown character may be better than the pieces that end there."""
+            while at < end:
+                if at and best[(at - 1) % window] + lowest > best[at % window]:
+                    best[at % window] = best[(at - 1) % window] + lowest
+                    if not merging:
+                        chosen[at] = -1
+                at += 1
+                best[at % window] = -math.inf
+            return at
+
         for end, (length, i) in self.automaton.iter(text):  # by rising end, longest first, along output links
             end += 1
-            while reached < end - 1:  # positions without a piece: an unknown character
-                reached += 1
-                if best[reached - 1] + lowest > best[reached]:
-                    best[reached], found[reached] = best[reached - 1] + lowest, (1, -1)
-            total = best[end - length] + score[i]
-            if total > best[end]:
-                best[end], found[end] = total, (length, i)
-            if merging and last[end] is None:
-                before = last[end - length]
-                if before is not None:
+            if at < end:
+                at = on_to(at, end)
+            total, here = best[(end - length) % window] + score[i], end % window
+            if total > best[here]:
+                best[here] = total
+                if not merging:
+                    chosen[end] = i
+            if merging and chosen[end] == -2:
+                before = chosen[end - length]
+                if before != -2:
                     key = before << 32 | i
                     fits = joins.get(key)
                     if fits is None:
                         fits = joins[key] = before < 0 or self._merge(self.text[before] + self.text[i]) == [self.text[before], self.text[i]]
                     if fits:
-                        last[end], begins[end] = i, end - length
-        while reached < n:
-            reached += 1
-            if best[reached - 1] + lowest > best[reached]:
-                best[reached], found[reached] = best[reached - 1] + lowest, (1, -1)
-        return (self._merged(last, begins) if merging else self._trace(text, found)), best[n]
-
-    @staticmethod
-    def _merged(last: list[int | None], begins: list[int]) -> list[int]:
-        """The one path on which every two neighbours are what merging makes of them."""
-        out: list[int] = []
-        end = len(last) - 1
-        while end:
-            out.append(last[end])
-            end = begins[end]
-        return out[::-1]
+                        chosen[end] = i
+        if n:
+            on_to(at, n + 1)
+        return self._trace(text, chosen), best[n % window]
 
     def _unknown(self, char: str) -> list[int]:
         """The bytes of a character that no piece has, if the model has byte pieces, else the unknown id."""
         return [self.byte_ids[b] for b in char.encode("utf-8", "replace")] if self.byte_ids[0] >= 0 else [self.unknown]
 
-    def _trace(self, text: str, last: list[tuple[int, int]]) -> list[int]:
-        """The best path. Where the model has no byte pieces, a run of unknown characters is one unknown id, as in the library."""
-        out: list[int] = []
-        end = len(text)
+    def _trace(self, text: str, chosen: array) -> array:
+        """The path from the end back. Where the model has no byte pieces, a run of unknown characters is one unknown id, as in the
+        library."""
+        out, end = array("i"), len(text)
         while end:
-            length, i = last[end]
+            i = chosen[end]
             if i >= 0:
                 out.append(i)
-            elif self.byte_ids[0] >= 0 or not out or out[-1] != self.unknown:
-                out += reversed(self._unknown(text[end - 1]))
-            end -= length
-        return out[::-1]
+                end -= self.lengths[i]
+                continue
+            if self.byte_ids[0] >= 0 or not out or out[-1] != self.unknown:
+                out.extend(reversed(self._unknown(text[end - 1])))
+            end -= 1
+        out.reverse()
+        return out
 
     def _merge(self, text: str) -> list[str]:
         """Merges the pair of neighbours of the best score, the leftmost first, as long as there is one."""

@@ -13,7 +13,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, shuffle_partitions, table
+from .common import materialise, shuffle_partitions, table, unused
 
 KEY_BITS = 63
 #: Cells that the driver holds at most per step of the search.
@@ -126,28 +126,32 @@ def minimax_cuts(groups: DataFrame, shards: int) -> tuple[dict[int, int], list[t
 
 
 def shard_by_size(rows: DataFrame, group: Column, size: Column, shards: int = 16, tie: str = "doc_id") -> DataFrame:
-    """Adds shard (0 to shards - 1), slot (gapless from 0 in each shard) and size to rows.
+    """Adds shard (0 to shards - 1), slot (gapless from 0 in each shard) and size to rows, in place of columns of these names; all other
+    columns are kept, whatever they are called.
 
     Rows of equal `group` share a shard; the order of groups is that of a 63-bit hash of `group` (null is a group of its
-    own). A group larger than a shard's share is a shard. Empty input gives no rows; repeated rows get slots of their own.
-    """
+    own). A group larger than a shard's share is a shard. Empty input gives no rows; repeated rows and rows without a tie get slots of
+    their own; texts of any length are one row each."""
     spark = rows.sparkSession
-    keyed = materialise(rows.withColumn("size", size).withColumn("_key", F.shiftrightunsigned(F.xxhash64(group), 1)), "sizes")
-    groups = materialise(keyed.groupBy(F.col("_key").alias("key")).agg(F.sum("size").alias("size")), "groups")
+    number, key, large_, bucket, n, start = (unused(rows, c) for c in ("number", "key", "large", "bucket", "n", "start"))
+    kept = [F.col(f"`{c}`") for c in rows.columns if c.lower() not in ("size", "shard", "slot")]
+    keyed = rows.select(*kept, size.alias("size"), F.shiftrightunsigned(F.xxhash64(group), 1).alias(key), F.monotonically_increasing_id().alias(number))
+    keyed = materialise(keyed, "sizes")
+    groups = materialise(keyed.groupBy(F.col(key).alias("key")).agg(F.sum("size").alias("size")), "groups")
     shard_of, first_keys, _ = minimax_cuts(groups, shards)
-    large = spark.createDataFrame(list(shard_of.items()), "_key long, _large int")  # MAX_LARGE rows at most
+    large = spark.createDataFrame(list(shard_of.items()), f"{key} long, {large_} int")  # MAX_LARGE rows at most
     shard = F.lit(0)
-    for key, number in first_keys:
-        shard = F.when(F.col("_key") >= key, number).otherwise(shard)
-    shard = F.coalesce("_large", shard)
-    keyed = keyed.join(F.broadcast(large), "_key", "left")
-    # Slots: each shard is dealt over buckets by a hash of the id; a bucket starts where those before it end.
+    for first, at in first_keys:
+        shard = F.when(F.col(key) >= first, at).otherwise(shard)
+    keyed = keyed.join(F.broadcast(large), key, "left")
+    # Slots: each shard is dealt over buckets by a hash of the tie and the row's number (one tie may be on many rows); a bucket starts
+    # where those before it end.
     buckets = max(shuffle_partitions(spark), -(-keyed.count() // (1 << 20)))
-    placed = keyed.withColumn("shard", shard.cast("int")).withColumn("_bucket", F.pmod(F.xxhash64(tie), F.lit(buckets)))
-    counts = placed.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
-    starts = counts.selectExpr("shard", "_bucket", "sum(_n) over (partition by shard order by _bucket) - _n as _start")
-    numbered = placed.join(starts, ["shard", "_bucket"]).selectExpr("*", f"_start + row_number() over (partition by shard, _bucket order by {tie}, _key) - 1 as slot")
-    return numbered.drop("_key", "_large", "_bucket", "_start")
+    placed = keyed.withColumn("shard", F.coalesce(large_, shard).cast("int")).withColumn(bucket, F.pmod(F.xxhash64(tie, number), F.lit(buckets)))
+    counts = placed.groupBy("shard", bucket).agg(F.count("*").alias(n))
+    starts = counts.selectExpr("shard", bucket, f"sum({n}) over (partition by shard order by {bucket}) - {n} as {start}")
+    numbered = placed.join(starts, ["shard", bucket]).selectExpr("*", f"{start} + row_number() over (partition by shard, {bucket} order by `{tie}`, {number}) - 1 as slot")
+    return numbered.select(*kept, "size", "shard", "slot")
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

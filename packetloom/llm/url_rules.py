@@ -1,5 +1,5 @@
 """URL filter by association rules: FP-growth mines combinations of URL tokens that go with bad pages; rules that pass the
-support and confidence bounds are matched through an inverted index on each rule's rarest token.
+support and confidence bounds are matched through an inverted index on one of each rule's tokens.
 
 A rule has to be more often right than wrong, and to be better than chance: the lower end of its confidence's Wilson interval has
 to lie above the share of bad pages among all labelled ones. With CHANCE deviations a rule without meaning passes about once in
@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import materialise, table, unused
 
@@ -66,32 +67,47 @@ def wilson_low(share: Column, rows: Column, z: float = CHANCE) -> Column:
     return (middle - z * F.sqrt((share * (1 - share) + z * z / (4 * rows)) / rows)) / (1 + z * z / rows)
 
 
+def token_classes(baskets: DataFrame) -> DataFrame:
+    """baskets: (tokens). Returns (token, lead): tokens that stand in exactly the same baskets have one lead, the first of them."""
+    numbered = materialise(baskets.select("tokens").withColumn("row", F.monotonically_increasing_id()), "baskets")
+    hashes = [F.sum(F.xxhash64(F.lit(seed), "row").cast("decimal(38,0)")) for seed in (1, 2)]  # two sums of 64-bit hashes name a set of rows
+    sets = numbered.select("row", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"), hashes[0].alias("h1"), hashes[1].alias("h2"))
+    return sets.select("token", F.min("token").over(Window.partitionBy("n", "h1", "h2")).alias("lead"))
+
+
 def mine_rules(urls: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """urls: (tokens, bad). Returns (antecedent, confidence, support, anchor): the rules whose result is the bad label; anchor is
-    the rarest token of a rule.
+    """urls: (tokens, bad). Returns (antecedent, classes, confidence, support): the rules whose result is the bad label. Of tokens that
+    always come together only one is mined, so that a common path of k tokens is one item and not 2^k sets; classes has for each item of
+    the antecedent all such tokens, any of which stands for it.
 
     With fewer than MIN_ROWS labelled rows there are no rules. FP-growth runs distributed; what it sends to the driver is the list of
     frequent single tokens, at most (tokens a URL) / min_support.
     """
     spark = urls.sparkSession
-    baskets = urls.where("bad is not null").select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items"), "bad").where(F.size("items") > 0)
+    known = urls.where("bad is not null and tokens is not null").select("tokens", "bad")
+    classes = materialise(token_classes(known), "classes")
+    leads = known.withColumn("row", F.monotonically_increasing_id()).select("row", "bad", F.explode_outer("tokens").alias("token")).join(classes, "token", "left")
+    leads = leads.groupBy("row", "bad").agg(F.collect_set("lead").alias("leads"))
+    baskets = materialise(leads.select(F.when(F.col("bad"), F.array_append("leads", F.lit(BAD))).otherwise(F.col("leads")).alias("items"), "bad").where(F.size("items") > 0), "items")
     labelled, bad = baskets.agg(F.count("*"), F.count_if("bad")).first()
     if labelled < MIN_ROWS:
-        return spark.createDataFrame([], "antecedent array<string>, confidence double, support double, anchor string")
+        return spark.createDataFrame([], "antecedent array<string>, classes array<array<string>>, confidence double, support double")
     model = FPGrowth(itemsCol="items", minSupport=max(min_support, MIN_ROWS / labelled), minConfidence=min_confidence).fit(baskets)
-    single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
     found = model.associationRules.where(F.col("consequent")[0] == BAD)
     sure = wilson_low(F.col("confidence"), F.col("support") * labelled / F.col("confidence")) > bad / labelled
-    ranked = found.where(sure).select("antecedent", "confidence", "support", F.explode("antecedent").alias("token")).join(single, "token")
-    return ranked.groupBy("antecedent", "confidence", "support").agg(F.min_by("token", F.struct("freq", "token")).alias("anchor"))
+    items = found.where(sure).select("antecedent", "confidence", "support", F.explode("antecedent").alias("lead"))
+    alike = classes.groupBy("lead").agg(F.array_sort(F.collect_set("token")).alias("class"))
+    return items.join(alike, "lead").groupBy("antecedent", "confidence", "support").agg(F.collect_list("class").alias("classes")).select("antecedent", "classes", "confidence", "support")
 
 
 def matched_urls(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """urls: (url, tokens), each url once. Returns the urls that hold all tokens of some rule, with the best confidence."""
-    index = materialise(rules.select("anchor", "antecedent", "confidence"), "url-rules")
+    """urls: (url, tokens), each url once. Returns the urls that hold a token of each class of some rule, with the best confidence. Rules
+    are looked up by the tokens of their smallest class."""
+    anchors = F.array_sort("classes", lambda a, b: F.size(a) - F.size(b))[0]
+    index = materialise(rules.select(F.explode(anchors).alias("anchor"), "classes", "confidence"), "url-rules")
     small = index.count() <= BROADCAST_RULES
     found = urls.select("url", "tokens", F.explode("tokens").alias("anchor")).join(F.broadcast(index) if small else index, "anchor")
-    return found.where(F.size(F.array_except("antecedent", "tokens")) == 0).groupBy("url").agg(F.max("confidence").alias("confidence"))
+    return found.where(F.forall("classes", lambda c: F.arrays_overlap(c, "tokens"))).groupBy("url").agg(F.max("confidence").alias("confidence"))
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
@@ -107,7 +123,8 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES, min_support: fl
     mined = mine_rules(tokens.join(known, "page_id").select("tokens", "bad"), min_support, min_confidence)
     hits = matched_urls(tokens.where("url is not null").select("url", "tokens").dropDuplicates(["url"]), mined)
     key = unused(base, "hit")
-    judged = base.join(hits.select(F.col("url").alias(key), F.col("confidence").alias("learned")), F.col("url") == F.col(key), "left").drop(key)
+    given = base.where("url is not null").join(hits.select(F.col("url").alias(key), F.col("confidence").alias("learned")), F.col("url") == F.col(key), "left").drop(key)
+    judged = given.unionByName(base.where("url is null").withColumn("learned", F.lit(None).cast("double")))  # nulls never meet in one task
     verdict = F.coalesce(action, F.when(F.col("learned").isNotNull(), "block"), F.lit("allow"))
     return judged.withColumns({"host": host, "path": path, "rule": rule, "verdict": verdict})
 

@@ -7,8 +7,10 @@ import re
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from packetloom.llm import html_seed, html_tree, lang_id, packing, quality_mil, quality_rules, sentence_pieces, sharding, shingle_join, url_rules, vector_pairs
 from packetloom.llm.common import connected_components
@@ -652,4 +654,106 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, DATA).collect()
     assert {r.doc_id for r in out} == want
     assert sum(r.length for r in out) <= len({r.sequence_id for r in out}) * 4096
-    assert zlib.crc32(b"") == 0
+    ids = {i: t for i, t in kept}
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    pieces, places = collections.defaultdict(dict), collections.defaultdict(list)
+    for r in out:
+        pieces[r.doc_id][r.piece] = r
+        places[r.sequence_id].append((r.offset, r.length))
+    for i in want:
+        encoded = [*library.encode(ids[i] or "", add_special_tokens=False).ids, 1]
+        parts = [encoded[k : k + 4096] for k in range(0, len(encoded), 4096)]
+        assert [(r.piece, r.start, r.length, r.ids_crc32) for _, r in sorted(pieces[i].items())] == [(k, 4096 * k, len(p), zlib.crc32(np.array(p, "<u4").tobytes())) for k, p in enumerate(parts)]
+    for spans in places.values():  # gapless from 0
+        assert [a for a, _ in sorted(spans)] == list(np.cumsum([0] + [n for _, n in sorted(spans)])[:-1])
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Nulls, empty tables, repeated rows and columns with clashing names pass through every stage."""
+    import corpus_pipeline
+
+    text = " ".join(f"river{i} runs{i * 7} sea{i * 3}" for i in range(40))
+    rows = [(None, text, None, None, 1), (1, None, "en", "a", None), (2, "", "en", "a", 0), (3, text, "en", "a", 5), (3, text, "en", "a", 5), (4, text + " end", None, "b", 5), (5, "日本" * 200_000, "xx", None, 1)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit("clash") for c in ("group", "kept", "component", "size", "piece_", "score", "n_words")})
+    for docs in (frame, empty(frame)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, DATA)
+            assert name == "packing" or out.columns == frame.columns
+            assert docs.take(1) or not out.take(1)
+    kept = corpus_pipeline.near_duplicates(spark, corpus_pipeline.quality_rules(spark, frame, DATA), DATA).collect()
+    assert {r.doc_id for r in kept} == {None, 3}
+    packed = corpus_pipeline.packing(spark, frame, DATA).collect()
+    assert collections.Counter(r.doc_id for r in packed if r.piece == 0) == collections.Counter(r[0] for r in rows)
+
+
+def test_quality_scores_do_not_depend_on_cuts(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    shape = lambda *n: rng.normal(size=n).astype(np.float32)
+    model = quality_mil.Model(shape(quality_mil.FEATURES, 24), shape(24), shape(24, 12), shape(24, 12), shape(12), shape(24) / 9, shape(1))
+    words = ["Some", "words,", "é12", "and!", "(more)", "\n", "a.b"]
+    long = " ".join(words[i] for i in rng.integers(0, 7, 200_000).tolist())
+    texts = [long, None, "", " \n ", "short one", "x" * 3000 + " " + long[:5000], long[:70_000]]
+    whole = quality_mil.score_texts(model, texts)
+    for size in (500, 10_000, 1 << 24):
+        monkeypatch.setattr(quality_mil, "CHUNK_BYTES", size)
+        monkeypatch.setattr(quality_mil.segments, "__defaults__", (size,))
+        assert (quality_mil.score_texts(model, texts) == whole).all()
+    assert (np.concatenate([quality_mil.score_texts(model, [t]) for t in texts]) == whole).all()
+
+
+def test_shards_of_the_query(spark):
+    """Every column that the contract fixes, and that no shard is larger than the smallest capacity for the order that was taken."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    rows = sharding.op9_sharding(spark, DATA).collect()
+    assert len(rows) == len(texts) and {r.law for r in rows} == {"bytes"} and {r.grown_shard for r in rows} == {None}
+    shard_of, slots, load = {}, collections.defaultdict(list), collections.Counter()
+    for r in rows:
+        raw = texts[r.doc_id].encode()
+        assert (r.size, r.text_crc32) == (len(raw) + 1, zlib.crc32(raw)) and 0 <= r.shard < 16
+        assert shard_of.setdefault(raw, r.shard) == r.shard
+        slots[r.shard].append(r.slot)
+        load[r.shard] += r.size
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    sizes = collections.Counter()
+    for t in texts.values():
+        sizes[t] += len(t.encode()) + 1
+    assert max(load.values()) - sum(load.values()) / 16 <= max(max(sizes.values()), sum(load.values()) / 16 / 8)
+
+
+def test_shards_of_odd_rows(spark):
+    rows = [(None, "t" * (i % 7)) for i in range(300)] + [(7, "same") for _ in range(200)] + [(8, None), (9, ""), (10, "日" * 200_000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("slot", "SHARD", "size", "key", "number", "bucket", "large", "n", "start")})
+    out = sharding.shard_by_size(frame, F.coalesce("text", F.lit("")), F.octet_length(F.coalesce("text", F.lit(""))) + 1, 5)
+    assert sorted(c.lower() for c in out.columns) == sorted(c.lower() for c in frame.columns)
+    slots = collections.defaultdict(list)
+    for r in out.select("shard", "slot", "key").collect():
+        slots[r.shard].append(r.slot)
+        assert r.key == "clash"
+    assert sum(map(len, slots.values())) == len(rows) and all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
+def test_rules_of_common_paths_do_not_explode(spark):
+    """40 tokens that always come together are one item: as many rules as without them, and any of them stands for all."""
+    shared = [f"path:p{i}" for i in range(40)]
+    rows = [(shared + ["path:x"], True)] * 60 + [(shared, False)] * 60 + [(["host:a", f"path:n{i}"], False) for i in range(80)]
+    found = url_rules.mine_rules(spark.createDataFrame(rows, "tokens array<string>, bad boolean")).collect()
+    want = {frozenset({"path:x"}): 1.0, frozenset({"path:x", "path:p0"}): 1.0, frozenset({"path:p0"}): 0.5}
+    base, z = 60 / 200, url_rules.CHANCE
+    low = lambda p, n: (p + z * z / (2 * n) - z * (p * (1 - p) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n)
+    want = {k: v for k, v in want.items() if low(v, 60 if v == 1 else 120) > base}
+    assert {frozenset(r.antecedent): r.confidence for r in found} == want
+    assert all(set(shared) in map(set, r.classes) for r in found if "path:p0" in r.antecedent)
+    urls = spark.createDataFrame([("u", ["path:x"]), ("v", ["path:p7", "path:x"]), ("w", ["path:p7"])], "url string, tokens array<string>")
+    assert {r.url for r in url_rules.matched_urls(urls, url_rules.mine_rules(spark.createDataFrame(rows, "tokens array<string>, bad boolean"))).collect()} >= {"u", "v"}
+
+
+def test_quality_and_language_of_null_ids(spark):
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    frame = spark.createDataFrame([(None, "one text", "en"), (1, "another text", "en")], "doc_id long, text string, lang string")
+    import tempfile
+
+    where = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    frame.write.parquet(f"{where}/documents.parquet")
+    labels.write.parquet(f"{where}/labels.parquet")
+    assert {r.held_out for r in quality_mil.op3_quality_model(spark, where).where("doc_id is null").collect()} == {False}
+    assert {r.held_out for r in lang_id.op2_language_id(spark, where).where("doc_id is null").collect()} == {False}

@@ -1,7 +1,10 @@
 """Tokenising and packing against plain versions."""
 
 import collections
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 import public_tokenizers
@@ -11,8 +14,9 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from packetloom.llm import packing
+from packetloom.llm.common import Known
 
-from ..conftest import DATA
+from ..conftest import DATA, ROOT
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 #: Letters, signs, white space of all kinds, marks that compose, capitals without a composed form, other scripts.
@@ -107,3 +111,49 @@ def test_query(spark):
         assert at <= 4096
     total = sum(r.length for r in got)
     assert len(bins) <= -(-total // 4096) * 1.01 + 1
+
+
+def test_memory_of_texts_without_spaces():
+    """Long unspaced words are encoded and forgotten: 200 MB of them leave a worker's memory where it was, short ones within a bound."""
+    code = """
+import random, resource, sys
+import pyarrow as pa, public_tokenizers
+from packetloom.llm.packing import WordTokenizer
+from packetloom.llm.sentence_pieces import Pieces
+kind, total = sys.argv[1], int(sys.argv[2])
+r = random.Random(1)
+chars = [chr(c) for c in range(0x4E00, 0x4F00)]
+if kind == "word":
+    t = WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    run = lambda texts: sum(len(x) for x in t.encode(texts))
+else:
+    t = Pieces(open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read())
+    run = lambda texts: sum(len(x) for x, _ in t.encode_column(texts))
+peaks, done = [], 0
+while done < total:
+    texts = pa.array(["".join(r.choices(chars, k=6000)) for _ in range(20)], pa.string())
+    run(texts)
+    done += 20 * 18000
+    peaks.append(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+print(peaks[len(peaks) // 4], peaks[-1])
+"""
+    total = 200_000_000 if os.environ.get("ALL_QUERIES") else 12_000_000
+    for kind in ("word", "piece"):
+        out = subprocess.run([sys.executable, "-c", code, kind, str(total)], capture_output=True, text=True, cwd=ROOT, check=True).stdout.split()
+        assert int(out[1]) - int(out[0]) < 60, (kind, out)
+
+
+def test_bytes_bound_what_is_known():
+    known = Known(lambda words: ([w * 2 for w in words], np.ones(len(words))), limit=1000, size=5000, longest=50)
+    for i in range(50):
+        keys = pa.array([b"%d-%d" % (i, j) + b"x" * (j * 3) for j in range(30)], pa.large_binary())
+        values, numbers = known.of(keys)
+        assert values.to_pylist() == [k * 2 for k in keys.to_pylist()] and (numbers == 1).all()
+        assert max(map(len, known.keys.to_pylist())) <= 50 and known.keys.nbytes + known.values.nbytes < 15_000
+
+
+def test_repeated_ids_are_dealt_over_groups(spark):
+    rows = [(7, 0, 0, 1000 + i % 9) for i in range(3000)]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, piece int, start long, length long"), group_pieces=100).collect()
+    groups = collections.Counter(r.sequence_id >> 32 for r in out)
+    assert len(groups) >= 25 and max(groups.values()) < 200
