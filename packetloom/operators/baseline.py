@@ -6,13 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import filters
+from . import blocks, filters
 
 
-def running_z(rows: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:
+def running_z(rows: DataFrame, keys: list[str], value: str, order: list[str], block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
     """Adds mean, variance (sample; 0 below two rows) and z (0 without spread) of all rows of the key up to this one."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.withColumns({"mean": F.avg(value).over(w), "variance": F.coalesce(F.var_samp(value).over(w), F.lit(0.0))})
+    out = blocks.running_moments(rows, keys, value, order, block_rows)
     return out.withColumn("z", F.when(F.col("variance") > 0, (F.col(value) - F.col("mean")) / F.sqrt("variance")).otherwise(0.0))
 
 
@@ -32,10 +31,9 @@ def packet_outliers(rows: DataFrame, keys: list[str], order: list[str], entropy:
     return s.withColumn("reason", F.when(F.abs("global_z") > limit, "GLOBAL").when(F.abs("seasonal_z") > limit, "SEASONAL").when((F.col(entropy) > 7.5) & (F.col("length") > 256), "ENTROPY"))
 
 
-def sliding_totals(rows: DataFrame, keys: list[str], seconds: int) -> DataFrame:
+def sliding_totals(rows: DataFrame, keys: list[str], seconds: int, block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
     """Adds packets and bytes of the last so many seconds of the key, this row's instant included."""
-    w = Window.partitionBy(*keys).orderBy("us").rangeBetween(-seconds * 1_000_000, 0)
-    return rows.withColumns({"window_packets": F.count("*").over(w), "window_bytes": F.sum("length").over(w)})
+    return blocks.trailing(rows, keys, seconds, {"window_packets": F.count("*"), "window_bytes": F.sum("length")}, block_rows=block_rows)
 
 
 def host_scores(rows: DataFrame, sensor: str | None = None, time: str = "us", order: str = "seq") -> DataFrame:

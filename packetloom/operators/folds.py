@@ -109,13 +109,3 @@ def lockouts(attempts: DataFrame, key: str, failures: int, seconds: int, time: s
     counted = marked.selectExpr("*", f"count_if(not success) over (partition by {key}, _island order by {time}, {order} rows between unbounded preceding and current row) as failed")
     return counted.where(f"not success and failed >= {failures}").withColumn("locked_until", F.col(time) + seconds * 1_000_000).drop("_island")
 
-
-def ewma(rows: DataFrame, key: str, value: str, alpha: float, order: list[str]) -> DataFrame:
-    """Exponentially weighted mean, seeded by the first value; alpha is held within 0.01 and 0.99."""
-    a = min(0.99, max(0.01, alpha))
-
-    def advance(mean, x):
-        mean = float(x) if mean is None else a * x + (1 - a) * mean
-        return mean, mean
-
-    return fold(rows, [key], order, [value], advance, "ewma double")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import filters
+from . import blocks, filters, selection
 
 
 def totals(rows: DataFrame, by: list[str] | None = None, length: str = "length") -> DataFrame:
@@ -93,35 +93,24 @@ def token_entropy(rows: DataFrame, column: str) -> DataFrame:
     return counts.crossJoin(F.broadcast(total)).agg(F.coalesce(-F.sum(share * F.log2(share)), F.lit(0.0)).alias("entropy"))  # the total is one row
 
 
-def by_rank(values: Column, index: Column) -> Column:
-    """The value at a 0-based place of a sorted array."""
-    return F.element_at(values, (index + 1).cast("int"))
-
-
 def quartile_outliers(rows: DataFrame, key: str, value: str) -> DataFrame:
     """Rows outside q1 - 1.5 iqr .. q3 + 1.5 iqr of their key, quartiles at places n/4 and 3n/4 of the sorted values; keys with fewer
-    than 4 values have none. Places are found by row numbers, so no key's values meet in one array."""
-    ranked = rows.where(F.col(value).isNotNull()).select(key, value, F.row_number().over(Window.partitionBy(key).orderBy(value)).alias("_i"), F.count("*").over(Window.partitionBy(key)).alias("_n"))
-    at = lambda place: F.max(F.when(F.col("_i") == place + 1, F.col(value)))
-    fences = ranked.groupBy(key).agg(at(F.floor(F.col("_n") / 4)).alias("q1"), at(F.floor(F.col("_n") * 3 / 4)).alias("q3"), F.max("_n").alias("_n")).where("_n >= 4")
+    than 4 values have none."""
+    fences = selection.places(rows, [key], value, {"q1": lambda n: F.floor(n / 4), "q3": lambda n: F.floor(n * 3 / 4)}).where("n >= 4")
     iqr = F.col("q3") - F.col("q1")
-    return rows.join(fences.drop("_n"), key).where((F.col(value) < F.col("q1") - 1.5 * iqr) | (F.col(value) > F.col("q3") + 1.5 * iqr))
+    return rows.join(fences.drop("n"), key).where((F.col(value) < F.col("q1") - 1.5 * iqr) | (F.col(value) > F.col("q3") + 1.5 * iqr))
 
 
 def summary_stats(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     """min, max, avg, median (place n/2), p95 (place min(ceil(0.95 n), n - 1)) of each group."""
-    w = Window.partitionBy(*by)
-    ranked = rows.where(F.col(value).isNotNull()).select(*by, value, F.row_number().over(w.orderBy(value)).alias("_i"), F.count("*").over(w).alias("_n"))
-    at = lambda place: F.max(F.when(F.col("_i") == place + 1, F.col(value)))
-    return ranked.groupBy(*by).agg(F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("avg"), at(F.floor(F.col("_n") / 2)).alias("median"), at(F.least(F.ceil(F.col("_n") * 0.95), F.col("_n") - 1)).alias("p95"))
+    ends = rows.where(F.col(value).isNotNull()).groupBy(*by).agg(F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("avg"))
+    inner = selection.places(rows, by, value, {"median": lambda n: F.floor(n / 2), "p95": lambda n: F.least(F.ceil(n * 0.95), n - 1)})
+    return blocks.join_on(ends, inner, by, ["median", "p95"])
 
 
 def nearest_rank(rows: DataFrame, value: str, by: list[str], shares: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
     """Percentiles at place round((n - 1) p) of the sorted values."""
-    w = Window.partitionBy(*by)
-    ranked = rows.where(F.col(value).isNotNull()).select(*by, value, F.row_number().over(w.orderBy(value)).alias("_i"), F.count("*").over(w).alias("_n"))
-    at = lambda p: F.max(F.when(F.col("_i") == F.round((F.col("_n") - 1) * p) + 1, F.col(value)))
-    return ranked.groupBy(*by).agg(*(at(p).alias(f"p{round(p * 100)}") for p in shares))
+    return selection.places(rows, by, value, {f"p{round(p * 100)}": lambda n, p=p: F.round((n - 1) * p) for p in shares}).drop("n")
 
 
 def site_errors(rows: DataFrame, site: str, code: str) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import baseline, detect, filters, folds
+from ..operators import baseline, blocks, detect, filters, folds
 from ..operators import projections as prj
 from ..sources.adapters import ALERTS, alerts, over_packets, packets, table
 from .basic import RULES, rules
@@ -25,7 +25,7 @@ add(
 _recursive = "with recursive " + over_packets("", "x")[5:].rsplit(", x", 1)[0]
 add(
     "bas02_ewma",
-    lambda s, d: folds.ewma(packets(s, d).select("seq", "src", "us", "length"), "src", "length", 0.3, ["us", "seq"]).select("seq", F.floor(F.col("ewma") * 1000 + 0.0001).alias("ewma_milli")),
+    lambda s, d: blocks.ewma(packets(s, d).select("seq", "src", "us", "length"), "src", "length", 0.3, ["us", "seq"]).select("seq", F.floor(F.col("ewma") * 1000 + 0.0001).alias("ewma_milli")),
     f"{_recursive}, n as (select src, seq, length, row_number() over (partition by src order by us, seq) as i from packets), r as (select src, seq, i, cast(length as double) as e from n where i = 1 union all select n.src, n.seq, n.i, 0.3::double * n.length + 0.7::double * r.e from r join n on n.src = r.src and n.i = r.i + 1) select seq, cast(floor(e * 1000 + 0.0001) as bigint) as ewma_milli from r",
 )
 add(
