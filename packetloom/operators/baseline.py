@@ -24,11 +24,11 @@ def seasonal_z(rows: DataFrame, keys: list[str], value: str, order: list[str]) -
     return running_z(rows.withColumn("slot", slot()), [*keys, "slot"], value, order)
 
 
-def packet_outliers(rows: DataFrame, keys: list[str], order: list[str], entropy: str = "entropy", limit: float = 3.5) -> DataFrame:
+def packet_outliers(rows: DataFrame, keys: list[str], order: list[str], entropy: str = "entropy", limit: float = 3.5, high_entropy: float = 7.5) -> DataFrame:
     """Adds reason: GLOBAL or SEASONAL (z beyond the limit, this row included), ENTROPY (> 7.5 and longer than 256), else null."""
     g = running_z(rows, keys, "length", order).withColumnRenamed("z", "global_z").drop("mean", "variance")
     s = seasonal_z(g, keys, "length", order).withColumnRenamed("z", "seasonal_z").drop("mean", "variance", "slot")
-    return s.withColumn("reason", F.when(F.abs("global_z") > limit, "GLOBAL").when(F.abs("seasonal_z") > limit, "SEASONAL").when((F.col(entropy) > 7.5) & (F.col("length") > 256), "ENTROPY"))
+    return s.withColumn("reason", F.when(F.abs("global_z") > limit, "GLOBAL").when(F.abs("seasonal_z") > limit, "SEASONAL").when((F.col(entropy) > high_entropy) & (F.col("length") > 256), "ENTROPY"))
 
 
 def sliding_totals(rows: DataFrame, keys: list[str], seconds: int, block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:

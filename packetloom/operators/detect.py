@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars
-from . import filters, matching, stats
+from . import blocks, filters, folds, matching, stats
 
 
 def _bucket(seconds: float) -> Column:
@@ -101,6 +101,23 @@ def correlated(rows: DataFrame, words: list[str], key: str = "src", text: str =
     return g.where(filters.all_of(*(d.isNotNull() for d in done))).select(key, (F.greatest(*done) if len(done) > 1 else done[0]).alias("us"))
 
 
+def correlations(rows: DataFrame, words: list[str], key: str = "src", text: str = "summary", cooldown: float = 10) -> DataFrame:
+    """Rows at which a key has shown all words, in any order, since it last fired; then it starts anew. Within the cooldown nothing fires
+    and what was seen stays. Only rows that hold one of the words are walked."""
+    gap, whole = int(cooldown * 1_000_000), (1 << len(words)) - 1
+    shown, (mark,) = F.lit(0), blocks.unused(rows, "words")
+    for i, word in enumerate(words):
+        shown = shown + F.when(F.col(text).contains(word), 1 << i).otherwise(0)
+
+    def advance(state, t, mask):
+        seen, last = state or (0, None)
+        seen |= mask
+        fires = seen == whole and (last is None or t - last >= gap)
+        return ((0, t) if fires else (seen, last)), fires
+
+    return folds.fold(rows.withColumn(mark, shown).where(F.col(mark) > 0), [key], ["us", "seq"], ["us", mark], advance).drop(mark)
+
+
 def absences(rows: DataFrame, matches: Column, key: str, seconds: float) -> DataFrame:
     """Matches of a key after which none follows for longer than the window (up to the key's last row of any kind)."""
     w = Window.partitionBy(key)

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions import scalars
-from . import filters
+from ..sources.scratch import settled
+from . import blocks, filters, folds
 
 
 def with_flow_key(rows: DataFrame) -> DataFrame:
@@ -88,12 +94,38 @@ def follow(rows: DataFrame, seq: int, payload: str = "summary") -> DataFrame:
 
 
 def reassemble(segments: DataFrame, flow: list[str], tcp_seq: str = "tcp_seq", data: str = "data", order: str = "seq") -> DataFrame:
-    """(flow, stream, segments): payloads in the order of sequence numbers; of a repeated number the last stays."""
+    """(flow, stream, segments): payloads in the order of sequence numbers; of a repeated number the last stays. A stream is one value: for
+    long ones, use stream_segments."""
     last = segments.groupBy(*flow, tcp_seq).agg(F.max_by(data, order).alias("_d"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(tcp_seq, "_d"))), lambda x: x["_d"]), "")
     return last.groupBy(*flow).agg(joined.alias("stream"), F.count("*").alias("segments"))
 
 
+def stream_segments(segments: DataFrame, flow: list[str], tcp_seq: str = "tcp_seq", data: str = "data", order: str = "seq", block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
+    """(flow, tcp_seq, offset, data): a stream as its segments, each with the place at which it begins; of a repeated sequence number the last
+    stays, empty ones go. No task holds a stream. data: binary."""
+    last = segments.groupBy(*flow, tcp_seq).agg(F.max_by(data, order).alias("data")).where(F.octet_length("data") > 0)
+    return blocks.preceding(last, flow, [tcp_seq], F.octet_length("data").cast("long"), "offset", block_rows).select(*flow, tcp_seq, "offset", "data")
+
+
+#: Bytes of a stream that are searched as one piece.
+PIECE_BYTES = 1 << 16
+
+
+def stream_pieces(segments: DataFrame, flow: list[str], overlap: int, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+    """(flow, begin, data): the stream in pieces of equal length, each with `overlap` bytes of the next, from segments (flow, offset, data): each
+    segment is cut and dealt to the pieces that it reaches into, so that a piece is a bounded group."""
+    end = F.col("offset") + F.octet_length("data")
+    first, last = F.greatest(F.lit(0), F.floor((F.col("offset") - overlap) / piece_bytes)), F.floor((end - 1) / piece_bytes)
+    dealt = segments.select(*flow, "offset", "data", F.explode(F.sequence(first.cast("long"), last.cast("long"))).alias("_piece"))
+    begin, stop = F.col("_piece") * piece_bytes, (F.col("_piece") + 1) * piece_bytes + overlap
+    start = F.greatest(begin, F.col("offset"))
+    part = F.substring("data", (start - F.col("offset") + 1).cast("int"), (F.least(stop, end) - start).cast("int"))
+    parts = dealt.select(*flow, "_piece", start.alias("_at"), part.alias("_part")).where(F.octet_length("_part") > 0)
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", F.hex("_part").alias("_part")))), lambda x: x["_part"]), "")
+    return parts.groupBy(*flow, "_piece").agg(whole.alias("_hex")).select(*flow, (F.col("_piece") * piece_bytes).alias("begin"), F.unhex("_hex").alias("data"))
+
+
 def timeline(rows: DataFrame) -> DataFrame:
     return rows.select("us", "seq", "src", "dst", "protocol", "summary").orderBy("us", "seq")
 
@@ -149,16 +181,22 @@ def service_calls(steps: DataFrame) -> DataFrame:
     return out.join(rtt, ["client", "server"], "left")
 
 
-def traces(spans: DataFrame, rounds: int = 8) -> DataFrame:
-    """Spans with offset in their trace, duration (null without a response) and depth by the parents that are present (roots 0; up to
-    2^rounds levels, by doubling steps). spans: trace_id, span_id, parent_id, start_ms, end_ms."""
+def traces(spans: DataFrame) -> DataFrame:
+    """Spans with offset in their trace, duration (null without a response) and depth by the parents that are present (roots 0). spans:
+    trace_id, span_id, parent_id, start_ms, end_ms. Depths double their reach each round until all have met a root; spans that are their own
+    ancestors are an error."""
     w = Window.partitionBy("trace_id")
     out = spans.withColumns({"offset_ms": F.col("start_ms") - F.min("start_ms").over(w), "duration_ms": F.col("end_ms") - F.col("start_ms"), "total_ms": F.max(F.coalesce("end_ms", "start_ms")).over(w) - F.min("start_ms").over(w)})
-    ids = spans.select("trace_id", F.col("span_id").alias("parent_id"), F.lit(True).alias("_known"))
-    hop = out.select("trace_id", "span_id", "parent_id").join(ids, ["trace_id", "parent_id"], "left").select("trace_id", "span_id", F.when(F.col("_known"), F.col("parent_id")).alias("up"), F.coalesce("_known", F.lit(False)).cast("long").alias("depth"))
-    for _ in range(rounds):
+    ids = spans.select("trace_id", F.col("span_id").alias("parent_id")).distinct().withColumn("_known", F.lit(True))
+    hop = spans.select("trace_id", "span_id", "parent_id").distinct().join(ids, ["trace_id", "parent_id"], "left").select("trace_id", "span_id", F.when(F.col("_known"), F.col("parent_id")).alias("up"), F.coalesce("_known", F.lit(False)).cast("long").alias("depth"))
+    hop = settled(hop, "hops")
+    deepest, reach, longest = hop.where("up is not null").count(), 1, None
+    while deepest:
+        if reach > 2 * (longest := longest or hop.count()):
+            raise ValueError("spans are their own ancestors")
         nxt = hop.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("_up2"), F.col("depth").alias("_d2"))
-        hop = hop.join(nxt, ["trace_id", "up"], "left").select("trace_id", "span_id", F.col("_up2").alias("up"), (F.col("depth") + F.coalesce("_d2", F.lit(0))).alias("depth"))
+        hop = settled(hop.join(nxt, ["trace_id", "up"], "left").select("trace_id", "span_id", F.col("_up2").alias("up"), (F.col("depth") + F.coalesce("_d2", F.lit(0))).alias("depth")), "hops")
+        deepest, reach = hop.where("up is not null").count(), reach * 2
     return out.join(hop.select("trace_id", "span_id", "depth"), ["trace_id", "span_id"])
 
 
@@ -172,13 +210,62 @@ def trace_headers(text: Column) -> Column:
     return F.when(~trace.rlike("^0+$") & ~span.rlike("^0+$"), F.struct(trace.alias("trace_id"), span.alias("span_id")))
 
 
-# First bytes of file kinds, in hex.
+# First bytes of file kinds, in hex; bytes that end a file, and how many more belong to it.
 MAGICS = (("jpeg", "FFD8FF"), ("png", "89504E470D0A1A0A"), ("gif", "474946383961"), ("pdf", "255044462D"), ("zip", "504B0304"), ("elf", "7F454C46"))
+ENDS = (("jpeg", "FFD9", 0), ("png", "49454E44", 4))
+#: Bytes of a file at most; more is taken for a false start.
+FILE_BYTES = 5_000_000
+LONGEST = max(len(m) // 2 for _, m in MAGICS)
+
+
+def marks(pieces: DataFrame, kinds: tuple[tuple[str, str], ...]) -> DataFrame:
+    """(flow columns, kind, offset): all places in the pieces of streams where the bytes of a kind stand, overlapping ones too."""
+    flow = [c for c in pieces.columns if c not in ("begin", "data", "limit")]
+    patterns = [(kind, re.compile(b"(?=" + re.escape(bytes.fromhex(magic)) + b")")) for kind, magic in kinds]
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, names, places = [], [], []
+            begins, limits = batch.column(batch.schema.get_field_index("begin")).to_pylist(), batch.column(batch.schema.get_field_index("limit")).to_pylist()
+            for i, value in enumerate(batch.column(batch.schema.get_field_index("data"))):
+                raw = value.as_py()
+                for kind, pattern in patterns if raw else ():
+                    at = [m.start() for m in pattern.finditer(raw) if m.start() < limits[i]]
+                    rows += [i] * len(at)
+                    names += [kind] * len(at)
+                    places += [begins[i] + x for x in at]
+            kept = batch.select(flow).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(names, pa.string()), pa.array(places, pa.int64())], names=[*flow, "kind", "offset"])
+
+    return pieces.mapInArrow(find, StructType([*(pieces.schema[c] for c in flow), StructField("kind", StringType()), StructField("offset", LongType())]))
 
 
 def magic_census(streams: DataFrame, data: str = "data") -> DataFrame:
-    """(stream columns, kind, offset): where the first bytes of known kinds of file stand in a stream, at even byte places."""
-    digits = F.hex(data)
-    spots = F.array(*(F.struct(F.lit(kind).alias("kind"), F.locate(magic, digits).alias("at")) for kind, magic in MAGICS))
-    found = streams.select("*", F.explode(spots).alias("_m")).where("_m.at > 0 and _m.at % 2 = 1")
-    return found.select(*streams.columns, F.col("_m.kind").alias("file_kind"), ((F.col("_m.at") - 1) / 2).cast("long").alias("file_offset"))
+    """(stream columns, file_kind, file_offset): all places where the first bytes of known kinds of file stand in a value."""
+    whole = streams.select(*(F.col(f"`{c}`") for c in streams.columns if c != data), F.lit(0).cast("long").alias("begin"), F.col(data).alias("data"), F.octet_length(data).alias("limit"))
+    return marks(whole, MAGICS).withColumnsRenamed({"kind": "file_kind", "offset": "file_offset"})
+
+
+def carve(segments: DataFrame, flow: list[str], piece_bytes: int = PIECE_BYTES) -> DataFrame:
+    """(flow, file_kind, file_offset, file_size): the files in reassembled streams, from segments (flow, offset, data) as stream_segments gives
+    them. Every place of every kind is found, also where packets cut it. JPEG and PNG files end at the first end mark after their start, else
+    with the stream; a file of more than 5 MB is no file, and what stands inside of one is not looked at. Other kinds have no size."""
+    cut = stream_pieces(segments, flow, LONGEST - 1, piece_bytes).withColumn("limit", F.lit(piece_bytes))
+    found = marks(cut, (*MAGICS, *((f"{kind} end", mark) for kind, mark, _ in ENDS)))
+    lengths = segments.groupBy(*flow).agg(F.max(F.col("offset") + F.octet_length("data")).alias("_length"))
+    found = blocks.join_on(found, lengths, flow, ["_length"])
+    size = F.lit(None).cast("long")
+    for kind, _, more in ENDS:
+        magic = len(dict(MAGICS)[kind]) // 2
+        after = Window.partitionBy(*flow).orderBy("offset").rangeBetween(magic, Window.unboundedFollowing)
+        end = F.min(F.when(F.col("kind") == f"{kind} end", F.col("offset"))).over(after)
+        mark = len(next(m for k, m, _ in ENDS if k == kind)) // 2
+        size = F.when(F.col("kind") == kind, F.coalesce(F.least(end + mark + more, F.col("_length")), F.col("_length")) - F.col("offset")).otherwise(size)
+    files = found.withColumn("file_size", size).where(~F.col("kind").endswith(" end") & (F.col("file_size").isNull() | (F.col("file_size") <= FILE_BYTES)))
+    files = files.withColumn("_covers", F.coalesce("file_size", F.lit(0)))
+
+    def advance(free, offset, covers):
+        return (free, False) if offset < (free or 0) else (offset + covers, True)
+
+    kept = folds.fold(files, flow, ["offset", "kind"], ["offset", "_covers"], advance)
+    return kept.select(*flow, F.col("kind").alias("file_kind"), F.col("offset").alias("file_offset"), "file_size")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars
-from . import folds
+from . import folds, matching
 
 # How secrets begin.
 SECRET_PREFIXES = "^(sk-|pk_|ghp_|gho_|xox[abp]-|AKIA|AIza|eyJ)"
@@ -66,7 +66,7 @@ def leak_rollup(findings: DataFrame, endpoint: str) -> DataFrame:
 def with_retention(files: DataFrame, policy: DataFrame, as_of_us: int) -> DataFrame:
     """Adds purge: older in whole days than its type allows. policy: (file_type, max_days); types without one stay."""
     days = F.floor((F.lit(as_of_us) - F.col("us")) / 86_400_000_000)
-    return files.join(F.broadcast(policy), "file_type", "left").withColumn("purge", F.coalesce(days > F.col("max_days"), F.lit(False))).drop("max_days")  # a policy is a handful of rows
+    return files.join(matching.small(policy), "file_type", "left").withColumn("purge", F.coalesce(days > F.col("max_days"), F.lit(False))).drop("max_days")
 
 
 def storage_tier(us: Column, as_of_us: int) -> Column:

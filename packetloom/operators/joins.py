@@ -45,8 +45,8 @@ def flagged(rows: DataFrame, indicators: DataFrame, columns: tuple[str, ...] = (
 
 
 def with_name(rows: DataFrame, dim: DataFrame, key: str, dim_key: str, name: str, alias: str) -> DataFrame:
-    """Left join of one name; rows stay as many as they are."""
-    return rows.join(dim.select(F.col(dim_key).alias(key), F.col(name).alias(alias)).dropDuplicates([key]), key, "left")
+    """Left join of one name, the first in order where a key has several; rows stay as many as they are."""
+    return rows.join(dim.groupBy(F.col(dim_key).alias(key)).agg(F.min(name).alias(alias)), key, "left")
 
 
 def alert_detail(alerts: DataFrame, rules: DataFrame, events: DataFrame, users: DataFrame) -> DataFrame:

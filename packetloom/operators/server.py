@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import blocks
+
 HOUR, DAY = 3_600_000_000, 86_400_000_000
 
 
@@ -131,8 +133,14 @@ def insert_ignore(current: DataFrame, incoming: DataFrame, keys: list[str]) -> D
     return current.unionByName(incoming.dropDuplicates(keys).join(current.select(*keys), keys, "left_anti").select(*current.columns))
 
 
+def case_lines(rows: DataFrame, case: str, order: list[str], text: Column, block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
+    """(case, number, line): each case's events in order, numbered from 1, a row each; a case of any length is spread over tasks."""
+    numbered = blocks.preceding(rows.select(case, *order, text.alias("line")), [case], order, F.lit(1), "number", block_rows)
+    return numbered.select(case, (F.col("number") + 1).alias("number"), "line")
+
+
 def case_story(rows: DataFrame, case: str, time: str, text: Column) -> DataFrame:
-    """Per case its events in order as one text."""
+    """Per case its events in order as one text; for cases whose story may be long, use case_lines."""
     return rows.groupBy(case).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), text.alias("x")))), lambda e: e["x"]), "; ").alias("story"))
 
 

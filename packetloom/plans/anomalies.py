@@ -35,8 +35,8 @@ add(
 )
 add(
     "bas04_packet_outliers",
-    lambda s, d: baseline.packet_outliers(packets(s, d).withColumn("entropy", F.lit(8.0) - (F.col("k") % 4)), ["sensor"], ["us", "seq"], limit=2.5).where("reason is not null").select("seq", "reason"),
-    over_packets("select seq, reason from (select seq, case when abs(g) > 2.5 then 'GLOBAL' when abs(s) > 2.5 then 'SEASONAL' when k % 4 = 0 and length > 256 then 'ENTROPY' end as reason from (select seq, k, length, case when coalesce(var_samp(length) over w, 0) > 0 then (length - avg(length) over w) / sqrt(var_samp(length) over w) else 0 end as g, case when coalesce(var_samp(length) over v, 0) > 0 then (length - avg(length) over v) / sqrt(var_samp(length) over v) else 0 end as s from packets window w as (partition by sensor order by us, seq), v as (partition by sensor, weekday * 24 + hour order by us, seq))) where reason is not null"),
+    lambda s, d: baseline.packet_outliers(packets(s, d).withColumn("entropy", scalars.byte_entropy(F.encode("summary", "UTF-8"))), ["sensor"], ["us", "seq"], limit=2.5, high_entropy=4.6).where("reason is not null").select("seq", "reason"),
+    over_packets("select seq, reason from (select seq, case when abs(g) > 2.5 then 'GLOBAL' when abs(s) > 2.5 then 'SEASONAL' when length > 256 and list_sum(list_transform(list_distinct(string_split(summary, '')), lambda c: -(len(list_filter(string_split(summary, ''), lambda x: x = c)) / length(summary)) * log2(len(list_filter(string_split(summary, ''), lambda x: x = c)) / length(summary)))) > 4.6 then 'ENTROPY' end as reason from (select seq, k, length, summary, case when coalesce(var_samp(length) over w, 0) > 0 then (length - avg(length) over w) / sqrt(var_samp(length) over w) else 0 end as g, case when coalesce(var_samp(length) over v, 0) > 0 then (length - avg(length) over v) / sqrt(var_samp(length) over v) else 0 end as s from packets window w as (partition by sensor order by us, seq), v as (partition by sensor, weekday * 24 + hour order by us, seq))) where reason is not null"),
 )
 add(
     "bas05_sliding_totals",
@@ -184,6 +184,16 @@ add(
     lambda s, d: detect.correlated(packets(s, d), ["item/3", "password", "purchase"]),
     over_packets("select src, greatest(min(us) filter (contains(summary, 'item/3')), min(us) filter (contains(summary, 'password')), min(us) filter (contains(summary, 'purchase'))) as us from packets group by src having count(*) filter (contains(summary, 'item/3')) > 0 and count(*) filter (contains(summary, 'password')) > 0 and count(*) filter (contains(summary, 'purchase')) > 0"),
 )
+add(
+    "det19_correlation_repeats",
+    lambda s, d: detect.correlations(packets(s, d), ["GET /item", "password", "NXDOMAIN"], cooldown=86400).select("src", "seq"),
+    f"{_recursive}, n as (select src, us, seq, m, row_number() over (partition by src order by us, seq) as i from (select src, us, seq, "
+    "case when contains(summary, 'GET /item') then 1 else 0 end + case when contains(summary, 'password') then 2 else 0 end + case when contains(summary, 'NXDOMAIN') then 4 else 0 end as m from packets) where m > 0), "
+    "r as (select src, seq, i, m as seen, cast(null as bigint) as last, false as fires from n where i = 1 "
+    "union all select src, seq, i, case when f then 0 else s end, case when f then us else last end, f from "
+    "(select *, s = 7 and (last is null or us - last >= 86400000000) as f from (select n.src, n.seq, n.i, n.us, r.last, r.seen | n.m as s from r join n on n.src = r.src and n.i = r.i + 1))) "
+    "select src, seq from r where fires",
+)
 add(
     "det20_absence",
     lambda s, d: detect.absences(packets(s, d), F.col("kind") == "view", "src", 4 * 86400).select("seq", "silent_us"),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import hooks, joins
@@ -12,6 +11,7 @@ from ..sources.scratch import new_folder
 from ..streaming import queries as st
 from .anomalies import _cooldown_sql, _host_sql, _recursive
 from .book import Book
+from .sessions import MESSAGES
 from .traffic import frames
 
 BOOK = Book()
@@ -61,10 +61,17 @@ def _census(s, d):
     return _captures(s, d).select(captures.capture_format(F.concat(F.unhex(head), "content")).alias("format")).groupBy("format").agg(F.count("*").alias("n"))
 
 
+def _capture_frames(s, d):
+    """The captures written as files, and read again in ranges so small that most files are cut."""
+    path = new_folder(s, "captures")
+    captures.write_files(_captures(s, d), path)
+    return captures.read_captures(s, path, 16 << 10)
+
+
 _KINDS = " ".join(f"when {i} then '{name}'" for i, (name, _) in enumerate(HEADS) if i)
 add(
     "src01_capture_frames",
-    lambda s, d: captures.decode_captures(_captures(s, d)).groupBy("ts_sec", "ts_nanos").agg(F.count("*").alias("n"), F.sum("orig_len").alias("bytes"), F.sum(F.length("data")).alias("kept")),
+    lambda s, d: _capture_frames(s, d).groupBy("ts_sec", "ts_nanos").agg(F.count("*").alias("n"), F.sum("orig_len").alias("bytes"), F.sum(F.length("data")).alias("kept")),
     over_packets(
         "select us // 1000000 as ts_sec, cast(us % 1000000 * 1000 as int) as ts_nanos, count(*) as n, cast(sum(size) as bigint) as bytes, cast(sum(size) as bigint) as kept from frames group by all",
         # Ethernet, tag, network and transport headers, then the question or the request.
@@ -117,6 +124,22 @@ def _rotated(s, d):
 
 
 add("snk05_rotation", _rotated, over_packets("select hour as hour_bucket, count(*) as n, true as rotated from packets group by hour"))
+
+
+def _rotated_by_bytes(s, d):
+    path = new_folder(s, "rotated")
+    feeds.write_by_bytes(packets(s, d).select("us", "seq", F.concat_ws(",", "seq", "src", "summary").alias("value")), path, ["us", "seq"], 4000, 5)
+    return s.read.text(path).groupBy(F.col("file").cast("long").alias("file")).agg(F.count("*").alias("n"), F.sum(F.octet_length("value") + 1).alias("bytes"))
+
+
+add(
+    "snk05_rotation_by_bytes",
+    _rotated_by_bytes,
+    over_packets(
+        "select file, count(*) as n, cast(sum(size) as bigint) as bytes from (select *, max(file) over () as last from (select size, cast((sum(size) over (order by us, seq) - size) // 4000 as bigint) as file "
+        "from (select us, seq, strlen(concat_ws(',', seq, src, summary)) + 1 as size from packets))) where file > last - 5 group by file"
+    ),
+)
 add("snk06_metrics", lambda s, d: feeds.metric_lines(packets(s, d).groupBy("protocol", "sensor").agg(F.sum("length").alias("bytes")), "bytes_total", "bytes", ["protocol", "sensor"]), over_packets("select concat('bytes_total{protocol=\"', protocol, '\",sensor=\"', sensor, '\"} ', cast(sum(length) as bigint)) as value from packets group by protocol, sensor"))
 add("snk07_report", lambda s, d: feeds.numbered_report(packets(s, d).withColumn("day", F.floor(F.col("us") / 86_400_000_000)), ["us", "seq"], "day").select("number", "seq", "src"), over_packets("select row_number() over (order by us, seq) as number, seq, src from packets"))
 
@@ -152,11 +175,31 @@ add(
     over_packets("select seq from (select seq, row_number() over w as n, sum(length) over w - length as b, us - min(us) over w as t from packets window w as (partition by sensor order by us, seq)) where n <= 200 and b < 30000 and t <= 1728000000000"),
 )
 add("str13_live_baseline", lambda s, d: st.drain(st.live_baseline(st.packet_stream(s, d), "src", 2.5)), over_packets("select seq from (select seq, length, avg(length) over w as m, stddev_samp(length) over w as sd from packets window w as (partition by src order by us, seq rows between unbounded preceding and 1 preceding)) where sd > 0 and (length - m) / sd > 2.5"))
-add("str13_live_scores", lambda s, d: st.drain(st.live_scores(st.packet_stream(s, d), "src", 10_000 * 86400)).select("seq", "reasons", F.round("score", 5).alias("score")), _host_sql("src"))
+
+
+def _live_scores(s, d):
+    with st.with_maps(s):
+        return st.drain(st.live_scores(st.packet_stream(s, d), "src", 10_000 * 86400)).select("seq", "reasons", F.round("score", 5).alias("score"))
+
+
+add("str13_live_scores", _live_scores, _host_sql("src"))
+
+
+def _message_stream(s, d):
+    return st.packet_stream(s, d).where("kind <> 'error'").selectExpr("src", "dport", "us", "seq", "at", "kind in ('click', 'signup') as is_request", "case when k % 3 > 0 then concat('id', cast(k as string)) end as id")
+
+
 add(
     "str14_stream_pairs",
-    lambda s, d: st.drain(st.stream_pairs(st.packet_stream(s, d).where("kind = 'click'"), st.packet_stream(s, d).where("kind = 'purchase'"), ["src", "protocol"], 86400)),
-    over_packets("select q.seq as request_seq, r.seq as response_seq from packets q join packets r on q.src = r.src and q.protocol = r.protocol and r.us between q.us and q.us + 86400000000 where q.kind = 'click' and r.kind = 'purchase'"),
+    lambda s, d: st.drain(st.stream_pairs(_message_stream(s, d), ["src", "dport"], 86400 * 3)),
+    # Row by row: who waits, then whom a response takes (by id the oldest, else the newest), then who waits on.
+    f"{_recursive}, {MESSAGES}, n as (select *, row_number() over (partition by src, dport order by us, seq) as i from m), "
+    "r as (select src, dport, i, seq, q, id, case when q then [struct_pack(s := seq, t := us, id := id)] else [] end as waits, cast(null as bigint) as taken, cast(null as varchar) as method from n where i = 1 "
+    "union all select src, dport, i, seq, q, id, case when q then list_append(w, struct_pack(s := seq, t := us, id := id)) else list_filter(w, lambda x: x.s is distinct from coalesce(h, t)) end, "
+    "case when not q then coalesce(h, t) end, case when not q then case when h is not null then 'header' when t is not null then 'timing' when id is not null then 'orphan' end end from "
+    "(select *, list_filter(w, lambda x: x.id = id)[1].s as h, w[len(w)].s as t from (select n.*, list_filter(r.waits, lambda x: n.us - x.t <= 259200000000) as w from r join n on n.src = r.src and n.dport = r.dport and n.i = r.i + 1))) "
+    "select taken as request_seq, seq as response_seq, case coalesce(method, case when id is not null then 'orphan' end) when 'header' then 0.95::double when 'timing' then 0.6::double else 0.5::double end as confidence, coalesce(method, 'orphan') as method "
+    "from r where not q and (method is not null or (i = 1 and id is not null))",
 )
 
 
@@ -167,11 +210,17 @@ def _decoder(data: bytes):
 add("udf01_decoder", lambda s, d: hooks.decode_unmatched(packets(s, d).select("seq", "dport", F.encode("summary", "UTF-8").alias("data")), F.col("dport") == 8080, "data", _decoder).select("seq", "decoded_protocol", "decoded_summary"), over_packets("select seq, case when dport = 8080 and kind = 'signup' then 'CUSTOM' end as decoded_protocol, case when dport = 8080 and kind = 'signup' then concat(length(summary), ' bytes') end as decoded_summary from packets"))
 
 
-def _spread(frame: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"src": [frame["src"].iloc[0]], "spread": [int(frame["length"].max() - frame["length"].min())]})
-
-
-add("udf02_aggregate", lambda s, d: hooks.aggregate(packets(s, d).select("src", "length"), ["src"], "src string, spread long", _spread), over_packets("select src, max(length) - min(length) as spread from packets group by src"))
+add(
+    "udf02_aggregate",
+    lambda s, d: hooks.aggregate_states(
+        packets(s, d), ["src"], ["length"], "spread long",
+        start=lambda: None,
+        add=lambda ends, n: (n, n) if ends is None else (min(ends[0], n), max(ends[1], n)),
+        merge=lambda a, b: (min(a[0], b[0]), max(a[1], b[1])),
+        finish=lambda ends: (ends[1] - ends[0],),
+    ),
+    over_packets("select src, max(length) - min(length) as spread from packets group by src"),
+)
 
 
 def word_rows(summary: str):

@@ -153,7 +153,7 @@ add(
     lambda s, d: srv.insert_ignore(table(s, d, "lineitem").where("l_linenumber = 1").select((F.col("l_partkey") % 50).alias("case_id"), (F.col("l_orderkey") % 40).alias("alert_id")).distinct(), table(s, d, "lineitem").where("l_linenumber = 2").select((F.col("l_partkey") % 60).alias("case_id"), (F.col("l_orderkey") % 40).alias("alert_id")), ["case_id", "alert_id"]),
     "select l_partkey % 50 as case_id, l_orderkey % 40 as alert_id from lineitem where l_linenumber = 1 union select l_partkey % 60, l_orderkey % 40 from lineitem where l_linenumber = 2",
 )
-add("srv25_case_story", lambda s, d: srv.case_story(packets(s, d), "src", "seq", F.concat("kind", F.lit(":"), F.col("k").cast("string"))), over_packets("select src, string_agg(concat(kind, ':', k), '; ' order by seq) as story from packets group by src"))
+add("srv25_case_story", lambda s, d: srv.case_lines(packets(s, d), "src", ["seq"], F.concat("kind", F.lit(":"), F.col("k").cast("string"))), over_packets("select src, row_number() over (partition by src order by seq) as number, concat(kind, ':', k) as line from packets"))
 add("srv27_quality", lambda s, d: srv.quality_metrics(alerts(s, d)).withColumns({c: F.round(c, 6) for c in ("fp_rate", "tp_rate", "mttr_hours", "per_hour")}), f"{A} select severity, round(count(*) filter (status = 'acknowledged') / count(*), 6) as fp_rate, round(count(*) filter (status = 'resolved') / count(*), 6) as tp_rate, round(avg((resolved_us - created_us) / 3600000000), 6) as mttr_hours, round(count(*) / ((max(created_us) - min(created_us)) / 3600000000), 6) as per_hour from alerts group by severity")
 
 

@@ -51,8 +51,8 @@ add(
 )
 add(
     "jn06_alert_rules",
-    lambda s, d: joins.with_name(alerts(s, d), table(s, d, "part").where("p_partkey < 5"), "rule_id", "p_partkey", "p_name", "rule_name").groupBy("rule_name", "severity").agg(F.count("*").alias("n")),
-    f"with {ALERTS} select p_name as rule_name, severity, count(*) as n from alerts left join (select * from part where p_partkey < 5) on p_partkey = rule_id group by 1, 2",
+    lambda s, d: joins.with_name(alerts(s, d), table(s, d, "part"), "rule_id", "p_partkey", "p_name", "rule_name").groupBy("rule_name", "severity").agg(F.count("*").alias("n")),
+    f"with {ALERTS} select p_name as rule_name, severity, count(*) as n from alerts left join part on p_partkey = rule_id group by 1, 2",
 )
 
 
@@ -121,22 +121,21 @@ add(
 
 
 def _identity(s, d):
-    rows = table(s, d, "supplier").selectExpr("s_suppkey", "concat('AA-BB-C', cast(s_suppkey % 5 as string), '-00-00-01') as mac", "concat('10.0.0.', cast(s_suppkey % 20 as string)) as ip")
-    vendors = table(s, d, "nation").where("n_nationkey < 4").selectExpr("concat('AA:BB:C', cast(n_nationkey as string)) as oui", "n_name as vendor")
-    users = table(s, d, "customer").where("c_custkey < 10").selectExpr("concat('10.0.0.', cast(c_custkey as string)) as ip", "c_name as user")
+    rows = table(s, d, "supplier").selectExpr("s_suppkey", "concat('AA-BB-', cast(10 + s_suppkey % 27 as string), '-00-00-01') as mac", "concat('10.0.', cast(floor(s_suppkey * 17 / 250) as string), '.', cast(s_suppkey * 17 % 250 as string)) as ip")
+    vendors = table(s, d, "nation").selectExpr("concat('AA:BB:', cast(10 + n_nationkey as string)) as oui", "n_name as vendor")
+    users = table(s, d, "customer").selectExpr("concat('10.0.', cast(floor(c_custkey / 250) as string), '.', cast(c_custkey % 250 as string)) as ip", "c_name as user")
     return joins.identity(rows, vendors, users, "mac", "ip").select("s_suppkey", "vendor", "user")
 
 
-add("jn14_identity", _identity, "select s_suppkey, n_name as vendor, c_name as user from supplier left join (select * from nation where n_nationkey < 4) on n_nationkey = s_suppkey % 5 left join (select * from customer where c_custkey < 10) on c_custkey = s_suppkey % 20")
+add("jn14_identity", _identity, "select s_suppkey, n_name as vendor, c_name as user from supplier left join nation on n_nationkey = s_suppkey % 27 left join customer on c_custkey = s_suppkey * 17")
 
 
 def _geo(s, d):
-    ranges = table(s, d, "nation").where("n_nationkey < 6").selectExpr("3232235776 + n_nationkey * 10 as low", "3232235776 + n_nationkey * 10 + 9 as high", "n_name as country")
-    more = table(s, d, "nation").where("n_nationkey = 9").selectExpr("cast(167772160 as bigint) as low", "cast(167837695 as bigint) as high", "n_name as country")
-    return joins.geo(packets(s, d), ranges.union(more)).groupBy("country").agg(F.count("*").alias("n"), F.sum("seq").alias("seq_sum"))
+    ranges = table(s, d, "nation").selectExpr("3232235776 + n_nationkey * 3 as low", "3232235776 + n_nationkey * 3 + 2 as high", "n_name as country")
+    return joins.geo(packets(s, d), ranges).groupBy("country").agg(F.count("*").alias("n"), F.sum("seq").alias("seq_sum"))
 
 
-add("jn15_geo", _geo, over_packets("select case when k < 60 then concat('NATION_', k // 10) when src like '10.0.%' then 'NATION_9' end as country, count(*) as n, cast(sum(seq) as bigint) as seq_sum from packets group by 1"))
+add("jn15_geo", _geo, over_packets("select n_name as country, count(*) as n, cast(sum(seq) as bigint) as seq_sum from packets left join nation on k < 60 and n_nationkey = k // 3 group by 1"))
 
 
 def _enriched(s, d):
@@ -275,7 +274,7 @@ def _spans(s, d):
 
 add(
     "flow18_traces",
-    lambda s, d: flows.traces(_spans(s, d), 4).select("trace_id", "span_id", "offset_ms", "duration_ms", "total_ms", "depth"),
+    lambda s, d: flows.traces(_spans(s, d)).select("trace_id", "span_id", "offset_ms", "duration_ms", "total_ms", "depth"),
     over_packets("select trace_id, i as span_id, start_ms - min(start_ms) over w as offset_ms, end_ms - start_ms as duration_ms, max(coalesce(end_ms, start_ms)) over w - min(start_ms) over w as total_ms, cast(case when i = 0 then 0 when i = 9 then 0 when i in (19) then 1 else floor(log2(i + 1)) end as bigint) as depth from (select seq // 20 as trace_id, seq % 20 as i, us // 1000 as start_ms, case when kind <> 'error' then us // 1000 + length end as end_ms from packets) window w as (partition by trace_id)"),
 )
 add(
@@ -288,3 +287,33 @@ add(
     lambda s, d: flows.magic_census(packets(s, d).select("seq", F.unhex(F.concat(F.hex("summary"), F.when(F.col("k") % 5 == 0, "FFD8FFE0").when(F.col("k") % 5 == 1, "504B0304").otherwise("00"))).alias("data"))).select("seq", "file_kind", "file_offset"),
     over_packets("select seq, case k % 5 when 0 then 'jpeg' else 'zip' end as file_kind, length(summary) as file_offset from packets where k % 5 < 2"),
 )
+
+
+def _byte_segments(s, d):
+    """Segments whose payloads begin or end with parts of file marks, so that marks stand inside packets and across their borders."""
+    data = F.unhex(F.concat(F.when(F.col("seq") % 3 == 0, "FF").when(F.col("seq") % 3 == 1, "D9").otherwise(""), F.hex("summary"), F.when(F.col("seq") % 4 == 1, "FFD8").when(F.col("seq") % 4 == 3, "FFD8FFE0").otherwise("")))
+    return flows.stream_segments(_segments(s, d).where("payload_len > 0").withColumn("data", data), ["src", "port"])
+
+
+_BYTES = (
+    SEGMENTS,
+    "last as (select src, port, tcp_seq, arg_max(concat(case seq % 3 when 0 then 'FF' when 1 then 'D9' else '' end, hex(summary), case seq % 4 when 1 then 'FFD8' when 3 then 'FFD8FFE0' else '' end), seq) as h from segments where payload_len > 0 group by all)",
+    "streams as (select src, port, string_agg(h, '' order by tcp_seq) as h from last group by all)",
+)
+add(
+    "flow07_stream_segments",
+    lambda s, d: _byte_segments(s, d).select("src", "port", "tcp_seq", "offset", F.octet_length("data").alias("size")),
+    over_packets("select src, port, tcp_seq, cast(sum(length(h) // 2) over (partition by src, port order by tcp_seq) - length(h) // 2 as bigint) as offset, cast(length(h) // 2 as int) as size from last", *_BYTES),
+)
+add(
+    "flow20_carved_files",
+    lambda s, d: flows.carve(_byte_segments(s, d), ["src", "port"]).select("src", "port", "file_kind", "file_offset", "file_size"),
+    "with recursive " + over_packets(
+        "select src, port, 'jpeg' as file_kind, place as file_offset, size as file_size from files where taken",
+        *_BYTES,
+        "found as (select src, port, length(h) // 2 as n, list_filter(range(0, length(h) // 2), lambda i: h[2 * i + 1:2 * i + 4] = 'FFD9') as ends, unnest(list_filter(range(0, length(h) // 2), lambda i: h[2 * i + 1:2 * i + 6] = 'FFD8FF')) as place from streams)",
+        "starts as (select src, port, place, coalesce(list_min(list_filter(ends, lambda e: e >= place + 3)) + 2, n) - place as size, row_number() over (partition by src, port order by place) as i from found)",
+        "files as (select src, port, place, size, i, place + size as free, true as taken from starts where i = 1 union all "
+        "select n.src, n.port, n.place, n.size, n.i, case when n.place >= f.free then n.place + n.size else f.free end, n.place >= f.free from files f join starts n on n.src = f.src and n.port = f.port and n.i = f.i + 1)",
+    )[5:],
+)

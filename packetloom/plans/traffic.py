@@ -136,8 +136,8 @@ add(
 )
 add(
     "prj19_stix",
-    lambda s, d: packets(s, d).where("k < 60").select("dst").distinct().select("dst", prj.stix_indicator(F.lit("ip"), F.col("dst"), F.lit("seen")).alias("stix")),
-    over_packets("select distinct dst, concat('{\"type\":\"indicator\",\"spec_version\":\"2.1\",\"id\":\"indicator--', substr(sha256(dst), 1, 32), '\",\"pattern\":\"[ipv4-addr:value = ''', dst, ''']\",\"description\":\"seen\"}') as stix from packets where k < 60"),
+    lambda s, d: packets(s, d).where("dst not like '%:%'").select("dst").distinct().select("dst", prj.stix_indicator(F.lit("ip"), F.col("dst"), F.lit("seen")).alias("stix")),
+    over_packets("select distinct dst, concat('{\"type\":\"indicator\",\"spec_version\":\"2.1\",\"id\":\"indicator--', substr(sha256(dst), 1, 32), '\",\"pattern\":\"[ipv4-addr:value = ''', dst, ''']\",\"description\":\"seen\"}') as stix from packets where dst not like '%:%'"),
 )
 add(
     "prj20_explanation",

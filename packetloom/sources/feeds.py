@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import blocks
+
 EVENT_SCHEMA = "event_type string, severity string, title string, source_ip string, dest_ip string, protocol string, port int, sensor_id string, timestamp string"
 
 
@@ -48,6 +50,40 @@ def write_rotated(rows: DataFrame, path: str, records: int, hour: Column) -> Non
     rows.withColumn("hour_bucket", hour).write.mode("append").option("maxRecordsPerFile", records).partitionBy("hour_bucket").parquet(path)
 
 
+def write_by_bytes(lines: DataFrame, path: str, order: list[str], limit: int, newest: int | None = None, block_rows: int = blocks.BLOCK_ROWS) -> None:
+    """Text files of lines (column value) in the order, each named by a rising number (file=n) and of `limit` bytes, give or take a line.
+
+    A line belongs to the file in which the bytes before it fall, so that files are cut where a single writer would cut them, and are
+    written by as many tasks. Numbers go on from those in the folder. With newest, only so many files stay: older ones are removed, and those
+    of this call that would be are not written."""
+    spark = lines.sparkSession
+    there = _numbers(spark, path)
+    first = max(there, default=-1) + 1
+    sized = blocks.preceding(lines, [], order, F.octet_length("value") + 1, "before", block_rows)
+    numbered = sized.withColumn("file", F.floor(F.col("before") / limit) + first)
+    if newest is not None:
+        last = numbered.agg(F.max("file")).first()[0]
+        if last is not None:
+            numbered = numbered.where(F.col("file") > last - newest)
+            _remove(spark, path, [n for n in there if n <= last - newest])
+    numbered.repartition("file").sortWithinPartitions("file", *order).select("value", "file").write.mode("append").partitionBy("file").text(path)
+
+
+def _numbers(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of files that stand in a folder, by a listing of its names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in store.listStatus(at)] if store.exists(at) else []
+    return [int(n.removeprefix("file=")) for n in names if n.startswith("file=")]
+
+
+def _remove(spark: SparkSession, path: str, numbers: list[int]) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    for n in numbers:
+        store.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/file={n}"), True)
+
+
 def export_batches(stream: DataFrame, paths: list[str], checkpoint: str):
     """A streaming query that writes each batch to every target, under the number of the batch: a batch that is repeated replaces itself."""
 

@@ -5,10 +5,13 @@ running means (live_baseline) and stopped captures (stop_stream) are kept for ea
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import DataType, DoubleType, IntegerType, LongType, StructField, StructType
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.adapters import PACKET_COLUMNS, SPARK_K, micros, table
@@ -208,21 +211,39 @@ def live_baseline(stream: DataFrame, key: str, limit: float = 3.0) -> DataFrame:
     return stateful(stream, [key], "seq long", "n long, mean double, m2 double", step, ["length"], GroupStateTimeout.NoTimeout)
 
 
-def live_scores(stream: DataFrame, key: str, forget_seconds: float = 90 * 86400) -> DataFrame:
-    """(seq, reasons, score): the live form of baseline.host_scores. A host's state is its count, sum and squares of lengths, its highest
-    length, sums for the 168 hours of a week and 64-bit hashes of the destinations it knows; a host that has been silent for the time is
-    forgotten. A null length counts as a packet but not as a length."""
-    keep = int(forget_seconds * 1_000_000)
-    empty = pd.DataFrame({"seq": pd.Series([], dtype="int64"), "reasons": pd.Series([], dtype="object"), "score": pd.Series([], dtype="float64")})
+def _fields(**kinds: DataType) -> StructType:
+    return StructType([StructField(name, kind) for name, kind in kinds.items()])
 
-    def step(_, rows, state):
-        if rows is None:
-            return empty, None
-        due, n, lengths, total, squares, top, slot_sums, slot_counts, known = state or (0, 0, 0, 0.0, 0.0, 0.0, [0.0] * 168, [0] * 168, [])
-        slot_sums, slot_counts, known, out = list(slot_sums), list(slot_counts), set(known), []
-        for t, seq, x, hour, slot, peer in zip(rows["us"], rows["seq"], rows["length"], rows["hour"], rows["slot"], rows["peer"]):
-            if n and t > due:  # silent for too long within one batch
-                n, lengths, total, squares, top, slot_sums, slot_counts, known = 0, 0, 0.0, 0.0, 0.0, [0.0] * 168, [0] * 168, set()
+
+class HostScores(StatefulProcessor):
+    """State of a host: a value of sums, a map of the hours of its week, and a map with an entry for each destination it knows. A row reads and
+    writes the entries that it touches, whatever else the host knows."""
+
+    def __init__(self, key: str, forget_seconds: float):
+        self.key, self.keep = key, int(forget_seconds * 1_000_000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        ttl = max(1, self.keep // 1000)
+        self.sums = handle.getValueState("sums", _fields(due=LongType(), n=LongType(), lengths=LongType(), total=DoubleType(), squares=DoubleType(), top=DoubleType()), ttlDurationMs=ttl)
+        self.slots = handle.getMapState("slots", _fields(slot=IntegerType()), _fields(total=DoubleType(), n=LongType()), ttlDurationMs=ttl)
+        self.peers = handle.getMapState("peers", _fields(peer=LongType()), _fields(us=LongType()), ttlDurationMs=ttl)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values(["us", "seq"], kind="stable")  # a part of one batch
+        due, n, lengths, total, squares, top = self.sums.get() if self.sums.exists() else (0, 0, 0, 0.0, 0.0, 0.0)
+        slots: dict[int, tuple] = {}
+        known: dict[int, bool] = {}
+        out = []
+        for t, seq, x, hour, slot, peer in zip(batch["us"], batch["seq"], batch["length"], batch["hour"], batch["slot"], batch["peer"]):
+            if n and t > due:  # silent for too long
+                self.slots.clear()
+                self.peers.clear()
+                n, lengths, total, squares, top, slots, known = 0, 0, 0.0, 0.0, 0.0, {}, {}
+            slot, peer = int(slot), int(peer)
+            if slot not in slots:
+                slots[slot] = tuple(self.slots.getValue((slot,))) if self.slots.containsKey((slot,)) else (0.0, 0)
+            if peer not in known:
+                known[peer] = self.peers.containsKey((peer,))
             x = None if pd.isna(x) else float(x)
             mean = total / lengths if lengths else None
             found = []
@@ -232,35 +253,92 @@ def live_scores(stream: DataFrame, key: str, forget_seconds: float = 90 * 86400)
                 ratio = x / mean if mean else None
                 if z > 3 or (ratio is not None and ratio >= 2):
                     found.append(("CONNECTIONS", z if ratio is None else max(ratio, z)))
-            if n and not 6 <= hour <= 21 and (not slot_counts[slot] or slot_sums[slot] / slot_counts[slot] < 50):
+            slot_total, slot_n = slots[slot]
+            if n and not 6 <= hour <= 21 and (not slot_n or slot_total / slot_n < 50):
                 found.append(("OFF_HOURS", 3.5))
-            if n and peer not in known:
+            if n and not known[peer]:
                 found.append(("FIRST_CONTACT", 3.0))
             if x is not None and lengths and top > 0 and x >= 2 * top:
                 found.append(("VOLUME", 2 * x / top))
             worst = max((v for _, v in found), default=0.0)
             out.append((seq, ",".join(name for name, _ in found), min(100.0, max(10.0, 15 * max(worst, 0.0) + 10 * len(found))) if found else 0.0))
-            n, due = n + 1, t + keep
-            known.add(peer)
+            n, due, known[peer] = n + 1, int(t) + self.keep, True
             if x is not None:
                 top = max(top, x) if lengths else x
                 lengths, total = lengths + 1, total + x
                 squares += (x - (mean or 0.0)) * (x - total / lengths) if mean is not None else 0.0
-                slot_sums[slot] += x
-                slot_counts[slot] += 1
-        return pd.DataFrame(out, columns=["seq", "reasons", "score"]), (due, n, lengths, total, squares, top, slot_sums, slot_counts, sorted(known))
+                slots[slot] = (slot_total + x, slot_n + 1)
+        for peer in known:
+            self.peers.updateValue((peer,), (due,))
+        for slot, value in slots.items():
+            self.slots.updateValue((slot,), value)
+        self.sums.update((due, n, lengths, total, squares, top))
+        yield pd.DataFrame(out, columns=["seq", "reasons", "score"])
+
+    def close(self) -> None:
+        pass
 
-    marked = stream.withColumns({"slot": (F.col("weekday") * 24 + F.col("hour")).cast("int"), "peer": F.xxhash64("dst")})
-    fields = "due long, n long, lengths long, total double, squares double, top double, slot_sums array<double>, slot_counts array<long>, known array<long>"
-    return stateful(marked, [key], "seq long, reasons string, score double", fields, step, ["length", "hour", "slot", "peer"])
+
+def live_scores(stream: DataFrame, key: str, forget_seconds: float = 90 * 86400) -> DataFrame:
+    """(seq, reasons, score): the live form of baseline.host_scores. A host that has been silent for the time begins anew, and what it knew
+    expires when it was not touched for so long (by the clock). A null length counts as a packet but not as a length. Map state lives in
+    RocksDB: run the stream within `with_maps`."""
+    marked = stream.select(key, "us", "seq", "length", "hour", (F.col("weekday") * 24 + F.col("hour")).cast("int").alias("slot"), F.xxhash64("dst").alias("peer"))
+    return marked.groupBy(key).transformWithStateInPandas(HostScores(key, forget_seconds), "seq long, reasons string, score double", "append", "ProcessingTime")
+
+
+@contextmanager
+def with_maps(spark: SparkSession) -> Iterator[None]:
+    """The state store that map state needs, for streams that start inside; the session's own setting comes back afterwards."""
+    name, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, store)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
 
 
-def stream_pairs(requests: DataFrame, responses: DataFrame, keys: list[str], seconds: int) -> DataFrame:
-    """Requests with the responses of the same key within the time after them: a join of two streams, state bounded by both watermarks."""
-    q = requests.select(*(F.col(k).alias(f"q_{k}") for k in keys), F.col("seq").alias("request_seq"), F.col("at").alias("q_at"))
-    r = responses.select(*keys, F.col("seq").alias("response_seq"), F.col("at").alias("r_at"))
-    same = " and ".join(f"q_{k} = {k}" for k in keys)
-    return q.join(r, F.expr(f"{same} and r_at >= q_at and r_at <= q_at + interval {seconds} seconds")).select("request_seq", "response_seq")
+def stream_pairs(messages: DataFrame, keys: list[str], seconds: float) -> DataFrame:
+    """(request_seq, response_seq, confidence, method): at most one response for each request of a key, as they come. messages: keys, us, seq,
+    at, is_request, id.
+
+    A response takes the oldest waiting request of its id (header, 0.95), else the newest that waits (timing, 0.6), none older than the
+    time; a response with an id that finds none is an orphan (0.5). A request that was taken waits no more. The state of a key is its
+    waiting requests; it goes when the watermark has passed the time of the last of them."""
+    span = int(seconds * 1_000_000)
+    names = ["request_seq", "response_seq", "confidence", "method"]
+
+    def table(out):
+        return pd.DataFrame({n: pd.Series([r[i] for r in out], dtype=t) for i, (n, t) in enumerate(zip(names, ("Int64", "int64", "float64", "object")))})
+
+    def step(_, rows, state):
+        if rows is None:
+            return table([]), None
+        due, seqs, times, ids = state or (0, [], [], [])
+        waiting, out = [(s, t, None if i == "" else i[1:]) for s, t, i in zip(seqs, times, ids)], []
+        for t, seq, is_request, id_ in zip(rows["us"], rows["seq"], rows["is_request"], rows["id"]):
+            known = None if id_ is None or id_ != id_ else id_
+            waiting = [w for w in waiting if t - w[1] <= span]
+            if is_request:
+                waiting.append((seq, t, known))
+                continue
+            same = next((k for k, w in enumerate(waiting) if known is not None and w[2] == known), None)
+            if same is not None:
+                out.append((waiting.pop(same)[0], seq, 0.95, "header"))
+            elif waiting:
+                out.append((waiting.pop()[0], seq, 0.6, "timing"))
+            elif known is not None:
+                out.append((None, seq, 0.5, "orphan"))
+        if not waiting:
+            return table(out), None
+        due = max(w[1] for w in waiting) + span
+        return table(out), (due, [int(w[0]) for w in waiting], [int(w[1]) for w in waiting], ["" if w[2] is None else f"={w[2]}" for w in waiting])
+
+    return stateful(messages, keys, "request_seq long, response_seq long, confidence double, method string", "due long, seqs array<long>, times array<long>, ids array<string>", step, ["is_request", "id"])
 
 
 def stop_after(rows: DataFrame, packets: int | None = None, byte_limit: int | None = None, seconds: float | None = None, order: str = "seq", partition: str | None = None) -> DataFrame:

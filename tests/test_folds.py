@@ -5,7 +5,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from packetloom.operators import folds, governance
+from packetloom.operators import blocks, folds, governance
 
 BIG = 2**60 + 1
 ROWS = [(BIG, None, 1.5, 0, 10), (BIG + 2, None, 1.5, 1, 20), (None, 7, float("nan"), 5_000_000, 30), (BIG + 6, 7, float("nan"), 5_000_001, 40), (BIG + 8, 7, float("nan"), None, 50), (BIG + 10, 7, None, 90_000_000, None)]
@@ -44,7 +44,7 @@ def test_splits(frame, by, want):
 
 
 def test_ewma(frame):
-    got = {r.seq: r.ewma for r in folds.ewma(frame, "k", "length", 0.5, ["us", "seq"]).collect()}
+    got = {r.seq: r.ewma for r in blocks.ewma(frame, "k", "length", 0.5, ["us", "seq"]).collect()}
     assert got == {BIG: 10.0, BIG + 2: 15.0, BIG + 8: 50.0, None: 40.0, BIG + 6: 40.0, BIG + 10: None}
 
 
@@ -56,5 +56,5 @@ def test_chains(frame):
 
 
 def test_empty(frame):
-    assert folds.ewma(frame.where("false"), "k", "length", 0.5, ["us"]).count() == 0
+    assert blocks.ewma(frame.where("false"), "k", "length", 0.5, ["us"]).count() == 0
     assert folds.cooldown(frame.where("false"), ["k"], 1).columns == frame.columns

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from packetloom.functions import scalars
-from packetloom.operators import baseline, detect, filters, flows, folds, governance, handshakes
+from packetloom.operators import baseline, blocks, detect, filters, flows, folds, governance, handshakes
 from packetloom.sources import captures
 
 
@@ -79,7 +79,7 @@ def test_service_calls(spark):
 
 def test_ewma_and_z(spark):
     frame = spark.createDataFrame([(1, "a", 10.0), (2, "a", 20.0)], "seq long, key string, x double")
-    assert [r.ewma for r in folds.ewma(frame, "key", "x", 0.5, ["seq"]).orderBy("seq").collect()] == [10, 15]
+    assert [r.ewma for r in blocks.ewma(frame, "key", "x", 0.5, ["seq"]).orderBy("seq").collect()] == [10, 15]
     assert baseline.running_z(frame, ["key"], "x", ["seq"]).orderBy("seq").first().z == 0
 
 

@@ -102,6 +102,36 @@ def test_live_scores_go_on_over_batches_and_forget(feed):
     put(("z", 10_000, False))
     put(("a", 20_000, False))
     rows = stream().withColumns({"hour": F.lit(12), "weekday": F.lit(1), "dst": F.col("closes").cast("string"), "length": F.when(F.col("closes"), 30).otherwise(F.col("length"))})
-    out, left = watched(st.live_scores(rows, "src", 60))
+    with st.with_maps(rows.sparkSession):
+        out, left = watched(st.live_scores(rows, "src", 60))
     # The second packet of a: three times the mean and the highest before, first contact; its fourth is known and ordinary.
-    assert out == [(100, "", 0.0), (101, "CONNECTIONS,FIRST_CONTACT,VOLUME", 100.0), (102, "", 0.0), (200, "", 0.0), (201, "", 0.0), (300, "", 0.0), (400, "", 0.0)] and left <= 2
+    assert out == [(100, "", 0.0), (101, "CONNECTIONS,FIRST_CONTACT,VOLUME", 100.0), (102, "", 0.0), (200, "", 0.0), (201, "", 0.0), (300, "", 0.0), (400, "", 0.0)]
+    assert left <= 12  # three hosts: sums, an hour and two destinations each at most
+
+
+def test_live_scores_write_only_what_a_batch_touches(spark, feed):
+    """A host with many destinations: the second batch, of three rows, writes a handful of entries."""
+    put, stream = feed
+    put(*(("a", 0, False) for _ in range(3000)))
+    put(("a", 1, False), ("a", 2, False), ("a", 3, True))
+    rows = stream().withColumns({"hour": F.lit(12), "weekday": F.lit(1), "dst": F.when(F.col("us") == BASE, F.col("seq")).otherwise(F.lit(1)).cast("string")})
+    with st.with_maps(spark):
+        query = st.live_scores(rows, "src", 60 * 86400).writeStream.format("noop").option("checkpointLocation", tempfile.mkdtemp(prefix="spark-", dir="/tmp")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    sizes = [p["stateOperators"][0]["numRowsUpdated"] for p in query.recentProgress if p["numInputRows"]]
+    assert len(sizes) == 2 and sizes[1] <= 10
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
+
+
+def test_each_request_has_one_response(feed):
+    """By id the oldest first, then the newest that waits, over batches; a request beyond the time waits no more, and no state is left."""
+    put, stream = feed
+    # closes stands for a response; the id is told by the second letter of src.
+    put(("ax", 0, False), ("ax", 1, False), ("a-", 2, False))
+    put(("ax", 3, True), ("a-", 4, True), ("a-", 5, True), ("a-", 6, True), ("ay", 7, True))
+    put(("b-", 100, False), ("b-", 170, True))
+    put(("zz", 10_000, False))
+    put(("zz", 20_000, False))
+    messages = stream().selectExpr("substr(src, 1, 1) as src", "us", "seq", "at", "not closes as is_request", "nullif(substr(src, 2, 1), '-') as id")
+    out, left = watched(st.stream_pairs(messages, ["src"], 60))
+    assert sorted(out, key=lambda r: r[1]) == [(100, 200, 0.95, "header"), (102, 201, 0.6, "timing"), (101, 202, 0.6, "timing"), (None, 204, 0.5, "orphan")] and left <= 1
