@@ -37,6 +37,9 @@ KNOWN_PAIRS = 300_000
 UNKNOWN_PENALTY = 10.0
 
 
+NO_SUM, NO_PIECE, UNKNOWN_PIECE = array("d", [-math.inf]), array("i", [-2]), array("i", [-1])
+
+
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
     """Field numbers and values of a protobuf message."""
     at = 0
@@ -87,7 +90,6 @@ class Pieces:
         self.raw = [b"" if sp.is_control(i) or sp.is_unknown(i) else bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(self.text)]
         self.lowest = min((self.score[i] for i in self.id_of.values()), default=0.0) - UNKNOWN_PENALTY
         self.lengths = [len(p) for p in self.text]
-        self.longest = max((len(p) for p in self.id_of), default=1)
         self.automaton = ahocorasick.Automaton()
         for piece, i in self.id_of.items():
             if self.kind != BPE or len(piece) == 1 or self._merge(piece) == [piece]:  # others never come out of merging
@@ -161,35 +163,26 @@ class Pieces:
         return self._relax(text)
 
     def _relax(self, text: str) -> tuple[array, float]:
-        """One pass. Best sums are held for the positions that a piece can reach back to; of each position only the piece that ends there
-        is kept (BPE: the one that merging puts there, -2 for none; unigram: the one of the best sum), four bytes a character."""
+        """One pass. For each position are kept, in twelve bytes, the best sum and the piece that ends there (BPE: the one that merging puts
+        there, -2 for none; unigram: the one of the best sum, -1 for an unknown character)."""
         n, score, joins, merging, lowest = len(text), self.score, self.joins, self.kind != UNIGRAM, self.lowest
-        window = self.longest + 1
-        best = [0.0] * window
-        chosen = array("i", [-2 if merging else -1]) * (n + 1)
-        chosen[0] = -1
+        best, chosen = NO_SUM * (n + 1), (NO_PIECE if merging else UNKNOWN_PIECE) * (n + 1)
+        best[0], chosen[0] = 0.0, -1
         if len(joins) > KNOWN_PAIRS:
             joins.clear()
-        at = 0
-
-        def on_to(at: int, end: int) -> int:
-            """Settles the positions before end: an unknown character may be better than the pieces that end there."""
-            while at < end:
-                if at and best[(at - 1) % window] + lowest > best[at % window]:
-                    best[at % window] = best[(at - 1) % window] + lowest
-                    if not merging:
-                        chosen[at] = -1
-                at += 1
-                best[at % window] = -math.inf
-            return at
-
+        settled = 0  # up to here an unknown character was tried against the pieces
         for end, (length, i) in self.automaton.iter(text):  # by rising end, longest first, along output links
+            while settled < end:
+                settled += 1
+                total = best[settled - 1] + lowest
+                if total > best[settled]:
+                    best[settled] = total
+                    if not merging:
+                        chosen[settled] = -1
             end += 1
-            if at < end:
-                at = on_to(at, end)
-            total, here = best[(end - length) % window] + score[i], end % window
-            if total > best[here]:
-                best[here] = total
+            total = best[end - length] + score[i]
+            if total > best[end]:
+                best[end] = total
                 if not merging:
                     chosen[end] = i
             if merging and chosen[end] == -2:
@@ -201,9 +194,14 @@ class Pieces:
                         fits = joins[key] = before < 0 or self._merge(self.text[before] + self.text[i]) == [self.text[before], self.text[i]]
                     if fits:
                         chosen[end] = i
-        if n:
-            on_to(at, n + 1)
-        return self._trace(text, chosen), best[n % window]
+        while settled < n:
+            settled += 1
+            total = best[settled - 1] + lowest
+            if total > best[settled]:
+                best[settled] = total
+                if not merging:
+                    chosen[settled] = -1
+        return self._trace(text, chosen), best[n]
 
     def _unknown(self, char: str) -> list[int]:
         """The bytes of a character that no piece has, if the model has byte pieces, else the unknown id."""
