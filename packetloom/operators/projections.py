@@ -121,6 +121,7 @@ def _findings(rows: DataFrame, rules: list[tuple[Column, dict[str, str]]]) -> Da
 def diagnostics(rows: DataFrame, summary: str = "summary") -> DataFrame:
     """0..n rows per packet: severity_level, group, title."""
     s = F.col(summary)
+    # Marks in summaries; severities, groups and titles of what they stand for.
     rules = [
         (_any(s, ("bad checksum", "Bad checksum", "checksum mismatch")), ("Error", "Checksum", "Corrupted Header Checksum")),
         (_any(s, ("Malformed", "truncated", "(short frame)")), ("Error", "Malformed", "Malformed Protocol Framing")),
@@ -156,6 +157,7 @@ def payload_findings(rows: DataFrame, data: str = "data") -> DataFrame:
     """0..n rows per payload: finding_severity, category, title."""
     d = F.col(data)
     text = F.lower(F.decode(d, "UTF-8"))
+    # Severities, categories and titles of findings.
     rules = [
         ((F.length(d) > 64) & (scalars.byte_entropy(d) > 7.7), ("medium", "entropy", "High Entropy Payload Detected")),
         ((F.length(d) >= 4) & F.hex(F.substring(d, 1, 4)).rlike("^(4D5A|7F454C46)"), ("high", "security", "Executable Binary Header In Network Payload")),
