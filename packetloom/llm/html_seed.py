@@ -18,7 +18,7 @@ BOILER = {
     "form": ("form", "newsletter", "subscribe", "search", "login", "signup", "search-form", "contact-form", "subscription"),
     "comments": ("comments", "comment", "comment-list", "disqus", "respond", "replies", "discussion", "reader-comments", "comment-body", "reviews"),
 }
-TAGS = {"nav": ("nav", "nav", "div", "ul"), "header": ("header", "div"), "footer": ("footer", "footer", "div"), "aside": ("aside", "aside", "div"), "ad": ("div", "div", "aside", "section"), "notice": ("div", "div", "aside", "section"), "share": ("div", "ul"), "form": ("form", "form", "div"), "comments": ("section", "div", "div")}
+TAGS = {"nav": ("nav", "nav", "div", "ul"), "header": ("header", "div"), "footer": ("footer", "footer", "div"), "aside": ("aside", "aside", "div"), "ad": ("div", "div", "aside", "section"), "notice": ("div", "div", "aside", "section", "dialog"), "share": ("div", "ul"), "form": ("form", "form", "div"), "comments": ("section", "div", "div")}
 
 
 class Page:
@@ -113,6 +113,8 @@ class Page:
                 for _ in range(r.randint(1, 4)):
                     self.block("td", self.words(1, 5), True)
                 self.html.append("</tr></table>")
+            elif x < 0.95:
+                self.block("button", self.words(1, 4), False)
             else:
                 self.boiler(r.choice(("ad", "share", "form", "notice", "aside")))
         if inner:

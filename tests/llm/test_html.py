@@ -45,6 +45,22 @@ def test_what_stands_before_an_article(model, before):
     assert model.main_text(before + GOOD) == TEXT
 
 
+P = "<p>Rivers run to the sea, and the sea does not fill.</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<article>{P}<button>Subscribe now</button></article>",
+        f"<article>{P}<p><button type=button>Read more</button></p></article>",
+        f"<article>{P}<dialog><p>Accept our terms and conditions to go on.</p></dialog></article>",
+        f"<dialog open><p>Accept our terms.</p><button>Yes</button></dialog><article>{P}</article>",
+    ],
+)
+def test_buttons_and_dialogs_outside_forms(model, page):
+    assert model.main_text(f"<html><body>{page}</body></html>") == "Rivers run to the sea, and the sea does not fill."
+
+
 def test_text_after_an_open_head(model):
     assert model.main_text("<html><head><title>t</title><h1>Rivers</h1><p>They run to the sea.</p>") == "Rivers They run to the sea."
 
