@@ -175,7 +175,7 @@ add(
     over_packets("select seq from (select seq, row_number() over w as n, sum(length) over w - length as b, us - min(us) over w as t from packets window w as (partition by sensor order by us, seq)) where n <= 200 and b < 30000 and t <= 1728000000000"),
 )
 add("str13_live_baseline", lambda s, d: st.drain(st.live_baseline(st.packet_stream(s, d), "src", 2.5)), over_packets("select seq from (select seq, length, avg(length) over w as m, stddev_samp(length) over w as sd from packets window w as (partition by src order by us, seq rows between unbounded preceding and 1 preceding)) where sd > 0 and (length - m) / sd > 2.5"))
-add("str13_live_scores", lambda s, d: st.drain(st.live_scores(st.packet_stream(s, d), "src", 10_000 * 86400)).select("seq", "reasons", F.round("score", 5).alias("score")), _host_sql("src"))
+add("str13_live_scores", lambda s, d: st.drain(st.live_scores(st.packet_stream(s, d), "src", 10_000 * 86400), started_with=st.MANY_STATES).select("seq", "reasons", F.round("score", 5).alias("score")), _host_sql("src"))
 
 
 def _message_stream(s, d):

@@ -4,11 +4,14 @@ running means (live_baseline) and stopped captures (stop_stream) are kept for ea
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.adapters import PACKET_COLUMNS, SPARK_K, micros, table
@@ -28,9 +31,42 @@ def packet_stream(spark: SparkSession, sf_dir: str, watermark: str = WATERMARK)
     return rows.withColumn("at", F.timestamp_micros("us")).withWatermark("at", watermark)
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for the time of a block; then they are as they were."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+class LateRows(StreamingQueryListener):
+    """Counts the rows that streams drop because the watermark has passed them: dropped[query id]. Register it with
+    spark.streams.addListener. Rows are counted where they meet state, so after a partial sum if the stream aggregates."""
+
+    def __init__(self) -> None:
+        self.dropped: Counter[str] = Counter()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.dropped[str(event.progress.id)] += sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+def drain(stream: DataFrame, mode: str = "append", started_with: dict[str, str] | None = None) -> DataFrame:
     """Runs a stream over what there is and returns what it wrote. Each batch is written under its number, so that a repeated batch replaces
-    itself; in complete mode the last batch is the result."""
+    itself; in complete mode the last batch is the result. The stream has the session's settings and those of started_with."""
     spark = stream.sparkSession
     out, state = new_folder(spark, "stream"), new_folder(spark, "stream-state")
     numbers: list[int] = []
@@ -39,7 +75,8 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
         numbers.append(number)
 
-    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    with settings(spark, started_with or {}):
+        stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     wanted = sorted(set(numbers))[-1:] if mode == "complete" else sorted(set(numbers))
     schema = stream.schema
     return spark.read.schema(schema).parquet(*(f"{out}/batch={n}" for n in wanted)) if wanted else spark.createDataFrame([], schema)
@@ -208,22 +245,46 @@ def live_baseline(stream: DataFrame, key: str, limit: float = 3.0) -> DataFrame:
     return stateful(stream, [key], "seq long", "n long, mean double, m2 double", step, ["length"], GroupStateTimeout.NoTimeout)
 
 
-def live_scores(stream: DataFrame, key: str, forget_seconds: float = 90 * 86400) -> DataFrame:
-    """(seq, reasons, score): the live form of baseline.host_scores. A host's state is its count, sum and squares of lengths, its highest
-    length, sums for the 168 hours of a week and 64-bit hashes of the destinations it knows; a host that has been silent for the time is
-    forgotten. A null length counts as a packet but not as a length."""
-    keep = int(forget_seconds * 1_000_000)
-    empty = pd.DataFrame({"seq": pd.Series([], dtype="int64"), "reasons": pd.Series([], dtype="object"), "score": pd.Series([], dtype="float64")})
+#: Session settings for streams with several kinds of state a key (live_scores): a stream takes its store as it first starts and keeps it.
+MANY_STATES = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
-    def step(_, rows, state):
-        if rows is None:
-            return empty, None
-        due, n, lengths, total, squares, top, slot_sums, slot_counts, known = state or (0, 0, 0, 0.0, 0.0, 0.0, [0.0] * 168, [0] * 168, [])
-        slot_sums, slot_counts, known, out = list(slot_sums), list(slot_counts), set(known), []
-        for t, seq, x, hour, slot, peer in zip(rows["us"], rows["seq"], rows["length"], rows["hour"], rows["slot"], rows["peer"]):
+
+class HostScores(StatefulProcessor):
+    """State of a host: a few running sums, sums of the hours of a week that it was seen in, and an entry for each destination that it knows.
+    A batch reads and writes the entries of its own rows only, however many a host has."""
+
+    def __init__(self, keep: int):
+        self.keep = keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.sums = handle.getValueState("sums", "due long, n long, lengths long, total double, squares double, top double")
+        self.slots = handle.getMapState("slots", "slot int", "total double, lengths long")
+        self.known = handle.getMapState("known", "peer long", "since long")
+
+    def _forget(self) -> None:
+        self.sums.clear()
+        self.slots.clear()
+        self.known.clear()
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values(["us", "seq"], kind="stable")  # a part of one batch
+        due, n, lengths, total, squares, top = self.sums.get() or (0, 0, 0, 0.0, 0.0, 0.0)
+        if n:
+            self.handle.deleteTimer(due // 1000 + 1)
+        slots: dict[int, tuple[float, int]] = {}  # entries of this batch's hours and destinations
+        peers: dict[int, bool] = {}
+        out = []
+        for t, seq, x, hour, slot, peer in zip(*(batch[c].tolist() for c in ("us", "seq", "length", "hour", "slot", "peer"))):
             if n and t > due:  # silent for too long within one batch
-                n, lengths, total, squares, top, slot_sums, slot_counts, known = 0, 0, 0.0, 0.0, 0.0, [0.0] * 168, [0] * 168, set()
+                self._forget()
+                n, lengths, total, squares, top = 0, 0, 0.0, 0.0, 0.0
+                slots, peers = {}, {}
             x = None if pd.isna(x) else float(x)
+            if slot not in slots:
+                slots[slot] = tuple(self.slots.getValue((slot,)) or (0.0, 0))
+            if peer not in peers:
+                peers[peer] = n > 0 and self.known.containsKey((peer,))
             mean = total / lengths if lengths else None
             found = []
             if x is not None and lengths:
@@ -232,27 +293,46 @@ def live_scores(stream: DataFrame, key: str, forget_seconds: float = 90 * 86400)
                 ratio = x / mean if mean else None
                 if z > 3 or (ratio is not None and ratio >= 2):
                     found.append(("CONNECTIONS", z if ratio is None else max(ratio, z)))
-            if n and not 6 <= hour <= 21 and (not slot_counts[slot] or slot_sums[slot] / slot_counts[slot] < 50):
+            of_slot, in_slot = slots[slot]
+            if n and not 6 <= hour <= 21 and (not in_slot or of_slot / in_slot < 50):
                 found.append(("OFF_HOURS", 3.5))
-            if n and peer not in known:
+            if n and not peers[peer]:
                 found.append(("FIRST_CONTACT", 3.0))
             if x is not None and lengths and top > 0 and x >= 2 * top:
                 found.append(("VOLUME", 2 * x / top))
             worst = max((v for _, v in found), default=0.0)
             out.append((seq, ",".join(name for name, _ in found), min(100.0, max(10.0, 15 * max(worst, 0.0) + 10 * len(found))) if found else 0.0))
-            n, due = n + 1, t + keep
-            known.add(peer)
+            n, due = n + 1, t + self.keep
+            if not peers[peer]:
+                self.known.updateValue((peer,), (t,))
+                peers[peer] = True
             if x is not None:
                 top = max(top, x) if lengths else x
                 lengths, total = lengths + 1, total + x
                 squares += (x - (mean or 0.0)) * (x - total / lengths) if mean is not None else 0.0
-                slot_sums[slot] += x
-                slot_counts[slot] += 1
-        return pd.DataFrame(out, columns=["seq", "reasons", "score"]), (due, n, lengths, total, squares, top, slot_sums, slot_counts, sorted(known))
+                slots[slot] = (of_slot + x, in_slot + 1)
+        for slot, entry in slots.items():
+            self.slots.updateValue((slot,), entry)
+        self.sums.update((due, n, lengths, total, squares, top))
+        self.handle.registerTimer(due // 1000 + 1)
+        yield pd.DataFrame(out, columns=["seq", "reasons", "score"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._forget()
+        return iter([])
+
+    def close(self) -> None:
+        pass
 
+
+def live_scores(stream: DataFrame, key: str, forget_seconds: float = 90 * 86400) -> DataFrame:
+    """(seq, reasons, score): the live form of baseline.host_scores. A host that has been silent for the time is forgotten, by an event-time
+    timer. A null length counts as a packet but not as a length; destinations are known by 64-bit hashes. The stream must be started with the
+    settings MANY_STATES. (In processing-time mode, which state with a time to live would ask for, a stream that is to take what there is
+    never ends: each batch is followed by another one without rows.)"""
     marked = stream.withColumns({"slot": (F.col("weekday") * 24 + F.col("hour")).cast("int"), "peer": F.xxhash64("dst")})
-    fields = "due long, n long, lengths long, total double, squares double, top double, slot_sums array<double>, slot_counts array<long>, known array<long>"
-    return stateful(marked, [key], "seq long, reasons string, score double", fields, step, ["length", "hour", "slot", "peer"])
+    rows = marked.select(key, "us", "seq", "at", "length", "hour", "slot", "peer")
+    return rows.groupBy(key).transformWithStateInPandas(HostScores(int(forget_seconds * 1_000_000)), "seq long, reasons string, score double", "append", "eventTime")
 
 
 def stream_pairs(messages: DataFrame, keys: list[str], seconds: float) -> DataFrame:
