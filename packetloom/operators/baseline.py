@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import blocks, filters
 
@@ -36,31 +35,38 @@ def sliding_totals(rows: DataFrame, keys: list[str], seconds: int, block_rows: i
     return blocks.trailing(rows, keys, seconds, {"window_packets": F.count("*"), "window_bytes": F.sum("length")}, block_rows=block_rows)
 
 
-def host_scores(rows: DataFrame, sensor: str | None = None, time: str = "us", order: str = "seq") -> DataFrame:
+def host_scores(rows: DataFrame, sensor: str | None = None, time: str = "us", order: str = "seq", block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
     """Scores each packet against the rows of its source before it.
 
     Deviations: CONNECTIONS (length over the source's mean: ratio >= 2 or z > 3), OFF_HOURS (not 6-21 h, slot empty or its mean below 50),
     FIRST_CONTACT (destination new to a source that has history), VOLUME (>= 2 x the highest before). score = clamp(15 max + 10 reasons,
-    10, 100), 0 without a reason. With a sensor column each sensor has baselines of its own.
+    10, 100), 0 without a reason. With a sensor column each sensor has baselines of its own. A source's rows are dealt in blocks of time; a
+    destination is known from the first row on that has it. Input columns called mean or variance, reasons or score are replaced.
     """
     keys = [*([sensor] if sensor else []), "src"]
-    prior = lambda *more: Window.partitionBy(*keys, *more).orderBy(time, order).rowsBetween(Window.unboundedPreceding, -1)
-    w, x = prior(), F.col("length")
-    h = rows.withColumn("_slot", slot())
-    h = h.withColumns({"_n": F.count("*").over(w), "_mean": F.avg("length").over(w), "_sd": F.stddev_samp("length").over(w), "_top": F.max("length").over(w), "_slot_mean": F.avg("length").over(prior("_slot")), "_known": F.count("*").over(prior("dst"))})
-    ratio = F.try_divide(x, F.col("_mean"))
-    z = F.when(F.coalesce(F.col("_sd"), F.lit(0.0)) > 0, (x - F.col("_mean")) / F.col("_sd")).otherwise(0.0)
-    off = ~F.col("hour").between(6, 21) & F.coalesce(F.col("_slot_mean") < 50, F.lit(True))
+    rows = rows.drop("reasons", "score", "mean", "variance")
+    block, n, lengths, total, top, week, in_slot, of_slot, first = names = blocks.unused(rows, "block", "n", "lengths", "total", "top", "week", "in_slot", "of_slot", "first")
+    x, at = F.col("length"), F.struct(time, order)
+    counted = F.when(x.isNotNull(), 1).otherwise(0)
+    dealt, _ = blocks.with_blocks(rows.withColumn(week, slot()), time, block, block_rows)
+    h = blocks.sums_before(dealt, keys, block, [time, order], {n: F.lit(1), lengths: counted, total: x}, {top: x})
+    h = blocks.sums_before(h, [*keys, week], block, [time, order], {in_slot: counted, of_slot: x})
+    h = blocks.moments(h, keys, block, "length", [time, order], -1)
+    h = blocks.join_on(h, rows.groupBy(*keys, "dst").agg(F.min(at).alias(first)), [*keys, "dst"], [first])
+    mean = F.when(F.col(lengths) > 0, F.try_divide(F.col(total), F.col(lengths)))
+    ratio = F.try_divide(x, mean)
+    z = F.when(F.col("variance") > 0, (x - mean) / F.sqrt("variance")).otherwise(0.0)
+    off = ~F.col("hour").between(6, 21) & ((F.col(in_slot) == 0) | (F.try_divide(F.col(of_slot), F.col(in_slot)) < 50))
     rules = (
         ("CONNECTIONS", filters.two_valued((ratio >= 2) | (z > 3)), F.greatest(ratio, z)),
-        ("OFF_HOURS", (F.col("_n") > 0) & off, F.lit(3.5)),
-        ("FIRST_CONTACT", (F.col("_n") > 0) & (F.col("_known") == 0), F.lit(3.0)),
-        ("VOLUME", filters.two_valued((F.col("_top") > 0) & (x >= 2 * F.col("_top"))), 2 * F.try_divide(x, F.col("_top"))),
+        ("OFF_HOURS", (F.col(n) > 0) & off, F.lit(3.5)),
+        ("FIRST_CONTACT", (F.col(n) > 0) & (at == F.col(first)), F.lit(3.0)),
+        ("VOLUME", filters.two_valued((F.col(top) > 0) & (x >= 2 * F.col(top))), 2 * F.try_divide(x, F.col(top))),
     )
     h = h.withColumn("reasons", F.array_compact(F.array(*(F.when(cond, F.lit(name)) for name, cond, _ in rules))))
     worst = F.greatest(F.lit(0.0), *(F.when(cond, v).otherwise(0.0) for _, cond, v in rules))
     score = F.when(F.size("reasons") > 0, F.least(F.lit(100.0), F.greatest(F.lit(10.0), 15 * worst + 10 * F.size("reasons")))).otherwise(0.0)
-    return h.withColumn("score", score).drop("_slot", "_n", "_mean", "_sd", "_top", "_slot_mean", "_known")
+    return h.withColumn("score", score).drop(*names, "mean", "variance")
 
 
 def distinct_counts(rows: DataFrame, approximate: bool = False) -> DataFrame:

@@ -39,24 +39,42 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], added: list[str]
     return left.alias("l").join(right.alias("r"), same).select("l.*", *(F.col(f"r.`{c}`") for c in added))
 
 
+def sums_before(dealt: DataFrame, keys: list[str], block: str, order: list[str], sums: dict[str, Column], tops: dict[str, Column] | None = None) -> DataFrame:
+    """Adds, of the rows of the key before each row, sums (0 without rows) and highest values (null without), from rows dealt in blocks."""
+    tops = tops or {}
+    start = dict(zip([*sums, *tops], unused(dealt, *(f"{n}_start" for n in (*sums, *tops)))))
+    of_block = dealt.groupBy(*keys, block).agg(*(F.sum(e).alias(start[n]) for n, e in sums.items()), *(F.max(e).alias(start[n]) for n, e in tops.items()))
+    earlier = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    starts = of_block.withColumns({start[n]: F.sum(start[n]).over(earlier) for n in sums} | {start[n]: F.max(start[n]).over(earlier) for n in tops})
+    inside = Window.partitionBy(*keys, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = join_on(dealt, starts, [*keys, block], list(start.values()))
+    zero = F.lit(0)
+    added = {n: F.coalesce(F.col(start[n]), zero) + F.coalesce(F.sum(e).over(inside), zero) for n, e in sums.items()}
+    added |= {n: F.greatest(F.col(start[n]), F.max(e).over(inside)) for n, e in tops.items()}
+    return out.withColumns(added).drop(*start.values())
+
+
 def preceding(rows: DataFrame, keys: list[str], order: list[str], amount: Column, name: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Adds name: the sum of amount over the rows of the key before this one."""
     rows = rows.drop(name)
-    block, start = unused(rows, "block", "start")
+    block, = unused(rows, "block")
     dealt, _ = with_blocks(rows, order[0], block, block_rows)
-    sums = dealt.groupBy(*keys, block).agg(F.sum(amount).alias(start))
-    starts = sums.withColumn(start, F.sum(start).over(Window.partitionBy(*keys).orderBy(block)) - F.col(start))
-    inside = F.sum(amount).over(Window.partitionBy(*keys, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    out = join_on(dealt, starts, [*keys, block], [start]).withColumn(name, F.col(start) + F.coalesce(inside, F.lit(0)))
-    return out.drop(block, start)
+    return sums_before(dealt, keys, block, order, {name: amount}).drop(block)
 
 
 def running_moments(rows: DataFrame, keys: list[str], value: str, order: list[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Adds mean and variance (sample; 0 below two values) of a key's values up to each row: moments of whole blocks, merged, and windows
-    inside a block. Values are measured from the key's mean, so that squares do not cancel; equal values have the variance 0 exactly."""
+    """Adds mean and variance (sample; 0 below two values) of a key's values up to each row, this row's included."""
     rows = rows.drop("mean", "variance")
-    block, n, m, q, low, high, centre = names = unused(rows, "block", "n", "m", "q", "low", "high", "centre")
+    block, = unused(rows, "block")
     dealt, _ = with_blocks(rows, order[0], block, block_rows)
+    return moments(dealt, keys, block, value, order).drop(block)
+
+
+def moments(dealt: DataFrame, keys: list[str], block: str, value: str, order: list[str], last: int = 0) -> DataFrame:
+    """Adds mean and variance of a key's values up to each row (last = -1: up to the row before), from rows dealt in blocks: moments of whole
+    blocks, merged, and windows inside a block. Values are measured from the key's mean, so that squares do not cancel; equal values have
+    the variance 0 exactly."""
+    n, m, q, low, high, centre = names = unused(dealt, "n", "m", "q", "low", "high", "centre")
     x = F.col(value).cast("double")
     of_block = dealt.groupBy(*keys, block).agg(F.count(value).alias(n), F.avg(x).alias(m), F.var_pop(x).alias(q), F.min(x).alias(low), F.max(x).alias(high))
     of_key = Window.partitionBy(*keys)
@@ -66,7 +84,7 @@ def running_moments(rows: DataFrame, keys: list[str], value: str, order: list[st
     sums = {n: F.sum(n), m: F.sum(F.col(n) * away), q: F.sum(F.col(n) * (F.col(q) + away * away)), low: F.min(low), high: F.max(high)}
     starts = of_block.withColumns({c: e.over(before) for c, e in sums.items()})
     both = join_on(dealt, starts, [*keys, block], [n, m, q, low, high, centre])
-    so_far = Window.partitionBy(*keys, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    so_far = Window.partitionBy(*keys, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
     d = x - F.col(centre)
     inside = {n: F.count(value), m: F.sum(d), q: F.sum(d * d)}
     zero = F.lit(0.0)

@@ -9,7 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from packetloom.operators import baseline, blocks, detect, flows, hooks, matching, selection, server
-from packetloom.sources import feeds
+from packetloom.plans import catalog
+from packetloom.sources import adapters, feeds
+
+from .conftest import DATA
 
 
 @pytest.fixture(scope="module")
@@ -180,3 +183,25 @@ def test_aggregate_in_parts(spark, monkeypatch):
         want[a, b] = (n + 1, max(top, v))
     assert {(r.a, r.b): (r.n, r.top) for r in out.collect()} == want
     assert hooks.aggregate_states(frame.where("false"), ["a"], ["v"], "n long", int, lambda s, v: s + 1, lambda s, t: s + t, lambda s: (s,)).count() == 0
+
+
+@pytest.mark.parametrize("size", [7, 200])
+def test_host_scores_by_blocks(spark, duck, size):
+    """Many blocks a source give the rows of the SQL; input columns with the names of its own are kept apart or replaced."""
+    rows = adapters.packets(spark, DATA).withColumns({c: F.lit("clash") for c in ("block", "n", "top", "first", "n_start", "score")})
+    out = baseline.host_scores(rows, block_rows=size)
+    assert {"block", "n", "top", "first", "n_start", "score"} <= set(out.columns) and out.columns.count("score") == 1
+    got = {r.seq: (r.reasons, r.score) for r in out.select("seq", F.array_join("reasons", ",").alias("reasons"), F.round("score", 5).alias("score")).collect()}
+    cursor = duck.execute(catalog.ORACLES["bas06_host_scores"])
+    at = [[c[0] for c in cursor.description].index(c) for c in ("seq", "reasons", "score")]
+    want = {r[at[0]]: (r[at[1]], pytest.approx(r[at[2]])) for r in cursor.fetchall()}
+    assert got == want and len({k for k, _ in got.values()}) > 2
+
+
+def test_host_scores_of_odd_rows(spark):
+    """Null lengths count as packets but not as lengths; null sources and destinations are values like others; no rows, no scores."""
+    fields = "seq long, src string, dst string, us long, length long, weekday int, hour int"
+    rows = [(1, None, None, 0, None, 1, 12), (2, None, None, 1, 10, 1, 12), (3, None, "a", 2, 30, 1, 12), (4, "x", "a", 2, 5, 1, 3), (5, "x", "a", 3, None, 1, 3)]
+    got = {r.seq: (list(r.reasons), r.score) for r in baseline.host_scores(spark.createDataFrame(rows, fields), block_rows=1).collect()}
+    assert got == {1: ([], 0.0), 2: ([], 0.0), 3: (["CONNECTIONS", "FIRST_CONTACT", "VOLUME"], 100.0), 4: ([], 0.0), 5: (["OFF_HOURS"], 62.5)}
+    assert baseline.host_scores(spark.createDataFrame([], fields)).collect() == []
