@@ -1,7 +1,7 @@
 """The test tables as network data: packets, alerts, sensors and the like, for Spark and, as SQL text, for the oracle.
 
 Event rows stand for packets: the user is the source, the number in props the destination and service, the value the length. The
-expressions are plain SQL that both engines read alike. Times are also given as microseconds since 1970 (us), free of zones.
+expressions are plain SQL that both engines read alike, but for service and port. Times are also given as microseconds since 1970 (us), free of zones.
 """
 
 from __future__ import annotations
@@ -11,13 +11,28 @@ from pyspark.sql import functions as F
 
 SPARK_K, DUCK_K = "cast(get_json_object(props, '$.k') as int)", "cast(json_extract_string(props, '$.k') as int)"
 EPOCH = "timestamp_ntz '1970-01-01 00:00:00'"
+#: Service and port by the last digit of the number in props; rows without a number have the last.
+SERVICES = (("HTTP", 80), ("TLS", 443), ("DNS", 53), ("SSH", 22), ("SMB", 445), ("HTTP", 8080), ("RDP", 3389), ("NTP", 123), ("MODBUS", 502), ("TCP", 25))
+
+
+def _place(values: list[str]) -> str:
+    """Value of the last digit, as Spark SQL. A list and not a case, since a filter that is pushed below the columns holds their expressions
+    in full: a case would then read the number out of props once a branch."""
+    return f"coalesce(get(array({', '.join(values)}), k % 10), {values[-1]})"
+
+
+def _branches(values: list[str]) -> str:
+    """The same for the oracle."""
+    return f"case k % 10 {' '.join(f'when {i} then {v}' for i, v in enumerate(values[:-1]))} else {values[-1]} end"
+
+
 PACKET_COLUMNS = {
     "seq": "event_id",
     "src": "concat('10.', cast(user_id % 4 as string), '.', cast(cast(floor(user_id / 250) as bigint) % 250 as string), '.', cast(user_id % 250 as string))",
     "dst": "case when k < 60 then concat('192.168.1.', cast(k as string)) when k < 90 then concat('93.184.216.', cast(k as string)) else concat('2001:db8::', cast(k as string)) end",
     "sport": "cast(40000 + user_id % 10 as int)",
-    "dport": "cast(case k % 10 when 0 then 80 when 1 then 443 when 2 then 53 when 3 then 22 when 4 then 445 when 5 then 8080 when 6 then 3389 when 7 then 123 when 8 then 502 else 25 end as int)",
-    "protocol": "case k % 10 when 0 then 'HTTP' when 1 then 'TLS' when 2 then 'DNS' when 3 then 'SSH' when 4 then 'SMB' when 5 then 'HTTP' when 6 then 'RDP' when 7 then 'NTP' when 8 then 'MODBUS' else 'TCP' end",
+    "dport": _place([str(port) for _, port in SERVICES]),
+    "protocol": _place([f"'{name}'" for name, _ in SERVICES]),
     "length": "cast(floor(value * 4) as bigint)",
     "flags": "cast(event_id % 32 as int)",
     "sensor": "concat('sensor-', cast(user_id % 4 as string))",
@@ -41,7 +56,8 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.selectExpr(*(f"{e} as {n}" for n, e in PACKET_COLUMNS.items()), f"{micros('ts')} as us", "hour(ts) as hour", "weekday(ts) as weekday")
 
 
-_columns = ", ".join(f"{e} as {n}" for n, e in PACKET_COLUMNS.items())
+_oracle = PACKET_COLUMNS | {"dport": f"cast({_branches([str(port) for _, port in SERVICES])} as int)", "protocol": _branches([f"'{name}'" for name, _ in SERVICES])}
+_columns = ", ".join(f"{e} as {n}" for n, e in _oracle.items())
 PACKETS = f"packets as (select {_columns}, epoch_us(ts) as us, cast(hour(ts) as int) as hour, cast(isodow(ts) - 1 as int) as weekday from (select *, {DUCK_K} as k from events))"
 
 
