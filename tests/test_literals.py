@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from packetloom.functions import scalars
 from packetloom.operators import baseline, blocks, detect, filters, flows, folds, governance, handshakes
-from packetloom.sources import captures
+from packetloom.sources import adapters, captures
 
 
 def one(spark, column, value=None, kind="string"):
@@ -142,3 +142,16 @@ def test_flow_conservation(spark):
     p = table(spark, DATA)
     total = flows.flow_table(p).agg(F.sum("packets").alias("n"), F.sum("bytes").alias("b")).first()
     assert (total.n, total.b) == tuple(p.agg(F.count("*"), F.sum("length")).first())
+
+
+def test_services_of_rows_without_a_number(spark, tmp_path):
+    rows = [(0, None), (1, "{}"), (2, "x"), (3, '{"k": -3}'), (4, '{"k": 90}'), (5, '{"k": 17}')]
+    events = spark.createDataFrame(rows, "event_id long, props string").selectExpr("event_id", "timestamp_ntz '2024-01-01 00:00:00' as ts", "1L as user_id", "'click' as event_type", "1.0D as value", "props")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    found = {r.seq: (r.protocol, r.dport) for r in adapters.packets(spark, str(tmp_path)).collect()}
+    assert found == {0: ("TCP", 25), 1: ("TCP", 25), 2: ("TCP", 25), 3: ("TCP", 25), 4: ("HTTP", 80), 5: ("NTP", 123)}
+
+
+def test_a_pushed_filter_reads_the_number_once(spark):
+    plan = adapters.packets(spark, "/root/testdata/sf0.001").where("protocol = 'TLS'").select("seq")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("get_json_object") == 1
