@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ipaddress
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,17 +62,29 @@ def national_id_valid(text: Column) -> Column:
     return F.when(text.rlike("^[1-9][0-9]{10}$"), (tenth == d[9]) & (last == d[10])).otherwise(False)
 
 
+def once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), the value being computed once a row however often it is named in it: also where a filter or a projection below takes the
+    place of a column."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def ip_number(ip: Column) -> Column:
     """An IPv4 address as a number; null for anything else."""
-    parts = F.split(ip, r"\.")
-    number = parts[0].cast("long") * 16777216 + parts[1].cast("long") * 65536 + parts[2].cast("long") * 256 + parts[3].cast("long")
-    return F.when(ip.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), number)
+
+    def number(parts: Column) -> Column:
+        return parts[0].cast("long") * 16777216 + parts[1].cast("long") * 65536 + parts[2].cast("long") * 256 + parts[3].cast("long")
+
+    return once(ip, lambda a: F.when(a.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), once(F.split(a, r"\."), number)))
+
+
+def _within(number: Column, network: str) -> Column:
+    net = ipaddress.ip_network(network)
+    return F.coalesce(number.between(int(net.network_address), int(net.broadcast_address)), F.lit(False))
 
 
 def in_network(ip: Column, network: str) -> Column:
     """Whether an IPv4 address lies in a network such as 10.0.0.0/8; false for null and IPv6."""
-    net = ipaddress.ip_network(network)
-    return F.coalesce(ip_number(ip).between(int(net.network_address), int(net.broadcast_address)), F.lit(False))
+    return once(ip_number(ip), lambda n: _within(n, network))
 
 
 # Ranges that are not public, with their scope; the whole of 172.16/12 is private.
@@ -79,11 +93,14 @@ SCOPES = (("loopback", "127.0.0.0/8"), ("link-local", "169.254.0.0/16"), ("priva
 
 def address_scope(ip: Column) -> Column:
     """loopback, link-local, private or public; null stays null. IPv6: ::1, fe80::/10, fc00::/7."""
-    six = F.when(ip == "::1", "loopback").when(F.lower(ip).rlike("^fe[89ab]"), "link-local").when(F.lower(ip).rlike("^f[cd]"), "private")
-    out = F.when(ip.contains(":"), F.coalesce(six, F.lit("public")))
-    for scope, net in SCOPES:
-        out = out.when(in_network(ip, net), scope)
-    return out.when(ip.isNotNull(), "public")
+
+    def six(a: Column) -> Column:
+        return F.when(a == "::1", "loopback").when(F.lower(a).rlike("^fe[89ab]"), "link-local").when(F.lower(a).rlike("^f[cd]"), "private").otherwise("public")
+
+    def four(number: Column) -> Column:
+        return reduce(lambda out, s: out.when(_within(number, s[1]), s[0]), SCOPES, F.when(F.lit(False), "")).otherwise("public")
+
+    return once(ip, lambda a: F.when(a.contains(":"), six(a)).when(a.isNotNull(), once(ip_number(a), four)))
 
 
 def ip_sort_key(ip: Column) -> Column:

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from packetloom.functions import scalars
 from packetloom.operators import baseline, blocks, detect, filters, flows, folds, governance, handshakes
+from packetloom.plans import catalog
 from packetloom.sources import adapters, captures
 
+from .conftest import DATA
+
 
 def one(spark, column, value=None, kind="string"):
     return spark.createDataFrame([(value,)], f"v {kind}").select(column.alias("x")).first().x
@@ -36,6 +39,15 @@ def test_scope_and_duration(spark):
         assert one(spark, scalars.duration_seconds(F.col("v")), text) == seconds
 
 
+def test_scope_reads_its_address_once(spark):
+    """A filter takes the place of a column's expression: the number in props is read a few times a row, not some times for each network."""
+    sent = catalog.QUERIES["det09_outbound_volume"](spark, DATA)
+    assert sent._jdf.queryExecution().optimizedPlan().toString().count("get_json_object") < 20
+    for ip, scope in (("1.2.3", "public"), ("", "public"), ("10.0.0.256", "private"), ("999.1.1.1", "public"), ("2001:db8::1", "public"), ("::1", "loopback"), ("FD00::1", "private")):
+        assert one(spark, scalars.address_scope(F.col("v")), ip) == scope
+    assert one(spark, scalars.in_network(F.col("v"), "10.1.0.0/16"), None) is False and one(spark, scalars.in_network(F.col("v"), "10.1.0.0/16"), "10.1.255.255") is True
+
+
 def test_negation_of_a_missing_field_is_true(spark):
     row = packets(spark, [(1, 0, "10.0.0.1", None, "10.0.0.2", None, "ICMP", 60, "ping")])
     assert row.where(~filters.either_port("eq", 80, "tcp")).count() == 1
