@@ -4,7 +4,7 @@ running means (live_baseline) and stopped captures (stop_stream) are kept for ea
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, OrderedDict, deque
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import ArrayType, StructField, StructType
 
+from ..operators.blocks import unused
 from ..sources.adapters import PACKET_COLUMNS, SPARK_K, micros, table
 from ..sources.scratch import new_folder
 
@@ -95,30 +97,78 @@ def first_seen(stream: DataFrame, key: str) -> DataFrame:
     return stream.dropDuplicatesWithinWatermark([key])
 
 
-def stateful(stream: DataFrame, keys: list[str], output: str, state: str, step: Callable, columns: list[str], timeout: str = GroupStateTimeout.EventTimeTimeout) -> DataFrame:
-    """step(key, rows in order, state tuple or None) -> (output rows, new state tuple or None to drop it). With event-time timers a state's
-    first field is the time in microseconds from which it decides nothing: then step gets None for rows."""
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        if group.hasTimedOut:
-            out, new = step(key, None, group.get)
-        else:
-            rows = pd.concat(list(frames)).sort_values(["us", "seq"], kind="stable")  # a part of one batch
-            out, new = step(key, rows, group.get if group.exists else None)
-        if new is None:
-            if group.exists:
-                group.remove()
-        else:
-            group.update(new)
-            if timeout == GroupStateTimeout.EventTimeTimeout:
-                group.setTimeoutTimestamp(max(group.getCurrentWatermarkMs() + 1, new[0] // 1000))
-        yield out
-
-    return stream.select(*dict.fromkeys([*keys, *columns, "us", "seq", "at"])).groupBy(*keys).applyInPandasWithState(run, output, state, "append", timeout)
-
-
-def _seqs(values: list[int]) -> pd.DataFrame:
-    return pd.DataFrame({"seq": pd.Series(values, dtype="int64")})
+#: Groups that the keys of a stream are dealt to. A call of Python costs milliseconds, so keys share one; the state of a group is that of its keys.
+GROUPS = 1 << 12
+#: Rows of a group that are held before those that decide nothing are dropped.
+HELD_ROWS = 1 << 16
+
+
+def stateful(
+    stream: DataFrame, keys: list[str], output: str, state: str, step: Callable, columns: list[str], timeout: str = GroupStateTimeout.EventTimeTimeout, wanted: Callable[[pd.DataFrame], pd.DataFrame] | None = None
+) -> DataFrame:
+    """step(key, rows in order, state tuple or None) -> (output tuples, new state tuple or None to drop it); rows are lists by column. With
+    event-time timers a state's first field is the time in microseconds from which it decides nothing: then step gets None for rows.
+
+    Keys are dealt to GROUPS by hash. wanted: of rows of a group in order, those that may decide anything whatever rows of the same batch are
+    still to come; without it a task holds all rows that one batch has of a group."""
+    group_key, = unused(stream, "group")
+    timed = timeout == GroupStateTimeout.EventTimeTimeout
+    order = ["us", "seq"]
+    names = list(dict.fromkeys([*keys, *columns, *order]))
+    fields = StructType.fromDDL(output).fields
+    kept = StructType([StructField("states", ArrayType(StructType([StructField("key", StructType([stream.schema[k] for k in keys])), StructField("value", StructType.fromDDL(state))])))])
+    kinds = {"long": "Int64", "integer": "Int32", "double": "float64", "boolean": "boolean"}
+
+    def frame(out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame({f.name: pd.Series(c, dtype=kinds.get(f.dataType.typeName(), "object")) for f, c in zip(fields, zip(*out) if out else [()] * len(fields))})
+
+    def in_order(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
+        parts, held = [], 0
+        for part in frames:  # parts of one batch
+            parts.append(part[names])
+            held += len(part)
+            if wanted and held > HELD_ROWS:
+                parts = [wanted(pd.concat(parts).sort_values(order, kind="stable", ignore_index=True))]
+                held = 0
+        return (pd.concat(parts) if len(parts) > 1 else parts[0]).sort_values(order, kind="stable", ignore_index=True)
+
+    def by_key(rows: pd.DataFrame) -> dict[tuple, dict[str, list]]:
+        lists = {n: rows[n].tolist() for n in names}
+        out: dict[tuple, dict[str, list]] = {}
+        for row in zip(*lists.values()):
+            key = tuple(None if v != v else v for v in row[: len(keys)])
+            if key not in out:
+                out[key] = {n: [] for n in names}
+            for n, v in zip(names, row):
+                out[key][n].append(v)
+        return out
+
+    def run(_: tuple, frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        states = {tuple(k): tuple(v) for k, v in group.get[0]} if group.exists else {}
+        passed = group.getCurrentWatermarkMs() if timed else 0
+        rows = {} if group.hasTimedOut else by_key(in_order(frames))
+        out: list[tuple] = []
+        for key in [*rows, *(k for k, s in states.items() if timed and k not in rows and s[0] // 1000 < passed)]:
+            found, new = step(key, rows.get(key), states.get(key))
+            out += found
+            if new is None:
+                states.pop(key, None)
+            else:
+                states[key] = new
+        if states:
+            group.update(([(k, s) for k, s in states.items()],))
+            if timed:
+                group.setTimeoutTimestamp(max(passed + 1, min(s[0] for s in states.values()) // 1000))
+        elif group.exists:
+            group.remove()
+        yield frame(out)
+
+    dealt = stream.withColumn(group_key, F.pmod(F.xxhash64(*keys), F.lit(GROUPS)))
+    return dealt.select(group_key, *names, "at").groupBy(group_key).applyInPandasWithState(run, output, kept, "append", timeout)
+
+
+def _seqs(values: list[int]) -> list[tuple]:
+    return [(v,) for v in values]
 
 
 def cooldown(stream: DataFrame, keys: list[str], seconds: float) -> DataFrame:
@@ -162,13 +212,12 @@ def call_sessions(stream: DataFrame, keys: list[str], idle_seconds: float = 3600
     """Sessions as they end: finished by a chunk with closes true, or not, when nothing has come for the idle time. Chunks, tokens, start and
     end. A key without an open session has no state."""
     idle = int(idle_seconds * 1_000_000)
-    names = [*keys, "start_us", "end_us", "chunks", "tokens", "finished"]
 
     def step(key, rows, state):
         out = []
         if rows is None:
             due, start, chunks, tokens = state
-            return pd.DataFrame([(*key, start, due - idle, chunks, tokens, False)], columns=names), None
+            return [(*key, start, due - idle, chunks, tokens, False)], None
         due, start, chunks, tokens = state or (0, 0, 0, 0)
         for t, n, closes in zip(rows["us"], rows["length"], rows["closes"]):
             if chunks and t > due:
@@ -179,7 +228,7 @@ def call_sessions(stream: DataFrame, keys: list[str], idle_seconds: float = 3600
             if closes:
                 out.append((*key, start, t, chunks, tokens, True))
                 chunks = tokens = 0
-        return pd.DataFrame(out, columns=names), (due, start, chunks, tokens) if chunks else None
+        return out, (due, start, chunks, tokens) if chunks else None
 
     fields = ", ".join(f"{k} string" for k in keys)
     return stateful(stream, keys, f"{fields}, start_us long, end_us long, chunks long, tokens long, finished boolean", "due long, start long, chunks long, tokens long", step, ["length", "closes"])
@@ -191,13 +240,13 @@ def silent(stream: DataFrame, key: str, seconds: float) -> DataFrame:
 
     def step(k, rows, state):
         if rows is None:  # the timer
-            return pd.DataFrame({key: [k[0]], "since_us": [state[1]]}), None
+            return [(k[0], state[1])], None
         last, out = (state[1] if state else None), []
         for t in rows["us"]:
             if last is not None and t - last > span:
-                out.append(last)
+                out.append((k[0], last))
             last = t
-        return pd.DataFrame({key: pd.Series([k[0]] * len(out), dtype="object"), "since_us": pd.Series(out, dtype="int64")}), (last + span, last)
+        return out, (last + span, last)
 
     return stateful(stream, [key], f"{key} string, since_us long", "due long, last long", step, [])
 
@@ -218,7 +267,17 @@ def stop_stream(stream: DataFrame, key: str, packets: int | None = None, byte_li
             out.append(seq)
         return _seqs(out), (start, count, used, stopped)
 
-    return stateful(stream, [key], "seq long", "start long, count long, used long, stopped boolean", step, ["length"], GroupStateTimeout.NoTimeout)
+    def wanted(rows: pd.DataFrame) -> pd.DataFrame:
+        """Rows in order that an earlier row which is still to come cannot push beyond the number or, but for the first beyond, the duration.
+        (Bytes do not tell: lengths below 0 would bring them down again.)"""
+        of_key = rows.groupby(key, sort=False, dropna=False)
+        near = pd.Series(True, rows.index) if packets is None else of_key.cumcount() <= packets
+        if span is not None:
+            beyond = (rows["us"] - of_key["us"].transform("min") > span).astype("int64")
+            near &= beyond.groupby(rows[key], sort=False, dropna=False).cumsum() <= 1
+        return rows[near]
+
+    return stateful(stream, [key], "seq long", "start long, count long, used long, stopped boolean", step, ["length"], GroupStateTimeout.NoTimeout, wanted)
 
 
 def rolling_flows(stream: DataFrame, keys: list[str], idle: str) -> DataFrame:
@@ -343,33 +402,45 @@ def stream_pairs(messages: DataFrame, keys: list[str], seconds: float) -> DataFr
     time; a response with an id that finds none is an orphan (0.5). A request that was taken waits no more. The state of a key is its
     waiting requests; it goes when the watermark has passed the time of the last of them."""
     span = int(seconds * 1_000_000)
-    names = ["request_seq", "response_seq", "confidence", "method"]
-
-    def table(out):
-        return pd.DataFrame({n: pd.Series([r[i] for r in out], dtype=t) for i, (n, t) in enumerate(zip(names, ("Int64", "int64", "float64", "object")))})
 
     def step(_, rows, state):
         if rows is None:
-            return table([]), None
-        due, seqs, times, ids = state or (0, [], [], [])
-        waiting, out = [(s, t, None if i == "" else i[1:]) for s, t, i in zip(seqs, times, ids)], []
+            return [], None
+        _, *held = state or (0, [], [], [])
+        out: list[tuple] = []
+        waiting: OrderedDict[int, tuple[int, int, str | None]] = OrderedDict()  # by a number of their own, oldest first
+        of_id: dict[str, deque[int]] = {}  # numbers of an id, those that wait no more among them
+        arrived = 0
+
+        def wait(seq, t, known):
+            nonlocal arrived
+            waiting[arrived] = (seq, t, known)
+            if known is not None:
+                of_id.setdefault(known, deque()).append(arrived)
+            arrived += 1
+
+        for seq, t, i in zip(*held):
+            wait(seq, t, None if i == "" else i[1:])
         for t, seq, is_request, id_ in zip(rows["us"], rows["seq"], rows["is_request"], rows["id"]):
             known = None if id_ is None or id_ != id_ else id_
-            waiting = [w for w in waiting if t - w[1] <= span]
+            while waiting and t - waiting[next(iter(waiting))][1] > span:
+                waiting.popitem(last=False)
             if is_request:
-                waiting.append((seq, t, known))
+                wait(seq, t, known)
                 continue
-            same = next((k for k, w in enumerate(waiting) if known is not None and w[2] == known), None)
-            if same is not None:
-                out.append((waiting.pop(same)[0], seq, 0.95, "header"))
+            same = of_id.get(known, deque()) if known is not None else deque()
+            while same and same[0] not in waiting:
+                same.popleft()
+            if same:
+                out.append((waiting.pop(same.popleft())[0], seq, 0.95, "header"))
             elif waiting:
-                out.append((waiting.pop()[0], seq, 0.6, "timing"))
+                out.append((waiting.popitem()[1][0], seq, 0.6, "timing"))
             elif known is not None:
                 out.append((None, seq, 0.5, "orphan"))
         if not waiting:
-            return table(out), None
-        due = max(w[1] for w in waiting) + span
-        return table(out), (due, [int(w[0]) for w in waiting], [int(w[1]) for w in waiting], ["" if w[2] is None else f"={w[2]}" for w in waiting])
+            return out, None
+        left = list(waiting.values())
+        return out, (max(w[1] for w in left) + span, [int(w[0]) for w in left], [int(w[1]) for w in left], ["" if w[2] is None else f"={w[2]}" for w in left])
 
     return stateful(messages, keys, "request_seq long, response_seq long, confidence double, method string", "due long, seqs array<long>, times array<long>, ids array<string>", step, ["is_request", "id"])
 

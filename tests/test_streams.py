@@ -3,6 +3,7 @@
 import tempfile
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,3 +155,55 @@ def test_each_request_has_one_response(feed):
     messages = stream().selectExpr("substr(src, 1, 1) as src", "us", "seq", "at", "not closes as is_request", "nullif(substr(src, 2, 1), '-') as id")
     out, left = watched(st.stream_pairs(messages, ["src"], 60))
     assert sorted(out, key=lambda r: r[1]) == [(100, 200, 0.95, "header"), (102, 201, 0.6, "timing"), (101, 202, 0.6, "timing"), (None, 204, 0.5, "orphan")] and left <= 1
+
+
+def test_many_keys_share_a_group(feed):
+    """Keys share calls of Python and their state rows; timers of keys without rows come due beside rows of others."""
+    put, stream = feed
+    put(*[(f"k{i}", i % 50, False) for i in range(9000)])
+    put(*[(f"k{i}", 60, True) for i in range(0, 9000, 2)])
+    put(("z", 10_000, False))
+    out, left = watched(st.call_sessions(stream(), ["src"], 3600))
+    assert [r for r in out if r[5]] == sorted(((f"k{i}", BASE + i % 50 * SECOND, BASE + 60 * SECOND, 2, 20, True) for i in range(0, 9000, 2)), key=str)
+    assert len(out) == 9000 and left == 1
+    query = st.cooldown(stream("1 day"), ["src"], 86_400).writeStream.foreachBatch(lambda batch, _: [*batch.collect()]).option("checkpointLocation", tempfile.mkdtemp(prefix="spark-", dir="/tmp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert 0 < [p for p in query.recentProgress if p["stateOperators"]][-1]["stateOperators"][0]["numRowsTotal"] <= st.GROUPS
+
+
+def test_many_requests_wait(spark, monkeypatch):
+    """A row costs the same however many requests of its key wait."""
+    steps = []
+    monkeypatch.setattr(st, "stateful", lambda *args: steps.append(args[4]))
+    st.stream_pairs(None, ["src"], 10)
+    n = 40_000
+    began = time.time()
+    for ids, want in (([f"i{k}" for k in range(n)], range(n)), ([None] * n, range(n - 1, -1, -1))):
+        out, state = steps[0](("a",), {"us": list(range(2 * n)), "seq": list(range(2 * n)), "is_request": [True] * n + [False] * n, "id": ids * 2}, None)
+        assert state is None and [(r[0], r[1]) for r in out] == list(zip(want, range(n, 2 * n)))
+    assert time.time() - began < 10
+
+
+def test_a_capture_holds_what_may_pass(feed, monkeypatch):
+    """Of a batch a task holds the rows that may still pass, in whatever order the rows come."""
+    put, stream = feed
+    times = [(i * 7919) % 3000 for i in range(3000)]
+    put(*[("ab"[i % 2], t, False) for i, t in enumerate(times)])
+    put(("a", 4000, False), ("b", 4001, False), ("c", 4002, False))
+    held = []
+    plain = st.stateful
+    monkeypatch.setattr(st, "stateful", lambda *args: held.append(args[7]) or plain(*args))
+    monkeypatch.setattr(st, "HELD_ROWS", 20)
+    monkeypatch.setattr(st, "GROUPS", 1)
+    with st.settings(stream().sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "50"}):
+        for limits in ({"packets": 200}, {"seconds": 100}, {"packets": 30, "seconds": 100}, {"byte_limit": 500}, {"packets": 2000}):
+            out, _ = watched(st.stop_stream(stream(), "src", **limits))
+            want = []
+            for k in "ab":
+                mine = sorted((t, 100 + i) for i, t in enumerate(times) if "ab"[i % 2] == k)
+                mine += [(4000, 200)] if k == "a" else [(4001, 201)]
+                want += [s for n, (t, s) in enumerate(mine) if n < limits.get("packets", 9e9) and t - mine[0][0] <= limits.get("seconds", 9e9) and 10 * n < limits.get("byte_limit", 9e9)]
+            assert sorted(x[0] for x in out) == sorted([*want, 202]), limits
+    rows = pd.DataFrame({"src": ["a", "b"] * 500, "us": range(1000), "seq": range(1000), "length": 10})
+    assert len(held[0](rows)) == 2 * 201
+    assert len(held[1](rows.assign(us=rows["us"] * SECOND))) == 2 * 52
