@@ -95,15 +95,22 @@ def moments(dealt: DataFrame, keys: list[str], block: str, value: str, order: li
 
 
 def trailing(rows: DataFrame, keys: list[str], seconds: float, sums: dict[str, Column], time: str = "us", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Adds aggregates over the key's rows of the last so many seconds, this row's instant included. A block is as long as the window at
-    least; the rows of its last seconds are dealt to the next block too, where they count and are dropped."""
+    """Adds sums or counts over the key's rows of the last so many seconds, this row's instant included. A block is as long as the window,
+    whatever block_rows says, so that a window is the beginning of its row's block and the end of the one before. Both are running sums, and
+    a row costs the same however many rows its window has. Rows are dealt to the next block too, where their sums are looked up and they go."""
     span = int(seconds * 1_000_000)
-    block, home = unused(rows, "block", "home")
-    dealt, width = with_blocks(rows, time, home, block_rows, max(1, span))
-    carried = F.col(time) >= (F.col(home) + 1) * width - span
-    dealt = dealt.withColumn(block, F.explode(F.when(carried, F.array(F.col(home), F.col(home) + 1)).otherwise(F.array(home))))
-    w = Window.partitionBy(*keys, block).orderBy(time).rangeBetween(-span, 0)
-    return dealt.withColumns({c: e.over(w) for c, e in sums.items()}).where(F.col(block) == F.col(home)).drop(block, home)
+    carried, block, place, end, *own = unused(rows, "carried", "block", "place", "end", *(f"{c}_own" for c in sums))
+    t, over_here = F.col(time), F.col(carried)
+    dealt = rows.withColumn(carried, F.explode(F.when(t.isNull(), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
+    dealt = dealt.withColumns({block: F.floor(t / max(1, span)) + over_here.cast("long"), place: t + F.when(over_here, span).otherwise(0)}).repartition(*keys, block)
+    in_block = Window.partitionBy(*keys, block)
+    # From the block's first instant on, or for carried rows from its last one back.
+    running = Window.partitionBy(*keys, block, carried).orderBy(F.when(over_here, -t).otherwise(t)).rangeBetween(Window.unboundedPreceding, 0)
+    summed = dealt.withColumns({n: e.over(running) for n, e in zip(own, sums.values())})
+    looked_up = F.last(F.when(over_here, F.struct(*own)), ignorenulls=True).over(in_block.orderBy(F.desc(place)).rangeBetween(Window.unboundedPreceding, 0))
+    out = summed.withColumn(end, looked_up).where(~over_here)
+    both = {c: F.coalesce(F.col(n) + F.col(end)[n], n, F.col(end)[n]) for c, n in zip(sums, own)}
+    return out.withColumns(both).drop(carried, block, place, end, *own)
 
 
 def ewma(rows: DataFrame, key: str, value: str, alpha: float, order: list[str], block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 import statistics
 import tempfile
 
@@ -70,6 +71,20 @@ def test_other_windows(history, size):
                 assert mean[seq] == pytest.approx(e)
 
 
+def test_trailing_windows_do_not_read_their_rows_again(spark):
+    """Sums over a sliding frame cost rows times the rows of a window; running sums do not."""
+    rows = [(i, "a" if i % 3 else None, t) for i, t in enumerate([0, 0, 1, 9, 10, 10, 11, 12, 19, 20, 21, 30, 31, 45, None, None])]
+    frame = spark.createDataFrame(rows, "seq long, k string, us long")
+    for seconds in (0, 1e-6, 1e-5):
+        out = blocks.trailing(frame, ["k"], seconds, {"c": F.count("*"), "s": F.sum("seq")})
+        assert out.columns == ["seq", "k", "us", "c", "s"]
+        frames = re.findall(r"specifiedwindowframe\(\w+, ([^,]+),", out._jdf.queryExecution().optimizedPlan().toString())
+        assert frames and set(frames) == {"unboundedpreceding$()"}
+        span = int(seconds * 1_000_000)
+        inside = {i: [j for j, m, u in rows if m == k and (u is t if t is None else u is not None and t - span <= u <= t)] for i, k, t in rows}
+        assert {r.seq: (r.c, r.s) for r in out.collect()} == {i: (len(v), sum(v)) for i, v in inside.items()}
+
+
 @pytest.mark.parametrize("cells", [64, 1024])
 def test_places(history, monkeypatch, cells):
     rows, frame = history
