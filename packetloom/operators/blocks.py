@@ -13,6 +13,8 @@ from . import folds
 
 #: Rows that a block would hold if rows were spread evenly.
 BLOCK_ROWS = 1 << 16
+#: Rows (over alpha) from which bounds of a weighted mean may be expected to meet; values beyond the bound are not tried.
+MEETING_ROWS, BOUND = 50, 1e300
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:
@@ -116,27 +118,43 @@ def trailing(rows: DataFrame, keys: list[str], seconds: float, sums: dict[str, C
 def ewma(rows: DataFrame, key: str, value: str, alpha: float, order: list[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Adds ewma: the exponentially weighted mean, seeded by the first value; alpha is held within 0.01 and 0.99; null values leave it out.
 
-    A row maps the mean e to (1 - a) e + a x, and so a block maps it to A e + B; these pairs, a few numbers a block, are walked in order to
-    give each block the mean it begins with, and the rows of a block are walked by themselves."""
+    Every mean has the very bits of the recurrence a x + (1 - a) e walked row by row from the key's first value. A step keeps the order of two
+    means, rounding too, so that a block walked from bounds of all means whose ends meet ends there for any mean that it begins with. From
+    such a block on (with enough rows of a key, nearly each) the rows up to the next such block are walked by themselves; a key with fewer
+    rows is walked as a whole."""
     a = min(0.99, max(0.01, alpha))
     rows = rows.drop("ewma")
-    block, scale, shift, head, begin = unused(rows, "block", "scale", "shift", "head", "begin")
+    block, low, high, n, ends, chain, begin = unused(rows, "block", "low", "high", "n", "ends", "chain", "begin")
     dealt, _ = with_blocks(rows, order[0], block, block_rows)
+    dealt = dealt.where(F.col(value).isNotNull())
     x = F.col(value).cast("double")
-    back = F.count(value).over(Window.partitionBy(key, block).orderBy(*map(F.desc, order)).rowsBetween(Window.unboundedPreceding, 0)) - 1
-    weighed = dealt.where(F.col(value).isNotNull()).withColumn(shift, a * x * F.pow(F.lit(1 - a), back))
-    maps = weighed.groupBy(key, block).agg(F.pow(F.lit(1 - a), F.count("*")).alias(scale), F.sum(shift).alias(shift), F.min_by(x, F.struct(*order)).alias(head))
 
-    def from_block(mean, scale, shift, head):
-        mean = head if mean is None else mean
-        return scale * mean + shift, mean
-
-    begins = folds.fold(maps, [key], [block], [scale, shift, head], from_block, f"{begin} double")
+    def step(mean, x):
+        return a * float(x) + (1 - a) * mean
+
+    def from_bounds(state, x, low, high):
+        state = tuple(step(m, x) for m in state or (low, high))
+        return state, state[0] if state[0] == state[1] else None
+
+    of_block = dealt.groupBy(key, block).agg(F.count("*").alias(n), F.min(x).alias(low), F.max(x).alias(high))
+    of_key = Window.partitionBy(key)
+    # Rounding may lead a mean a little beyond all values.
+    margin = F.greatest(F.abs(F.min(low).over(of_key)), F.abs(F.max(high).over(of_key))) * 1e-9
+    of_block = of_block.withColumns({low: F.min(low).over(of_key) - margin, high: F.max(high).over(of_key) + margin})
+    enough = of_block.where((F.col(n) >= MEETING_ROWS / a) & F.col(low).between(-BOUND, BOUND) & F.col(high).between(-BOUND, BOUND))
+    bounded = join_on(dealt.select(key, block, value, *(c for c in order if c not in (key, value))), enough, [key, block], [low, high])
+    met = folds.fold(bounded, [key, block], order, [value, low, high], from_bounds, f"{ends} double")
+    last = met.groupBy(key, block).agg(F.max_by(F.struct(ends), F.struct(*order))[ends].alias(ends)).where(F.col(ends).isNotNull())
+    same = F.col("l.k").eqNullSafe(F.col("r.k")) & (F.col("l.b") == F.col("r.b"))
+    of_block = of_block.select(F.col(key).alias("k"), F.col(block).alias("b")).alias("l").join(last.select(F.col(key).alias("k"), F.col(block).alias("b"), F.col(ends).alias("e")).alias("r"), same, "left").select("l.*", "r.e")
+    before = Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    chains = of_block.select(F.col("k").alias(key), F.col("b").alias(block), F.count("e").over(before).alias(chain), F.struct(F.last("e", ignorenulls=True).over(before).alias("mean")).alias(begin))
 
     def from_row(mean, begin, x):
-        mean = a * float(x) + (1 - a) * (begin if mean is None else mean)
+        mean = begin["mean"] if mean is None else mean
+        mean = float(x) if mean is None else step(mean, x)
         return mean, mean
 
-    counted = join_on(dealt.where(F.col(value).isNotNull()), begins, [key, block], [begin])
-    out = folds.fold(counted, [key, block], order, [begin, value], from_row, "ewma double").drop(block, begin)
+    chained = join_on(dealt, chains, [key, block], [chain, begin])
+    out = folds.fold(chained, [key, chain], order, [begin, value], from_row, "ewma double").drop(block, chain, begin)
     return out.unionByName(rows.where(F.col(value).isNull()).withColumn("ewma", F.lit(None).cast("double")))

@@ -71,6 +71,23 @@ def test_other_windows(history, size):
                 assert mean[seq] == pytest.approx(e)
 
 
+@pytest.mark.parametrize("size", [200, 1000, 1 << 16])
+def test_weighted_means_have_the_bits_of_the_recurrence(spark, size):
+    """Blocks whose bounds meet, blocks too short for that, a key of equal values (whose bounds do not meet) and a null key."""
+    rng = random.Random(7)
+    rows = [(i, "hot" if i % 10 < 6 else ("b", "flat", None, "rare")[i % 10 - 6] if i % 10 < 9 or i % 50 == 9 else "b", i * 10 + rng.randrange(9), 0) for i in range(6000)]
+    rows = [(i, k, t, 7 if k == "flat" else rng.randrange(1, 2000)) for i, k, t, _ in rows]
+    frame = spark.createDataFrame(rows, "seq long, k string, us long, x long")
+    got = {r.seq: r.ewma for r in blocks.ewma(frame, "k", "x", 0.3, ["us", "seq"], size).collect()}
+    want = {}
+    for part in by_key(rows).values():
+        e = None
+        for seq, _, _, x in part:
+            e = float(x) if e is None else 0.3 * x + 0.7 * e
+            want[seq] = e
+    assert got == want
+
+
 def test_trailing_windows_do_not_read_their_rows_again(spark):
     """Sums over a sliding frame cost rows times the rows of a window; running sums do not."""
     rows = [(i, "a" if i % 3 else None, t) for i, t in enumerate([0, 0, 1, 9, 10, 10, 11, 12, 19, 20, 21, 30, 31, 45, None, None])]
