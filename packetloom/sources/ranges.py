@@ -19,6 +19,8 @@ from .captures import BATCH_BYTES, BATCH_FRAMES, SCHEMA, Section, pcap_order
 from .scratch import settled
 
 RANGE_BYTES = 64 << 20
+#: Tasks that ranges are dealt to at least, if there are so many; bytes and ranges that a task takes.
+LEAST_TASKS, TASK_BYTES, TASK_RANGES = 64, 16 << 20, 1000
 #: Bytes of a file that a task holds.
 STRETCH = 1 << 20
 #: Records that have to follow a place to make it plausible; bytes a record has at most for that; how far its time may be from the first one's.
@@ -153,7 +155,7 @@ def capture_ranges(spark: SparkSession, files: DataFrame, range_bytes: int = RAN
     numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(size - 1) div {range_bytes}")))
     ranges = files.where("size > 0").select("path", "size", numbers.alias("number"))
     ranges = ranges.withColumns({"start": F.col("number") * range_bytes, "stop": F.least("size", (F.col("number") + 1) * range_bytes)})
-    found = settled(ranges.repartition(_tasks(ranges), "path", "number").mapInArrow(_index, INDEX), "index")
+    found = settled(ranges.repartition(_tasks(ranges, "start"), "path", "number").mapInArrow(_index, INDEX), "index")
     in_file = Window.partitionBy("path").orderBy("number")
     earlier = in_file.rowsBetween(Window.unboundedPreceding, -1)
     expected = F.coalesce(F.max("next").over(earlier), F.col("first"))
@@ -201,6 +203,8 @@ def read_ranges(spark: SparkSession, files: DataFrame, range_bytes: int = RANGE_
     return ranges.repartition(_tasks(ranges), "path", "first").mapInArrow(_decode, SCHEMA)
 
 
-def _tasks(ranges: DataFrame) -> int:
-    """As many tasks as ranges, within reason: their number says how much there is to read, which their size as rows does not."""
-    return max(1, min(ranges.count(), 100_000))
+def _tasks(ranges: DataFrame, first: str = "first") -> int:
+    """Tasks by the bytes of ranges and by their number, as many as ranges where there are few; many small ranges share a task, since a task
+    costs more than such a range."""
+    n, size = ranges.agg(F.count("*"), F.sum(F.col("stop") - F.col(first))).first()
+    return max(1, min(n, max(LEAST_TASKS, -(-(size or 0) // TASK_BYTES), -(-n // TASK_RANGES))))

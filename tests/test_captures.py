@@ -83,3 +83,13 @@ def test_a_large_file_is_read_by_many_tasks(spark):
     frames = captures.read_captures(spark, folder, 16 << 20)
     out = frames.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"), F.min("idx"), F.sum("idx").alias("s")).collect()
     assert len(out) > 2 and sum(r.n for r in out) == n and sum(r.s for r in out) == n * (n - 1) // 2
+
+
+def test_small_ranges_share_tasks(spark):
+    from packetloom.sources import ranges
+
+    def tasks(n, size):
+        return ranges._tasks(spark.range(n).selectExpr("0L as first", f"{size}L as stop"))
+
+    assert tasks(50_000, 12_000) <= 64 and tasks(500_000, 12_000) <= 600  # of 600 MB and 6 GB
+    assert tasks(3, 10) == 3 and tasks(500, 64 << 20) == 500 and tasks(0, 1) == 1
