@@ -329,6 +329,7 @@ class HostScores(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["us", "seq"], kind="stable")  # a part of one batch
         due, n, lengths, total, squares, top = self.sums.get() or (0, 0, 0, 0.0, 0.0, 0.0)
+        fresh = n == 0  # nothing is kept of the host: then its entries need not be asked for
         if n:
             self.handle.deleteTimer(due // 1000 + 1)
         slots: dict[int, tuple[float, int]] = {}  # entries of this batch's hours and destinations
@@ -338,12 +339,12 @@ class HostScores(StatefulProcessor):
             if n and t > due:  # silent for too long within one batch
                 self._forget()
                 n, lengths, total, squares, top = 0, 0, 0.0, 0.0, 0.0
-                slots, peers = {}, {}
+                slots, peers, fresh = {}, {}, True
             x = None if pd.isna(x) else float(x)
             if slot not in slots:
-                slots[slot] = tuple(self.slots.getValue((slot,)) or (0.0, 0))
+                slots[slot] = (0.0, 0) if fresh else tuple(self.slots.getValue((slot,)) or (0.0, 0))
             if peer not in peers:
-                peers[peer] = n > 0 and self.known.containsKey((peer,))
+                peers[peer] = not fresh and self.known.containsKey((peer,))
             mean = total / lengths if lengths else None
             found = []
             if x is not None and lengths:

@@ -207,3 +207,30 @@ def test_a_capture_holds_what_may_pass(feed, monkeypatch):
     rows = pd.DataFrame({"src": ["a", "b"] * 500, "us": range(1000), "seq": range(1000), "length": 10})
     assert len(held[0](rows)) == 2 * 201
     assert len(held[1](rows.assign(us=rows["us"] * SECOND))) == 2 * 52
+
+
+def test_a_new_host_is_not_looked_up():
+    """State calls cross a socket: for a host of which nothing is kept none of its entries is asked for."""
+    asked = []
+
+    class Kept:
+        def get(self):
+            return None
+
+        def getValue(self, key):
+            asked.append(key)
+
+        def containsKey(self, key):
+            asked.append(key)
+            return False
+
+        def update(self, *_):
+            pass
+
+        updateValue = registerTimer = update
+
+    scores = st.HostScores(60 * SECOND)
+    scores.handle = scores.sums = scores.slots = scores.known = Kept()
+    rows = pd.DataFrame({"us": range(100), "seq": range(100), "length": 10, "hour": 12, "slot": [i % 24 for i in range(100)], "peer": [i % 40 for i in range(100)]})
+    out = pd.concat(scores.handleInputRows(("a",), iter([rows]), None))
+    assert not asked and (out["reasons"] == "FIRST_CONTACT").sum() == 39
